@@ -261,3 +261,9 @@ def quality(docs: DataFrame, limits: QualityLimits = QualityLimits()) -> DataFra
     """
     measured = materialise(features(docs, limits), "quality")
     return judge(measured, references(measured), limits)
+
+
+def keep_good(docs: DataFrame, limits: QualityLimits = QualityLimits()) -> DataFrame:
+    """The input rows without rejected texts; verdicts are looked up by doc_id, and rows without a doc_id go."""
+    bad = quality(docs, limits).where("not kept").select("doc_id").distinct()
+    return docs.where("doc_id is not null").join(bad, "doc_id", "left_anti").select(*docs.columns)
