@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import codec, decontaminate, jaccard, pii, quality, token_counts
+from . import codec, decontaminate, jaccard, licenses, pii, quality, token_counts
 from .common import table
 
 
@@ -44,8 +44,12 @@ def op8_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codec.encode(table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json")).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digest(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_quality_rules, op3_token_counts, op5_decontamination, op6_ngram_jaccard, op8_bpe_codec)}
+    return {f.__name__: f for f in (op1_pii, op2_quality_rules, op3_token_counts, op5_decontamination, op6_ngram_jaccard, op8_bpe_codec, op10_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
