@@ -11,9 +11,12 @@ with equal sets are one node.  For the rest:
    hub), so no pairs are emitted and the rows stay linear in the keys.
    Keys of frequent shingles find their hub by a pre-aggregated minimum
    instead of a shuffle on the key.
-3. Blocks over a size limit are split into parts, and every two parts meet
-   in one task.  In a task, a count-vector R-tree bounds overlaps by summed
-   coordinate minima, and surviving pairs are verified on the whole sets.
+3. In a block, a count-vector R-tree bounds overlaps by summed coordinate
+   minima.  Only documents with a surviving pair go on, to the block of the
+   smallest document they survive with; this also unites blocks of the
+   same group.  There the surviving pairs of a second R-tree are verified
+   on the whole sets.  Blocks over a size limit are split into parts, and
+   every two parts meet in one task.
 4. Components of the verified links spread by smallest neighbours with
    pointer jumping on tables in the shared folder.
 
@@ -33,7 +36,7 @@ from pyspark.sql import types as T
 
 from . import bytekit as bk
 from .common import materialise, prepare, text_or_empty
-from .rtree import components, linked_pairs
+from .rtree import candidate_pairs, components, count_vector, linked_pairs, read_vector
 
 WIDTH = 5
 #: Frequent shingles kept for the order, at most (a driver and broadcast bound).
@@ -42,6 +45,8 @@ FREQUENT_LIMIT = 100_000
 FREQUENT_IN_TASK = 12
 #: Estimated bytes of a part of a block; two parts meet in a task.
 PART_BYTES = 4 << 20
+#: Documents of a part at most.
+PART_DOCS = 1024
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -139,7 +144,8 @@ def _prefixes(frequent):
                 for keep in (rare, ~rare):
                     ends = np.concatenate([[0], np.cumsum(np.bincount(row[chosen[keep]], minlength=texts.rows))])
                     lists.append(pa.ListArray.from_arrays(ends.astype(np.int32), pa.array(_signed(value[chosen[keep]]))))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(_signed(fp1)), pa.array(_signed(fp2)), *lists], names=["doc_id", "n_shingles", "fp1", "fp2", "rare", "often"])
+                vectors = pa.array([count_vector(value[start[i] : start[i + 1]]).tobytes() for i in range(texts.rows)], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(_signed(fp1)), pa.array(_signed(fp2)), *lists, vectors], names=["doc_id", "n_shingles", "fp1", "fp2", "rare", "often", "vector"])
 
     return run
 
@@ -181,78 +187,102 @@ def memberships(prefixes: DataFrame) -> DataFrame:
     return met.unionByName(hot).distinct()
 
 
-def _ship(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row a task that a document goes to: block, parts, and its whole set as bytes."""
+def _parted(members: DataFrame, weights: DataFrame, limit: int) -> DataFrame:
+    """(hub, doc, parts): members of hubs with two documents or more, and the parts that the hub's block is split into."""
+    sized = members.join(weights, "doc")
+    blocks = sized.groupBy("hub").agg(F.ceil(F.sum("weight") / limit).cast("int").alias("parts"), F.count(F.lit(1)).alias("n")).where("n > 1").select("hub", "parts")
+    return members.join(blocks, "hub")
+
+
+def _tasks(placed: DataFrame) -> DataFrame:
+    """A row for each pair of parts (low, high) that a document takes part in."""
+    own = F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
+    spread = placed.withColumn("own", own).select("*", other)
+    return spread.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other")).drop("own", "other", "parts")
+
+
+def _close_components(docs: list[int], a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of the documents in pairs, and the smallest id of the component of each."""
+    order = np.argsort(docs, kind="stable")
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    ids = np.array(docs, np.int64)[order]
+    label = components(len(ids), place[a], place[b])
+    touched = np.unique(np.concatenate([place[a], place[b]]))
+    return ids[touched], ids[label[touched]]
+
+
+def _by_block(pairs_of, value: str, names: list[str]):
+    """Blocks of sorted rows, each closed by ``pairs_of(sizes, values)``: documents with the smallest of their component."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_block, docs, sizes, values = None, [], [], []
+
+        def close() -> tuple[np.ndarray, np.ndarray]:
+            if len(docs) < 2:
+                return np.empty(0, np.int64), np.empty(0, np.int64)
+            a, b = pairs_of(sizes, values)
+            return _close_components(docs, a, b) if len(a) else (a, b)
+
+        def put(out: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.int64), *(x[k] for x in out)])) for k in (0, 1)], names=names)
+
+        for batch in batches:
+            out = []
+            blocks = zip(batch.column("hub").to_pylist(), batch.column("low").to_pylist(), batch.column("high").to_pylist(), strict=True)
+            for block, doc, size, raw in zip(blocks, batch.column("doc").to_pylist(), batch.column("n_shingles").to_pylist(), batch.column(value).to_pylist(), strict=True):
+                if block != open_block:
+                    out.append(close())
+                    open_block, docs, sizes, values = block, [], [], []
+                docs.append(doc)
+                sizes.append(size)
+                values.append(raw)
+            yield put(out)
+        yield put([close()])
+
+    return run
+
+
+def _surviving(sizes: list[int], raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    return candidate_pairs(np.array(sizes, np.int64), [read_vector(raw, n) for raw, n in zip(raws, sizes, strict=True)])
+
+
+def _verified(sizes: list[int], raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    return linked_pairs([np.frombuffer(raw, np.uint64) for raw in raws])
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each document's whole set as bytes, with the blocks it goes to."""
     for batch in batches:
         for texts in bk.slices(batch.column("text")):
             value, n = shingle_sets(texts)
             start = np.concatenate([[0], np.cumsum(n)])
             part = batch.slice(texts.lo, texts.rows)
-            hubs, rows, low, high = [], [], [], []
-            docs = part.column("doc").to_pylist()
-            for i, (doc, blocks) in enumerate(zip(docs, part.column("blocks").to_pylist(), strict=True)):
-                salt = int(bk.mix64(np.array([doc], np.int64).view(np.uint64))[0])
-                for block in blocks:
-                    parts = block["parts"]
-                    own = salt % parts
-                    for other in range(parts):
-                        hubs.append(block["hub"])
-                        rows.append(i)
-                        low.append(min(own, other))
-                        high.append(max(own, other))
             raw = [value[start[i] : start[i + 1]].tobytes() for i in range(texts.rows)]
-            step = 256
-            for lo in range(0, len(rows), step):
-                some = rows[lo : lo + step]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(hubs[lo : lo + step], pa.int64()), pa.array(low[lo : lo + step], pa.int32()), pa.array(high[lo : lo + step], pa.int32()), pa.array([docs[i] for i in some], pa.int64()), pa.array([raw[i] for i in some], pa.binary())],
-                    names=["hub", "low", "high", "doc", "elements"],
-                )
-
-
-def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by block: each document with the smallest one of its component in the block."""
-    open_block, docs, sets = None, [], []
-
-    def close() -> tuple[np.ndarray, np.ndarray]:
-        if len(docs) < 2:
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        a, b = linked_pairs(sets)
-        if not len(a):
-            return a, b
-        order = np.argsort(docs, kind="stable")
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
-        ids = np.array(docs, np.int64)[order]
-        label = components(len(ids), place[a], place[b])
-        other = np.flatnonzero(label != np.arange(len(ids)))
-        return ids[other], ids[label[other]]
+            yield pa.RecordBatch.from_arrays([part.column("doc"), part.column("blocks"), pa.array(n.astype(np.int64)), pa.array(raw, pa.binary())], names=["doc", "blocks", "n_shingles", "elements"])
 
-    for batch in batches:
-        out: list[tuple[np.ndarray, np.ndarray]] = []
-        blocks = zip(batch.column("hub").to_pylist(), batch.column("low").to_pylist(), batch.column("high").to_pylist(), strict=True)
-        for block, doc, raw in zip(blocks, batch.column("doc").to_pylist(), batch.column("elements"), strict=True):
-            if block != open_block:
-                out.append(close())
-                open_block, docs, sets = block, [], []
-            docs.append(doc)
-            sets.append(np.frombuffer(raw.as_buffer(), np.uint64).copy())
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[k] for x in out] or [np.empty(0, np.int64)])) for k in (0, 1)], names=["a", "b"])
-    a, b = close()
-    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-
-
-def verified_links(docs: DataFrame, members: DataFrame, sizes: DataFrame) -> DataFrame:
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, "hub", "low", "high").sortWithinPartitions("hub", "low", "high")
+
+
+def survivors(members: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Distinct (hub, doc) after the count-vector bound; nodes: doc, n_shingles, vector."""
+    weights = nodes.select("doc", F.lit(1).alias("weight"))
+    rows = _tasks(_parted(members, weights, PART_DOCS)).join(nodes, "doc").select("hub", "low", "high", "doc", "n_shingles", "vector")
+    return _dealt(rows).mapInArrow(_by_block(_surviving, "vector", ["doc", "hub"]), "doc long, hub long").select("hub", "doc").distinct()
+
+
+def verified_links(docs: DataFrame, alive: DataFrame, nodes: DataFrame) -> DataFrame:
     """Links (a, b) that span the components of every block, from whole sets."""
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    weight = F.sum(F.col("n_shingles") * 8 + 4096)
-    sized = members.join(sizes.select(F.col("doc_id").alias("doc"), "n_shingles"), "doc")
-    blocks = sized.groupBy("hub").agg(F.ceil(weight / PART_BYTES).cast("int").alias("parts"), F.count(F.lit(1)).alias("n")).where("n > 1").select("hub", "parts")
-    placed = members.join(blocks, "hub").groupBy("doc").agg(F.collect_list(F.struct("hub", "parts")).alias("blocks"))
-    texts = docs.select(F.col("doc_id").alias("doc"), "text").join(placed, "doc")
-    shipped = texts.select("doc", "text", "blocks").mapInArrow(_ship, "hub long, low int, high int, doc long, elements binary")
-    dealt = shipped.repartition(n, "hub", "low", "high").sortWithinPartitions("hub", "low", "high")
-    return dealt.mapInArrow(_links, "a long, b long")
+    weights = nodes.select("doc", (F.col("n_shingles") * 8 + PART_BYTES // PART_DOCS).alias("weight"))
+    placed = _parted(alive, weights, PART_BYTES).groupBy("doc").agg(F.collect_list(F.struct("hub", "parts")).alias("blocks"))
+    schema = T.StructType([T.StructField("doc", T.LongType()), placed.schema["blocks"], T.StructField("n_shingles", T.LongType()), T.StructField("elements", T.BinaryType())])
+    sets = docs.select(F.col("doc_id").alias("doc"), "text").join(placed, "doc").select("doc", "text", "blocks").mapInArrow(_sets, schema)
+    each = sets.select("doc", "n_shingles", "elements", F.explode("blocks").alias("b")).select("b.hub", "doc", "b.parts", "n_shingles", "elements")
+    return _dealt(_tasks(each)).mapInArrow(_by_block(_verified, "elements", ["a", "b"]), "a long, b long").where("a != b")
 
 
 def connect(links: DataFrame, rounds: int = 40) -> DataFrame:
@@ -281,14 +311,15 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     prepare(spark)
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     frequent = spark.sparkContext.broadcast(frequent_shingles(narrow))
-    schema = T.StructType([*(T.StructField(c, T.LongType()) for c in ("doc_id", "n_shingles", "fp1", "fp2")), *(T.StructField(c, T.ArrayType(T.LongType(), False)) for c in ("rare", "often"))])
+    schema = T.StructType([*(T.StructField(c, T.LongType()) for c in ("doc_id", "n_shingles", "fp1", "fp2")), *(T.StructField(c, T.ArrayType(T.LongType(), False)) for c in ("rare", "often")), T.StructField("vector", T.BinaryType())])
     prefixes = materialise(narrow.mapInArrow(_prefixes(frequent), schema), "prefixes")
     known = prefixes.where("n_shingles > 0 and doc_id is not null")
     nodes = materialise(known.groupBy("fp1", "fp2", "n_shingles").agg(F.min("doc_id").alias("node")), "nodes")
     first = prefixes.join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
     members = materialise(memberships(first), "members")
-    sizes = nodes.select(F.col("node").alias("doc_id"), "n_shingles").groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles"))
-    links = materialise(verified_links(narrow, members, sizes), "links")
+    vectors = first.select(F.col("doc_id").alias("doc"), "n_shingles", "vector").where("n_shingles > 0")
+    alive = materialise(survivors(members, vectors), "alive")
+    links = materialise(verified_links(narrow, alive, vectors), "links")
     # A doc_id that stands on several rows joins all its sets.
     same = known.join(nodes, ["fp1", "fp2", "n_shingles"]).where("doc_id != node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
     component = connect(links.unionByName(same))

@@ -67,11 +67,44 @@ class CountTree:
         return self.order[a], self.order[b]
 
 
-def count_vectors(sets: list[np.ndarray], groups: int) -> np.ndarray:
-    out = np.empty((len(sets), groups), np.int32)
-    for i, s in enumerate(sets):
-        out[i] = np.bincount((s & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
-    return out
+def groups_of(size: int) -> int:
+    """Groups for a set of this size: a power of two with about eight elements a group or fewer."""
+    groups = 16
+    while groups < 8192 and groups * 8 < size:
+        groups *= 2
+    return groups
+
+
+def count_vector(elements: np.ndarray) -> np.ndarray:
+    groups = groups_of(len(elements))
+    counts = np.bincount((elements & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
+    return counts.astype(np.uint8 if not len(counts) or counts.max() < 256 else np.uint16)
+
+
+def read_vector(raw: bytes | memoryview, size: int) -> np.ndarray:
+    """A count vector from its bytes; its width follows from the set's size."""
+    return np.frombuffer(raw, np.uint8 if len(raw) == groups_of(size) else np.uint16)
+
+
+def candidate_pairs(sizes: np.ndarray, vectors: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs whose count vectors allow the similarity.
+
+    Vectors are compared at the number of groups of the smaller set; a
+    finer vector folds to it exactly, as group numbers are low hash bits.
+    """
+    width = np.array([len(v) for v in vectors])
+    found = [(np.empty(0, np.int64), np.empty(0, np.int64))]
+    for groups in np.unique(width).tolist():
+        own = np.flatnonzero(width == groups)
+        above = np.flatnonzero((width > groups) & (4 * sizes <= 5 * sizes[own].max()))
+        part = np.concatenate([own, above])
+        if len(part) < 2:
+            continue
+        flat = np.stack([vectors[i].astype(np.int32).reshape(-1, groups).sum(axis=0) for i in part])
+        a, b = CountTree(flat, sizes[part]).pairs()
+        keep = (a < len(own)) | (b < len(own))
+        found.append((part[a[keep]], part[b[keep]]))
+    return np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
 
 
 def overlaps(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -100,15 +133,7 @@ def overlaps(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray
 def linked_pairs(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """All pairs of sets with 100 * intersection >= 80 * union, by bound and verification."""
     sizes = np.array([len(s) for s in sets], np.int64)
-    if len(sets) == 2:
-        small, large = sorted(sizes.tolist())
-        if 5 * small < 4 * large:
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-    # More groups for larger sets: chance overlap of unrelated sets must stay well under the bound.
-    groups = 16
-    while groups < 1024 and groups * 8 < sizes.max():
-        groups *= 2
-    a, b = CountTree(count_vectors(sets, groups), sizes).pairs()
+    a, b = candidate_pairs(sizes, [count_vector(s) for s in sets])
     if not len(a):
         return a, b
     common = overlaps(sets, a, b)
