@@ -50,10 +50,14 @@ def words(docs: DataFrame) -> DataFrame:
 
 
 def ngrams(tokens: Column, n: int) -> Column:
-    """All n-grams of an array without null tokens; a null (a masked token) breaks them."""
-    at = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - n + 1)).otherwise(F.array().cast("array<int>"))
-    grams = F.transform(at, lambda i: F.slice(tokens, i, n))
-    return F.transform(F.filter(grams, lambda g: F.forall(g, lambda t: t.isNotNull())), lambda g: F.array_join(g, " "))
+    """All n-grams of an array without null tokens; a null (a masked token) breaks them.
+
+    Shifted copies are joined pairwise, so the work is linear in the array.
+    """
+    out = tokens
+    for k in range(1, n):
+        out = F.zip_with(out, F.slice(tokens, k + 1, F.greatest(F.size(tokens), F.lit(1))), lambda a, b: F.concat(a, F.lit(" "), b))
+    return F.filter(out, lambda g: g.isNotNull())
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:

@@ -1,15 +1,434 @@
-"""The queries over the reference tables, and the SQL each is checked against."""
+"""The registered queries over the reference tables, and the SQL each is checked against."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from ..functions import lengths
+from ..operators import findings, joins, outcome, segment, structure, weekly
+from ..rules import english
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+_WORD_SQL = english.WORD.replace("'", "''")
+
+
+def _query(sql: str | None = None):
+    def register(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents")
+
+
+# Sentences of this catalogue: runs without terminators or line feeds that hold a word.
+_SENTENCES = f"""
+s0 AS (SELECT doc_id, lang, source, unnest(list_filter(regexp_extract_all(coalesce(text, ''), '[^.!?\\n]+'), lambda x: regexp_matches(x, '[A-Za-z0-9]'))) AS s FROM documents),
+s AS (SELECT doc_id, lang, source, s, CAST(len(regexp_extract_all(s, '{_WORD_SQL}')) AS BIGINT) AS n_words FROM s0)
+"""
+
+
+def _simple(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir)
+    found = F.filter(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[^.!?\n]+"), F.lit(0)), lambda s: s.rlike("[A-Za-z0-9]"))
+    rows = docs.select("doc_id", "lang", "source", F.posexplode(found).alias("ord", "s"))
+    return rows.withColumn("n_words", F.regexp_count("s", F.lit(english.WORD)).cast("long"))
+
+
+@_query(f"""
+WITH {_SENTENCES},
+d AS (SELECT doc_id, lang, source, count(*) AS n, sum(n_words) AS w, stddev_pop(n_words) AS sd, count(*) FILTER (n_words > 25) AS long FROM s GROUP BY ALL),
+b AS (SELECT doc_id, CAST(len(regexp_extract_all(coalesce(text, ''), '!!+')) AS BIGINT) AS bangs FROM documents)
+SELECT lang, source, count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_sentences, CAST(sum(w) AS BIGINT) AS n_words,
+  CAST(sum(long) AS BIGINT) AS long_sentences, count(*) FILTER (n >= 6 AND sd < 3) AS flat_rhythm, CAST(sum(bangs) AS BIGINT) AS errors,
+  CAST(sum(long) + count(*) FILTER (n >= 6 AND sd < 3) AS BIGINT) AS warnings
+FROM d JOIN b USING (doc_id) GROUP BY lang, source
+""")
+def flagship_copy_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which sources have the worst copy, and why."""
+    per = _simple(spark, sf_dir).groupBy("doc_id", "lang", "source").agg(F.count(F.lit(1)).alias("n"), F.sum("n_words").alias("w"), F.stddev_pop("n_words").alias("sd"), F.count_if(F.col("n_words") > 25).alias("long"))
+    bangs = _docs(spark, sf_dir).select("doc_id", F.regexp_count(F.coalesce("text", F.lit("")), F.lit("!!+")).cast("long").alias("bangs"))
+    flat = F.count_if((F.col("n") >= 6) & (F.col("sd") < 3))
+    return per.join(bangs, "doc_id").groupBy("lang", "source").agg(
+        F.count(F.lit(1)).alias("n_docs"), F.sum("n").alias("n_sentences"), F.sum("w").alias("n_words"), F.sum("long").alias("long_sentences"), flat.alias("flat_rhythm"), F.sum("bangs").alias("errors"), (F.sum("long") + flat).alias("warnings")
+    )
+
+
+@_query("""
+SELECT doc_id, CAST(length(text) AS BIGINT) AS chars, CAST(octet_length(encode(text)) AS BIGINT) AS bytes, CAST(length(text) AS BIGINT) AS utf16,
+  CAST(len(regexp_extract_all(text, '\\S+')) AS BIGINT) AS words, CAST(len(list_filter(regexp_split_to_array(text, '[\\n,]+'), lambda x: trim(x) <> '')) AS BIGINT) AS items
+FROM documents
+""")
+def length_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.col("text")
+    return _docs(spark, sf_dir).select("doc_id", lengths.chars(t).alias("chars"), lengths.utf8_bytes(t).alias("bytes"), lengths.utf16_units(t).alias("utf16"), lengths.words(t).alias("words"), F.size(lengths.items(t)).cast("long").alias("items"))
+
+
+_GSM_SQL = "[^@£$¥èéùìòÇ\\nØø\\rÅåΔ_ΦΓΛΩΠΨΣΘΞÆæßÉ !\"#¤%&''()*+,./0-9:;<=>?¡A-ZÄÖÑÜ§¿a-zäöñüà^{}\\\\\\[~\\]|€\\f-]"
+
+
+@_query(f"""
+WITH u AS (SELECT doc_id, NOT regexp_matches(text, '{_GSM_SQL}') AS gsm, length(text) AS n, len(regexp_extract_all(text, '[\\^{{}}\\\\\\[~\\]|€\\f]')) AS ext FROM documents),
+v AS (SELECT doc_id, gsm, CASE WHEN gsm THEN n + ext ELSE n END AS units FROM u)
+SELECT doc_id, gsm, CAST(units AS BIGINT) AS units,
+  CAST(CASE WHEN units = 0 THEN 0 WHEN units <= CASE WHEN gsm THEN 160 ELSE 70 END THEN 1 ELSE ceil(units / CASE WHEN gsm THEN 153.0 ELSE 67.0 END) END AS BIGINT) AS segments
+FROM v
+""")
+def sms_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.col("text")
+    return _docs(spark, sf_dir).select("doc_id", lengths.is_gsm7(t).alias("gsm"), lengths.sms_units(t).alias("units"), lengths.sms_segments(t).alias("segments"))
+
+
+@_query("""
+WITH c AS (SELECT doc_id, CAST(len(regexp_extract_all(text, '[\\x{0620}-\\x{065F}\\x{066E}-\\x{06D3}\\x{06D5}-\\x{06EF}\\x{06FA}-\\x{06FF}\\x{FB50}-\\x{FDFF}\\x{FE70}-\\x{FEFE}]')) AS BIGINT) AS fa, CAST(len(regexp_extract_all(text, '[A-Za-z]')) AS BIGINT) AS en FROM documents)
+SELECT doc_id, fa, en, CASE WHEN fa + en = 0 THEN 'fa' WHEN fa + en < 20 THEN CASE WHEN fa >= en THEN 'fa' ELSE 'en' END
+  WHEN fa / (fa + en) >= 0.8 THEN 'fa' WHEN fa / (fa + en) <= 0.2 THEN 'en' ELSE 'mixed' END AS language FROM c
+""")
+def language_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _docs(spark, sf_dir).select("doc_id", lengths.persian_letters(F.col("text")).alias("fa"), lengths.latin_letters(F.col("text")).alias("en"))
+    return rows.withColumn("language", lengths.language(F.col("fa"), F.col("en")))
+
+
+@_query("SELECT doc_id, CAST(generate_subscripts(string_split(text, chr(10)), 1) AS BIGINT) AS line, unnest(string_split(text, chr(10))) AS text FROM documents")
+def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segment.lines(_docs(spark, sf_dir)).select("doc_id", F.col("line").cast("long").alias("line"), "text")
+
+
+@_query(f"WITH {_SENTENCES} SELECT doc_id, count(*) AS n_sentences, CAST(sum(n_words) AS BIGINT) AS n_words, min(n_words) AS min_words, max(n_words) AS max_words FROM s GROUP BY doc_id")
+def sentence_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _simple(spark, sf_dir).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_sentences"), F.sum("n_words").alias("n_words"), F.min("n_words").alias("min_words"), F.max("n_words").alias("max_words"))
+
+
+_WORDS = f"w AS (SELECT doc_id, lang, lower(unnest(regexp_extract_all(text, '{_WORD_SQL}'))) AS word FROM documents)"
+
+
+def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _docs(spark, sf_dir).select("doc_id", "lang", F.explode(F.regexp_extract_all("text", F.lit(english.WORD), F.lit(0))).alias("word")).withColumn("word", F.lower("word"))
+
+
+@_query(f"WITH {_WORDS} SELECT lang, word, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM w GROUP BY lang, word")
+def word_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    per = _words(spark, sf_dir).groupBy("lang", "word", "doc_id").agg(F.count(F.lit(1)).alias("n"))
+    return per.groupBy("lang", "word").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_docs"))
+
+
+@_query(f"WITH {_WORDS}, c AS (SELECT lang, word, count(*) AS n FROM w GROUP BY ALL) SELECT lang, word, n, place FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) AS place FROM c) WHERE place <= 20")
+def top_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = _words(spark, sf_dir).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word")).cast("long")
+    return counts.withColumn("place", place).where("place <= 20").select("lang", "word", "n", "place")
+
+
+@_query(f"""
+WITH a AS (SELECT doc_id, list_transform(regexp_extract_all(text, '{_WORD_SQL}'), lambda x: lower(x)) AS t FROM documents),
+g AS (SELECT doc_id, t[i] || ' ' || t[i + 1] AS gram FROM (SELECT doc_id, t, unnest(range(1, len(t))) AS i FROM a))
+SELECT gram, count(*) AS n FROM g GROUP BY gram
+""")
+def bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokens = F.transform(F.regexp_extract_all("text", F.lit(english.WORD), F.lit(0)), F.lower)
+    return _docs(spark, sf_dir).select(F.explode(segment.ngrams(tokens, 2)).alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query(f"""
+WITH l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS line, unnest(string_split(text, chr(10))) AS t FROM documents),
+b AS (SELECT *, sum(CASE WHEN trim(t) = '' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line) AS para FROM l)
+SELECT doc_id, CAST(para AS BIGINT) AS paragraph, CAST(min(line) AS BIGINT) AS first_line, CAST(sum(len(regexp_extract_all(t, '{_WORD_SQL}'))) AS BIGINT) AS n_words FROM b WHERE trim(t) <> '' GROUP BY doc_id, para
+""")
+def paragraph_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segment.paragraphs(_docs(spark, sf_dir)).select("doc_id", F.col("paragraph").cast("long").alias("paragraph"), F.col("first_line").cast("long").alias("first_line"), "n_words")
+
+
+@_query(f"""
+WITH {_SENTENCES},
+d AS (SELECT doc_id, count(*) AS ns, CAST(sum(n_words) AS BIGINT) AS nw, CAST(sum(len(regexp_extract_all(lower(s), '[aeiouy]+'))) AS BIGINT) AS ny FROM s GROUP BY doc_id)
+SELECT doc_id, ns AS n_sentences, nw AS n_words, ny AS n_vowel_groups, 206.835 - 1.015 * (nw / ns) - 84.6 * (ny / nw) AS reading_ease, 0.39 * (nw / ns) + 11.8 * (ny / nw) - 15.59 AS reading_grade FROM d WHERE nw > 0
+""")
+def readability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _simple(spark, sf_dir).withColumn("y", F.regexp_count(F.lower("s"), F.lit("[aeiouy]+")).cast("long"))
+    rows = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_sentences"), F.sum("n_words").alias("n_words"), F.sum("y").alias("n_vowel_groups")).where("n_words > 0")
+    c = F.col
+    return rows.withColumns({"reading_ease": lengths.reading_ease(c("n_words"), c("n_vowel_groups"), c("n_sentences")).cast("double"), "reading_grade": lengths.reading_grade(c("n_words"), c("n_vowel_groups"), c("n_sentences")).cast("double")})
+
+
+@_query(f"""
+WITH s0 AS (SELECT doc_id, list_filter(regexp_extract_all(coalesce(text, ''), '[^.!?\\n]+'), lambda x: regexp_matches(x, '[A-Za-z0-9]')) AS ss FROM documents),
+s AS (SELECT doc_id, unnest(range(0, len(ss))) AS ord, lower(regexp_extract(unnest(ss), '{_WORD_SQL}')) AS first FROM s0),
+r AS (SELECT *, ord - row_number() OVER (PARTITION BY doc_id, first ORDER BY ord) AS island FROM s)
+SELECT doc_id, first, CAST(min(ord) AS BIGINT) AS ord, count(*) AS n FROM r GROUP BY doc_id, first, island HAVING count(*) >= 3
+""")
+def same_opening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _simple(spark, sf_dir).select("doc_id", "ord", F.lower(F.regexp_extract("s", english.WORD, 0)).alias("first"))
+    island = F.col("ord") - F.row_number().over(Window.partitionBy("doc_id", "first").orderBy("ord"))
+    out = rows.withColumn("island", island).groupBy("doc_id", "first", "island").agg(F.min("ord").cast("long").alias("ord"), F.count(F.lit(1)).alias("n"))
+    return out.where("n >= 3").select("doc_id", "first", "ord", "n")
+
+
+@_query(f"WITH {_SENTENCES} SELECT doc_id, count(*) AS n_sentences FROM s GROUP BY doc_id HAVING count(*) >= 6 AND stddev_pop(n_words) < 3")
+def flat_rhythm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _simple(spark, sf_dir).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_sentences"), F.stddev_pop("n_words").alias("sd"))
+    return rows.where("n_sentences >= 6 and sd < 3").select("doc_id", "n_sentences")
+
+
+@_query(f"WITH {_SENTENCES} SELECT doc_id, s AS sentence, n_words FROM s WHERE n_words > 25")
+def long_sentence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _simple(spark, sf_dir).where("n_words > 25").select("doc_id", F.col("s").alias("sentence"), "n_words")
+
+
+@_query("SELECT doc_id, CAST(len(regexp_extract_all(text, '!')) AS BIGINT) AS bangs, CAST(len(regexp_extract_all(text, '!!+')) AS BIGINT) AS repeated FROM documents WHERE len(regexp_extract_all(text, '!')) > 1")
+def exclamation_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _docs(spark, sf_dir).select("doc_id", F.regexp_count("text", F.lit("!")).cast("long").alias("bangs"), F.regexp_count("text", F.lit("!!+")).cast("long").alias("repeated")).where("bangs > 1")
+
+
+@_query("SELECT doc_id, CAST(len(regexp_extract_all(text, '[\"'']')) AS BIGINT) AS straight, CAST(len(regexp_extract_all(text, '[“”‘’]')) AS BIGINT) AS curly FROM documents")
+def quote_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _docs(spark, sf_dir).select("doc_id", F.regexp_count("text", F.lit("[\"']")).cast("long").alias("straight"), F.regexp_count("text", F.lit("[“”‘’]")).cast("long").alias("curly"))
+
+
+_RULES_SQL = {
+    "please-note": "please note|kindly note|be advised|it should be noted",
+    "shall": "shall",
+    "license-line": "licensed under|released under",
+    "version-number": "version [0-9]+",
+    "all-rights": "all rights reserved",
+}
+_FLAGS = " UNION ALL ".join(f"SELECT doc_id, '{code}' AS code, CAST(len(regexp_extract_all(lower(text), '\\b(?:{p})\\b')) AS BIGINT) AS n FROM documents WHERE regexp_matches(lower(text), '\\b(?:{p})\\b')" for code, p in _RULES_SQL.items())
+
+
+@_query(_FLAGS)
+def rule_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pattern rules in their native count form: one pass, one small array a document."""
+    low = F.lower("text")
+    hits = F.array(*(F.struct(F.lit(code).alias("code"), F.regexp_count(low, F.lit(rf"\b(?:{p})\b")).cast("long").alias("n")) for code, p in _RULES_SQL.items()))
+    return _docs(spark, sf_dir).select("doc_id", F.explode(F.filter(hits, lambda h: h["n"] > 0)).alias("h")).select("doc_id", "h.code", "h.n")
+
+
+@_query(f"""
+WITH {_WORDS}, lex AS (SELECT word, category FROM (VALUES ('the', 'article'), ('a', 'article'), ('le', 'article'), ('la', 'article'), ('der', 'article'), ('die', 'article'), ('el', 'article'), ('und', 'link'), ('and', 'link'), ('et', 'link'), ('y', 'link')) t(word, category))
+SELECT lang, category, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM w JOIN lex USING (word) GROUP BY lang, category
+""")
+def lexicon_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = [("article", w) for w in "the a le la der die el".split()] + [("link", w) for w in "und and et y".split()]
+    lexicon = spark.createDataFrame(rows, "category string, word string")
+    hits = joins.lexicon_hits(_words(spark, sf_dir), lexicon.withColumnRenamed("word", "word"))
+    return hits.groupBy("lang", "category").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("n_docs"))
+
+
+_NUMBERS = "list_distinct(list_transform(regexp_extract_all(coalesce(text, ''), '[0-9]+(?:,[0-9]{3})*(?:\\.[0-9]+)?'), lambda x: replace(x, ',', '')))"
+
+
+@_query(f"""
+WITH v AS (SELECT doc_id, unnest({_NUMBERS}) AS value FROM documents), f AS (SELECT DISTINCT unnest({_NUMBERS}) AS value FROM benchmark)
+SELECT doc_id, value FROM v WHERE value NOT IN (SELECT value FROM f)
+""")
+def facts_not_in_brief(spark: SparkSession, sf_dir: str) -> DataFrame:
+    facts = joins.numbers(_table(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "doc_id"))
+    return joins.not_in_facts(joins.numbers(_docs(spark, sf_dir)), facts)
+
+
+@_query("""
+SELECT d.doc_id, d.source FROM documents d SEMI JOIN (SELECT doc_id FROM labels WHERE quality = 1) l ON d.doc_id = l.doc_id
+""")
+def cited_semi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good = _table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return _docs(spark, sf_dir).select("doc_id", "source").join(good, "doc_id", "left_semi")
+
+
+@_query("SELECT DISTINCT lang, source, 'lx-en-' || substr(sha256(lang || '|' || 'buzzword' || '|' || source), 1, 10) AS pid FROM documents")
+def phrase_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _docs(spark, sf_dir).select("lang", "source").distinct().withColumn("pid", weekly.phrase_id("lx-en-", F.col("lang"), F.lit("buzzword"), F.col("source")))
+
+
+@_query("""
+SELECT event_id, CAST(CAST('0x' || substr(sha256('salt' || CAST(user_id AS VARCHAR) || '|' || event_type), 1, 8) AS BIGINT) % 100 AS BIGINT) AS bucket FROM events
+""")
+def holdout_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "events").select("event_id", weekly.holdout_value(b"salt", F.col("user_id").cast("string"), F.col("event_type")).alias("bucket"))
+
+
+@_query("SELECT strftime(ts, '%G-W%V') AS week, event_type, count(*) AS n, count(DISTINCT user_id) AS n_users FROM events GROUP BY ALL")
+def iso_week_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "events").withColumn("week", weekly.iso_week(F.col("ts")))
+    return rows.groupBy("week", "event_type").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("user_id").alias("n_users"))
+
+
+@_query("""
+WITH c AS (SELECT strftime(ts, '%G-W%V') AS week, event_type AS id, CAST(user_id % 4 AS BIGINT) AS fg, count(*) AS hits FROM events GROUP BY ALL),
+t AS (SELECT *, CAST(sum(hits) OVER (PARTITION BY week, id) AS BIGINT) AS total FROM c),
+f AS (SELECT *, CASE WHEN total <= 200 THEN hits ELSE hits * 200 // total END AS fl, CASE WHEN total <= 200 THEN 0 ELSE hits * 200 - (hits * 200 // total) * total END AS rest FROM t),
+r AS (SELECT *, CASE WHEN total <= 200 THEN 0 ELSE 200 - sum(fl) OVER (PARTITION BY week, id) END AS lft, row_number() OVER (PARTITION BY week, id ORDER BY rest DESC, CAST(fg AS VARCHAR)) AS k FROM f)
+SELECT week, id, fg, hits, CAST(fl + CASE WHEN k <= lft THEN 1 ELSE 0 END AS BIGINT) AS share FROM r
+""")
+def weekly_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = _table(spark, sf_dir, "events").select(weekly.iso_week(F.col("ts")).alias("week"), F.col("event_type").alias("id"), (F.col("user_id") % 4).cast("long").alias("fg"))
+    cells = events.groupBy("week", "id", "fg").agg(F.count(F.lit(1)).alias("hits"))
+    return weekly.apportion(cells, ["week", "id"], "fg", "hits", 200).select("week", "id", "fg", "hits", F.col("share").cast("long").alias("share"))
+
+
+@_query("""
+WITH w AS (SELECT strftime(ts, '%G-W%V') AS week, event_type, CAST(sum(CAST(floor(value) AS BIGINT)) AS BIGINT) AS v FROM events GROUP BY ALL)
+SELECT week, event_type, least(200000, v - v % 50) AS volume FROM w
+""")
+def weekly_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "events").groupBy(weekly.iso_week(F.col("ts")).alias("week"), "event_type").agg(F.sum(F.floor("value").cast("long")).alias("v"))
+    return rows.select("week", "event_type", weekly.floor_fifty(F.col("v")).alias("volume"))
+
+
+@_query("""
+WITH c AS (SELECT event_type, user_id, count(*) AS n FROM events GROUP BY ALL)
+SELECT event_type, user_id, n, place FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY n DESC, user_id) AS place FROM c) WHERE place <= 5
+""")
+def top_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = _table(spark, sf_dir, "events").groupBy("event_type", "user_id").agg(F.count(F.lit(1)).alias("n"))
+    place = F.row_number().over(Window.partitionBy("event_type").orderBy(F.desc("n"), "user_id")).cast("long")
+    return counts.withColumn("place", place).where("place <= 5").select("event_type", "user_id", "n", "place")
+
+
+@_query("""
+WITH r AS (SELECT event_type AS ng, user_id AS session, CAST(ts AS DATE) AS day, CAST(user_id % 3 AS BIGINT) AS fg FROM events WHERE value > 50),
+p AS (SELECT ng, count(DISTINCT session) AS sessions, count(DISTINCT day) AS days FROM r GROUP BY ng HAVING count(DISTINCT session) >= 2 AND count(DISTINCT day) >= 2),
+m AS (SELECT ng, fg FROM (SELECT ng, fg, row_number() OVER (PARTITION BY ng ORDER BY count(*) DESC, fg) AS k FROM r GROUP BY ng, fg) WHERE k = 1)
+SELECT ng, sessions, days, fg FROM p JOIN m USING (ng)
+""")
+def phrase_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "events").where("value > 50").select(F.lit("en").alias("lang"), F.col("event_type").alias("ng"), F.col("user_id").alias("session"), F.to_date("ts").alias("day"), (F.col("user_id") % 3).cast("long").alias("fg"), F.lit(1).alias("deleted"))
+    return weekly.selected_phrases(rows).select("ng", "sessions", "days", "fg")
+
+
+@_query("""
+WITH l(source, max_chars, status) AS (VALUES ('src0', 1000, 'verified'), ('src1', 2000, 'draft'), ('src2', 500, 'verified'))
+SELECT d.doc_id, d.source, CAST(length(d.text) AS BIGINT) AS length, CASE WHEN l.status = 'verified' THEN 'error' ELSE 'warning' END AS severity
+FROM documents d JOIN l ON d.source = l.source WHERE length(d.text) > l.max_chars
+""")
+def channel_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    limits = spark.createDataFrame([("src0", "body", "char", 1000, None, None, "verified"), ("src1", "body", "char", 2000, None, None, "draft"), ("src2", "body", "char", 500, None, None, "verified")], "channel string, field string, unit string, max_chars int, visible_chars int, max_items int, status string")
+    docs = _docs(spark, sf_dir).select("doc_id", "text", F.col("source").alias("channel"), F.lit("body").alias("field"))
+    found = joins.channel_findings(docs, limits).where("code = 'en-channel-length'")
+    return found.select("doc_id", F.col("channel").alias("source"), "length", "severity")
+
+
+@_query("""
+WITH b AS (SELECT DISTINCT source AS code, 'warning' AS level FROM documents), o AS (SELECT code, 'error' AS level FROM b WHERE code LIKE '%1' UNION ALL SELECT 'extra', 'off')
+SELECT coalesce(b.code, o.code) AS code, coalesce(o.level, b.level) AS level FROM b FULL JOIN o ON b.code = o.code
+""")
+def overlay_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = _docs(spark, sf_dir).select(F.col("source").alias("code")).distinct().withColumn("level", F.lit("warning"))
+    over = base.where("code like '%1'").select("code", F.lit("error").alias("level")).unionByName(spark.createDataFrame([("extra", "off")], "code string, level string"))
+    return joins.layered(base, over, ["code"], "level")
+
+
+@_query("""
+WITH f AS (SELECT doc_id, 1 AS line, CAST(n_chars % 7 AS BIGINT) AS a, CAST(n_chars % 7 + 5 AS BIGINT) AS b, CASE WHEN doc_id % 2 = 0 THEN 'weak' ELSE 'strong' END AS code, source FROM documents)
+SELECT x.doc_id, x.code, x.a, x.b FROM f x WHERE x.code = 'strong' OR NOT EXISTS (SELECT 1 FROM f y WHERE y.source = x.source AND y.code = 'strong' AND y.doc_id BETWEEN x.doc_id - 1 AND x.doc_id + 1 AND y.a < x.b AND x.a < y.b)
+""")
+def overlap_suppression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The interval anti-join of findings, on synthetic spans of neighbouring documents of a source."""
+    code = F.when(F.col("doc_id") % 2 == 0, "weak").otherwise("strong")
+    f = _docs(spark, sf_dir).select("doc_id", "source", (F.col("n_chars") % 7).alias("a"), (F.col("n_chars") % 7 + 5).alias("b"), code.alias("code"))
+    y = f.where("code = 'strong'").select(F.col("source").alias("s2"), F.col("doc_id").alias("d2"), F.col("a").alias("a2"), F.col("b").alias("b2"))
+    met = (F.col("source") == F.col("s2")) & (F.col("code") == "weak") & F.col("d2").between(F.col("doc_id") - 1, F.col("doc_id") + 1) & (F.col("a2") < F.col("b")) & (F.col("a") < F.col("b2"))
+    return f.join(y, met, "left_anti").select("doc_id", "code", "a", "b")
+
+
+@_query("SELECT source, lang, count(*) AS n FROM documents GROUP BY source, lang HAVING count(*) > 1")
+def duplicate_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _docs(spark, sf_dir).groupBy("source", "lang").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+
+@_query("SELECT text, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY text")
+def deduplicated_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _docs(spark, sf_dir).groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
+
+
+@_query("SELECT DISTINCT lower(unnest(string_split(text, ' '))) AS value FROM documents WHERE lang = 'en' INTERSECT SELECT DISTINCT lower(unnest(string_split(text, ' '))) FROM benchmark")
+def shared_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = lambda df: df.select(F.explode(F.split("text", " ")).alias("value")).select(F.lower("value").alias("value"))
+    return words(_docs(spark, sf_dir).where("lang = 'en'")).intersect(words(_table(spark, sf_dir, "benchmark")))
+
+
+@_query("""
+WITH t AS (SELECT conv_id, turn, role, text, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS reply FROM conversations)
+SELECT conv_id, turn, CAST(length(text) AS BIGINT) AS asked, CAST(length(reply) AS BIGINT) AS answered FROM t WHERE role = 'user' AND reply IS NOT NULL
+""")
+def turn_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reply = F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn"))
+    rows = _table(spark, sf_dir, "conversations").withColumn("reply", reply).where("role = 'user' and reply is not null")
+    return rows.select("conv_id", "turn", F.length("text").cast("long").alias("asked"), F.length("reply").cast("long").alias("answered"))
+
+
+def _cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reply = F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn"))
+    rows = _table(spark, sf_dir, "conversations").withColumn("final", reply).where("role = 'user' and final is not null")
+    return rows.select((F.col("conv_id") * 1000 + F.col("turn")).alias("case_id"), F.col("text").alias("shown"), "final")
+
+
+@_query()
+def outcome_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return outcome.outcome_cases(_cases(spark, sf_dir))
+
+
+@_query()
+def mined_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return outcome.mined_ngrams(_cases(spark, sf_dir))
+
+
+@_query()
+def english_pattern_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return findings.english_findings(_docs(spark, sf_dir)).select("doc_id", "line", "col", "code", "severity", "text")
+
+
+@_query()
+def persian_pattern_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return findings.persian_findings(_docs(spark, sf_dir)).select("doc_id", "line", "col", "code", "severity", "text")
+
+
+@_query()
+def english_document_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure.english_document_findings(_docs(spark, sf_dir))
+
+
+@_query()
+def syllable_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    distinct = _words(spark, sf_dir).where("lang = 'en'").select("word").distinct()
+    return distinct.select("word", lengths.syllables_native(F.col("word")).alias("syllables"))
+
+
+@_query()
+def grapheme_and_weighted_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _docs(spark, sf_dir).select("doc_id", lengths.grapheme_count("text").alias("graphemes"), lengths.weighted_length("text").alias("weighted"))
+
+
+@_query()
+def mechanical_fixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _docs(spark, sf_dir).select("doc_id", outcome.fix_english(F.col("text")).alias("text"))
+
+
+@_query("""
+SELECT p_brand, p_type, count(*) AS n, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS quantity FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_brand, p_type
+""")
+def dimension_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A fact table with its dimension: the shape of findings with rules."""
+    part = _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand", "p_type")
+    rows = _table(spark, sf_dir, "lineitem").join(part, "l_partkey")
+    return rows.groupBy("p_brand", "p_type").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("l_quantity").cast("long")).alias("quantity"))
+
+
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
