@@ -1,0 +1,107 @@
+"""Profiles: ordered layers folded with provenance, tighten-only limits, validation and migration."""
+
+from __future__ import annotations
+
+import copy
+import hashlib
+import json
+from typing import Any
+
+from ..rules import english
+from .findings import Settings
+
+#: Layers from the weakest to the strongest, and keys only ever tightened.
+LAYERS = ("default", "brand", "industry", "preset", "format-default", "format", "request", "host")
+TIGHTEN = ("max_words", "emoji_max", "exclaim_max", "reading_grade_max")
+LOUD_MARKS = {0: (0, 0), 1: (1, 0), 2: (1, 1), 3: (2, 1)}
+UNIONS = ("banned", "avoid", "protected")
+VERSION = 3
+
+
+def merged(base: dict[str, Any], over: dict[str, Any]) -> dict[str, Any]:
+    """Nested merge: maps by key, protected lists by union in first-seen order, all else replaced."""
+    out = copy.deepcopy(base)
+    for key, value in over.items():
+        if isinstance(value, dict) and isinstance(out.get(key), dict):
+            out[key] = merged(out[key], value)
+        elif key in UNIONS and isinstance(value, list):
+            out[key] = list(dict.fromkeys([*out.get(key, []), *value]))
+        else:
+            out[key] = copy.deepcopy(value)
+    return out
+
+
+def resolve(layers: dict[str, dict[str, Any]]) -> tuple[dict[str, Any], dict[str, str]]:
+    """The settings in force and, for each key, the layer that set it. Facts are immutable; banned beats allow."""
+    out: dict[str, Any] = {}
+    source: dict[str, str] = {}
+    for layer in LAYERS:
+        for key, value in (layers.get(layer) or {}).items():
+            if key == "facts" and key in out:
+                continue
+            if key in TIGHTEN and layer in ("format-default", "host") and key in out and out[key] <= value:
+                continue
+            out = merged(out, {key: value})
+            source[key] = layer
+    banned = {w.lower() for w in out.get("banned", [])}
+    if "allow" in out:
+        out["allow"] = [w for w in out["allow"] if w.lower() not in banned]
+    return out, source
+
+
+def settings(profile: dict[str, Any], format_id: str = "", kind: str = "text", request: dict[str, Any] | None = None) -> Settings:
+    """Limits by precedence: request, the profile's format, the format's default (tighter only), the profile, the dials."""
+    dials = profile.get("dials", {})
+    emoji, exclaim = LOUD_MARKS.get(dials.get("loud_marks", 2), LOUD_MARKS[2])
+    base = {
+        "max_words": english.DIAL_WORDS.get(dials.get("sentence_length", 3), english.DEFAULT_MAX_WORDS),
+        "emoji_max": emoji,
+        "exclaim_max": exclaim,
+        "reading_grade_max": english.GRADE.get(dials.get("formality", 3), 10),
+    }
+    own = {k: v for k, v in profile.items() if k not in ("formats", "dials", "version")}
+    layers = {"default": base, "brand": own, "format-default": english.FORMAT_LIMITS.get(format_id, {}), "format": profile.get("formats", {}).get(format_id, {}), "request": request or {}}
+    got, _ = resolve(layers)
+    known = {k: v for k, v in got.items() if k in Settings.__dataclass_fields__}
+    for key in ("allow", "banned", "avoid"):
+        if key in known:
+            known[key] = tuple(known[key])
+    return Settings(**{**known, "format": format_id, "kind": kind, "jargon": dials.get("jargon") in (1, 2)})
+
+
+def validate(profile: dict[str, Any]) -> list[tuple[str, str]]:
+    """(path, problem) of everything wrong in a profile."""
+    out = []
+    if profile.get("version", VERSION) not in range(1, VERSION + 1):
+        out.append(("version", "unknown version"))
+    for key in TIGHTEN:
+        value = profile.get(key)
+        if value is not None and (isinstance(value, bool) or not isinstance(value, (int, float)) or value < 0):
+            out.append((key, "not a number of 0 or more"))
+    for key in ("banned", "avoid", "allow"):
+        words = profile.get(key, [])
+        if not isinstance(words, list) or not all(isinstance(w, str) and w.strip() for w in words):
+            out.append((key, "not a list of words"))
+    for name, value in profile.get("dials", {}).items():
+        if isinstance(value, bool) or not isinstance(value, int) or not 0 <= value <= 5:
+            out.append((f"dials.{name}", "not a whole number from 0 to 5"))
+    for name in profile.get("formats", {}):
+        if not isinstance(profile["formats"][name], dict):
+            out.append((f"formats.{name}", "not an object"))
+    return out
+
+
+def migrate(profile: dict[str, Any]) -> tuple[dict[str, Any], str]:
+    """The profile in the present version, and the checksum of the one before, for a guarded rollback."""
+    before = json.dumps(profile, sort_keys=True, ensure_ascii=False)
+    out = copy.deepcopy(profile)
+    version = out.get("version", 1)
+    if version < 2 and "words" in out:
+        words = out.pop("words")
+        for key in ("banned", "avoid", "allow"):
+            if key in words:
+                out[key] = words[key]
+    if version < 3 and isinstance(out.get("prefer"), list):
+        out["prefer"] = {a: b for a, b in out["prefer"]}
+    out["version"] = VERSION
+    return out, hashlib.sha256(before.encode()).hexdigest()

@@ -83,5 +83,5 @@ def quote_blocks(docs: DataFrame) -> DataFrame:
 def table_cells(docs: DataFrame) -> DataFrame:
     """doc_id, line, pos, cell of pipe-led table rows; separator rows are skipped."""
     rows = lines(docs).where(F.col("text").rlike(r"^[ \t]*\|") & ~F.col("text").rlike(r"^[ \t|:-]+$"))
-    cells = F.filter(F.transform(F.split("text", r"(?<!\\)\|"), F.trim), lambda c: c != "")
+    cells = F.filter(F.transform(F.split("text", r"(?<!\\)\|"), lambda c: F.trim(c)), lambda c: c != "")
     return rows.select("doc_id", "line", F.posexplode(cells).alias("pos", "cell"))
