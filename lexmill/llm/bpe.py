@@ -18,11 +18,12 @@ from __future__ import annotations
 
 import json
 import unicodedata
+from functools import lru_cache
 
 import ahocorasick
 import regex
 
-CACHE_ENTRIES = 250_000
+CACHE_ENTRIES = 300_000
 
 
 def byte_characters() -> list[str]:
@@ -220,3 +221,29 @@ class PieceCache(dict):
                 self.clear()
             self[piece] = value
         return value
+
+
+@lru_cache(maxsize=2)
+def tokenizer_of(path: str) -> Tokenizer:
+    """A worker process reads a vocabulary once, whatever the number of its tasks."""
+    return Tokenizer(path)
+
+
+@lru_cache(maxsize=2)
+def token_count_cache(path: str) -> PieceCache:
+    """Tokens of whole pre-tokens."""
+    encoder = tokenizer_of(path).encoder
+    return PieceCache(lambda piece: encoder.prefix_counts(mapped(piece))[-1])
+
+
+@lru_cache(maxsize=2)
+def code_cache(path: str) -> PieceCache:
+    """Ids and texts of the tokens of whole pre-tokens, each joined by a space."""
+    tokenizer = tokenizer_of(path)
+    encode, text_of = tokenizer.encoder.encode, tokenizer.text_of
+
+    def compute(piece: str) -> tuple[str, str]:
+        ids = encode(mapped(piece))
+        return " ".join(map(str, ids)), " ".join([text_of[i] for i in ids])
+
+    return PieceCache(compute)

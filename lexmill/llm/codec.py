@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bpe import PieceCache, Tokenizer, mapped
+from .bpe import Tokenizer, code_cache, tokenizer_of
 from .common import prepare, text_or_empty
 
 
@@ -25,14 +25,7 @@ def decode(tokenizer: Tokenizer, ids: list[int]) -> str:
 
 def _encode(path: str, names: list[str], full: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = Tokenizer(path)
-        encoder, text_of = tokenizer.encoder, tokenizer.text_of
-
-        def compute(piece: str) -> tuple[str, str]:
-            ids = encoder.encode(mapped(piece))
-            return " ".join(map(str, ids)), " ".join([text_of[i] for i in ids])
-
-        held = PieceCache(compute)
+        tokenizer, code = tokenizer_of(path), code_cache(path).__getitem__
         for batch in batches:
             texts = batch.column("__text").to_pylist()
             out: dict[str, list] = {"n_tokens": [], "ids_sha256": [], "decoded_sha256": [], "ids": [], "decoded": []}
@@ -42,7 +35,7 @@ def _encode(path: str, names: list[str], full: bool):
                     if k % 2:
                         pairs.append((str(tokenizer.special[part]), part))
                     else:
-                        pairs += map(held.__getitem__, tokenizer.pieces(part))
+                        pairs += map(code, tokenizer.pieces(part))
                 ids, decoded = " ".join([a for a, _ in pairs]), " ".join([b for _, b in pairs])
                 out["n_tokens"].append(ids.count(" ") + 1 if ids else 0)
                 out["ids_sha256"].append(hashlib.sha256(ids.encode()).hexdigest())

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bpe import PieceCache, Tokenizer, mapped
+from .bpe import Tokenizer, mapped, token_count_cache, tokenizer_of
 from .common import prepare, text_or_empty
 
 
@@ -32,6 +32,7 @@ class PrefixCounts:
         self._tokenizer = tokenizer
         self.text = text
         self.counts = [0]
+        self._settled = 0  # tokens of the pieces so far, as they stand in the whole text
         parts = tokenizer.parts(text)
         for k, part in enumerate(parts):
             if k % 2:
@@ -51,63 +52,76 @@ class PrefixCounts:
         return sum(len(encode(mapped(p))) for p in self._tokenizer.pieces(text))
 
     def _plain(self, part: str) -> None:
-        run, before_run = "", 0
+        run, before_run = "", 0  # white space that a prefix may end in as one longer run
         for piece in self._tokenizer.pieces(part):
-            base = self.counts[-1]
+            base = self._settled
+            if piece[0] == "'" and len(piece) <= 3:
+                local = [self._whole(piece[: i + 1]) for i in range(len(piece))]
+            else:
+                local = self._local(piece)
+            self._settled += local[-1]
+            here = [base + c for c in local]
+            if run and piece[0].isspace():
+                joined = self._local(run + piece)[len(run) :] if piece.isspace() else self._local(run + piece[0])[-1:]
+                here[: len(joined)] = [before_run + c for c in joined]
+            self.counts += here
             if piece.isspace():
-                self.counts += [base + c for c in self._local(piece)]
-                run, before_run = piece, base
-                continue
-            local = [self._whole(piece[: i + 1]) for i in range(len(piece))] if piece[0] == "'" and len(piece) <= 3 else self._local(piece)
-            self.counts += [base + c for c in local]
-            if run and piece[0].isspace():  # a prefix that ends with this space has one longer run
-                self.counts[-len(piece)] = before_run + self._local(run + piece[0])[-1]
-            run = ""
+                run, before_run = run + piece, before_run if run else base
+            else:
+                run = ""
 
     def _special(self, mark: str, before: str) -> None:
         """Prefixes inside a special string are plain text that joins what stands before it."""
-        base = self.counts[-1]
         pieces = self._tokenizer.pieces(before)
-        tail = "".join(pieces[-2:])
-        known = base - self._whole(tail)
+        tail = "".join(pieces[-3:])
+        known = self._settled - self._whole(tail)
         self.counts += [known + self._whole(tail + mark[:i]) for i in range(1, len(mark))]
-        self.counts.append(base + 1)
+        self._settled += 1
+        self.counts.append(self._settled)
 
     @property
     def total(self) -> int:
-        return self.counts[-1]
+        return self._settled
 
     def fits(self, limit: int) -> int:
         """Code points of the longest prefix of at most ``limit`` tokens."""
         return next(i for i in range(len(self.counts) - 1, -1, -1) if self.counts[i] <= limit)
 
 
-def _longest_prefix(tokenizer: Tokenizer, text: str, limit: int) -> int:
-    """``PrefixCounts(text).fits(limit)`` for a text over the limit, from the pieces around the limit alone."""
-    # A token has a code point at least in part; prefixes past the limit by two pieces can't fit again.
-    size = 4 * limit + 64
-    while True:
-        head = text[:size]
-        counts = PrefixCounts(tokenizer, head)
-        settled = len(head) == len(text) or (counts.counts[max(0, len(head) - 64)] > limit + 64)
-        if settled:
-            return counts.fits(limit)
-        size *= 2
+def _longest_prefix(tokenizer: Tokenizer, pieces: list[str], counts: list[int], limit: int) -> int:
+    """``PrefixCounts(text).fits(limit)`` of a text over the limit, from the few pieces around the limit.
+
+    Pre-tokens do not depend on what stands before them, so the prefixes of
+    the pieces around the limit count on top of the pieces before.
+    """
+    total = 0
+    for j, n in enumerate(counts):  # noqa: B007
+        total += n
+        if total > limit:
+            break
+    first = max(0, j - 3)
+    before = total - sum(counts[first : j + 1])
+    near = PrefixCounts(tokenizer, "".join(pieces[first : j + 3]))
+    return sum(map(len, pieces[:first])) + near.fits(limit - before)
 
 
 def _count(path: str, limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = Tokenizer(path)
-        encoder = tokenizer.encoder
-        held = PieceCache(lambda piece: encoder.prefix_counts(mapped(piece))[-1])
+        tokenizer, count = tokenizer_of(path), token_count_cache(path).__getitem__
         for batch in batches:
             n_tokens, fit = [], []
             for text in batch.column("text").to_pylist():
-                n = 0
-                for k, part in enumerate(tokenizer.parts(text)):
-                    n += 1 if k % 2 else sum(map(held.__getitem__, tokenizer.find(part)))
+                parts = tokenizer.parts(text)
+                if len(parts) > 1:
+                    counts = PrefixCounts(tokenizer, text)
+                    n_tokens.append(counts.total)
+                    fit.append(counts.fits(limit))
+                    continue
+                pieces = tokenizer.find(text)
+                each = list(map(count, pieces))
+                n = sum(each)
                 n_tokens.append(n)
-                fit.append(len(text) if n <= limit else _longest_prefix(tokenizer, text, limit))
+                fit.append(len(text) if n <= limit else _longest_prefix(tokenizer, pieces, each, limit))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), pa.array(n_tokens, pa.int64()), pa.array(fit, pa.int64())], names=["doc_id", "n_bytes", "n_tokens", "fit_chars"])
 
     return run
