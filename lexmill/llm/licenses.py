@@ -1,7 +1,9 @@
 r"""License scan with ordered signature rules, in DataFrame functions only.
 
-A rule is a regular expression with a keyword, a priority and a strength.
-Only rules whose keyword occurs in a text are tried on it.  Detections are
+A rule is a regular expression with a priority and a strength; rules belong
+to families with a keyword and a name.  A prefilter on keywords at word
+starts passes few texts; there the rules of those families are tried whose
+keyword and name occur.  Detections are
 ordered by start, longer ones first, then higher priority; one that lies
 inside the furthest-reaching detection kept before it is suppressed unless
 its priority is higher.
@@ -77,7 +79,7 @@ FAMILIES = (
 @dataclass(frozen=True)
 class Rule:
     label: str
-    keyword: str
+    family: int
     pattern: str
     priority: int
     strength: float
@@ -88,7 +90,7 @@ def rules() -> list[Rule]:
     out = []
     lead = r"(?:licen[cs]ed|released|distributed|available|published)\W{1,3}(?:under|subject\W{1,3}to)\W{1,3}(?:the\W{1,3}|a\W{1,3})?(?:terms\W{1,3}of\W{1,3}the\W{1,3})?"
     edge = r"(?![0-9A-Za-z])"
-    for label, keyword, name, versions in FAMILIES:
+    for family, (label, _, name, versions) in enumerate(FAMILIES):
         for version in versions.split():
             number = version.split("-")[0]
             short = re_number(number)
@@ -97,10 +99,10 @@ def rules() -> list[Rule]:
             else:
                 forms = [rf"{name}(?:\W{{1,3}}licen[cs]e)?\W{{1,3}}(?:version\W{{1,3}}|v\W{{0,2}})?{short}(?:\W{{1,2}}(?:or\W{{1,3}}later|only))?"]
             for form in forms:
-                out.append(Rule(f"{label}-{version}", keyword, rf"(?i)(?<![0-9A-Za-z]){lead}{form}(?![0-9A-Za-z]|\.[0-9])", 4, 1.0))
-                out.append(Rule(f"{label}-{version}", keyword, rf"(?i)(?<![0-9A-Za-z]){form}(?![0-9A-Za-z]|\.[0-9])", 3, 0.9))
-        out.append(Rule(label, keyword, rf"(?i)(?<![0-9A-Za-z]){lead}{name}{edge}", 2, 0.8))
-        out.append(Rule(label, keyword, rf"(?i)(?<![0-9A-Za-z]){name}{edge}", 1, 0.5))
+                out.append(Rule(f"{label}-{version}", family, rf"(?i)(?<![0-9A-Za-z]){lead}{form}(?![0-9A-Za-z]|\.[0-9])", 4, 1.0))
+                out.append(Rule(f"{label}-{version}", family, rf"(?i)(?<![0-9A-Za-z]){form}(?![0-9A-Za-z]|\.[0-9])", 3, 0.9))
+        out.append(Rule(label, family, rf"(?i)(?<![0-9A-Za-z]){lead}{name}{edge}", 2, 0.8))
+        out.append(Rule(label, family, rf"(?i)(?<![0-9A-Za-z]){name}{edge}", 1, 0.5))
     return out
 
 
@@ -111,7 +113,9 @@ def re_number(number: str) -> str:
 
 
 RULES = rules()
-_KEYWORD_GATE = "(?i)" + "|".join(sorted({r.keyword for r in RULES} | {"license", r"cc\W"}))
+#: Keywords that are words of their own kind elsewhere need what follows them.
+_NARROW = {"mit": r"(?:mit|expat)\W{1,3}licen", "cc": r"cc\W{1,3}by", "python": r"python\W{1,3}(?:licen|soft)", "commons": r"creative\W{1,3}commons", "bsd": r"(?:bsd|[0-4]\W{0,2}clause)"}
+_KEYWORD_GATE = r"(?i)(?<![0-9A-Za-z])(?:" + "|".join(sorted({_NARROW.get(f[1], f[1].split()[0]) for f in FAMILIES} | {_NARROW["mit"], "gnu", "apache", rf"cc{_BREAK}+by", rf"mit{_BREAK}+licen"})) + ")"
 _HIT = "array<struct<start:int,neg_end:int,neg_priority:int,end:int,priority:int,label:string,strength:double>>"
 
 
@@ -139,8 +143,13 @@ def _base(text: Column) -> Column:
 def _detections(text: Column) -> Column:
     """Kept detections of the rules whose keywords occur."""
     low = F.lower(text)
-    table = F.array(*(F.struct(F.lit(r.label).alias("label"), F.lit(r.keyword).alias("keyword"), F.lit(r.pattern).alias("pattern"), F.lit(r.priority).alias("priority"), F.lit(r.strength).alias("strength")) for r in RULES))
-    tried = F.filter(table, lambda r: F.contains(low, r["keyword"]))
+    families = []
+    for number, (_, keyword, name, _) in enumerate(FAMILIES):
+        own = F.array(*(F.struct(F.lit(r.label).alias("label"), F.lit(r.pattern).alias("pattern"), F.lit(r.priority).alias("priority"), F.lit(r.strength).alias("strength")) for r in RULES if r.family == number))
+        # Every rule of a family holds the family's name.
+        named = F.contains(low, F.lit(keyword)) & text.rlike(rf"(?i)(?<![0-9A-Za-z]){name}(?![0-9A-Za-z])") if keyword not in ("mit", "bsd") else text.rlike(rf"(?i)(?<![0-9A-Za-z]){name}(?![0-9A-Za-z])")
+        families.append(F.when(named, own))
+    tried = F.flatten(F.filter(F.array(*families), lambda f: f.isNotNull()))
 
     def places(rule: Column) -> Column:
         pairs = F.zip_with(F.regexp_extract_all(text, rule["pattern"], F.lit(0)), F.split(text, rule["pattern"], -1), lambda hit, before: F.struct(hit.alias("hit"), before.alias("before")))
