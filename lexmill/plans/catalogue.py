@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import lengths
-from ..operators import findings, joins, outcome, segment, structure, weekly
+from ..functions import text as texts
+from ..operators import findings, joins, lists, outcome, persian_structure, segment, structure, tasks, weekly
 from ..rules import english
+from ..streaming import weekly as stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -426,6 +428,129 @@ def dimension_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("p_brand", "p_type").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("l_quantity").cast("long")).alias("quantity"))
 
 
+@_query("""
+WITH r AS (SELECT conv_id, turn, lower(trim(text)) AS t FROM conversations)
+SELECT conv_id, turn, CASE WHEN regexp_matches(t, '^(?:please\\s+)?(?:write|draft|create)\\b') THEN 'write' WHEN regexp_matches(t, '\\bexport\\b') THEN 'export'
+  WHEN regexp_matches(t, 'prepare for publication') THEN 'prepare_for_publication' WHEN regexp_matches(t, '\\bscore\\b') THEN 'score' WHEN regexp_matches(t, '\\breview\\b|\\baudit\\b') THEN 'review'
+  WHEN regexp_matches(t, '\\btranslate\\b') THEN 'translate' WHEN regexp_matches(t, '\\badapt\\b|\\brepurpose\\b') THEN 'adapt' WHEN regexp_matches(t, '\\brewrite\\b|\\bshorten\\b|\\bimprove\\b') THEN 'rewrite'
+  WHEN regexp_matches(t, '\\boutline\\b|plan (?:a|an|the|this) ') THEN 'plan' ELSE 'write' END AS operation FROM r
+""")
+def operations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "conversations").select("conv_id", "turn", tasks.operation_of(F.col("text")).alias("operation"))
+
+
+@_query("""
+WITH q AS (SELECT unnest(['src1', 'SRC19', 'rc7', 'nothing']) AS query), c AS (SELECT DISTINCT source AS channel FROM documents),
+e AS (SELECT query, channel, 'exact' AS how FROM q JOIN c ON lower(query) = lower(channel)),
+p AS (SELECT query, channel, 'part' AS how FROM q JOIN c ON contains(lower(channel), lower(query)) WHERE query NOT IN (SELECT query FROM e))
+SELECT * FROM e UNION ALL SELECT * FROM p UNION ALL SELECT query, NULL, 'none' FROM q WHERE query NOT IN (SELECT query FROM e) AND query NOT IN (SELECT query FROM p)
+""")
+def channel_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = spark.createDataFrame([("src1",), ("SRC19",), ("rc7",), ("nothing",)], "query string")
+    return tasks.channel_lookup(asked, _docs(spark, sf_dir).select(F.col("source").alias("channel")).distinct())
+
+
+@_query("""
+SELECT doc_id, CASE WHEN length(text) > 80 THEN substr(text, 1, 78) || ' …' ELSE text END AS short, lower(regexp_replace(source, '[^A-Za-z0-9_ -]', '', 'g')) AS anchor,
+  substr(text, 11, 40) AS near FROM documents
+""")
+def short_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _docs(spark, sf_dir).select("doc_id", texts.truncated(F.col("text"), 80).alias("short"), texts.slug(F.col("source")).alias("anchor"), texts.excerpt(F.col("text"), F.lit(25), F.lit(35)).alias("near"))
+
+
+@_query("SELECT strftime(date_trunc('week', ts), '%Y-%m-%d') AS week_start, event_type, count(*) AS n FROM events GROUP BY ALL")
+def tumbling_weeks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The batch form of the weekly stream."""
+    rows = stream.weekly_counts(_table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")), "event_type")
+    return rows.select(F.date_format("week_start", "yyyy-MM-dd").alias("week_start"), "event_type", "n")
+
+
+@_query("""
+WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w >= INTERVAL 6 HOURS THEN 1 ELSE 0 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
+SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last, count(*) AS n FROM s GROUP BY user_id, k
+""")
+def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = stream.sessions(_table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")), "user_id", "6 hours")
+    stamp = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+    return rows.select("user_id", stamp(F.col("start")).alias("start"), stamp(F.col("end") - F.expr("INTERVAL 6 HOURS")).alias("last"), "n")
+
+
+@_query("""
+WITH e AS (SELECT event_type AS pb, 'en' AS lang, event_id, user_id % 3 AS revisions, value / 1000 AS er, user_id % 5 AS errors, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS k FROM events)
+SELECT pb, lang, count(*) AS n, count(*) FILTER (revisions = 0) AS first_pass, CAST(sum(CAST(floor(er * 100) AS BIGINT)) AS BIGINT) AS edit_hundredths, CAST(sum(revisions) AS BIGINT) AS revisions, CAST(sum(errors) AS BIGINT) AS errors
+FROM e WHERE k <= 50 GROUP BY pb, lang
+""")
+def playbook_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "events").select(F.col("event_type").alias("pb"), F.lit("en").alias("lang"), "event_id", (F.col("user_id") % 3).alias("revisions"), (F.col("value") / 1000).alias("edit_ratio"), (F.col("user_id") % 5).alias("errors"))
+    return weekly.playbook_totals(rows, "event_id")
+
+
+@_query("""
+SELECT event_type AS lang, least(200000, ta - ta % 50) AS ta, least(least(200000, td - td % 50), least(200000, ta - ta % 50)) AS td
+FROM (SELECT event_type, CAST(sum(user_id) AS BIGINT) AS ta, CAST(sum(user_id % 7) AS BIGINT) AS td FROM events GROUP BY event_type)
+""")
+def base_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "events").select(F.col("event_type").alias("lang"), F.col("user_id").alias("ta"), (F.col("user_id") % 7).alias("td"))
+    return weekly.base_rates(rows)
+
+
+@_query("""
+SELECT event_type AS kind, CAST(least(1000, count(*)) AS BIGINT) AS n, CAST(least(1000, count(*) FILTER (value > 50)) AS BIGINT) AS high FROM events GROUP BY event_type
+""")
+def health_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cap = F.lit(weekly.HEALTH_CAP).cast("long")
+    return _table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("kind")).agg(F.least(cap, F.count(F.lit(1))).alias("n"), F.least(cap, F.count_if(F.col("value") > 50)).alias("high"))
+
+
+@_query("""
+SELECT event_type AS id, least(n, 200) AS n, CASE WHEN n > 200 THEN g * 200 // n ELSE g END AS g FROM (SELECT event_type, count(*) AS n, count(*) FILTER (value > 50) AS g FROM events GROUP BY event_type)
+""")
+def placebo_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Placebo counts under their cap, the hits scaled by floor."""
+    rows = _table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("id")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("value") > 50).alias("g"))
+    cap = F.lit(weekly.PLACEBO_CAP).cast("long")
+    return rows.select("id", F.least(cap, "n").alias("n"), F.when(F.col("n") > cap, F.floor(F.col("g") * cap / F.col("n")).cast("long")).otherwise(F.col("g")).alias("g"))
+
+
+@_query("""
+SELECT lang, text, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts FROM (SELECT event_type AS lang, CAST(event_id AS VARCHAR) AS text, ts, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS k
+FROM events WHERE ts <= TIMESTAMP '2024-01-15 12:00:00' AND ts > TIMESTAMP '2024-01-15 06:00:00') WHERE k = 1
+""")
+def latest_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last row of each key within six hours: an as-of lookup."""
+    memory = _table(spark, sf_dir, "events").select(F.col("event_type").alias("lang"), F.col("event_id").cast("string").alias("text"), F.col("ts").cast("timestamp").alias("ts"))
+    found = joins.latest_before(memory, F.lit("2024-01-15 12:00:00").cast("timestamp"))
+    return found.select("lang", "text", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"))
+
+
+@_query()
+def comma_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lists.series(segment.sentences(_docs(spark, sf_dir)))
+
+
+@_query()
+def list_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = segment.sentences(_docs(spark, sf_dir))
+    found = lists.series(rows)
+    return lists.triads(rows, found).unionByName(lists.serial_commas(found))
+
+
+@_query()
+def persian_document_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return persian_structure.persian_document_findings(_docs(spark, sf_dir), address="shoma")
+
+
+@_query()
+def fact_locks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tasks.fact_locks(_table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("pack_id"), "text"))
+
+
+@_query()
+def text_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tasks.text_differences(_cases(spark, sf_dir))
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
