@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import like_case
 from ..rules import english
 from . import segment
 
@@ -147,6 +148,32 @@ def spelling_mix(words: DataFrame) -> DataFrame:
     return _finding(rows.where("us > 0 and uk > 0"), "en-spelling-mix", "error", line=None)
 
 
+def spelling_variants(words: DataFrame, target: str) -> DataFrame:
+    """doc_id, pos, word, write: forms off a target of us, uk or uk-ize (which keeps -ize but not -yze)."""
+    hits = spelling_hits(words)
+    ize = F.col("family") == "ize-ise"
+    off = {"us": F.col("side") == "uk", "uk": F.col("side") == "us", "uk-ize": F.when(ize, F.col("side") == "uk").otherwise(F.col("side") == "us")}[target]
+    return hits.where(off).select("doc_id", "pos", "word", like_case(F.col("counterpart"), F.col("word")).alias("write"))
+
+
+def spelling_evidence(words: DataFrame) -> DataFrame:
+    """doc_id, us, uk, ize, ise and the variant that the counts point to."""
+    ize = F.col("family").isin("ize-ise", "yze-yse")
+    count = lambda cond: F.count_if(cond)
+    out = spelling_hits(words).groupBy("doc_id").agg(
+        count(~ize & (F.col("side") == "us")).alias("us"), count(~ize & (F.col("side") == "uk")).alias("uk"), count(ize & (F.col("side") == "us")).alias("ize"), count(ize & (F.col("side") == "uk")).alias("ise")
+    )
+    guess = F.when((F.col("us") > F.col("uk")) & (F.col("ise") == 0), "us").when((F.col("uk") + F.col("ise") > F.col("us")) & (F.col("ize") > F.col("ise")), "uk-ize").when(F.col("uk") + F.col("ise") > F.col("us"), "uk")
+    return out.withColumn("variant", guess)
+
+
+def isbn_findings(docs: DataFrame) -> DataFrame:
+    """ISBNs: a warning to check them, an error where the check digit is wrong."""
+    found = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"(?i)\bISBN(?:-1[03])?:?[ \t]*([0-9X][0-9X -]{8,16}[0-9X])\b"), F.lit(1))
+    rows = docs.select("doc_id", F.explode(found).alias("n")).withColumn("ok", isbn_valid(F.col("n")))
+    return rows.select("doc_id", F.lit(0).cast("long").alias("line"), F.lit("en-citation-check").alias("code"), F.when(F.col("ok"), "warning").otherwise("error").alias("severity"))
+
+
 def undefined_abbreviations(docs: DataFrame, stats: DataFrame, known: list[str] = english.KNOWN_ABBREVIATIONS) -> DataFrame:
     """The first use of an abbreviation that is not expanded there, in documents of 80 words or more."""
     from ..functions.spans import line_of, match_spans

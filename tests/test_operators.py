@@ -66,6 +66,15 @@ def test_document_rules(spark):
     assert [r[0] for r in n] == [True, True, False]
 
 
+def test_spelling_variants_and_isbn(spark):
+    df = spark.createDataFrame([(1, "Colour and organize, Analyze"), (2, "ISBN 0306406152 and ISBN 0306406153")], "doc_id long, text string")
+    words = segment.words(df)
+    assert {(r.word, r.write) for r in structure.spelling_variants(words, "uk").collect()} == {("organize", "organise"), ("Analyze", "Analyse")}
+    assert {(r.word, r.write) for r in structure.spelling_variants(words, "uk-ize").collect()} == {("Analyze", "Analyse")}
+    assert structure.spelling_evidence(words).first().variant == "uk-ize"
+    assert sorted(r.severity for r in structure.isbn_findings(df).collect()) == ["error", "warning"]
+
+
 def test_apportion_keeps_the_cap(spark):
     rows = spark.createDataFrame([("a", 1, 3), ("a", 2, 3), ("a", 3, 5), ("b", 1, 2)], "k string, p long, v long")
     out = weekly.apportion(rows, ["k"], "p", "v", 7).collect()
