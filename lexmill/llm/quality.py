@@ -260,7 +260,8 @@ def quality(docs: DataFrame, limits: QualityLimits = QualityLimits()) -> DataFra
     Empty and null texts have no words, fail the base rules and are not kept.
     """
     measured = materialise(features(docs, limits), "quality")
-    return judge(measured, references(measured), limits)
+    # As a table of known size the planner broadcasts the few references, so no text row moves by language.
+    return judge(measured, materialise(references(measured), "references"), limits)
 
 
 def keep_good(docs: DataFrame, limits: QualityLimits = QualityLimits()) -> DataFrame:
