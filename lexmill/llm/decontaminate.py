@@ -38,7 +38,7 @@ class ContaminationLimits:
     window: int = 13
     coverage_inverse: int = 20
     max_span: int = 12
-    shard_bytes: int = 16 << 20
+    shard_bytes: int = 1 << 20
 
 
 class SuffixAutomaton:
@@ -269,39 +269,35 @@ def _scan(automaton_of, names: list[str]):
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, limits: ContaminationLimits = ContaminationLimits()) -> DataFrame:
-    """The input columns, then word count, hit word ranges (half open) and item ids of every text."""
+    """The input row as one struct, its text, word count, hit word ranges (half open) and item ids."""
     spark = docs.sparkSession
     prepare(spark)
-    names = docs.columns
-    out = docs
+    out = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").cast("string").alias("text"))
+    carried = list(out.schema.fields)
     for automaton in shards(benchmark, limits):
         held = spark.sparkContext.broadcast(automaton)
-        schema = T.StructType([*(out.schema[c] for c in names), *SCANNED.fields])
-        out = out.mapInArrow(_scan(held, names), schema)
-    return out
+        out = out.mapInArrow(_scan(held, ["row", "text"]), T.StructType([*carried, *SCANNED.fields]))
+    n_hit = F.aggregate(F.zip_with("hit_last", "hit_first", lambda b, a: b - a), F.lit(0).cast("long"), lambda x, y: x + y)
+    out = out.withColumn("n_hit", n_hit).withColumn("n_items", F.size("items").cast("long"))
+    return out.withColumn("contaminated", (F.col("n_hit") > 0) & (limits.coverage_inverse * F.col("n_hit") >= F.col("n_words")))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, limits: ContaminationLimits = ContaminationLimits()) -> DataFrame:
-    """The input columns, then n_words, n_hit, n_items, items and contaminated."""
-    found = scan(docs, benchmark, limits)
-    n_hit = F.aggregate(F.zip_with("hit_last", "hit_first", lambda b, a: b - a), F.lit(0).cast("long"), lambda x, y: x + y)
-    return (
-        found.withColumn("n_hit", n_hit)
-        .withColumn("n_items", F.size("items").cast("long"))
-        .withColumn("contaminated", (F.col("n_hit") > 0) & (limits.coverage_inverse * F.col("n_hit") >= F.col("n_words")))
-    )
+    """The input columns, then n_words, n_hit, n_items, items and contaminated, which replace input columns of these names."""
+    added = ["n_words", "n_hit", "n_items", "items", "contaminated"]
+    return scan(docs, benchmark, limits).select(*(F.col("row")[c].alias(c) for c in docs.columns if c not in added), *added)
 
 
 def items_digest() -> F.Column:
     return F.sha2(F.array_join(F.array_sort("items"), ","), 256)
 
 
-def _cut(names: list[str], max_span: int):
+def _cut(max_span: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            table = batch.to_pydict()
-            for i, text in enumerate(table["text"]):
-                spans = [(a, b) for a, b in zip(table["hit_first"][i], table["hit_last"][i], strict=True) if b - a > max_span]
+            texts = batch.column("text").to_pylist()
+            for i, (text, first, last) in enumerate(zip(texts, batch.column("hit_first").to_pylist(), batch.column("hit_last").to_pylist(), strict=True)):
+                spans = [(a, b) for a, b in zip(first, last, strict=True) if b - a > max_span]
                 if text and spans:
                     raw = text.encode()
                     one = bk.Texts(0, 1, np.frombuffer(raw, np.uint8), np.array([0, len(raw)], np.int64))
@@ -310,8 +306,8 @@ def _cut(names: list[str], max_span: int):
                     for a, b in spans:
                         kept.append(raw[at : int(w.start[a])])
                         at = int(w.end[b - 1])
-                    table["text"][i] = b"".join([*kept, raw[at:]]).decode()
-            yield pa.RecordBatch.from_pydict({c: table[c] for c in names}, schema=pa.schema([batch.schema.field(c) for c in names]))
+                    texts[i] = b"".join([*kept, raw[at:]]).decode()
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string())], names=["row", "text"])
 
     return run
 
@@ -321,11 +317,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, limits: ContaminationLi
 
     Texts under the coverage limit are returned unchanged.
     """
-    names = docs.columns
-    found = contamination(docs, benchmark, limits)
+    found = scan(docs, benchmark, limits)
     if drop:
-        return found.where(~F.col("contaminated")).select(*names)
+        return found.where(~F.col("contaminated")).select("row.*")
     nothing = F.array().cast("array<bigint>")
-    found = found.withColumn("hit_first", F.when(F.col("contaminated"), F.col("hit_first")).otherwise(nothing)).withColumn("hit_last", F.when(F.col("contaminated"), F.col("hit_last")).otherwise(nothing))
-    return found.mapInArrow(_cut(names, limits.max_span), docs.schema)
-
+    spans = [F.when(F.col("contaminated"), F.col(c)).otherwise(nothing).alias(c) for c in ("hit_first", "hit_last")]
+    cut = found.select("row", "text", *spans).mapInArrow(_cut(limits.max_span), T.StructType(list(found.schema.fields)[:2]))
+    return cut.select(*(F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns))

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from . import codec, decontaminate, html_text, jaccard, licenses, pii, quality, token_counts, training_order, warc
 from .common import table
