@@ -6,24 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import codec, decontaminate, html_text, jaccard, licenses, pii, quality, token_counts, training_order, warc
+from . import codec, decontaminate, html_text, jaccard, licenses, oracles, pii, quality, token_counts, training_order, warc
 from .common import table
 
 
-OP7_SQL = """
-WITH p AS (
-  SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest
-  FROM pages
-), f AS (
-  SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM p
-)
-SELECT page_id, payload_bytes, payload_digest,
-  CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
-  CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN first_id END AS refers_to
-FROM f
-"""
-
-
 def _vocabulary(name: str) -> str:
     import public_tokenizers
 
@@ -36,7 +22,7 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.quality(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "char_distance", "word_distance")
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,4 +65,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_warc": OP7_SQL}
+    return {"op2_quality_rules": oracles.quality_sql(), "op5_decontamination": oracles.DECONTAMINATION, "op7_warc": oracles.WARC}
