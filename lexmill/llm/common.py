@@ -14,11 +14,13 @@ _OWN_DIR: str | None = None
 
 #: Arrow batches of long texts stay small, so a worker holds a few MB at a time.
 ARROW_ROWS = 512
+ARROW_BYTES = "16m"
 
 
 def prepare(spark: SparkSession) -> None:
     """Bound Arrow batches and let local workers import this package."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", os.environ.get("PYTHONPATH", "")).split(os.pathsep) if p]

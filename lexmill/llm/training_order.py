@@ -1,17 +1,19 @@
 """Training-order materialisation: fixed-stride shards in a keyed random order.
 
-Texts are cut into sequences of a fixed number of byte tokens (ids 0 to
-255, one byte each).  Sequences are numbered along the files' splits; a
-keyed Feistel permutation with cycle-walking maps the numbers one to one
-onto global slots.  A range of slots is a shard, written as one file whose
-records all have the same length, so slot ``s`` stands at byte
-``(s mod shard_rows) * stride`` of shard ``s div shard_rows``, and a reader
-can stop and resume anywhere.
-
-A record is the doc_id in 20 characters, the number of the sequence in its
-document in 10, its tokens in 6, the tokens padded with zeros, and a line
-feed.  Null and empty texts have no sequences; a null doc_id is written as
-blanks and read back as null; repeated rows have sequences of their own.
+The texts of a file split form one stream of byte tokens (ids 0 to 253, one
+byte each), every text closed by ``END``, cut into sequences of a fixed
+length; only a split's last sequence is padded.  Sequences are numbered
+along the splits; a keyed Feistel permutation with cycle-walking maps the
+numbers one to one onto global slots.  A range of slots is a shard, written
+as one file whose records all have the same length, so slot ``s`` stands at
+byte ``(s mod shard_rows) * stride`` of shard ``s div shard_rows``, and a
+reader can stop and resume anywhere.
+
+A record is the sequence's number (8 bytes), the doc_id at its first token
+(8), that token's place in the document's tokens (8), the number of tokens
+(4, all little-endian), the tokens, and a line feed.  Null and empty texts
+are a lone ``END``; a null doc_id is stored as ``NO_ID`` and read as null;
+repeated rows are texts of their own.
 """
 
 from __future__ import annotations
@@ -28,7 +30,9 @@ from pyspark.sql import functions as F
 from . import bytekit as bk
 from .common import materialise, prepare, scratch_path, text_or_empty
 
-_HEAD = 36
+#: Byte values that no UTF-8 text has.
+PAD, END = 0xFE, 0xFF
+NO_ID = -(1 << 63)
 
 
 @dataclass(frozen=True)
@@ -41,9 +45,13 @@ class Layout:
     #: Splits up to this number are broadcast (100 bytes each); more are joined by shuffle.
     broadcast_splits: int = 50_000
 
+    @property
+    def record(self) -> np.dtype:
+        return np.dtype([("number", "<i8"), ("doc_id", "<i8"), ("place", "<i8"), ("n_tokens", "<i4"), ("tokens", "u1", (self.tokens,))])
+
     @property
     def stride(self) -> int:
-        return _HEAD + self.tokens + 1
+        return self.record.itemsize + 1
 
 
 class Feistel:
@@ -84,38 +92,74 @@ class Feistel:
         return self._walk(slot, self._undo)
 
 
+class _Packer:
+    """The stream of one split: full sequences come out as texts go in, the padded rest at the end."""
+
+    def __init__(self, layout: Layout, base: int):
+        self.layout, self.number = layout, base
+        self.stream = np.empty(0, np.uint8)
+        # Documents that begin in the held stream, and where; the first may have begun before it.
+        self.docs, self.begins = np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def add(self, texts: bk.Texts, ids: np.ndarray) -> np.ndarray:
+        rows = texts.rows
+        size = np.diff(texts.offsets)
+        joined = np.full(len(texts.data) + rows, END, np.uint8)
+        joined[np.arange(len(texts.data)) + np.repeat(np.arange(rows), size)] = texts.data
+        self.docs = np.concatenate([self.docs, ids])
+        self.begins = np.concatenate([self.begins, len(self.stream) + texts.offsets[:-1] + np.arange(rows)])
+        self.stream = np.concatenate([self.stream, joined])
+        return self._cut(len(self.stream) // self.layout.tokens)
+
+    def finish(self) -> np.ndarray:
+        rest = len(self.stream)
+        if not rest:
+            return np.empty(0, self.layout.record)
+        self.stream = np.concatenate([self.stream, np.full(self.layout.tokens - rest, PAD, np.uint8)])
+        out = self._cut(1)
+        out["n_tokens"] = rest
+        return out
+
+    def _cut(self, n: int) -> np.ndarray:
+        tokens = self.layout.tokens
+        out = np.zeros(n, self.layout.record)
+        if not n:
+            return out
+        first = np.arange(n) * tokens
+        at = np.searchsorted(self.begins, first, side="right") - 1
+        out["number"] = np.arange(self.number, self.number + n)
+        out["doc_id"], out["place"], out["n_tokens"] = self.docs[at], first - self.begins[at], tokens
+        out["tokens"] = self.stream[: n * tokens].reshape(n, tokens)
+        self.number += n
+        self.stream = self.stream[n * tokens :]
+        open_doc = int(np.searchsorted(self.begins, n * tokens, side="right")) - 1
+        self.docs, self.begins = self.docs[open_doc:], self.begins[open_doc:] - n * tokens
+        return out
+
+
 def _records(layout: Layout, total: int):
-    tokens, stride = layout.tokens, layout.stride
+    width = layout.record.itemsize
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = Feistel(total, layout.key)
-        where, done = None, 0
+        where, packer = None, _Packer(layout, 0)
+
+        def put(rows: np.ndarray) -> pa.RecordBatch:
+            ends = pa.py_buffer((np.arange(len(rows) + 1, dtype=np.int64) * width).astype(np.int32))
+            body = pa.Array.from_buffers(pa.binary(), len(rows), [None, ends, pa.py_buffer(np.ascontiguousarray(rows).view(np.uint8).reshape(-1))])
+            return pa.RecordBatch.from_arrays([pa.array(order.slots(rows["number"]) if len(rows) else rows["number"].astype(np.int64)), body], names=["slot", "record"])
+
         for batch in batches:
-            for texts in bk.slices(batch.column("text")):
-                part = batch.slice(texts.lo, texts.rows)
-                size = np.diff(texts.offsets)
-                count = -(-size // tokens)
-                index = np.empty(int(count.sum()), np.int64)
-                at = 0
-                for file, block, base, n in zip(part.column("file").to_pylist(), part.column("block").to_pylist(), part.column("base").to_pylist(), count.tolist(), strict=True):
-                    if (file, block) != where:
-                        where, done = (file, block), 0
-                    index[at : at + n] = np.arange(base + done, base + done + n)
-                    done += n
-                    at += n
-                row = np.repeat(np.arange(texts.rows), count)
-                number = np.arange(len(row)) - np.repeat(np.concatenate([[0], np.cumsum(count)[:-1]]).astype(np.int64), count)
-                begin = texts.offsets[row] + number * tokens
-                length = np.minimum(tokens, texts.offsets[row + 1] - begin)
-                out = np.zeros((len(row), stride - 1), np.uint8)
-                ids = part.column("doc_id").to_pylist()
-                for i, (r, k, b, n) in enumerate(zip(row.tolist(), number.tolist(), begin.tolist(), length.tolist(), strict=True)):
-                    head = f"{'' if ids[r] is None else ids[r]:>20}{k:>10}{n:>6}".encode()
-                    out[i, :_HEAD] = np.frombuffer(head, np.uint8)
-                    out[i, _HEAD : _HEAD + n] = texts.data[b : b + n]
-                ends = (np.arange(len(row) + 1, dtype=np.int64) * (stride - 1)).astype(np.int32)
-                body = pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(ends), pa.py_buffer(out)])
-                yield pa.RecordBatch.from_arrays([pa.array(order.slots(index) if len(index) else index), body], names=["slot", "record"])
+            ids = batch.column("doc_id").fill_null(NO_ID).to_numpy(zero_copy_only=False)
+            places = list(zip(batch.column("file").to_pylist(), batch.column("block").to_pylist(), batch.column("base").to_pylist(), strict=True))
+            cuts = [i for i in range(len(places)) if i == 0 or places[i] != places[i - 1]] + [len(places)]
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                if places[lo] != where:
+                    yield put(packer.finish())
+                    where, packer = places[lo], _Packer(layout, places[lo][2])
+                for texts in bk.slices(batch.column("text").slice(lo, hi - lo)):
+                    yield put(packer.add(texts, ids[lo + texts.lo : lo + texts.hi]))
+        yield put(packer.finish())
 
     return run
 
@@ -133,9 +177,9 @@ def write_shards(docs: DataFrame, path: str, layout: Layout = Layout()) -> int:
     # Both passes must cut the files alike, however many cores there are by then.
     spark.conf.set(conf, before or str(spark.sparkContext.defaultParallelism))
     try:
-        count = F.ceil(F.octet_length(text_or_empty()) / layout.tokens).cast("long")
         place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")]
-        splits = materialise(docs.select(*place, count.alias("n")).groupBy("file", "block").agg(F.sum("n").alias("n")), "splits")
+        tokens = docs.select(*place, (F.octet_length(text_or_empty()) + 1).cast("long").alias("n")).groupBy("file", "block").agg(F.sum("n").alias("n"))
+        splits = materialise(tokens.select("file", "block", F.ceil(F.col("n") / layout.tokens).cast("long").alias("n")), "splits")
         running = Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)  # one row for each split
         bases = splits.select("file", "block", F.coalesce(F.sum("n").over(running), F.lit(0)).alias("base"))
         facts = splits.agg(F.count(F.lit(1)).alias("splits"), F.coalesce(F.sum("n"), F.lit(0)).alias("total")).first()
@@ -154,39 +198,49 @@ def write_shards(docs: DataFrame, path: str, layout: Layout = Layout()) -> int:
         spark.conf.unset(conf) if before is None else spark.conf.set(conf, before)
 
 
+def _read(layout: Layout, first: int, last: int | None):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for shard, content in zip(batch.column("shard").to_pylist(), batch.column("content"), strict=True):
+                raw = np.frombuffer(content.as_buffer(), np.uint8)
+                rows = raw.reshape(-1, layout.stride)[:, :-1]
+                slot = shard * layout.shard_rows + np.arange(len(rows))
+                keep = np.flatnonzero((slot >= first) & (slot < (last if last is not None else slot[-1] + 1)))
+                for lo in range(0, len(keep), 1024):
+                    some = keep[lo : lo + 1024]
+                    part = np.ascontiguousarray(rows[some]).view(layout.record).reshape(-1)
+                    bodies = [t[:n].tobytes() for t, n in zip(part["tokens"], part["n_tokens"], strict=True)]
+                    ids = pa.array(part["doc_id"], mask=part["doc_id"] == NO_ID)
+                    yield pa.RecordBatch.from_arrays([pa.array(slot[some]), pa.array(part["number"]), ids, pa.array(part["place"]), pa.array(part["n_tokens"].astype(np.int64)), pa.array(bodies, pa.binary())], names=["slot", "number", "doc_id", "place", "n_tokens", "tokens"])
+
+    return run
+
+
 def read_shards(spark: SparkSession, path: str, layout: Layout = Layout(), first: int = 0, last: int | None = None) -> DataFrame:
-    """slot, doc_id, number, n_tokens and tokens of the slots from ``first`` up to ``last`` (not included), shard by shard."""
+    """slot, number, doc_id, place, n_tokens and tokens of the slots from ``first`` up to ``last`` (not included); other shards are not opened."""
+    prepare(spark)
     files = spark.read.format("binaryFile").load(path)
     shard = F.regexp_extract("path", "shard=([0-9]+)", 1).cast("long")
-    files = files.withColumn("shard", shard).where(F.col("shard") >= first // layout.shard_rows)
+    files = files.select(shard.alias("shard"), "content").where(F.col("shard") >= first // layout.shard_rows)
     if last is not None:
         files = files.where(F.col("shard") * layout.shard_rows < last)
-    cut = F.transform(
-        F.sequence(F.lit(0), (F.col("length") / layout.stride).cast("int") - 1),
-        lambda i: F.struct((F.col("shard") * layout.shard_rows + i).alias("slot"), F.substring(F.col("content"), i * layout.stride + 1, F.lit(layout.stride - 1)).alias("record")),
-    )
-    rows = files.select(F.explode(cut).alias("r")).select("r.slot", "r.record").where(F.col("slot") >= first)
-    if last is not None:
-        rows = rows.where(F.col("slot") < last)
-    field = lambda at, n: F.nullif(F.trim(F.substring("record", at, n).cast("string")), F.lit(""))
-    rows = rows.select("slot", field(1, 20).cast("long").alias("doc_id"), field(21, 10).cast("long").alias("number"), field(31, 6).cast("int").alias("n_tokens"), "record")
-    return rows.select("slot", "doc_id", "number", F.col("n_tokens").cast("long").alias("n_tokens"), F.substring("record", F.lit(_HEAD + 1), F.col("n_tokens")).alias("tokens"))
+    return files.mapInArrow(_read(layout, first, last), "slot long, number long, doc_id long, place long, n_tokens long, tokens binary")
 
 
 def materialised_order(docs: DataFrame, layout: Layout = Layout()) -> DataFrame:
-    """Write the shards in the shared folder and read them back: slot, shard, offset, doc_id, number, n_tokens, tokens_sha256."""
+    """Write the shards in the shared folder and read them back: slot, shard, offset, number, doc_id, place, n_tokens, tokens_sha256."""
     spark = docs.sparkSession
     path = scratch_path(spark, "shards")
     total = write_shards(docs, path, layout)
     if not total:
-        return spark.createDataFrame([], "slot long, shard long, offset long, doc_id long, number long, n_tokens long, tokens_sha256 string")
-    rows = read_shards(spark, path, layout)
-    return rows.select(
+        return spark.createDataFrame([], "slot long, shard long, offset long, number long, doc_id long, place long, n_tokens long, tokens_sha256 string")
+    return read_shards(spark, path, layout).select(
         "slot",
         F.floor(F.col("slot") / layout.shard_rows).cast("long").alias("shard"),
-        ((F.col("slot") % layout.shard_rows) * layout.stride).alias("offset"),
-        "doc_id",
+        ((F.col("slot") % layout.shard_rows) * layout.stride).cast("long").alias("offset"),
         "number",
+        "doc_id",
+        "place",
         "n_tokens",
         F.sha2("tokens", 256).alias("tokens_sha256"),
     )
