@@ -12,14 +12,17 @@ with equal sets are one node.  For the rest:
    Keys of frequent shingles find their hub by a pre-aggregated minimum
    instead of a shuffle on the key.
 3. In a block, a count-vector R-tree bounds overlaps by summed coordinate
-   minima.  Only documents with a surviving pair go on, to the block of the
-   smallest document they survive with; this also unites blocks of the
-   same group.  There the surviving pairs of a second R-tree are verified
-   on the whole sets.  Blocks over a size limit are split into parts, and
-   every two parts meet in one task.
+   minima.  Only documents with a surviving pair go on; connected, they form
+   disjoint blocks, so every pair has one place.  There the surviving pairs
+   of a second R-tree are verified on the whole sets and counted.  Blocks
+   over a size limit are split into parts, and every two parts meet in one
+   task.
 4. Components of the verified links spread by smallest neighbours with
    pointer jumping on tables in the shared folder.
 
+A document's links are its copies (documents with an equal set) and the
+documents of every linked set; no pairs are put out.
+
 Documents without words, or with a null text, have an empty set, link with
 nothing and are their own component; a null doc_id has a null component.
 """
@@ -199,7 +202,7 @@ def _tasks(placed: DataFrame) -> DataFrame:
     own = F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
     spread = placed.withColumn("own", own).select("*", other)
-    return spread.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other")).drop("own", "other", "parts")
+    return spread.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other")).drop("other", "parts")
 
 
 def _close_components(docs: list[int], a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -213,54 +216,70 @@ def _close_components(docs: list[int], a: np.ndarray, b: np.ndarray) -> tuple[np
     return ids[touched], ids[label[touched]]
 
 
-def _by_block(pairs_of, value: str, names: list[str]):
-    """Blocks of sorted rows, each closed by ``pairs_of(sizes, values)``: documents with the smallest of their component."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_block, docs, sizes, values = None, [], [], []
+def _by_block(pairs_of, columns: list[str]):
+    """Blocks of sorted rows, each closed by ``pairs_of(rows)``, which gives pairs of row indices.
 
-        def close() -> tuple[np.ndarray, np.ndarray]:
-            if len(docs) < 2:
-                return np.empty(0, np.int64), np.empty(0, np.int64)
-            a, b = pairs_of(sizes, values)
-            return _close_components(docs, a, b) if len(a) else (a, b)
+    Every document in a pair comes out with the smallest one of its component in the block, and with
+    the documents that its partners stand for.
+    """
 
-        def put(out: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.int64), *(x[k] for x in out)])) for k in (0, 1)], names=names)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_block, rows = None, []
+
+        def close() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            none = np.empty(0, np.int64)
+            if len(rows) < 2:
+                return none, none, none
+            # A row that stands twice in the input is one document here.
+            rows[:] = {(r["doc"], r[columns[-1]]): r for r in rows}.values()
+            a, b = pairs_of(rows)
+            if not len(a):
+                return none, none, none
+            copies = np.array([r["copies"] for r in rows], np.int64)
+            count = np.bincount(a, copies[b], len(rows)) + np.bincount(b, copies[a], len(rows))
+            docs = [r["doc"] for r in rows]
+            ids, root = _close_components(docs, a, b)
+            total = dict.fromkeys(ids.tolist(), 0)
+            for doc, n in zip(docs, count.tolist(), strict=True):
+                if doc in total:
+                    total[doc] += int(n)
+            return ids, root, np.array([total[i] for i in ids.tolist()], np.int64)
+
+        def put(out: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.int64), *(x[k] for x in out)])) for k in (0, 1, 2)], names=["doc", "root", "n"])
 
         for batch in batches:
             out = []
-            blocks = zip(batch.column("hub").to_pylist(), batch.column("low").to_pylist(), batch.column("high").to_pylist(), strict=True)
-            for block, doc, size, raw in zip(blocks, batch.column("doc").to_pylist(), batch.column("n_shingles").to_pylist(), batch.column(value).to_pylist(), strict=True):
+            for row in batch.select(["hub", "low", "high", *columns]).to_pylist():
+                block = row["hub"], row["low"], row["high"]
                 if block != open_block:
                     out.append(close())
-                    open_block, docs, sizes, values = block, [], [], []
-                docs.append(doc)
-                sizes.append(size)
-                values.append(raw)
+                    open_block, rows = block, []
+                rows.append(row)
             yield put(out)
         yield put([close()])
 
     return run
 
 
-def _surviving(sizes: list[int], raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    return candidate_pairs(np.array(sizes, np.int64), [read_vector(raw, n) for raw, n in zip(raws, sizes, strict=True)])
+def _surviving(rows: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+    return candidate_pairs(np.array([r["n_shingles"] for r in rows], np.int64), [read_vector(r["vector"], r["n_shingles"]) for r in rows])
 
 
-def _verified(sizes: list[int], raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    return linked_pairs([np.frombuffer(raw, np.uint64) for raw in raws])
+def _verified(rows: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+    side = None if rows[0]["low"] == rows[0]["high"] else np.array([r["own"] for r in rows])
+    return linked_pairs([np.frombuffer(r["elements"], np.uint64) for r in rows], side)
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each document's whole set as bytes, with the blocks it goes to."""
+    """Each document's whole set as bytes, with its block."""
     for batch in batches:
         for texts in bk.slices(batch.column("text")):
             value, n = shingle_sets(texts)
             start = np.concatenate([[0], np.cumsum(n)])
             part = batch.slice(texts.lo, texts.rows)
             raw = [value[start[i] : start[i + 1]].tobytes() for i in range(texts.rows)]
-            yield pa.RecordBatch.from_arrays([part.column("doc"), part.column("blocks"), pa.array(n.astype(np.int64)), pa.array(raw, pa.binary())], names=["doc", "blocks", "n_shingles", "elements"])
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc", "hub", "parts", "copies")), pa.array(n.astype(np.int64)), pa.array(raw, pa.binary())], names=["doc", "hub", "parts", "copies", "n_shingles", "elements"])
 
 
 def _dealt(rows: DataFrame) -> DataFrame:
@@ -269,20 +288,20 @@ def _dealt(rows: DataFrame) -> DataFrame:
 
 
 def survivors(members: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Distinct (hub, doc) after the count-vector bound; nodes: doc, n_shingles, vector."""
+    """(hub, doc): disjoint blocks of the documents that the count-vector bound leaves; nodes: doc, n_shingles, vector, copies."""
     weights = nodes.select("doc", F.lit(1).alias("weight"))
-    rows = _tasks(_parted(members, weights, PART_DOCS)).join(nodes, "doc").select("hub", "low", "high", "doc", "n_shingles", "vector")
-    return _dealt(rows).mapInArrow(_by_block(_surviving, "vector", ["doc", "hub"]), "doc long, hub long").select("hub", "doc").distinct()
+    rows = _tasks(_parted(members, weights, PART_DOCS)).join(nodes, "doc").select("hub", "low", "high", "doc", "n_shingles", "vector", "copies")
+    found = _dealt(rows).mapInArrow(_by_block(_surviving, ["doc", "n_shingles", "copies", "vector"]), "doc long, root long, n long")
+    return connect(found.where("doc != root").select(F.col("doc").alias("a"), F.col("root").alias("b"))).select(F.col("component").alias("hub"), "doc")
 
 
 def verified_links(docs: DataFrame, alive: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Links (a, b) that span the components of every block, from whole sets."""
+    """(doc, root, n): from whole sets, the smallest linked document of each in a task, and the documents linked with it there."""
     weights = nodes.select("doc", (F.col("n_shingles") * 8 + PART_BYTES // PART_DOCS).alias("weight"))
-    placed = _parted(alive, weights, PART_BYTES).groupBy("doc").agg(F.collect_list(F.struct("hub", "parts")).alias("blocks"))
-    schema = T.StructType([T.StructField("doc", T.LongType()), placed.schema["blocks"], T.StructField("n_shingles", T.LongType()), T.StructField("elements", T.BinaryType())])
-    sets = docs.select(F.col("doc_id").alias("doc"), "text").join(placed, "doc").select("doc", "text", "blocks").mapInArrow(_sets, schema)
-    each = sets.select("doc", "n_shingles", "elements", F.explode("blocks").alias("b")).select("b.hub", "doc", "b.parts", "n_shingles", "elements")
-    return _dealt(_tasks(each)).mapInArrow(_by_block(_verified, "elements", ["a", "b"]), "a long, b long").where("a != b")
+    placed = _parted(alive, weights, PART_BYTES).join(nodes.select("doc", "copies"), "doc")
+    schema = T.StructType([*(T.StructField(c, T.LongType()) for c in ("doc", "hub")), T.StructField("parts", T.IntegerType()), *(T.StructField(c, T.LongType()) for c in ("copies", "n_shingles")), T.StructField("elements", T.BinaryType())])
+    sets = docs.select(F.col("doc_id").alias("doc"), "text").join(placed, "doc").select("doc", "text", "hub", "parts", "copies").mapInArrow(_sets, schema)
+    return _dealt(_tasks(sets)).mapInArrow(_by_block(_verified, ["own", "doc", "copies", "elements"]), "doc long, root long, n long")
 
 
 def connect(links: DataFrame, rounds: int = 40) -> DataFrame:
@@ -306,25 +325,30 @@ def connect(links: DataFrame, rounds: int = 40) -> DataFrame:
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and component_id of every input row."""
+    """doc_id, n_shingles, component_id and n_links of every input row."""
     spark = docs.sparkSession
     prepare(spark)
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     frequent = spark.sparkContext.broadcast(frequent_shingles(narrow))
     schema = T.StructType([*(T.StructField(c, T.LongType()) for c in ("doc_id", "n_shingles", "fp1", "fp2")), *(T.StructField(c, T.ArrayType(T.LongType(), False)) for c in ("rare", "often")), T.StructField("vector", T.BinaryType())])
     prefixes = materialise(narrow.mapInArrow(_prefixes(frequent), schema), "prefixes")
+    same_set = ["fp1", "fp2", "n_shingles"]
     known = prefixes.where("n_shingles > 0 and doc_id is not null")
-    nodes = materialise(known.groupBy("fp1", "fp2", "n_shingles").agg(F.min("doc_id").alias("node")), "nodes")
-    first = prefixes.join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
+    nodes = materialise(known.groupBy(*same_set).agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("copies")), "nodes")
+    # A set's smallest document stands for its copies.
+    first = prefixes.join(nodes.withColumnRenamed("node", "doc_id"), [*same_set, "doc_id"])
+    first = materialise(first, "first")
     members = materialise(memberships(first), "members")
-    vectors = first.select(F.col("doc_id").alias("doc"), "n_shingles", "vector").where("n_shingles > 0")
+    vectors = first.select(F.col("doc_id").alias("doc"), "n_shingles", "vector", "copies")
     alive = materialise(survivors(members, vectors), "alive")
     links = materialise(verified_links(narrow, alive, vectors), "links")
-    # A doc_id that stands on several rows joins all its sets.
-    same = known.join(nodes, ["fp1", "fp2", "n_shingles"]).where("doc_id != node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-    component = connect(links.unionByName(same))
-    out = prefixes.select("doc_id", "n_shingles").join(component.withColumnRenamed("doc", "doc_id"), "doc_id", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    placed = materialise(prefixes.select("doc_id", *same_set).join(nodes, same_set, "left").select("doc_id", "n_shingles", "node", "copies"), "placed")
+    copy = placed.where("doc_id is not null and doc_id != node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
+    component = connect(links.where("doc != root").select(F.col("doc").alias("a"), F.col("root").alias("b")).unionByName(copy))
+    degree = links.groupBy(F.col("doc").alias("node")).agg(F.sum("n").alias("n"))
+    out = placed.join(component.withColumnRenamed("doc", "doc_id"), "doc_id", "left").join(degree, "node", "left")
+    n_links = F.when(F.col("doc_id").isNotNull(), F.coalesce(F.col("copies") - 1, F.lit(0)) + F.coalesce("n", F.lit(0)))
+    return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), n_links.alias("n_links"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

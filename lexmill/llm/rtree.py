@@ -130,10 +130,13 @@ def overlaps(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray
     return total[a, b].astype(np.int64)
 
 
-def linked_pairs(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs of sets with 100 * intersection >= 80 * union, by bound and verification."""
+def linked_pairs(sets: list[np.ndarray], side: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of sets with 100 * intersection >= 80 * union, by bound and verification; with ``side``, pairs across sides only."""
     sizes = np.array([len(s) for s in sets], np.int64)
     a, b = candidate_pairs(sizes, [count_vector(s) for s in sets])
+    if side is not None:
+        across = side[a] != side[b]
+        a, b = a[across], b[across]
     if not len(a):
         return a, b
     common = overlaps(sets, a, b)

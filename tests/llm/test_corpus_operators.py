@@ -37,15 +37,19 @@ def test_training_order_round_trip(spark, docs, tmp_path):
     frame = docs(texts).unionByName(docs(["twin", "twin"]).select("*").withColumn("doc_id", F.lit(7).cast("long")))
     path = str(tmp_path / "shards")
     total = training_order.write_shards(frame, path, layout)
-    rows = training_order.read_shards(spark, path, layout).collect()
-    want = []
-    for row in frame.collect():
-        raw = (row.text or "").encode()
-        want += [(row.doc_id, k, raw[100 * k : 100 * k + 100]) for k in range(-(-len(raw) // 100))]
-    assert total == len(want) and sorted(r.slot for r in rows) == list(range(total))
-    assert sorted((r.doc_id, r.number, bytes(r.tokens)) for r in rows) == sorted(want)
+    rows = sorted(training_order.read_shards(spark, path, layout).collect(), key=lambda r: r.number)
+    assert [r.number for r in rows] == sorted(r.slot for r in rows) == list(range(total))
+    # In the order of the numbers the sequences are the streams of whole texts.
+    stream = b"".join(bytes(r.tokens) for r in rows)
+    assert stream.endswith(b"\xff") and sorted(stream[:-1].split(b"\xff")) == sorted((r.text or "").encode() for r in frame.collect())
+    known = {r.doc_id: (r.text or "").encode() + b"\xff" for r in frame.collect() if r.doc_id != 7}
+    for r in rows:
+        if r.doc_id in known:
+            head = known[r.doc_id][r.place : r.place + r.n_tokens]
+            assert bytes(r.tokens).startswith(head)
     part = training_order.read_shards(spark, path, layout, 20, 37).collect()
     assert sorted(r.slot for r in part) == list(range(20, 37))
+    assert {r.slot: bytes(r.tokens) for r in part} == {r.slot: bytes(r.tokens) for r in rows if 20 <= r.slot < 37}
     sizes = {f.length for f in spark.read.format("binaryFile").load(path).select("length").collect()}
     assert all(s % layout.stride == 0 for s in sizes) and max(sizes) == 16 * layout.stride
     assert training_order.materialised_order(docs([])).count() == 0
@@ -85,6 +89,10 @@ def test_decontamination_matches_brute_force(spark, docs):
     assert kept == {i for i, t in enumerate(texts) if not _contamination(t, items)[4]}
     cut = {r.doc_id: r.text for r in decontaminate.decontaminate(docs(texts), benchmark, drop=False).collect()}
     assert len(cut) == len(texts) and all(cut[i] == texts[i] for i in kept)
+    wide = docs(texts).select("*", F.lit("x").alias("items"), F.lit(1).alias("row"), F.lit(2).alias("n_words"), F.lit(3).alias("hit_first"))
+    for mode in (True, False):
+        assert decontaminate.decontaminate(wide, benchmark, drop=mode).columns == wide.columns
+    assert {r.row for r in decontaminate.decontaminate(wide, benchmark).collect()} == {1}
     assert decontaminate.contamination(docs(texts), benchmark.limit(0)).where("n_hit > 0").count() == 0
     assert decontaminate.contamination(docs([]), benchmark).count() == 0
 
@@ -131,12 +139,13 @@ def test_jaccard_components_match_brute_force(spark, docs, monkeypatch):
     texts = _near_copies(random.Random(3))
     sets = {i: _shingles(t) for i, t in enumerate(texts)}
     want = _classes(sets)
+    degree = {i: sum(1 for j in sets if j != i and sets[i] & sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])) for i in sets}
     for part, often in ((1024, 12), (3, 2)):  # small parts split blocks; low counts make most keys frequent
         monkeypatch.setattr(jaccard, "PART_DOCS", part)
         monkeypatch.setattr(jaccard, "PART_BYTES", part << 12)
         monkeypatch.setattr(jaccard, "FREQUENT_IN_TASK", often)
         rows = jaccard.jaccard_components(docs(texts)).collect()
-        assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == {i: (len(sets[i]), want[i]) for i in sets}
+        assert {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in rows} == {i: (len(sets[i]), want[i], degree[i]) for i in sets}
     kept = {r.doc_id for r in jaccard.keep_one(docs(texts)).collect()}
     assert kept == {i for i in sets if want[i] == i}
 
