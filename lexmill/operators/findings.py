@@ -27,7 +27,7 @@ class Settings:
     kind: str = "text"
     house_style: str = ""
     max_words: int = english.DEFAULT_MAX_WORDS
-    emoji_max: int = 1
+    emoji_max: int = 0
     exclaim_max: int = 1
     reading_grade_max: float = 10.0
     spelling: str = ""
@@ -70,7 +70,7 @@ def applicable(rules: Sequence[PatternRule], settings: Settings) -> list[Pattern
     return [
         r
         for r in rules
-        if s.format not in r.off_in and (not r.only_in or s.format in r.only_in) and (not r.styles or s.house_style in r.styles) and (not r.kinds or s.kind in r.kinds)
+        if s.format not in r.off_in and (not r.only_in or s.format in r.only_in) and (not r.styles or s.house_style in r.styles) and s.house_style not in r.off_styles and (not r.kinds or s.kind in r.kinds)
     ]
 
 
@@ -87,6 +87,11 @@ def _let_through(rule: PatternRule, text: Column, span: Column) -> Column:
         elif side == "before":
             first = F.greatest(F.lit(1), span["start"] - 59)
             tests.append(F.substring(text, first, span["start"] - first + 1).rlike(pattern))
+        elif side == "line":
+            tests.append(_line_text(text, span).rlike(pattern))
+        elif side == "around":
+            first = F.greatest(F.lit(1), span["start"] - 11)
+            tests.append(F.concat(F.substring(text, first, span["start"] - first + 1), F.lit("\x01"), span["text"], F.lit("\x01"), F.substring(text, span["end"] + 1, F.lit(12))).rlike(pattern))
         elif side == "after":
             tests.append(F.substring(text, span["end"] + 1, F.lit(60)).rlike(pattern))
         else:
@@ -104,6 +109,9 @@ def _rule_findings(rule: PatternRule, seq: int, raw: Column, masked: Column, set
         spans = F.filter(spans, lambda s: ~_line_text(raw, s).rlike(english.CITED_LINE))
     if rule.unless:
         spans = F.filter(spans, lambda s: ~_let_through(rule, text, s))
+    if rule.once_a_line:
+        # The first match, and those with a line feed between them and the match before.
+        spans = F.filter(spans, lambda s, i: (i == 0) | (line_of(text, s["start"]) != line_of(text, F.element_at(spans, F.greatest(i, F.lit(1)))["start"])))
     return F.transform(
         spans,
         lambda s: F.struct(

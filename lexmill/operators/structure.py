@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import like_case
+from ..functions import lengths
+from ..functions.text import lemma, like_case
 from ..rules import english
 from . import segment
 
@@ -41,8 +42,13 @@ def long_sentences(sentences: DataFrame, cap: int = english.DEFAULT_MAX_WORDS, c
     return _finding(sentences.where(F.col("n_words") > cap), code)
 
 
+#: Lines whose sentences do not follow one another: headings, table rows, items that are only a link or two words.
+_APART = r"^[ \t]*(?:#|\||[-*+•][ \t]+\[[^\[\]\n]{1,300}\]\([^()\s]{0,500}\)[ \t.;,]*$|(?:[-*+•]|\d{1,3}[.)])[ \t]+\S+(?:[ \t]+\S+)?[ \t]*$)"
+
+
 def same_opening(sentences: DataFrame) -> DataFrame:
     """One finding for each run of three or more sentences with one first word: gaps and islands."""
+    sentences = sentences.where(~F.col("text").rlike(_APART))
     first = F.lower(F.regexp_extract("text", english.WORD, 0))
     rows = sentences.withColumn("first", first)
     rows = rows.withColumn("island", F.col("ord") - F.row_number().over(Window.partitionBy("doc_id", "first").orderBy("ord")))
@@ -122,7 +128,7 @@ def bangs(docs: DataFrame, most: int = 1) -> DataFrame:
 EMOJI = r"[\x{1F1E6}-\x{1F1FF}]{2}|[0-9#*]\x{FE0F}?\x{20E3}|\p{IsEmoji_Presentation}(?:\x{FE0F}|[\x{1F3FB}-\x{1F3FF}])?(?:\x{200D}.\x{FE0F}?)*"
 
 
-def emoji(docs: DataFrame, most: int = 1) -> DataFrame:
+def emoji(docs: DataFrame, most: int = 0) -> DataFrame:
     # Java 17 has no emoji property in patterns: the presentation blocks stand for it.
     pattern = EMOJI.replace(r"\p{IsEmoji_Presentation}", r"[\x{231A}\x{231B}\x{23E9}-\x{23EC}\x{2614}\x{2615}\x{26A1}\x{2705}\x{2728}\x{274C}\x{2753}-\x{2757}\x{2764}\x{2795}-\x{2797}\x{2B50}\x{2B55}\x{1F300}-\x{1F64F}\x{1F680}-\x{1F6FF}\x{1F7E0}-\x{1F7EB}\x{1F90C}-\x{1F9FF}\x{1FA70}-\x{1FAFF}]")
     rows = docs.select("doc_id", count_in(F.coalesce(F.col("text"), F.lit("")), pattern).alias("n"))
@@ -144,8 +150,18 @@ def spelling_hits(words: DataFrame) -> DataFrame:
 
 
 def spelling_mix(words: DataFrame) -> DataFrame:
-    rows = spelling_hits(words).groupBy("doc_id").agg(F.count_if(F.col("side") == "us").alias("us"), F.count_if(F.col("side") == "uk").alias("uk"))
-    return _finding(rows.where("us > 0 and uk > 0"), "en-spelling-mix", "error", line=None)
+    """US and UK evidence in one text, -ize and -ise forms, or both members of a pair; -ize alone is no US evidence."""
+    ize = F.col("family").isin("ize-ise", "yze-yse")
+    used = F.lower("word")
+    rows = spelling_hits(words).groupBy("doc_id").agg(
+        F.count_if(~ize & (F.col("side") == "us")).alias("us"),
+        F.count_if(~ize & (F.col("side") == "uk")).alias("uk"),
+        F.count_if(ize & (F.col("side") == "us")).alias("ize"),
+        F.count_if(ize & (F.col("side") == "uk")).alias("ise"),
+        F.collect_set(used).alias("used"),
+        F.collect_set("counterpart").alias("others"),
+    )
+    return _finding(rows.where("(us > 0 and uk > 0) or (ize > 0 and ise > 0) or arrays_overlap(used, others)"), "en-spelling-mix", "error", line=None)
 
 
 def spelling_variants(words: DataFrame, target: str) -> DataFrame:
@@ -179,7 +195,9 @@ def undefined_abbreviations(docs: DataFrame, stats: DataFrame, known: list[str]
     from ..functions.spans import line_of, match_spans
 
     text = F.col("text")
-    docs = docs.select("doc_id", segment.clean(text).alias("text"))
+    # Link texts are titles of others, headings are labels.
+    body = F.regexp_replace(F.regexp_replace(segment.clean(text), r"\[[^\[\]\n]{0,300}\]\(", "("), r"(?m)^[ \t]{0,3}#{1,6}[ \t].*$", "")
+    docs = docs.select("doc_id", body.alias("text"))
     hits = F.transform(match_spans(text, f"(?U){english.ABBREVIATION}"), lambda s: F.struct(s["start"].alias("start"), F.regexp_replace(s["text"], "s$", "").alias("abbr"), line_of(text, s["start"]).alias("line"), F.substring(text, s["start"], F.lit(1)).alias("before"), F.substring(text, s["end"] + 1, F.lit(2)).alias("after")))
     rows = docs.select("doc_id", F.explode(hits).alias("h")).select("doc_id", "h.*")
     rows = rows.withColumn("k", F.row_number().over(Window.partitionBy("doc_id", "abbr").orderBy("start"))).where("k = 1")
@@ -188,11 +206,13 @@ def undefined_abbreviations(docs: DataFrame, stats: DataFrame, known: list[str]
     return _finding(rows, "en-undefined-abbr")
 
 
-def vocabulary_density(words: DataFrame, pattern: str = f"(?iU)^(?:{english.AI_VOCABULARY}|{english.BUZZWORDS})$", width: int = 300, step: int = 150, least: int = 5) -> DataFrame:
-    """First window of ``width`` words, stepping by ``step``, with ``least`` distinct listed words: hits expand into their windows."""
-    hits = words.where(F.col("word").rlike(pattern)).select("doc_id", "pos", F.substring(F.lower("word"), 1, 7).alias("lemma"))
+def vocabulary_density(words: DataFrame, pattern: str = f"(?iU)^(?:{english.AI_VOCABULARY}|{english.BUZZWORDS})$", width: int = 300, step: int = 150) -> DataFrame:
+    """First window of ``width`` words, stepping by ``step``, with three distinct listed words, or five with buzzwords: hits expand into their windows."""
+    words = words.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("doc_id"))).where("n >= 150")
+    listed = F.col("word").rlike(f"(?iU)^(?:{english.AI_VOCABULARY})$")
+    hits = words.where(F.col("word").rlike(pattern)).select("doc_id", "pos", lemma(F.col("word")).alias("lemma"), F.when(listed, lemma(F.col("word"))).alias("vocabulary"))
     start = F.explode(F.sequence(F.greatest(F.lit(0), F.floor((F.col("pos") - width) / step).cast("int") + 1), F.floor(F.col("pos") / step).cast("int"))).alias("window")
-    rows = hits.select("doc_id", "lemma", start).groupBy("doc_id", "window").agg(F.count_distinct("lemma").alias("n")).where(F.col("n") >= least)
+    rows = hits.select("doc_id", "lemma", "vocabulary", start).groupBy("doc_id", "window").agg(F.count_distinct("lemma").alias("n"), F.count_distinct("vocabulary").alias("v")).where("n >= 5 or v >= 3")
     return _finding(rows.groupBy("doc_id").agg(F.min("window").alias("line")), "en-ai-vocab-density", "error", line=None)
 
 
@@ -223,16 +243,30 @@ def readability(stats: DataFrame, target: float = 10.0) -> DataFrame:
     return _finding(rows.where(F.col("reading_grade") > target), "en-readability-grade", line=None).unionByName(_finding(rows.where("reading_ease < 30"), "en-readability-fre", line=None))
 
 
-def english_document_findings(docs: DataFrame) -> DataFrame:
+def reading_stats(docs: DataFrame, stats: DataFrame) -> DataFrame:
+    """stats with n_syllables, reading_ease and reading_grade; syllables are counted once for each distinct word."""
+    words = segment.words(docs).groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("n"))
+    distinct = words.select("word").distinct().withColumn("syllables", lengths.syllables_native(F.col("word")))
+    total = words.join(distinct, "word").groupBy("doc_id").agg(F.sum(F.col("n") * F.col("syllables")).alias("n_syllables"))
+    c = F.col
+    rows = stats.join(total, "doc_id")
+    return rows.withColumns({"reading_ease": lengths.reading_ease(c("n_words"), c("n_syllables"), c("n_sentences")), "reading_grade": lengths.reading_grade(c("n_words"), c("n_syllables"), c("n_sentences"))})
+
+
+def english_document_findings(docs: DataFrame, format: str = "", max_words: int = english.DEFAULT_MAX_WORDS, emoji_max: int = 0, exclaim_max: int = 1, grade: float = 10.0) -> DataFrame:
     """All document rules over one segmentation."""
     sentences = segment.sentences(docs)
     stats = sentence_stats(sentences)
     words = segment.words(docs)
     parts = [
-        long_sentences(sentences), same_opening(sentences), flat_rhythm(stats), long_paragraphs(docs), passive_density(sentences),
-        connectors(docs, stats), dash_density(docs, stats), bold_overuse(docs, stats), inline_headers(docs), bangs(docs), emoji(docs),
-        quote_mix(docs), spelling_mix(words), undefined_abbreviations(docs, stats), vocabulary_density(words), numeral_starts(sentences), rhetorical_opening(sentences),
+        long_sentences(sentences, max_words), same_opening(sentences), flat_rhythm(stats), long_paragraphs(docs), passive_density(sentences),
+        connectors(docs, stats), dash_density(docs, stats), bold_overuse(docs, stats), inline_headers(docs), bangs(docs, exclaim_max), emoji(docs, emoji_max),
+        quote_mix(docs), spelling_mix(words), undefined_abbreviations(docs, stats), vocabulary_density(words), rhetorical_opening(sentences), isbn_findings(docs),
     ]
+    if format not in english.NUMERAL_START_OFF:
+        parts.append(numeral_starts(sentences))
+    if format in english.READ_FORMATS:
+        parts.append(readability(reading_stats(docs, stats), grade))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
