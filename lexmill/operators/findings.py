@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.spans import column_of, line_of, match_spans
+from ..functions.spans import SPAN, column_of, line_of, match_spans
 from ..rules import english, persian
 from ..rules.model import ERROR, PatternRule
 from .mask import mask_prose
@@ -103,6 +103,11 @@ def _let_through(rule: PatternRule, text: Column, span: Column) -> Column:
 def _rule_findings(rule: PatternRule, seq: int, raw: Column, masked: Column, settings: Settings) -> Column:
     text = raw if rule.raw else masked
     spans = match_spans(text, rule.regex)
+    # Most texts fail a rule's prefilter, which costs far less than its pattern.
+    if rule.starts:
+        spans = F.when(F.arrays_overlap(F.col("stems"), F.array(*map(F.lit, rule.starts.split()))), spans).otherwise(F.array()).cast(SPAN)
+    if rule.holds:
+        spans = F.when(reduce(lambda a, b: a | b, (F.contains(text, F.lit(h)) for h in rule.holds)), spans).otherwise(F.array()).cast(SPAN)
     if rule.allow and settings.allow:
         spans = F.filter(spans, lambda s: ~F.lower(s["text"]).isin([w.lower() for w in settings.allow]))
     if rule.cited:
@@ -133,6 +138,9 @@ def pattern_findings(docs: DataFrame, rules: Sequence[PatternRule], settings: Se
     Only the small finding structs are exploded; texts are read in place.
     """
     base = docs.select("doc_id", clean(F.col("text")).alias("raw")).withColumn("masked", mask_prose(F.col("raw")))
+    if any(r.starts for r in rules):
+        stems = F.transform(F.regexp_extract_all(F.lower("raw"), F.lit("[a-z]++"), F.lit(0)), lambda w: F.substring(w, 1, 4))
+        base = base.withColumn("stems", F.array_distinct(stems))
     raw, masked = F.col("raw"), F.col("masked")
     chosen = applicable(rules, settings)
     if not chosen:

@@ -37,6 +37,12 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "documents")
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """Tables of fewer splits than cores are dealt out once before per-text work; larger ones stay as read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 # Sentences of this catalogue: runs without terminators or line feeds that hold a word.
 _SENTENCES = f"""
 s0 AS (SELECT doc_id, lang, source, unnest(list_filter(regexp_extract_all(coalesce(text, ''), '[^.!?\\n]+'), lambda x: regexp_matches(x, '[A-Za-z0-9]'))) AS s FROM documents),
@@ -119,7 +125,7 @@ _WORDS = f"w AS (SELECT doc_id, lang, lower(unnest(regexp_extract_all(text, '{_W
 
 
 def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _docs(spark, sf_dir).select("doc_id", "lang", F.explode(F.regexp_extract_all("text", F.lit(english.WORD), F.lit(0))).alias("word")).withColumn("word", F.lower("word"))
+    return _spread(_docs(spark, sf_dir)).select("doc_id", "lang", F.explode(F.regexp_extract_all("text", F.lit(english.WORD), F.lit(0))).alias("word")).withColumn("word", F.lower("word"))
 
 
 @_query(f"WITH {_WORDS} SELECT lang, word, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM w GROUP BY lang, word")
@@ -142,7 +148,7 @@ SELECT gram, count(*) AS n FROM g GROUP BY gram
 """)
 def bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens = F.transform(F.regexp_extract_all("text", F.lit(english.WORD), F.lit(0)), F.lower)
-    return _docs(spark, sf_dir).select(F.explode(segment.ngrams(tokens, 2)).alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    return _spread(_docs(spark, sf_dir)).select(F.explode(segment.ngrams(tokens, 2)).alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
 
 
 @_query(f"""
@@ -389,17 +395,17 @@ def mined_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query()
 def english_pattern_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return findings.english_findings(_docs(spark, sf_dir)).select("doc_id", "line", "col", "code", "severity", "text")
+    return findings.english_findings(_spread(_docs(spark, sf_dir))).select("doc_id", "line", "col", "code", "severity", "text")
 
 
 @_query()
 def persian_pattern_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return findings.persian_findings(_docs(spark, sf_dir)).select("doc_id", "line", "col", "code", "severity", "text")
+    return findings.persian_findings(_spread(_docs(spark, sf_dir))).select("doc_id", "line", "col", "code", "severity", "text")
 
 
 @_query()
 def english_document_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return structure.english_document_findings(_docs(spark, sf_dir))
+    return structure.english_document_findings(_spread(_docs(spark, sf_dir)))
 
 
 @_query()
@@ -526,12 +532,12 @@ def latest_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query()
 def comma_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lists.series(segment.sentences(_docs(spark, sf_dir)))
+    return lists.series(segment.sentences(_spread(_docs(spark, sf_dir))))
 
 
 @_query()
 def list_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = segment.sentences(_docs(spark, sf_dir))
+    rows = segment.sentences(_spread(_docs(spark, sf_dir)))
     found = lists.series(rows)
     return lists.triads(rows, found).unionByName(lists.serial_commas(found))
 
