@@ -33,6 +33,8 @@ from .common import materialise, prepare, scratch_path, text_or_empty
 #: Byte values that no UTF-8 text has.
 PAD, END = 0xFE, 0xFF
 NO_ID = -(1 << 63)
+#: Record bytes that a writing task gets on average, at most.
+TASK_BYTES = 64 << 20
 
 
 @dataclass(frozen=True)
@@ -190,7 +192,8 @@ def write_shards(docs: DataFrame, path: str, layout: Layout = Layout()) -> int:
             rows = rows.join(bases, ["file", "block"]).sortWithinPartitions("file", "block", "row")
         records = rows.select("doc_id", "text", "file", "block", "base").mapInArrow(_records(layout, facts.total), "slot long, record binary")
         shard = F.floor(F.col("slot") / layout.shard_rows).cast("long")
-        dealt = records.withColumn("shard", shard).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "shard")
+        tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-facts.total * layout.stride // TASK_BYTES))
+        dealt = records.withColumn("shard", shard).repartition(tasks, "shard")
         ordered = dealt.sortWithinPartitions("shard", "slot").select(F.col("record").cast("string").alias("value"), "shard")
         ordered.write.partitionBy("shard").option("lineSep", "\n").text(path)
         return facts.total
