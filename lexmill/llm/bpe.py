@@ -23,7 +23,8 @@ from functools import lru_cache
 import ahocorasick
 import regex
 
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 200_000
+COMPATIBLE_ENTRIES = 300_000
 
 
 def byte_characters() -> list[str]:
@@ -66,7 +67,7 @@ class PrefixEncoder:
         self.rank, self.split = rank, split
         self.merge_rank = {vocab[a + b]: r for r, (a, b) in enumerate(merges)}
         self._vocab = vocab
-        self._compatible: dict[tuple[int, int], bool] = {}
+        self._compatible: dict[int, bool] = {}
         self._tokens = ahocorasick.Automaton()
         for token, i in vocab.items():
             form = self._form(token)
@@ -81,11 +82,12 @@ class PrefixEncoder:
         return token
 
     def compatible(self, left: int, right: int) -> bool:
-        known = self._compatible.get((left, right))
+        pair = left << 20 | right
+        known = self._compatible.get(pair)
         if known is None:
-            if len(self._compatible) > 1_000_000:
+            if len(self._compatible) >= COMPATIBLE_ENTRIES:
                 self._compatible.clear()
-            known = self._compatible[left, right] = self._stands(left, right)
+            known = self._compatible[pair] = self._stands(left, right)
         return known
 
     def _stands(self, left: int, right: int) -> bool:
@@ -119,10 +121,9 @@ class PrefixEncoder:
                 continue
             start = end + 1 - size
             if start:
-                pair = (last[start - 1], token)
-                fits = known.get(pair)
+                fits = known.get(last[start - 1] << 20 | token)
                 if fits is None:
-                    fits = self.compatible(*pair)
+                    fits = self.compatible(last[start - 1], token)
                 if not fits:
                     continue
             last.append(token)
@@ -223,22 +224,20 @@ class PieceCache(dict):
         return value
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def tokenizer_of(path: str) -> Tokenizer:
     """A worker process reads a vocabulary once, whatever the number of its tasks."""
     return Tokenizer(path)
 
 
-@lru_cache(maxsize=2)
 def token_count_cache(path: str) -> PieceCache:
-    """Tokens of whole pre-tokens."""
+    """Tokens of whole pre-tokens. A task's own: an idle worker holds none."""
     encoder = tokenizer_of(path).encoder
     return PieceCache(lambda piece: encoder.prefix_counts(mapped(piece))[-1])
 
 
-@lru_cache(maxsize=2)
 def code_cache(path: str) -> PieceCache:
-    """Ids and texts of the tokens of whole pre-tokens, each joined by a space."""
+    """Ids and texts of the tokens of whole pre-tokens, each joined by a space. A task's own."""
     tokenizer = tokenizer_of(path)
     encode, text_of = tokenizer.encoder.encode, tokenizer.text_of
 

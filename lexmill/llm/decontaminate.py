@@ -269,10 +269,10 @@ def _scan(automaton_of, names: list[str]):
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, limits: ContaminationLimits = ContaminationLimits()) -> DataFrame:
-    """The input row as one struct, its text, word count, hit word ranges (half open) and item ids."""
+    """The input row but its text as one struct, the text, word count, hit word ranges (half open) and item ids."""
     spark = docs.sparkSession
     prepare(spark)
-    out = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").cast("string").alias("text"))
+    out = docs.select(F.struct(F.lit(0).alias("__row"), *(F.col(c) for c in docs.columns if c != "text")).alias("row"), F.col("text").cast("string").alias("text"))
     carried = list(out.schema.fields)
     for automaton in shards(benchmark, limits):
         held = spark.sparkContext.broadcast(automaton)
@@ -282,10 +282,14 @@ def scan(docs: DataFrame, benchmark: DataFrame, limits: ContaminationLimits = Co
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (limits.coverage_inverse * F.col("n_hit") >= F.col("n_words")))
 
 
+def _columns(names: list[str], without: tuple[str, ...] | list[str] = ()) -> list[F.Column]:
+    return [F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in names if c not in without]
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, limits: ContaminationLimits = ContaminationLimits()) -> DataFrame:
     """The input columns, then n_words, n_hit, n_items, items and contaminated, which replace input columns of these names."""
     added = ["n_words", "n_hit", "n_items", "items", "contaminated"]
-    return scan(docs, benchmark, limits).select(*(F.col("row")[c].alias(c) for c in docs.columns if c not in added), *added)
+    return scan(docs, benchmark, limits).select(*_columns(docs.columns, added), *added)
 
 
 def items_digest() -> F.Column:
@@ -319,8 +323,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, limits: ContaminationLi
     """
     found = scan(docs, benchmark, limits)
     if drop:
-        return found.where(~F.col("contaminated")).select("row.*")
+        return found.where(~F.col("contaminated")).select(*_columns(docs.columns))
     nothing = F.array().cast("array<bigint>")
     spans = [F.when(F.col("contaminated"), F.col(c)).otherwise(nothing).alias(c) for c in ("hit_first", "hit_last")]
     cut = found.select("row", "text", *spans).mapInArrow(_cut(limits.max_span), T.StructType(list(found.schema.fields)[:2]))
-    return cut.select(*(F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns))
+    return cut.select(*_columns(docs.columns))
