@@ -18,9 +18,11 @@ from __future__ import annotations
 
 import json
 import unicodedata
+from collections.abc import Callable
 from functools import lru_cache
 
 import ahocorasick
+import numpy as np
 import regex
 
 CACHE_ENTRIES = 200_000
@@ -176,6 +178,8 @@ class Tokenizer:
         self.text_of = dict(self.encoder.text) | {i: t for t, i in self.special.items()}
         self.folded = spec["normalizer"] is not None
         splits = [p for p in (spec["pre_tokenizer"].get("pretokenizers") or [spec["pre_tokenizer"]]) if p["type"] == "Split"]
+        #: Whether no pre-token holds a space after another character.
+        self.spaced = not splits and not self.folded
         # Fixed value: the byte-level pre-token pattern of the public tokenizer.
         pattern = splits[0]["pattern"]["Regex"] if splits else r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
         self.find = regex.compile(pattern).findall
@@ -246,3 +250,41 @@ def code_cache(path: str) -> PieceCache:
         return " ".join(map(str, ids)), " ".join([text_of[i] for i in ids])
 
     return PieceCache(compute)
+
+
+class _Unclean(Exception):
+    """A word between two spaces that is empty, or begins or ends with white space."""
+
+
+def id_packer(path: str, item: str) -> Callable[[str], bytes]:
+    """Ids of a text as numbers of the type ``item``, joined. Its caches are a task's own.
+
+    A space between two other characters always begins a pre-token of a
+    byte-level tokenizer, so the words between spaces are cached whole; only
+    parts with other white space beside a space are cut by the pattern.
+    """
+    tokenizer = tokenizer_of(path)
+    encode = tokenizer.encoder.encode
+    piece = PieceCache(lambda p: np.array(encode(mapped(p)), item).tobytes()).__getitem__
+
+    def compute(word: str) -> bytes:
+        if not word or word[0].isspace() or word[-1].isspace():
+            raise _Unclean
+        return b"".join(map(piece, tokenizer.find(" " + word)))
+
+    after_space = PieceCache(compute).__getitem__
+
+    def pack_part(part: str) -> bytes:
+        if tokenizer.spaced and part:
+            first, *words = part.split(" ")
+            if first and not first[-1].isspace():
+                try:
+                    return b"".join([*map(piece, tokenizer.find(first)), *map(after_space, words)])
+                except _Unclean:
+                    pass
+        return b"".join(map(piece, tokenizer.pieces(part)))
+
+    def pack(text: str) -> bytes:
+        return b"".join([np.array([tokenizer.special[part]], item).tobytes() if k % 2 else pack_part(part) for k, part in enumerate(tokenizer.parts(text))])
+
+    return pack

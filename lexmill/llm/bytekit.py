@@ -71,10 +71,11 @@ class Texts:
 
 
 def slices(column: pa.Array, target: int = SLICE_BYTES) -> Iterator[Texts]:
-    """The rows of a string column in slices of about ``target`` bytes; nulls read as empty."""
+    """The rows of a string or binary column in slices of about ``target`` bytes; nulls read as empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = pc.fill_null(column.cast(pa.large_string()), "")
+    binary = pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type)
+    column = pc.fill_null(column.cast(pa.large_binary()), b"") if binary else pc.fill_null(column.cast(pa.large_string()), "")
     n = len(column)
     if not n:
         return

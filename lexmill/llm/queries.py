@@ -30,7 +30,7 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return training_order.materialised_order(table(spark, sf_dir, "documents"))
+    return training_order.materialised_order(table(spark, sf_dir, "documents"), training_order.Layout.of(_vocabulary("byte_bpe_50k.json")))
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,12 @@
 """Training-order materialisation: fixed-stride shards in a keyed random order.
 
-The texts of a file split form one stream of byte tokens (ids 0 to 253, one
-byte each), every text closed by ``END``, cut into sequences of a fixed
-length; only a split's last sequence is padded.  Sequences are numbered
+The texts of a file split form one stream of token ids, every text closed by
+``layout.end``, cut into sequences of a fixed length; only a split's last
+sequence is padded.  ``Layout.of`` a vocabulary gives its ids, of two bytes
+each or of four for large vocabularies; texts are encoded once, into a table
+whose splits are then counted and cut.  The two ids after the vocabulary's,
+which no text has, close and pad.  A layout without a vocabulary takes the
+bytes of the texts as tokens.  Sequences are numbered
 along the splits; a keyed Feistel permutation with cycle-walking maps the
 numbers one to one onto global slots.  A range of slots is a shard, written
 as one file whose records all have the same length, so slot ``s`` stands at
@@ -11,8 +15,8 @@ reader can stop and resume anywhere.
 
 A record is the sequence's number (8 bytes), the doc_id at its first token
 (8), that token's place in the document's tokens (8), the number of tokens
-(4, all little-endian), the tokens, and a line feed.  Null and empty texts
-are a lone ``END``; a null doc_id is stored as ``NO_ID`` and read as null;
+(4), the tokens (all little-endian), and a line feed.  Null and empty texts
+are a lone end; a null doc_id is stored as ``NO_ID`` and read as null;
 repeated rows are texts of their own.
 """
 
@@ -28,9 +32,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import bytekit as bk
+from .bpe import id_packer, tokenizer_of
 from .common import materialise, prepare, scratch_path, text_or_empty
 
-#: Byte values that no UTF-8 text has.
+#: Byte values that no UTF-8 text has, for layouts without a vocabulary.
 PAD, END = 0xFE, 0xFF
 NO_ID = -(1 << 63)
 #: Record bytes that a writing task gets on average, at most.
@@ -46,10 +51,25 @@ class Layout:
     key: int = 0x1D872B41F3A5C96E
     #: Splits up to this number are broadcast (100 bytes each); more are joined by shuffle.
     broadcast_splits: int = 50_000
+    #: Path of the tokenizer whose ids the tokens are, their type, and the ids that close a text and pad a sequence.
+    vocabulary: str | None = None
+    item: str = "u1"
+    end: int = END
+    pad: int = PAD
+
+    @classmethod
+    def of(cls, vocabulary: str, **others) -> Layout:
+        """A layout of a tokenizer's ids."""
+        size = max(tokenizer_of(vocabulary).text_of) + 1
+        return cls(vocabulary=vocabulary, item="<u2" if size + 2 <= 1 << 16 else "<u4", end=size, pad=size + 1, **others)
+
+    @property
+    def width(self) -> int:
+        return np.dtype(self.item).itemsize
 
     @property
     def record(self) -> np.dtype:
-        return np.dtype([("number", "<i8"), ("doc_id", "<i8"), ("place", "<i8"), ("n_tokens", "<i4"), ("tokens", "u1", (self.tokens,))])
+        return np.dtype([("number", "<i8"), ("doc_id", "<i8"), ("place", "<i8"), ("n_tokens", "<i4"), ("tokens", self.item, (self.tokens,))])
 
     @property
     def stride(self) -> int:
@@ -99,17 +119,17 @@ class _Packer:
 
     def __init__(self, layout: Layout, base: int):
         self.layout, self.number = layout, base
-        self.stream = np.empty(0, np.uint8)
+        self.stream = np.empty(0, layout.item)
         # Documents that begin in the held stream, and where; the first may have begun before it.
         self.docs, self.begins = np.empty(0, np.int64), np.empty(0, np.int64)
 
     def add(self, texts: bk.Texts, ids: np.ndarray) -> np.ndarray:
         rows = texts.rows
-        size = np.diff(texts.offsets)
-        joined = np.full(len(texts.data) + rows, END, np.uint8)
-        joined[np.arange(len(texts.data)) + np.repeat(np.arange(rows), size)] = texts.data
+        data, offsets = texts.data.view(self.layout.item), texts.offsets // self.layout.width
+        joined = np.full(len(data) + rows, self.layout.end, self.layout.item)
+        joined[np.arange(len(data)) + np.repeat(np.arange(rows), np.diff(offsets))] = data
         self.docs = np.concatenate([self.docs, ids])
-        self.begins = np.concatenate([self.begins, len(self.stream) + texts.offsets[:-1] + np.arange(rows)])
+        self.begins = np.concatenate([self.begins, len(self.stream) + offsets[:-1] + np.arange(rows)])
         self.stream = np.concatenate([self.stream, joined])
         return self._cut(len(self.stream) // self.layout.tokens)
 
@@ -117,7 +137,7 @@ class _Packer:
         rest = len(self.stream)
         if not rest:
             return np.empty(0, self.layout.record)
-        self.stream = np.concatenate([self.stream, np.full(self.layout.tokens - rest, PAD, np.uint8)])
+        self.stream = np.concatenate([self.stream, np.full(self.layout.tokens - rest, self.layout.pad, self.layout.item)])
         out = self._cut(1)
         out["n_tokens"] = rest
         return out
@@ -159,38 +179,53 @@ def _records(layout: Layout, total: int):
                 if places[lo] != where:
                     yield put(packer.finish())
                     where, packer = places[lo], _Packer(layout, places[lo][2])
-                for texts in bk.slices(batch.column("text").slice(lo, hi - lo)):
+                for texts in bk.slices(batch.column("tokens").slice(lo, hi - lo)):
                     yield put(packer.add(texts, ids[lo + texts.lo : lo + texts.hi]))
         yield put(packer.finish())
 
     return run
 
 
+def _encode(layout: Layout):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = id_packer(layout.vocabulary, layout.item)
+        for batch in batches:
+            tokens = pa.array(map(pack, batch.column("tokens").to_pylist()), pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), tokens], names=["doc_id", "tokens"])
+
+    return run
+
+
 def write_shards(docs: DataFrame, path: str, layout: Layout = Layout()) -> int:
     """Write all sequences of the texts to shards in ``path``; returns their number."""
     spark = docs.sparkSession
     prepare(spark)
-    try:
-        docs.select("_metadata.row_index")
-    except AnalysisException:
-        docs = materialise(docs.select("doc_id", "text"), "ordered")
+    columns = [F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("tokens")]
+    if layout.vocabulary:
+        docs = materialise(docs.select(*columns).mapInArrow(_encode(layout), "doc_id long, tokens binary"), "encoded")
+        columns = ["doc_id", "tokens"]
+    else:
+        try:
+            docs.select("_metadata.row_index")
+        except AnalysisException:
+            docs = materialise(docs.select("doc_id", "text"), "ordered")
     conf = "spark.sql.files.minPartitionNum"
     before = spark.conf.get(conf, None)
     # Both passes must cut the files alike, however many cores there are by then.
     spark.conf.set(conf, before or str(spark.sparkContext.defaultParallelism))
     try:
         place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")]
-        tokens = docs.select(*place, (F.octet_length(text_or_empty()) + 1).cast("long").alias("n")).groupBy("file", "block").agg(F.sum("n").alias("n"))
+        tokens = docs.select(*columns, *place).select("file", "block", F.octet_length("tokens").alias("size")).select("file", "block", F.expr(f"size div {layout.width} + 1").alias("n")).groupBy("file", "block").agg(F.sum("n").alias("n"))
         splits = materialise(tokens.select("file", "block", F.ceil(F.col("n") / layout.tokens).cast("long").alias("n")), "splits")
         running = Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)  # one row for each split
         bases = splits.select("file", "block", F.coalesce(F.sum("n").over(running), F.lit(0)).alias("base"))
         facts = splits.agg(F.count(F.lit(1)).alias("splits"), F.coalesce(F.sum("n"), F.lit(0)).alias("total")).first()
-        rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"), *place, F.col("_metadata.row_index").alias("row"))
+        rows = docs.select(*columns, *place, F.col("_metadata.row_index").alias("row"))
         if facts.splits <= layout.broadcast_splits:
             rows = rows.join(F.broadcast(bases), ["file", "block"])
         else:
             rows = rows.join(bases, ["file", "block"]).sortWithinPartitions("file", "block", "row")
-        records = rows.select("doc_id", "text", "file", "block", "base").mapInArrow(_records(layout, facts.total), "slot long, record binary")
+        records = rows.select("doc_id", "tokens", "file", "block", "base").mapInArrow(_records(layout, facts.total), "slot long, record binary")
         shard = F.floor(F.col("slot") / layout.shard_rows).cast("long")
         tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-facts.total * layout.stride // TASK_BYTES))
         dealt = records.withColumn("shard", shard).repartition(tasks, "shard")
@@ -220,7 +255,7 @@ def _read(layout: Layout, first: int, last: int | None):
 
 
 def read_shards(spark: SparkSession, path: str, layout: Layout = Layout(), first: int = 0, last: int | None = None) -> DataFrame:
-    """slot, number, doc_id, place, n_tokens and tokens of the slots from ``first`` up to ``last`` (not included); other shards are not opened."""
+    """slot, number, doc_id, place, n_tokens and tokens (bytes of the ids) of the slots from ``first`` up to ``last`` (not included); other shards are not opened."""
     prepare(spark)
     files = spark.read.format("binaryFile").load(path)
     shard = F.regexp_extract("path", "shard=([0-9]+)", 1).cast("long")

@@ -55,6 +55,31 @@ def test_training_order_round_trip(spark, docs, tmp_path):
     assert training_order.materialised_order(docs([])).count() == 0
 
 
+def test_training_order_holds_vocabulary_ids(spark, docs, tmp_path):
+    import public_tokenizers
+    from tokenizers import Tokenizer as Library
+
+    rng = random.Random(11)
+    vocabulary = public_tokenizers.path("byte_bpe_50k.json")
+    odd = [None, "", " ", " a  b", "a\n b\n\nc ", "it's \u00a0x\x1f y", "x <|endoftext|> y", "é👍 ü" * 50, "ends ", "\tz"]
+    texts = odd + [_prose(rng, rng.randint(1, 200)) for _ in range(40)]
+    texts += ["".join(rng.choice("ab  \n\t'.,0é👍\x1c\u3000") for _ in range(rng.randint(0, 60))) for _ in range(300)]
+    layout = training_order.Layout.of(vocabulary, tokens=100, shard_rows=16)
+    path = str(tmp_path / "shards")
+    training_order.write_shards(docs(texts), path, layout)
+    rows = sorted(training_order.read_shards(spark, path, layout).collect(), key=lambda r: r.number)
+    assert all(len(r.tokens) == 2 * r.n_tokens for r in rows)
+    stream = np.concatenate([np.frombuffer(bytes(r.tokens), "<u2") for r in rows])
+    ends = np.flatnonzero(stream == layout.end)
+    got = sorted(part[part != layout.end].tolist() for part in np.split(stream, ends + 1)[:-1])
+    want = [e.ids for e in Library.from_file(vocabulary).encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    assert ends[-1] == len(stream) - 1 and got == sorted(want)
+    for r in rows:
+        whole = np.array([*want[r.doc_id], layout.end], "<u2")
+        head = whole[r.place : r.place + r.n_tokens]
+        assert len(head) and np.frombuffer(bytes(r.tokens), "<u2")[: len(head)].tolist() == head.tolist()
+
+
 def _contamination(text, items):
     words = _tokens(text)
     hit, found = set(), set()
