@@ -2,7 +2,8 @@ r"""Personal data by patterns, checksums and context, in DataFrame functions onl
 
 Each kind has a pattern that proposes spans, a validator on the matched
 text (digit counts, octets, Luhn, mod-97) and a score that words shortly
-before the span raise.  The patterns are written so that a search is linear
+before the span raise; in a list of such spans, parted by separators only, the
+words before the first count for all.  The patterns are written so that a search is linear
 in the text: possessive runs, and look-behinds that let a match start only
 where a left-most search could (``\G`` is the end of the match before).
 
@@ -138,6 +139,8 @@ KINDS = (
     ),
 )
 
+#: What may stand between the spans of a list.
+_LISTED = r"^[\s,;:/|&.()-]{0,8}(?:(?:and|or|und|oder|et|ou|y|o)[\s,;:]{1,4})?$"
 _SPAN = "array<struct<start:int,rank:int,kind:string,end:int,score:double>>"
 
 
@@ -146,14 +149,18 @@ def _placed(kind: Kind, rank: int, text: Column) -> Column:
     hits = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
     pieces = F.split(text, kind.pattern, -1)
     pairs = F.zip_with(hits, F.slice(pieces, 1, F.greatest(F.lit(0), F.size(pieces) - 1)), lambda hit, before: F.struct(hit.alias("hit"), before.alias("before")))
-    nothing = F.array().cast("array<struct<start:int,end:int,hit:string,before:string>>")
-    start = F.struct(F.lit(0).alias("at"), nothing.alias("out"))
+    nothing = F.array().cast("array<struct<start:int,end:int,hit:string,named:boolean>>")
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"), F.lit(False).alias("named"), nothing.alias("out"))
+    last_chars = lambda *parts: F.substring(F.concat(*parts), -CONTEXT_CHARS, CONTEXT_CHARS)
 
     def step(acc: Column, pair: Column) -> Column:
         first = acc["at"] + F.length(pair["before"])
         last = first + F.length(pair["hit"])
-        span = F.struct(first.alias("start"), last.alias("end"), pair["hit"].alias("hit"), F.substring(pair["before"], -CONTEXT_CHARS, CONTEXT_CHARS).alias("before"))
-        return F.struct(last.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
+        # The text before the span, whatever matches it holds: the tail carried from the last match, and the piece since.
+        before = last_chars(acc["tail"], pair["before"])
+        named = before.rlike(f"(?i)(?:{kind.context})") | (acc["named"] & pair["before"].rlike(f"(?i){_LISTED}"))
+        span = F.struct(first.alias("start"), last.alias("end"), pair["hit"].alias("hit"), named.alias("named"))
+        return F.struct(last.alias("at"), last_chars(before, pair["hit"]).alias("tail"), named.alias("named"), F.concat(acc["out"], F.array(span)).alias("out"))
 
     placed = F.aggregate(pairs, start, step, lambda acc: acc["out"])
     valid = F.filter(placed, lambda s: kind.valid(s["hit"]))
@@ -164,7 +171,7 @@ def _placed(kind: Kind, rank: int, text: Column) -> Column:
             F.lit(rank).alias("rank"),
             F.lit(kind.name).alias("kind"),
             s["end"].alias("end"),
-            F.least(F.lit(1.0), F.lit(kind.score) + F.when(s["before"].rlike(f"(?i)(?:{kind.context})"), F.lit(0.3)).otherwise(F.lit(0.0))).alias("score"),
+            F.least(F.lit(1.0), F.lit(kind.score) + F.when(s["named"], F.lit(0.3)).otherwise(F.lit(0.0))).alias("score"),
         ),
     )
     if not kind.base:

@@ -56,6 +56,16 @@ def test_pii_adds_checked_kinds_and_redacts(spark, docs):
     assert pii.redact(wide).columns == wide.columns and pii.digest(wide).count() == len(texts)
 
 
+def test_pii_context_reaches_over_earlier_spans(docs):
+    numbers = ["123-45-6789", "234-56-7890", "345-67-8901", "456-78-9012", "567-89-0123"]
+    texts = ["SSN: 123-45-6789, 234-56-7890", "SSN: " + ", ".join(numbers[:-1]) + " and " + numbers[-1], "SSN 123-45-6789 and then " + "x" * 40 + " 234-56-7890", "parts 123-45-6789, 234-56-7890", "SSN 123-45-6789 or part 234-56-7890", "123-45-6789, ssn 234-56-7890"]
+    got = {r.doc_id: r.spans for r in pii.digest(docs(texts)).collect()}
+    assert got[0] == "ssn:5:16,ssn:18:29" and got[1].count("ssn") == 5 and got[2] == "ssn:4:15" and got[3] == ""
+    assert got[4] == "ssn:4:15,ssn:24:35" and got[5] == "ssn:17:28"
+    clean = {r.doc_id: r.text for r in pii.redact(docs(texts)).collect()}
+    assert clean[0] == "SSN: [SSN], [SSN]" and not any(n in clean[1] for n in numbers)
+
+
 def _quality_counts(text):
     text = text or ""
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
