@@ -17,6 +17,8 @@ Null and empty texts have no words, no detections and score 0.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -147,7 +149,10 @@ def _detections(text: Column) -> Column:
     for number, (_, keyword, name, _) in enumerate(FAMILIES):
         own = F.array(*(F.struct(F.lit(r.label).alias("label"), F.lit(r.pattern).alias("pattern"), F.lit(r.priority).alias("priority"), F.lit(r.strength).alias("strength")) for r in RULES if r.family == number))
         # Every rule of a family holds the family's name.
-        named = F.contains(low, F.lit(keyword)) & text.rlike(rf"(?i)(?<![0-9A-Za-z]){name}(?![0-9A-Za-z])") if keyword not in ("mit", "bsd") else text.rlike(rf"(?i)(?<![0-9A-Za-z]){name}(?![0-9A-Za-z])")
+        named = text.rlike(rf"(?i)(?<![0-9A-Za-z]){name}(?![0-9A-Za-z])")
+        if keyword not in ("mit", "bsd"):
+            # Word by word: whatever separates a keyword's words in the text.
+            named = reduce(and_, (F.contains(low, F.lit(word)) for word in keyword.split())) & named
         families.append(F.when(named, own))
     tried = F.flatten(F.filter(F.array(*families), lambda f: f.isNotNull()))
 

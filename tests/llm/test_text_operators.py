@@ -167,6 +167,26 @@ def test_license_rules_order_and_suppression(docs):
     assert len(licenses.RULES) > 200
 
 
+def test_license_gates_pass_wrapped_names(docs):
+    cases = {
+        "GNU Lesser\nGeneral Public License": "lgpl",
+        "the GNU General\nPublic License, version 3": "gpl-3.0",
+        "All rights\nreserved": "proprietary",
+        "SIL Open  Font\nLicense 1.1": "ofl-1.1",
+        "European\nUnion Public Licence 1.2": "eupl-1.2",
+        "released into the public\ndomain": "public-domain",
+        "GNU Free\nDocumentation License": "gfdl",
+        "Common\nDevelopment and Distribution License": "cddl",
+        "Common\tPublic License": "cpl",
+        "Open\nSoftware License": "osl",
+        "Microsoft\nPublic License": "ms-pl",
+        "Open\nDatabase License": "odbl",
+    }
+    got = {r.doc_id: r.labels.split(",") for r in licenses.digest(docs(list(cases))).collect()}
+    for i, (text, label) in enumerate(cases.items()):
+        assert label in got[i], text
+
+
 def test_empty_tables(spark, docs):
     none = docs([])
     path = public_tokenizers.path("byte_bpe_50k.json")
