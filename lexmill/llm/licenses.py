@@ -75,6 +75,45 @@ FAMILIES = (
     ),
     ("public-domain", "public domain", r"(?:released|placed|dedicated)\W{1,3}(?:in)?to\W{1,3}the\W{1,3}public\W{1,3}domain", ""),
     ("proprietary", "all rights reserved", r"all\W{1,3}rights\W{1,3}reserved", ""),
+    # Identifiers that are words of another kind elsewhere, on an SPDX line.
+    *(
+        (label, "spdx", rf"{name}(?<=spdx\W{{1,3}}licen[cs]e\W{{1,3}}identifier\W[^\r\n]{{0,200}})", versions)
+        for label, name, versions in (
+            ("mit", "mit(?:-0)?", ""),
+            ("isc", "isc", ""),
+            ("zlib", "zlib", ""),
+            ("bsd-0-clause", "0bsd", ""),
+            ("epl", "epl", "1.0 2.0"),
+            ("cddl", "cddl", "1.0 1.1"),
+            ("cpl", "cpl", "1.0"),
+            ("eupl", "eupl", "1.0 1.1 1.2"),
+            ("artistic", "artistic", "1.0 2.0"),
+            ("bsl", "bsl", "1.0"),
+            ("ofl", "ofl", "1.0 1.1"),
+            ("osl", "osl", "1.0 2.0 2.1 3.0"),
+            ("ms-pl", "ms-pl", ""),
+            ("psf", "(?:psf|python)", "2"),
+            ("odbl", "odbl", "1.0"),
+            ("gfdl", "gfdl", "1.1 1.2 1.3"),
+        )
+    ),
+)
+
+# A license's own wording as (label, keyword, words); any short separator may stand between words.
+WORDINGS = (
+    ("mit", "hereby granted", r"permission is hereby granted free of charge(?!\W{1,8}to\W{1,8}any\W{1,8}person\W{1,8}or\W)"),
+    ("bsl", "hereby granted", r"permission is hereby granted free of charge to any person or organization"),
+    ("isc", "hereby granted", r"permission to use copy modify (?:and\W{1,8}(?:or\W{1,8})?)?distribute this software for any purpose with or without fee is hereby granted"),
+    ("bsd", "redistribution binary", r"redistribution and use in source and binary forms"),
+    ("bsd-3-clause", "neither endorse", r"neither the names? of [^.]{0,200}?may be used to endorse or promote products"),
+    ("bsd-4-clause", "advertising materials", r"all advertising materials mentioning features or use of this software must display"),
+    *((f"gpl-{v}", "general public", rf"gnu general public licen[cs]e as published by the free software foundation (?:either\W{{1,8}})?version {v[0]}(?:\.0)?") for v in ("1.0", "2.0", "3.0")),
+    *((f"lgpl-{v}", "lesser general", rf"gnu lesser general public licen[cs]e as published by the free software foundation (?:either\W{{1,8}})?version {n}") for v, n in (("2.1", r"2\.1"), ("3.0", r"3(?:\.0)?"))),
+    *((f"agpl-{v}", "affero", rf"gnu affero general public licen[cs]e as published by the free software foundation (?:either\W{{1,8}})?version {v[0]}(?:\.0)?") for v in ("1.0", "3.0")),
+    ("mpl", "source code form", r"this source code form is subject to the terms of the mozilla public licen[cs]e"),
+    ("zlib", "express implied warranty", r"this software is provided as is without any express or implied warranty in no event will the authors"),
+    ("unlicense", "unencumbered", r"this is free and unencumbered software released into the public domain"),
+    ("wtfpl", "what want", r"do what the f\W?u\W?c\W?k you want to public licen[cs]e"),
 )
 
 
@@ -91,7 +130,7 @@ def rules() -> list[Rule]:
     """Every family's rules, most specific first: a declared version, a version, a declared name, a name."""
     out = []
     lead = r"(?:licen[cs]ed|released|distributed|available|published)\W{1,3}(?:under|subject\W{1,3}to)\W{1,3}(?:the\W{1,3}|a\W{1,3})?(?:terms\W{1,3}of\W{1,3}the\W{1,3})?"
-    edge = r"(?![0-9A-Za-z])"
+    edge = EDGE
     for family, (label, _, name, versions) in enumerate(FAMILIES):
         for version in versions.split():
             number = version.split("-")[0]
@@ -99,12 +138,16 @@ def rules() -> list[Rule]:
             if "clause" in version:
                 forms = [rf"{short}\W{{0,2}}clause\W{{1,3}}{name}", rf"{name}\W{{1,3}}{short}\W{{0,2}}clause"]
             else:
-                forms = [rf"{name}(?:\W{{1,3}}licen[cs]e)?\W{{1,3}}(?:version\W{{1,3}}|v\W{{0,2}})?{short}(?:\W{{1,2}}(?:or\W{{1,3}}later|only))?"]
+                # Short forms have the number or a v right after the name, except where that could end in a digit.
+                gap = "1" if label == "cc0" else "0"
+                forms = [rf"{name}(?:\W{{1,3}}licen[cs]e)?(?:\W{{1,3}}version\W{{0,3}}|\W{{0,3}}v\W{{0,2}}|\W{{{gap},3}}){short}(?:\W{{1,2}}(?:or\W{{1,3}}later|only))?"]
             for form in forms:
                 out.append(Rule(f"{label}-{version}", family, rf"(?i)(?<![0-9A-Za-z]){lead}{form}(?![0-9A-Za-z]|\.[0-9])", 4, 1.0))
                 out.append(Rule(f"{label}-{version}", family, rf"(?i)(?<![0-9A-Za-z]){form}(?![0-9A-Za-z]|\.[0-9])", 3, 0.9))
         out.append(Rule(label, family, rf"(?i)(?<![0-9A-Za-z]){lead}{name}{edge}", 2, 0.8))
         out.append(Rule(label, family, rf"(?i)(?<![0-9A-Za-z]){name}{edge}", 1, 0.5))
+    for family, (label, _, words) in enumerate(WORDINGS, len(FAMILIES)):
+        out.append(Rule(label, family, rf"(?i)(?<![0-9A-Za-z]){worded(words)}{edge}", 3, 0.9))
     return out
 
 
@@ -114,10 +157,18 @@ def re_number(number: str) -> str:
     return head + (r"(?:\.0)?" if tail == "0" else rf"\.{tail}" if tail else "")
 
 
+def worded(words: str) -> str:
+    """A wording with any short separator between its words: it is wrapped, often inside comments."""
+    return words.replace(" ", r"\W{1,8}")
+
+
+#: After a name no letter or digit stands, but a version may.
+EDGE = r"(?![0-9A-Za-z])"
+_SHORT_EDGE = r"(?:(?![0-9A-Za-z])|(?=v?\W{0,2}[0-9]))"
 RULES = rules()
 #: Keywords that are words of their own kind elsewhere need what follows them.
-_NARROW = {"mit": r"(?:mit|expat)\W{1,3}licen", "cc": r"cc\W{1,3}by", "python": r"python\W{1,3}(?:licen|soft)", "commons": r"creative\W{1,3}commons", "bsd": r"(?:bsd|[0-4]\W{0,2}clause)"}
-_KEYWORD_GATE = r"(?i)(?<![0-9A-Za-z])(?:" + "|".join(sorted({_NARROW.get(f[1], f[1].split()[0]) for f in FAMILIES} | {_NARROW["mit"], "gnu", "apache", rf"cc{_BREAK}+by", rf"mit{_BREAK}+licen"})) + ")"
+_NARROW = {"mit": r"(?:mit|expat)\W{1,3}licen", "cc": r"cc\W{1,3}by", "python": r"python\W{1,3}(?:licen|soft)", "commons": r"creative\W{1,3}commons", "bsd": r"(?:bsd|[0-4]\W{0,2}clause)", "spdx": r"spdx\W{1,3}licen"}
+_KEYWORD_GATE = r"(?i)(?<![0-9A-Za-z])(?:" + "|".join(sorted({_NARROW.get(f[1], f[1].split()[0]) for f in FAMILIES} | {_NARROW["mit"], "gnu", "apache", rf"cc{_BREAK}+by", rf"mit{_BREAK}+licen", *(" ".join(w[2].split()[:2]).replace(" ", r"\W{1,8}") for w in WORDINGS)})) + ")"
 _HIT = "array<struct<start:int,neg_end:int,neg_priority:int,end:int,priority:int,label:string,strength:double>>"
 
 
@@ -146,10 +197,10 @@ def _detections(text: Column) -> Column:
     """Kept detections of the rules whose keywords occur."""
     low = F.lower(text)
     families = []
-    for number, (_, keyword, name, _) in enumerate(FAMILIES):
+    for number, (_, keyword, name, *_) in enumerate((*FAMILIES, *((label, k, worded(w)) for label, k, w in WORDINGS))):
         own = F.array(*(F.struct(F.lit(r.label).alias("label"), F.lit(r.pattern).alias("pattern"), F.lit(r.priority).alias("priority"), F.lit(r.strength).alias("strength")) for r in RULES if r.family == number))
         # Every rule of a family holds the family's name.
-        named = text.rlike(rf"(?i)(?<![0-9A-Za-z]){name}(?![0-9A-Za-z])")
+        named = text.rlike(rf"(?i)(?<![0-9A-Za-z]){name}{_SHORT_EDGE}")
         if keyword not in ("mit", "bsd"):
             # Word by word: whatever separates a keyword's words in the text.
             named = reduce(and_, (F.contains(low, F.lit(word)) for word in keyword.split())) & named
