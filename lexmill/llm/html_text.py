@@ -1,18 +1,21 @@
 """Main-text extraction by equivalence-class template deduction.
 
-Pages of one host share a template.  Every page is cut into tokens: tags
-with their path, and text blocks with theirs.  A token's occurrence vector
+Pages of one host share a template.  Every page is cut into tokens: opening
+and closing tags of elements with their path, class and id, and text blocks
+with their path.  A token's occurrence vector
 says how often it occurs on each page of the host; it is kept as a sum of
 page hashes weighted by the counts, which partial aggregation can merge, so
 no host's pages ever meet in one task.  Tokens with equal vectors form an
-equivalence class.  A class is valid if it covers most pages of the host
-and has two tokens or more; valid classes nest by their tokens' paths into
-the template, and what the template fixes is no content.
+equivalence class.  A class is valid if it covers most pages of the host,
+has two tokens or more, and is ordered: on most of its pages its tokens
+follow each other in one order, once or several times over.  As tags stand
+with their paths and both their ends, ordered tokens nest.  The valid classes
+are the template, and what the template fixes is no content, wherever it is.
 
-The slots that remain are read in page order.  Slots inside boilerplate
-elements (menus, headers, footers, side bars, notices, adverts, forms,
-scripts, comments) are left out; if a page has an article or main element,
-only slots inside it count, and the template only decides elsewhere.
+The slots that remain are read in page order, and then checked by names:
+slots inside boilerplate elements (menus, headers, footers, side bars,
+notices, adverts, forms, scripts, comments) are left out, and if a page has
+an article or main element, only slots inside it count.
 
 Null and empty pages give an empty text; a null url is a host of its own.
 """
@@ -33,7 +36,8 @@ from .common import materialise, prepare
 #: Template classes need this share of a host's pages, and this many pages.
 MIN_SUPPORT = 0.9
 MIN_PAGES = 5
-#: Template tokens kept for a host at most are those with the widest support; a page's own tokens bound their use.
+#: Tokens of a valid class, at least.
+MIN_TOKENS = 2
 _TOKEN = regex.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(?P<raw>script|style|textarea|title|noscript|template|svg|iframe|select|button)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[a-zA-Z/][^<>]*\Z|[^<]+|<",
     regex.S | regex.I,
@@ -60,6 +64,14 @@ def _hash(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"))
 
 
+def text_token(path: str, text: str) -> int:
+    return _hash(f"{path}\0{text}")
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >= 1 << 63 else x
+
+
 def _is_boilerplate(tag: str, attrs: str) -> bool:
     if tag in _BOILERPLATE:
         return True
@@ -78,8 +90,11 @@ def _is_boilerplate(tag: str, attrs: str) -> bool:
     return False
 
 
-def blocks(page: str) -> list[tuple[str, str, bool, bool]]:
-    """Text blocks in page order: path, text, whether in boilerplate, whether in an article or main element."""
+def blocks(page: str, stream: list[int] | None = None) -> list[tuple[str, str, bool, bool]]:
+    """Text blocks in page order: path, text, whether in boilerplate, whether in an article or main element.
+
+    ``stream`` takes the hashes of all tokens, tags and texts, in page order.
+    """
     out: list[tuple[str, str, bool, bool]] = []
     stack: list[tuple[str, bool, bool]] = []  # tag, boilerplate, main
     text: list[str] = []
@@ -88,9 +103,25 @@ def blocks(page: str) -> list[tuple[str, str, bool, bool]]:
         if text:
             joined = " ".join(entities.unescape("".join(text)).split())
             if joined:
-                out.append(("/".join(t for t, _, _ in stack), joined, any(b for _, b, _ in stack), any(m for _, _, m in stack)))
+                path = "/".join(t for t, _, _ in stack)
+                out.append((path, joined, any(b for _, b, _ in stack), any(m for _, _, m in stack)))
+                if stream is not None:
+                    stream.append(text_token(path, joined))
             text.clear()
 
+    def opened(tag: str, boilerplate: bool, main: bool, attrs: str) -> None:
+        stack.append((tag, boilerplate, main))
+        if stream is not None:
+            names = sorted((n.lower(), a or b or c) for n, a, b, c in _ATTR.findall(attrs) if n.lower() in ("class", "id")) if attrs else ()
+            stream.append(_hash(f"{'/'.join(t for t, _, _ in stack)}\1<{names}"))
+
+    def closed(i: int) -> None:
+        """Close the elements of the stack from ``i`` on, innermost first."""
+        while len(stack) > i:
+            if stream is not None:
+                stream.append(_hash("/".join(t for t, _, _ in stack) + "\1>"))
+            stack.pop()
+
     for m in _TOKEN.finditer(page):
         tag = m["tag"]
         if tag is None:
@@ -107,26 +138,26 @@ def blocks(page: str) -> list[tuple[str, str, bool, bool]]:
         if tag not in _BLOCKS:
             attrs = m["attrs"]
             if attrs and not m["close"] and tag not in _VOID and not attrs.rstrip().endswith("/") and _is_boilerplate(tag, attrs):
-                stack.append((tag, True, False))
+                opened(tag, True, False, attrs)
             elif m["close"] and any(t == tag for t, _, _ in stack):
-                _pop(stack, tag, flush)
+                _pop(stack, tag, flush, closed)
             continue
         flush()
         if m["close"]:
-            _pop(stack, tag, flush)
+            _pop(stack, tag, flush, closed)
         elif tag not in _VOID:
             if tag in _ENDS_P and stack and stack[-1][0] == "p":
-                stack.pop()
-            stack.append((tag, _is_boilerplate(tag, m["attrs"]), tag in _MAIN))
+                closed(len(stack) - 1)
+            opened(tag, _is_boilerplate(tag, m["attrs"]), tag in _MAIN, m["attrs"])
     flush()
     return out
 
 
-def _pop(stack: list[tuple[str, bool, bool]], tag: str, flush) -> None:
+def _pop(stack: list[tuple[str, bool, bool]], tag: str, flush, closed) -> None:
     for i in range(len(stack) - 1, -1, -1):
         if stack[i][0] == tag:
             flush()
-            del stack[i:]
+            closed(i)
             return
 
 
@@ -138,26 +169,64 @@ def host_of(url: str | None) -> str | None:
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per host and token of a batch: pages, the count-weighted sum of page hashes, and the path depth; token 0 counts pages."""
+    """Per host and token of a batch: pages, and the count-weighted sum of page hashes; token 0 counts pages."""
     for batch in batches:
         pages: Counter = Counter()
         vector: Counter = Counter()
         for page_id, url, page in zip(batch.column("page_id").to_pylist(), batch.column("url").to_pylist(), batch.column("html").to_pylist(), strict=True):
             host = host_of(url) or ""
-            counts = Counter(_hash(f"{path}\0{text}") for path, text, _, main in blocks(page) if not main)
+            stream: list[int] = []
+            blocks(page, stream)
+            counts = Counter(stream)
             mark = _hash(f"{page_id}\0{url}")
             pages[host, 0] += 1
             for token, n in counts.items():
                 pages[host, token] += 1
                 vector[host, token] = (vector[host, token] + n * mark) & _MASK
         hosts = [h for h, _ in pages]
-        signed = lambda x: x - (1 << 64) if x >= 1 << 63 else x
         yield pa.RecordBatch.from_arrays(
-            [pa.array(hosts, pa.string()), pa.array([signed(t) for _, t in pages], pa.int64()), pa.array(list(pages.values()), pa.int64()), pa.array([signed(vector[k]) for k in pages], pa.int64())],
+            [pa.array(hosts, pa.string()), pa.array([_signed(t) for _, t in pages], pa.int64()), pa.array(list(pages.values()), pa.int64()), pa.array([_signed(vector[k]) for k in pages], pa.int64())],
             names=["host", "token", "pages", "vector"],
         )
 
 
+def order_of(tokens: list[int]) -> int:
+    """The order in which a class's tokens follow each other on a page, as a hash; 0 if they do not repeat one order."""
+    size = len(set(tokens))
+    if len(tokens) % size or any(t != tokens[i % size] for i, t in enumerate(tokens)):
+        return 0
+    return _hash(",".join(map(str, tokens[:size])))
+
+
+def _orders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per host, class and order of its tokens: pages of a batch."""
+    for batch in batches:
+        seen: Counter = Counter()
+        class_of: dict[str, dict[int, int]] = {}
+        classes = batch.column("classes")
+        for i, (host, page) in enumerate(zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True)):
+            if host not in class_of:
+                class_of[host] = {t & _MASK: c["class"] for c in classes[i].as_py() for t in c["tokens"]}
+            stream: list[int] = []
+            blocks(page, stream)
+            found: dict[int, list[int]] = {}
+            for token in stream:
+                if (number := class_of[host].get(token)) is not None:
+                    found.setdefault(number, []).append(token)
+            for number, tokens in found.items():
+                seen[host, number, order_of(tokens)] += 1
+        keys = list(seen)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([h for h, _, _ in keys], pa.string()), pa.array([n for _, n, _ in keys], pa.int64()), pa.array([_signed(o) for _, _, o in keys], pa.int64()), pa.array([seen[k] for k in keys], pa.int64())],
+            names=["host", "class", "order", "n"],
+        )
+
+
+def _with_host(pages: DataFrame) -> DataFrame:
+    host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), "^(?:[^/]*//)?(?:[^/?#]*@)?([^/?#]*)", 1))
+    return pages.withColumn("host", host)
+
+
 def templates(pages: DataFrame) -> DataFrame:
     """Per host: the tokens of its valid equivalence classes."""
     rows = pages.select("page_id", "url", "html").mapInArrow(_tokens, "host string, token long, pages long, vector long")
@@ -169,19 +238,25 @@ def templates(pages: DataFrame) -> DataFrame:
     token = materialise(token, "tokens")
     total = token.where("token = 0").select("host", F.col("pages").alias("host_pages"))
     wide = token.where("token != 0").join(total, "host").where((F.col("host_pages") >= MIN_PAGES) & (F.col("pages") >= MIN_SUPPORT * F.col("host_pages")))
-    classes = wide.groupBy("host", "vector", "pages").agg(F.collect_set("token").alias("tokens"))
-    return classes.groupBy("host").agg(F.flatten(F.collect_list("tokens")).alias("template"))
+    classes = wide.groupBy("host", F.col("vector").alias("class"), "pages").agg(F.collect_set("token").alias("tokens")).where(F.size("tokens") >= MIN_TOKENS)
+    classes = materialise(classes, "classes")
+    per_host = materialise(classes.groupBy("host").agg(F.collect_list(F.struct("class", "tokens")).alias("classes")), "host-classes")
+    met = _with_host(pages).join(per_host, "host").select("host", "html", "classes").mapInArrow(_orders, "host string, class long, order long, n long")
+    orders = met.where("order != 0").groupBy("host", "class", "order").agg(F.sum("n").alias("n"))
+    ordered = orders.groupBy("host", "class").agg(F.max("n").alias("n"))
+    valid = classes.join(ordered, ["host", "class"]).where(F.col("n") >= MIN_SUPPORT * F.col("pages"))
+    return valid.groupBy("host").agg(F.flatten(F.collect_list("tokens")).alias("template"))
 
 
 def main_text(page: str, template: frozenset[int] | set[int]) -> str:
-    """The content slots of a page, joined by blank lines."""
+    """The content slots of a page, joined by blank lines: the template decides, then the names."""
     found = blocks(page)
     has_main = any(main for _, _, _, main in found)
     kept = []
     for path, text, boilerplate, main in found:
-        if boilerplate or (has_main and not main):
+        if template and text_token(path, text) in template:
             continue
-        if not main and template and _hash(f"{path}\0{text}") in template:
+        if boilerplate or (has_main and not main):
             continue
         kept.append(text)
     return "\n\n".join(kept)
@@ -200,6 +275,5 @@ def extract(pages: DataFrame) -> DataFrame:
     prepare(pages.sparkSession)
     narrow = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     found = materialise(templates(narrow), "templates")
-    host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), "^(?:[^/]*//)?(?:[^/?#]*@)?([^/?#]*)", 1))
-    joined = narrow.withColumn("host", host).join(found, "host", "left").select("page_id", "url", "html", "template")
+    joined = _with_host(narrow).join(found, "host", "left").select("page_id", "url", "html", "template")
     return joined.mapInArrow(_extract, "page_id long, url string, text string, n_chars long")

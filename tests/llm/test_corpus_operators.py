@@ -251,6 +251,18 @@ def test_html_main_text(spark):
     assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_html_template_classes(spark):
+    page = '<body><article><p class="by">Written by our desk</p><p>Story {i} of today</p><p>{odd}</p></article></body>'
+    rows = [(i, f"http://news.example/{i}", page.replace("{i}", str(i)).replace("{odd}", "Alone" if i else "Other")) for i in range(12)]
+    # One order on even pages and another on odd ones: not a template.
+    rows += [(100 + i, f"http://mixed.example/{i}", f"<p>{'Left' if i % 2 else 'Right'}</p><p>{'Right' if i % 2 else 'Left'}</p>") for i in range(12)]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    # The template decides inside the article too; "Alone" is on 11 of 12 pages, but a class of one token.
+    assert [got[i] for i in range(12)] == [f"Story {i} of today\n\n{'Alone' if i else 'Other'}" for i in range(12)]
+    assert got[100] == "Right\n\nLeft" and got[101] == "Left\n\nRight"
+    assert html_text.order_of([1, 2, 1, 2]) == html_text.order_of([1, 2]) != html_text.order_of([2, 1]) and html_text.order_of([1, 1, 2, 2]) == 0
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
