@@ -33,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -352,6 +352,8 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The input rows without those whose component has a smaller doc_id."""
+    """The input rows without those whose component has a smaller doc_id, and without repeats of a doc_id and text."""
     found = jaccard_components(docs).where("doc_id != component_id").select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    kept = docs.join(found, "doc_id", "left_anti").select(F.struct(*docs.columns).alias("row"))
+    same = Window.partitionBy(F.col("row.doc_id"), F.sha2(F.coalesce(F.col("row.text"), F.lit("")), 256)).orderBy(F.lit(0))
+    return kept.withColumn("n", F.row_number().over(same)).where("n = 1 or row.doc_id is null").select("row.*")

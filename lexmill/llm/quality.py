@@ -19,7 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -161,7 +161,7 @@ def measure(texts: bk.Texts, window: int) -> dict[str, np.ndarray]:
     return out
 
 
-def _features(window: int):
+def _features(window: int, keyed: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for texts in bk.slices(batch.column("text")):
@@ -178,22 +178,30 @@ def _features(window: int):
                         pa.ListArray.from_arrays(bins, pa.array(m["char_hist"].astype(np.int64).ravel())),
                         pa.ListArray.from_arrays(ends, pa.array(at.astype(np.int32))),
                         pa.ListArray.from_arrays(ends, pa.array(m["word_hist"][row, at].astype(np.int32))),
+                        *([part.column("text_key")] if keyed else []),
                     ],
-                    names=FEATURES.names,
+                    names=[*FEATURES.names, *(["text_key"] if keyed else [])],
                 )
 
     return run
 
 
-def features(docs: DataFrame, limits: QualityLimits = QualityLimits()) -> DataFrame:
-    """One row of counts and histograms per text."""
+def _text_key(text: Column, lang: Column) -> Column:
+    """What a verdict depends on besides the references."""
+    return F.sha2(F.concat(F.coalesce(lang.cast("string"), F.lit("und")), F.lit("\0"), F.coalesce(text.cast("string"), F.lit(""))), 256)
+
+
+def features(docs: DataFrame, limits: QualityLimits = QualityLimits(), keyed: bool = False) -> DataFrame:
+    """One row of counts and histograms per text; ``keyed`` adds a hash of language and text."""
     prepare(docs.sparkSession)
     narrow = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
         F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"),
+        *([_text_key(F.col("text"), F.col("lang")).alias("text_key")] if keyed else []),
     )
-    return narrow.select("doc_id", "lang", "text").mapInArrow(_features(limits.window), FEATURES)
+    schema = T.StructType([*FEATURES.fields, *([T.StructField("text_key", T.StringType())] if keyed else [])])
+    return narrow.mapInArrow(_features(limits.window, keyed), schema)
 
 
 def references(measured: DataFrame) -> DataFrame:
@@ -249,22 +257,25 @@ def judge(measured: DataFrame, reference: DataFrame, limits: QualityLimits = Qua
         F.when(judged_chars, _shares_distance(shares("char_hist", F.col("n_chars")), F.col("ref_char_share"))).alias("char_distance"),
         F.when(judged_words & (F.col("n_common") >= limits.min_common_judged), word_distance).alias("word_distance"),
         F.when(judged_words, 100 * F.col("n_common") < limits.min_common_percent * F.col("n_words")).alias("few_common"),
+        *(["text_key"] if "text_key" in measured.columns else []),
     )
     far = (F.coalesce(F.col("char_distance"), F.lit(0.0)) > limits.max_char_distance) | (F.coalesce(F.col("word_distance"), F.lit(0.0)) > limits.max_word_distance) | F.coalesce(F.col("few_common"), F.lit(False))
     return scored.withColumn("kept", ~F.col("base_failed") & ~far)
 
 
-def quality(docs: DataFrame, limits: QualityLimits = QualityLimits()) -> DataFrame:
+def quality(docs: DataFrame, limits: QualityLimits = QualityLimits(), keyed: bool = False) -> DataFrame:
     """Counts, distances and verdict of every text: one row per input row.
 
     Empty and null texts have no words, fail the base rules and are not kept.
     """
-    measured = materialise(features(docs, limits), "quality")
+    measured = materialise(features(docs, limits, keyed), "quality")
     # As a table of known size the planner broadcasts the few references, so no text row moves by language.
     return judge(measured, materialise(references(measured), "references"), limits)
 
 
 def keep_good(docs: DataFrame, limits: QualityLimits = QualityLimits()) -> DataFrame:
-    """The input rows without rejected texts; verdicts are looked up by doc_id, and rows without a doc_id go."""
-    bad = quality(docs, limits).where("not kept").select("doc_id").distinct()
-    return docs.where("doc_id is not null").join(bad, "doc_id", "left_anti").select(*docs.columns)
+    """The input rows without rejected texts; a verdict is that of a row's own text and language, whatever its doc_id."""
+    bad = quality(docs, limits, keyed=True).where("not kept").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct()
+    # The doc_id only deals out the copies of a text.
+    same = docs["doc_id"].cast("long").eqNullSafe(bad["__id"]) & (_text_key(docs["text"], docs["lang"]) == bad["__key"])
+    return docs.join(bad, same, "left_anti")

@@ -263,6 +263,19 @@ def test_html_template_classes(spark):
     assert html_text.order_of([1, 2, 1, 2]) == html_text.order_of([1, 2]) != html_text.order_of([2, 1]) and html_text.order_of([1, 1, 2, 2]) == 0
 
 
+def test_keep_stages_judge_rows_not_ids(spark):
+    from lexmill.llm import quality
+
+    rng = random.Random(21)
+    good = [_prose(rng, 60) for _ in range(4)]
+    rows = [(None, good[0], "en"), (1, good[1], "en"), (1, "too short", "en"), (None, "too short", "en"), (2, good[2], "en")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert sorted(r.text for r in quality.keep_good(frame).collect()) == sorted(good[:3])
+    rows = [(5, good[0], "en"), (5, good[0], "en"), (6, good[0], "en"), (7, good[3], "en"), (None, good[2], "en"), (None, good[2], "en")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert sorted((r.doc_id or 0, r.text) for r in jaccard.keep_one(frame).collect()) == sorted([(5, good[0]), (7, good[3]), (0, good[2]), (0, good[2])])
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
