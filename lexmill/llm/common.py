@@ -6,15 +6,25 @@ import atexit
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN_DIR: str | None = None
+#: Scratch paths with their sessions, and the open scopes' paths.
+_PATHS: dict[str, SparkSession] = {}
+_SCOPES: list[list[str]] = []
 
 #: Arrow batches of long texts stay small, so a worker holds a few MB at a time.
 ARROW_ROWS = 512
 ARROW_BYTES = "16m"
+#: Ids broadcast as a table, at most; and bits of a broadcast bitmap.
+BROADCAST_IDS = 200_000
+BITMAP_BITS = 1 << 28
 
 
 def prepare(spark: SparkSession) -> None:
@@ -29,23 +39,29 @@ def prepare(spark: SparkSession) -> None:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); an own temporary one only where it is unset."""
+    """The cluster's shared folder (spark.checkpoint.dir); an own temporary one only where it is unset and all runs on this machine."""
     global _OWN_DIR
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return shared.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if _OWN_DIR is None:
         _OWN_DIR = tempfile.mkdtemp(prefix="lexmill-")
     return f"file://{_OWN_DIR}"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; it goes with the scope it is made in, or at exit."""
     path = f"{scratch_dir(spark)}/lexmill/{name}-{uuid.uuid4().hex}"
-    atexit.register(_remove, spark, path)
+    _PATHS[path] = spark
+    if _SCOPES:
+        _SCOPES[-1].append(path)
     return path
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+def release(path: str) -> None:
+    spark = _PATHS.pop(path, None)
     try:
         jvm = spark.sparkContext._jvm
         where = jvm.org.apache.hadoop.fs.Path(path)
@@ -54,14 +70,92 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+@atexit.register
+def _release_all() -> None:
+    for path in list(_PATHS):
+        release(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Frees the tables made inside when it ends, but those written by the function it gives."""
+    paths: list[str] = []
+    _SCOPES.append(paths)
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        out = materialise(df, name)
+        path = paths.pop()
+        if len(_SCOPES) > 1:
+            _SCOPES[-2].append(path)
+        return out
+
+    try:
+        yield keep
+    finally:
+        _SCOPES.pop()
+        for path in paths:
+            release(path)
+
+
+def materialise(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Cut lineage: write to the shared folder as Parquet and read it back."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+class _Bits:
+    """A hashed bitmap of ids: says no only where an id is none of them."""
+
+    def __init__(self, words: np.ndarray, size: int):
+        self.words, self.size = words, size
+
+    def holds(self, hashed: np.ndarray) -> np.ndarray:
+        at = hashed.view(np.uint64) & np.uint64(self.size - 1)
+        return (self.words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)) == 1
+
+
+def maybe_in(ids: DataFrame, column: str, value: Column) -> Column:
+    """Whether a value may be one of the ids of a written table: a filter before an exact join, of bounded size.
+
+    The bitmap has 16 bits an id, up to ``BITMAP_BITS``; beyond that it only passes more.
+    """
+    spark = ids.sparkSession
+    size = 1 << 16
+    while size < min(BITMAP_BITS, 16 * ids.count()):
+        size *= 2
+    at = F.xxhash64(F.col(column).cast("long")).bitwiseAND(size - 1)
+    bits = ids.select(at.alias("at")).selectExpr("shiftright(at, 6) AS word", "shiftleft(1L, cast(at & 63 AS int)) AS bit")
+    table_ = bits.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    words = np.zeros(size >> 6, np.uint64)
+    words[table_.column("word").to_numpy()] = table_.column("bits").to_numpy().view(np.uint64)
+    held = spark.sparkContext.broadcast(_Bits(words, size))
+
+    @F.pandas_udf("boolean")
+    def may(hashed: pd.Series) -> pd.Series:
+        return pd.Series(held.value.holds(hashed.to_numpy(np.int64)))
+
+    return may(F.xxhash64(value.cast("long")))
+
+
+def without_ids(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    """Rows whose id is none of a written table's; a null id is none.
+
+    Rows that the bitmap clears stay where they are; the others meet the table itself.
+    """
+    if ids.isEmpty():
+        return rows
+    n = ids.count()
+    right = ids.select(F.col(ids.columns[0]).cast("long").alias("__id"))
+    same = rows[column].cast("long") == right["__id"]
+    if n <= BROADCAST_IDS:
+        return rows.join(F.broadcast(right), same, "left_anti")
+    marked = rows.select(F.struct(*rows.columns).alias("row"), F.col(column).cast("long").alias("id")).withColumn("may", maybe_in(ids, ids.columns[0], F.col("id")))
+    clear = marked.where("not may").select("row.*")
+    return clear.unionByName(marked.where("may").join(right, F.col("id") == F.col("__id"), "left_anti").select("row.*"))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
