@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .quality import CHAR_CLASSES, COMMON_VOCABULARY, QualityLimits
+from .quality import CHAR_CLASSES, QualityLimits
 
 WARC = """
 WITH p AS (
@@ -57,33 +57,37 @@ _CLASSES = {
 
 def quality_sql(limits: QualityLimits = QualityLimits()) -> str:
     counts = ", ".join(f"CAST(len(regexp_extract_all(t, '{_CLASSES[c]}')) AS BIGINT)" for c in CHAR_CLASSES)
-    listed = ", ".join("'" + w.replace("'", "''") + "'" for w in COMMON_VOCABULARY)
     half = "CASE WHEN {p} > 0 THEN {p} * log2({p} / (({p} + {q}) / 2)) ELSE 0 END"
     both = half.format(p="p", q="q") + " + " + half.format(p="q", q="p")
     spaced = r"[^\x20\x09-\x0D]+"
+    classes = len(CHAR_CLASSES) + 1
     return f"""
 WITH t AS (SELECT doc_id, coalesce(lang, 'und') AS lang, coalesce(text, '') AS t FROM documents),
 w AS (SELECT doc_id, lang, t, regexp_extract_all(t, '{spaced}') AS w, [{counts}] AS h,
-  list_filter(regexp_extract_all(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x80-\\x{{10FFFF}}]+'), lambda x: list_contains([{listed}], x)) AS c FROM t),
+  regexp_extract_all(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x80-\\x{{10FFFF}}]+') AS c FROM t),
 win AS (SELECT doc_id, j, array_to_string(w[j : j + 7], ' ') AS win FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS j FROM w WHERE len(w) >= 8)),
 rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(j, j + 8)) AS p FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, win) AS k FROM win) WHERE k > 1) GROUP BY doc_id),
 lin AS (SELECT doc_id, count(*) - count(DISTINCT l) AS n FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM t) WHERE regexp_matches(l, '{spaced}') GROUP BY doc_id),
-rc AS (SELECT lang, k, CAST(sum(h[k]) AS DOUBLE) AS n FROM (SELECT lang, h, unnest(range(1, {len(CHAR_CLASSES) + 1})) AS k FROM w) GROUP BY lang, k),
-rct AS (SELECT lang, k, n / sum(n) OVER (PARTITION BY lang) AS q, sum(n) OVER (PARTITION BY lang) AS total FROM rc),
-dc AS (SELECT doc_id, lang, k, h[k] / CAST(greatest(1, list_sum(h)) AS DOUBLE) AS p, list_sum(h) AS n_chars FROM (SELECT doc_id, lang, h, unnest(range(1, {len(CHAR_CLASSES) + 1})) AS k FROM w)),
-cd AS (SELECT doc_id, any_value(n_chars) AS n_chars, any_value(total) AS total, sqrt(greatest(0, sum({both}) / 2)) AS d FROM dc JOIN rct USING (lang, k) GROUP BY doc_id),
-rw AS (SELECT lang, x, count(*) / CAST(sum(count(*)) OVER (PARTITION BY lang) AS DOUBLE) AS q, sum(count(*)) OVER (PARTITION BY lang) AS total FROM (SELECT lang, unnest(c) AS x FROM w) GROUP BY lang, x),
-dw AS (SELECT doc_id, lang, x, count(*) / CAST(any_value(m) AS DOUBLE) AS p FROM (SELECT doc_id, lang, len(c) AS m, unnest(c) AS x FROM w) GROUP BY doc_id, lang, x),
-wd AS (SELECT doc_id, any_value(total) AS total, sqrt(least(1, greatest(0, sum({both}) / 2) + greatest(0, 1 - sum(q)) / 2)) AS d FROM dw JOIN rw USING (lang, x) GROUP BY doc_id),
-lt AS (SELECT lang, count(*) AS total FROM (SELECT lang, unnest(c) AS x FROM w) GROUP BY lang),
-m AS (SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, CAST(list_sum(list_transform(w.w, lambda x: length(x))) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
-  coalesce(lin.n, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, len(w.c) AS n_common, cd.n_chars, cd.total AS ref_chars, cd.d AS cdist, wd.d AS wdist, coalesce(lt.total, 0) AS ref_common
-  FROM w LEFT JOIN lin USING (doc_id) LEFT JOIN rep USING (doc_id) LEFT JOIN cd USING (doc_id) LEFT JOIN wd USING (doc_id) LEFT JOIN lt ON w.lang = lt.lang),
-j AS (SELECT *, n_words < {limits.min_words} OR 100 * n_repeat_words > {limits.max_repeat_percent} * n_words AS base_failed, n_words >= {limits.min_words_judged} AND ref_common >= {limits.min_reference_common} AS judged FROM m)
-SELECT doc_id, n_words, coalesce(word_chars, 0) AS word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND NOT (
-    (n_chars >= {limits.min_chars_judged} AND ref_chars >= {limits.min_reference_chars} AND cdist > {limits.max_char_distance})
-    OR (judged AND n_common >= {limits.min_common_judged} AND coalesce(wdist, 0) > {limits.max_word_distance})
-    OR (judged AND 100 * n_common < {limits.min_common_percent} * n_words)) AS kept
+m AS (SELECT w.*, len(w.w) AS nw, coalesce(rep.n, 0) AS nr, coalesce(lin.n, 0) AS nl,
+  len(w.w) < {limits.min_words} OR 100 * coalesce(rep.n, 0) > {limits.max_repeat_percent} * len(w.w) AS failed FROM w LEFT JOIN rep USING (doc_id) LEFT JOIN lin USING (doc_id)),
+tot AS (SELECT * FROM (SELECT lang, sum(len(c)) AS total FROM m WHERE NOT failed GROUP BY lang) WHERE total > 0 AND total * {limits.language_one_in} >= (SELECT sum(len(c)) FROM m WHERE NOT failed)),
+cnt AS (SELECT lang, x, count(*) AS n FROM (SELECT lang, unnest(c) AS x FROM m WHERE NOT failed) GROUP BY lang, x),
+com AS (SELECT lang, x, n, CAST(floor(log2(row_number() OVER (PARTITION BY lang ORDER BY n DESC, x))) AS BIGINT) AS k FROM cnt JOIN tot USING (lang) WHERE n * {limits.common_one_in} >= total),
+bins AS (SELECT lang, coalesce(max(k), -1) + 2 AS bins, coalesce(sum(n), 0) AS listed FROM tot LEFT JOIN com USING (lang) GROUP BY lang),
+rw AS (SELECT lang, k, sum(n) / CAST(any_value(total) AS DOUBLE) AS q FROM com JOIN tot USING (lang) GROUP BY lang, k
+  UNION ALL SELECT lang, bins - 1 AS k, (total - listed) / CAST(total AS DOUBLE) AS q FROM bins JOIN tot USING (lang)),
+dk AS (SELECT doc_id, lang, k, count(*) AS n FROM (SELECT doc_id, lang, unnest(c) AS x FROM m) JOIN com USING (lang, x) GROUP BY doc_id, lang, k),
+dall AS (SELECT doc_id, lang, k, n FROM dk UNION ALL SELECT m.doc_id, m.lang, any_value(bins) - 1 AS k, any_value(len(c)) - coalesce(sum(dk.n), 0) AS n FROM m JOIN bins ON m.lang = bins.lang LEFT JOIN dk ON m.doc_id = dk.doc_id GROUP BY m.doc_id, m.lang),
+dw AS (SELECT m.doc_id, rw.k, q, coalesce(dall.n, 0) / CAST(greatest(1, len(c)) AS DOUBLE) AS p FROM m JOIN rw ON m.lang = rw.lang LEFT JOIN dall ON m.doc_id = dall.doc_id AND rw.k = dall.k),
+wd AS (SELECT doc_id, greatest(0, sum({both}) / 2) AS d FROM dw GROUP BY doc_id),
+rc AS (SELECT lang, k, sum(h[k]) / CAST(sum(sum(h[k])) OVER (PARTITION BY lang) AS DOUBLE) AS q FROM (SELECT lang, h, unnest(range(1, {classes})) AS k FROM m WHERE NOT failed) GROUP BY lang, k),
+dc AS (SELECT doc_id, lang, k, h[k] / CAST(greatest(1, list_sum(h)) AS DOUBLE) AS p FROM (SELECT doc_id, lang, h, unnest(range(1, {classes})) AS k FROM m)),
+cd AS (SELECT doc_id, sqrt(greatest(0, sum({both}) / 2)) AS d FROM dc JOIN rc USING (lang, k) GROUP BY doc_id),
+j AS (SELECT m.*, coalesce({limits.reference_times} * len(c) <= total, FALSE) AS sure, cd.d AS chars, sqrt(greatest(0, wd.d - (bins - 1) / (8 * ln(2) * greatest(1, len(c))))) AS words
+  FROM m LEFT JOIN tot USING (lang) LEFT JOIN bins USING (lang) LEFT JOIN cd USING (doc_id) LEFT JOIN wd USING (doc_id))
+SELECT doc_id, CAST(nw AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+  nl AS n_dup_lines, nr AS n_repeat_words, failed AS base_failed,
+  NOT failed AND NOT (sure AND (
+    (length(t) >= {limits.min_chars_judged} AND coalesce(chars, 0) > {limits.max_char_distance}) OR (len(c) >= {limits.min_words_judged} AND coalesce(words, 0) > {limits.max_word_distance}))) AS kept
 FROM j
 """

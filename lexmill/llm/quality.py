@@ -1,41 +1,46 @@
 """Quality rules by distribution divergence.
 
 Each text is reduced in one vectorised pass to word, symbol, line and
-window counts and to two histograms: over character classes and over the
-common words of the supported languages.  The reference of a language is
-the sum of both histograms over all its texts of the corpus.  A text is
-rejected if its Jensen-Shannon distance to the reference of its language
-exceeds the limit on either histogram; guards leave short texts, and
-languages with little evidence, unjudged.
-
-Null texts have no words (they fail the base rules); a null language is
-judged as language ``und``.
+window counts and to two histograms: over character classes, and over the
+common words of its language.  A language's common words are those that make
+up a thousandth of its words or more; they are found in the texts
+themselves.  Blocks of text propose the words that are frequent in them (a
+word with a share of the whole has that share in some block), a second pass
+counts the proposed ones exactly.  The histogram's bins are rank classes, the
+first word, the next two, the next four and so on, and all other words.
+
+The reference of a language is the sum of both histograms over its texts
+that pass the base rules.  A text is rejected if its Jensen-Shannon distance
+to it, less what chance alone gives a text of its length, exceeds the limit
+on either histogram.  Guards leave unjudged: short texts, texts that are a
+large part of their language's words, and languages with a tiny share of the
+corpus, which also bounds what is broadcast.
+
+Null and empty texts have no words: they fail the base rules and are not
+kept.  A null language is the language ``und``.  Repeated rows are judged
+alike, each by itself; input columns of any name pass through unread.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import bytekit as bk
-from .common import materialise, prepare
-
-# Frequent function words of the four reference languages.
-COMMON_WORDS = {
-    "en": "the of and to in a is that for it on was be with as by this are at from or an not have but which you they his her we all can had were there been their has will if more no out so what up when your about who",
-    "de": "der die und den von zu das mit sich des auf für ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach wird bei einer um am sind noch wie einem über so zum war haben nur oder aber vor zur bis mehr",
-    "fr": "de la le et les des en un du une que est pour qui dans par plus pas au sur ne se ce il sont avec ou son aux mais comme été on elle cette nous vous leur être sa deux ont ses tout fait aussi",
-    "es": "de la que el en y a los del se las por un para con no una su al lo como más pero sus le ya o este sí porque esta entre cuando muy sin sobre también me hasta hay donde quien desde todo nos durante",
-}
+from .common import materialise, prepare, scratch
 
 #: Names of the character classes, in histogram order.
 CHAR_CLASSES = ("lower", "upper", "digit", "space", "newline", "stop", "quote", "bracket", "symbol", "non_ascii", "control")
+#: Bytes of text in which one proposal of common words is made.
+BLOCK_BYTES = 8 << 20
 
 
 @dataclass(frozen=True)
@@ -46,13 +51,18 @@ class QualityLimits:
     max_repeat_percent: int = 30
     window: int = 8
     max_char_distance: float = 0.31
-    max_word_distance: float = 0.62
+    max_word_distance: float = 0.34
     min_chars_judged: int = 300
-    min_words_judged: int = 50
-    min_common_judged: int = 30
-    min_common_percent: int = 5
-    min_reference_chars: int = 20_000
-    min_reference_common: int = 1_000
+    min_words_judged: int = 40
+    #: A common word is one in this many words of its language, or more frequent.
+    common_one_in: int = 1_000
+    #: A text is judged if its language has this many times its words.
+    reference_times: int = 20
+    #: Languages are judged if one in this many words of the corpus is theirs.
+    language_one_in: int = 10_000
+
+    def base_failed(self, n_words, n_repeat_words):
+        return (n_words < self.min_words) | (100 * n_repeat_words > self.max_repeat_percent * n_words)
 
 
 def _char_classes() -> np.ndarray:
@@ -69,33 +79,22 @@ def _char_classes() -> np.ndarray:
     return table
 
 
-def _common() -> tuple[np.ndarray, list[str]]:
-    names = sorted({w for words in COMMON_WORDS.values() for w in words.split()})
-    raw = [w.encode() for w in names]
-    data = np.frombuffer(b"".join(raw), np.uint8)
-    end = np.cumsum([len(w) for w in raw])
-    return bk.span_hashes(data, end - [len(w) for w in raw], end, bk.LOWERED), names
-
-
 _CLASS_OF = _char_classes()
-_COMMON_HASH, COMMON_VOCABULARY = _common()
-_COMMON_ORDER = np.argsort(_COMMON_HASH)
-_COMMON_SORTED = _COMMON_HASH[_COMMON_ORDER]
 _SYMBOL = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", np.uint8))
-_STRIP = bk.class_table((0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A), (0x80, 0xFF))
-
+#: Words of the histogram: letters, digits and non-ASCII characters, A-Z in lower case.
+_PLAIN = bk.ALNUM
+_COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_chars", "n_plain")
 FEATURES = T.StructType(
     [
         T.StructField("doc_id", T.LongType()),
         T.StructField("lang", T.StringType()),
-        *(T.StructField(c, T.LongType()) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")),
-        T.StructField("n_chars", T.LongType()),
-        T.StructField("n_common", T.LongType()),
+        *(T.StructField(c, T.LongType()) for c in _COUNTS),
         T.StructField("char_hist", T.ArrayType(T.LongType(), False)),
         T.StructField("word_at", T.ArrayType(T.IntegerType(), False)),
         T.StructField("word_n", T.ArrayType(T.IntegerType(), False)),
     ]
 )
+VERDICT = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, char_distance double, word_distance double, kept boolean"
 
 
 def _totals(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -118,8 +117,44 @@ def _repeats(hashes: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return later, shared
 
 
-def measure(texts: bk.Texts, window: int) -> dict[str, np.ndarray]:
-    """The counts and histograms of a slice of texts."""
+def _repeat_words(hashes: np.ndarray, first: np.ndarray, row: np.ndarray, window: int) -> np.ndarray:
+    """Words of each row inside windows that the row has twice or more."""
+    value, at = bk.windows(hashes, first, window)
+    _, shared = _repeats(value, row[at]) if len(at) else (None, np.empty(0, bool))
+    edge = np.zeros(len(hashes) + 1, np.int64)
+    np.add.at(edge, at[shared], 1)
+    np.add.at(edge, at[shared] + window, -1)
+    return _totals(np.cumsum(edge)[:-1] > 0, first)
+
+
+class CommonWords:
+    """Proposed common words by language, found by hash; ``names`` has each language's words in order."""
+
+    def __init__(self, names: dict[str, list[str]]):
+        self.names = names
+        self.salt = {lang: np.uint64(k + 1) for k, lang in enumerate(sorted(names))}
+        keys, places = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+        for lang, words in names.items():
+            raw = [w.encode() for w in words]
+            size = np.array([len(w) for w in raw], np.int64)
+            end = np.cumsum(size)
+            hashes = bk.span_hashes(np.frombuffer(b"".join(raw), np.uint8), end - size, end, bk.LOWERED)
+            keys.append(bk.mix64(hashes ^ bk.mix64(self.salt[lang] + np.zeros(1, np.uint64))))
+            places.append(np.arange(len(words)))
+        order = np.argsort(np.concatenate(keys))
+        self.keys, self.places = np.concatenate(keys)[order], np.concatenate(places)[order]
+
+    def places_of(self, hashes: np.ndarray, salts: np.ndarray) -> np.ndarray:
+        """Place of each word in its language's list; -1 if it has none."""
+        if not len(self.keys):
+            return np.full(len(hashes), -1, np.int64)
+        key = bk.mix64(hashes ^ bk.mix64(salts))
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where((self.keys[at] == key) & (salts > 0), self.places[at], -1)
+
+
+def measure(texts: bk.Texts, langs: list[str], window: int, common: CommonWords) -> dict[str, np.ndarray]:
+    """The counts and histograms of a slice of texts; common words as (row, place, count) cells."""
     data, offsets, rows = texts.data, texts.offsets, texts.rows
     w = bk.words(texts, bk.SPACED)
     hashes = bk.span_hashes(data, w.start, w.end, bk.CASED)
@@ -129,15 +164,9 @@ def measure(texts: bk.Texts, window: int) -> dict[str, np.ndarray]:
         "word_chars": _totals(lead & bk.SPACED[data], offsets),
         "n_symbols": _totals(_SYMBOL[data], offsets),
         "n_chars": _totals(lead, offsets),
+        "n_repeat_words": _repeat_words(hashes, w.first, w.row, window),
     }
 
-    value, at = bk.windows(hashes, w.first, window)
-    _, shared = _repeats(value, w.row[at]) if len(at) else (None, np.empty(0, bool))
-    edge = np.zeros(len(hashes) + 1, np.int64)
-    np.add.at(edge, at[shared], 1)
-    np.add.at(edge, at[shared] + window, -1)
-    out["n_repeat_words"] = _totals(np.cumsum(edge)[:-1] > 0, w.first)
-
     lines = bk.words(texts, bk.class_table((10, 10), inverted=True))
     line_hash = bk.span_hashes(data, lines.start, lines.end, bk.CASED)
     worded = np.zeros(len(data) + 1, np.int64)
@@ -151,131 +180,251 @@ def measure(texts: bk.Texts, window: int) -> dict[str, np.ndarray]:
     width = len(CHAR_CLASSES)
     out["char_hist"] = np.bincount(row_of * width + of, minlength=rows * width).reshape(rows, width)
 
-    plain = bk.words(texts, _STRIP)
-    plain_hash = bk.span_hashes(data, plain.start, plain.end, bk.LOWERED)
-    found = np.minimum(np.searchsorted(_COMMON_SORTED, plain_hash), len(_COMMON_SORTED) - 1)
-    hit = _COMMON_SORTED[found] == plain_hash
-    width = len(COMMON_VOCABULARY)
-    out["word_hist"] = np.bincount(plain.row[hit] * width + _COMMON_ORDER[found[hit]], minlength=rows * width).reshape(rows, width)
-    out["n_common"] = out["word_hist"].sum(axis=1)
+    plain = bk.words(texts, _PLAIN)
+    out["n_plain"] = plain.counts
+    salts = np.array([common.salt.get(lang, 0) for lang in langs], np.uint64)
+    place = common.places_of(bk.span_hashes(data, plain.start, plain.end, bk.LOWERED), salts[plain.row])
+    hit = np.flatnonzero(place >= 0)
+    cell, n = np.unique(plain.row[hit] << 32 | place[hit], return_counts=True)
+    out["cell_row"], out["cell_at"], out["cell_n"] = cell >> 32, cell & 0xFFFFFFFF, n
     return out
 
 
-def _features(window: int, keyed: bool):
+def _texts(docs: DataFrame) -> DataFrame:
+    prepare(docs.sparkSession)
+    return docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
+        F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"),
+    )
+
+
+def _proposals(limits: QualityLimits):
+    """Per block and language: the words that may be common, and (as a null word) the number of all words."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, list] = defaultdict(list)
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            out: list[tuple[str, str | None, int]] = []
+            for lang, parts in held.items():
+                value, back = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+                n = np.bincount(back, weights=np.concatenate([p[1] for p in parts]), minlength=len(value)).astype(np.int64)
+                total = int(n.sum())
+                out.append((lang, None, total))
+                # Half the share that makes a word common: what blocks hold back then never hides one.
+                often = set(np.flatnonzero(2 * limits.common_one_in * n >= total).tolist())
+                at = 0
+                for value_part, _, data, start, end in parts:
+                    for j in range(len(value_part)):
+                        k = int(back[at + j])
+                        if k in often:
+                            often.discard(k)
+                            out.append((lang, bytes(data[start[j] : end[j]]).lower().decode(), int(n[k])))
+                    at += len(value_part)
+            held.clear()
+            lang, word, n = zip(*out, strict=True) if out else ((), (), ())
+            return pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(word, pa.string()), pa.array(n, pa.int64())], names=["lang", "word", "n"])
+
+        for batch in batches:
+            for texts in bk.slices(batch.column("text")):
+                w = bk.words(texts, bk.SPACED)
+                repeats = _repeat_words(bk.span_hashes(texts.data, w.start, w.end, bk.CASED), w.first, w.row, limits.window)
+                passed = ~limits.base_failed(w.counts, repeats)
+                code = batch.column("lang").slice(texts.lo, texts.rows).dictionary_encode()
+                plain = bk.words(texts, _PLAIN)
+                hashes = bk.span_hashes(texts.data, plain.start, plain.end, bk.LOWERED)
+                of = np.where(passed, code.indices.to_numpy(), -1)[plain.row]
+                for k, lang in enumerate(code.dictionary.to_pylist()):
+                    own = np.flatnonzero(of == k)
+                    value, first, n = np.unique(hashes[own], return_index=True, return_counts=True)
+                    if len(value):
+                        held[lang].append((value, n, texts.data, plain.start[own[first]], plain.end[own[first]]))
+                size += len(texts.data)
+                if size >= BLOCK_BYTES:
+                    yield flush()
+                    size = 0
+        yield flush()
+
+    return run
+
+
+def common_words(docs: DataFrame, limits: QualityLimits = QualityLimits()) -> CommonWords:
+    """Every language's words that may be common: at most twice ``common_one_in`` for each of at most ``language_one_in`` languages."""
+    rows = _texts(docs).select("text", "lang").mapInArrow(_proposals(limits), "lang string, word string, n long")
+    found = materialise(rows.groupBy("lang", "word").agg(F.sum("n").alias("n")), "proposals")
+    totals = found.where("word is null").select("lang", F.col("n").alias("total"))
+    everything = totals.agg(F.coalesce(F.sum("total"), F.lit(0))).first()[0]
+    large = totals.where(F.col("total") * limits.language_one_in >= everything)
+    kept = found.where("word is not null").join(large, "lang")
+    table = kept.where(F.col("n") * (2 * limits.common_one_in) >= F.col("total")).select("lang", "word").orderBy("lang", "word").toArrow()
+    names: dict[str, list[str]] = {row.lang: [] for row in large.select("lang").collect()}
+    for lang, word in zip(table.column("lang").to_pylist(), table.column("word").to_pylist(), strict=True):
+        names[lang].append(word)
+    return CommonWords(names)
+
+
+def _features(window: int, common):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = common.value
         for batch in batches:
             for texts in bk.slices(batch.column("text")):
-                m = measure(texts, window)
                 part = batch.slice(texts.lo, texts.rows)
-                row, at = np.nonzero(m["word_hist"])
-                ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=texts.rows))]).astype(np.int32)
+                m = measure(texts, part.column("lang").to_pylist(), window, words)
+                ends = np.concatenate([[0], np.cumsum(np.bincount(m["cell_row"], minlength=texts.rows))]).astype(np.int32)
                 bins = np.arange(texts.rows + 1, dtype=np.int32) * len(CHAR_CLASSES)
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("doc_id"),
                         part.column("lang"),
-                        *(pa.array(m[c].astype(np.int64)) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_chars", "n_common")),
+                        *(pa.array(m[c].astype(np.int64)) for c in _COUNTS),
                         pa.ListArray.from_arrays(bins, pa.array(m["char_hist"].astype(np.int64).ravel())),
-                        pa.ListArray.from_arrays(ends, pa.array(at.astype(np.int32))),
-                        pa.ListArray.from_arrays(ends, pa.array(m["word_hist"][row, at].astype(np.int32))),
-                        *([part.column("text_key")] if keyed else []),
+                        pa.ListArray.from_arrays(ends, pa.array(m["cell_at"].astype(np.int32))),
+                        pa.ListArray.from_arrays(ends, pa.array(m["cell_n"].astype(np.int32))),
                     ],
-                    names=[*FEATURES.names, *(["text_key"] if keyed else [])],
+                    names=FEATURES.names,
                 )
 
     return run
 
 
-def _text_key(text: Column, lang: Column) -> Column:
-    """What a verdict depends on besides the references."""
-    return F.sha2(F.concat(F.coalesce(lang.cast("string"), F.lit("und")), F.lit("\0"), F.coalesce(text.cast("string"), F.lit(""))), 256)
+@dataclass(frozen=True)
+class Reference:
+    """One language: shares of the character classes and of the rank classes, the rank class of each listed word, all words."""
+
+    chars: np.ndarray
+    words: np.ndarray
+    class_of: np.ndarray
+    total: int
+
+
+def references(measured: DataFrame, common: CommonWords, limits: QualityLimits = QualityLimits()) -> dict[str, Reference]:
+    """The references of the languages with listed words (a few thousand numbers each)."""
+    passed = measured.where(~limits.base_failed(F.col("n_words"), F.col("n_repeat_words"))).where(F.col("lang").isin(list(common.names)))
+    sums = passed.groupBy("lang").agg(F.sum("n_plain").alias("total"), *(F.sum(F.col("char_hist")[i]).alias(f"c{i}") for i in range(len(CHAR_CLASSES)))).collect()
+    cells = passed.select("lang", F.explode(F.arrays_zip("word_at", "word_n")).alias("w")).groupBy("lang", F.col("w.word_at").alias("at")).agg(F.sum("w.word_n").cast("long").alias("n"))
+    counts = {lang: np.zeros(len(words), np.int64) for lang, words in common.names.items()}
+    table = cells.toArrow()
+    for lang, at, n in zip(*(table.column(c).to_pylist() for c in ("lang", "at", "n")), strict=True):
+        counts[lang][at] = n
+    out = {}
+    for row in sums:
+        n = counts[row.lang]
+        chars = np.array([row[f"c{i}"] for i in range(len(CHAR_CLASSES))], float)
+        # By count, then by the word itself: lists are in the order of words.
+        ranked = np.argsort(-n, kind="stable")[: int((n * limits.common_one_in >= row.total).sum())]
+        class_of = np.full(len(n), -1, np.int64)
+        class_of[ranked] = np.log2(np.arange(1, len(ranked) + 1)).astype(np.int64)
+        bins = np.bincount(class_of[ranked], n[ranked]) if len(ranked) else np.empty(0)
+        words = np.append(bins, row.total - n[ranked].sum())
+        out[row.lang] = Reference(chars / max(1.0, chars.sum()), words / max(1, row.total), class_of, int(row.total))
+    return out
 
 
-def features(docs: DataFrame, limits: QualityLimits = QualityLimits(), keyed: bool = False) -> DataFrame:
-    """One row of counts and histograms per text; ``keyed`` adds a hash of language and text."""
-    prepare(docs.sparkSession)
-    narrow = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
-        F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"),
-        *([_text_key(F.col("text"), F.col("lang")).alias("text_key")] if keyed else []),
-    )
-    schema = T.StructType([*FEATURES.fields, *([T.StructField("text_key", T.StringType())] if keyed else [])])
-    return narrow.mapInArrow(_features(limits.window, keyed), schema)
-
+def _divergence(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Jensen-Shannon divergence in bits of each row of ``p`` to ``q``."""
+    mean = (p + q) / 2
+    with np.errstate(divide="ignore", invalid="ignore"):
+        terms = np.where(p > 0, p * np.log2(p / mean), 0) + np.where(q > 0, q * np.log2(q / mean), 0)
+    return np.maximum(0, terms.sum(axis=1) / 2)
+
+
+def by_chance(bins: int, n: np.ndarray) -> np.ndarray:
+    """Expected divergence of ``n`` draws over some bins from what they are drawn from."""
+    return (bins - 1) / (8 * np.log(2) * np.maximum(n, 1))
+
+
+def distances(m: dict[str, np.ndarray], langs: list[str], known: dict[str, Reference], limits: QualityLimits) -> tuple[np.ndarray, np.ndarray]:
+    """Both distances of every text to its language's reference; nan where a guard leaves it unjudged."""
+    rows = len(langs)
+    char_distance, word_distance = np.full(rows, np.nan), np.full(rows, np.nan)
+    code = np.array(langs, dtype=object)
+    for lang in set(langs) & known.keys():
+        ref = known[lang]
+        own = np.flatnonzero((code == lang) & (limits.reference_times * m["n_plain"] <= ref.total))
+        place = np.full(rows, -1)
+        place[own] = np.arange(len(own))
+        total = m["n_chars"][own]
+        shares = m["char_hist"][own] / np.maximum(1, total)[:, None]
+        judged = total >= limits.min_chars_judged
+        char_distance[own[judged]] = np.sqrt(_divergence(shares[judged], ref.chars))
+        bins, n = len(ref.words), m["n_plain"][own]
+        listed = (place[m["cell_row"]] >= 0) & (ref.class_of[np.where(code[m["cell_row"]] == lang, m["cell_at"], 0)] >= 0) if len(ref.class_of) else np.zeros(len(m["cell_row"]), bool)
+        row, at, count = place[m["cell_row"][listed]], m["cell_at"][listed], m["cell_n"][listed]
+        hist = np.bincount(row * bins + ref.class_of[at], count, minlength=len(own) * bins).reshape(len(own), bins)
+        hist[:, -1] = n - hist[:, :-1].sum(axis=1)
+        judged = n >= limits.min_words_judged
+        excess = _divergence(hist[judged] / n[judged][:, None], ref.words) - by_chance(bins, n[judged])
+        word_distance[own[judged]] = np.sqrt(np.maximum(0, excess))
+    return char_distance, word_distance
+
+
+def _verdicts(m: dict[str, np.ndarray], langs: list[str], known: dict[str, Reference], limits: QualityLimits) -> tuple[np.ndarray, ...]:
+    failed = limits.base_failed(m["n_words"], m["n_repeat_words"])
+    char_distance, word_distance = distances(m, langs, known, limits)
+    far = (np.nan_to_num(char_distance) > limits.max_char_distance) | (np.nan_to_num(word_distance) > limits.max_word_distance)
+    return failed, char_distance, word_distance, ~failed & ~far
+
+
+def _judge(known, limits: QualityLimits):
+    """Verdicts of measured texts."""
 
-def references(measured: DataFrame) -> DataFrame:
-    """Per language: both histograms summed over all its texts (a few dozen numbers a language)."""
-    chars = measured.groupBy("lang").agg(
-        *(F.sum(F.col("char_hist")[i]).alias(f"c{i}") for i in range(len(CHAR_CLASSES))),
-    )
-    chars = chars.select("lang", F.array(*(F.col(f"c{i}") for i in range(len(CHAR_CLASSES)))).alias("ref_chars"))
-    cells = measured.select("lang", F.explode(F.arrays_zip("word_at", "word_n")).alias("w"))
-    cells = cells.groupBy("lang", F.col("w.word_at").alias("at")).agg(F.sum("w.word_n").cast("long").alias("n"))
-    words = cells.groupBy("lang").agg(F.map_from_entries(F.collect_list(F.struct("at", "n"))).alias("ref_words"))
-    return chars.join(words, "lang", "left")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        refs = known.value
+        for batch in batches:
+            rows = batch.num_rows
+            m = {c: batch.column(c).to_numpy() for c in _COUNTS}
+            m["char_hist"] = batch.column("char_hist").flatten().to_numpy().reshape(rows, len(CHAR_CLASSES))
+            sizes = pc.list_value_length(batch.column("word_at")).to_numpy()
+            m["cell_row"] = np.repeat(np.arange(rows), sizes)
+            m["cell_at"], m["cell_n"] = batch.column("word_at").flatten().to_numpy(), batch.column("word_n").flatten().to_numpy()
+            failed, chars, words, kept = _verdicts(m, batch.column("lang").to_pylist(), refs, limits)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), *(batch.column(c) for c in _COUNTS[:5]), pa.array(failed), pa.array(chars, mask=np.isnan(chars)), pa.array(words, mask=np.isnan(words)), pa.array(kept)],
+                names=["doc_id", *_COUNTS[:5], "base_failed", "char_distance", "word_distance", "kept"],
+            )
 
+    return run
 
-def _shares_distance(p, q):
-    """Square root of the Jensen-Shannon divergence in bits of two arrays of shares."""
 
-    def half(x, m):
-        return F.when(x > 0, x * F.log2(x / m)).otherwise(F.lit(0.0))
+def _keep(common, known, limits: QualityLimits):
+    """The rows of a batch whose texts are kept."""
 
-    terms = F.zip_with(p, q, lambda x, y: half(x, (x + y) / 2) + half(y, (x + y) / 2))
-    return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(terms, F.lit(0.0), lambda a, b: a + b) / 2))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, refs = common.value, known.value
+        for batch in batches:
+            langs = batch.column("lang").cast(pa.string()).fill_null("und").to_pylist()
+            for texts in bk.slices(batch.column("text")):
+                own = langs[texts.lo : texts.hi]
+                kept = _verdicts(measure(texts, own, limits.window, words), own, refs, limits)[-1]
+                yield batch.slice(texts.lo, texts.rows).filter(pa.array(kept))
 
+    return run
 
-def judge(measured: DataFrame, reference: DataFrame, limits: QualityLimits = QualityLimits()) -> DataFrame:
-    """Both distances of every text, and whether it is kept."""
-    total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda x, y: x + y)
-    shares = lambda a, n: F.transform(a, lambda x: x / F.greatest(n, F.lit(1)).cast("double"))
-    ref = reference.select(
-        "lang",
-        total("ref_chars").alias("ref_n_chars"),
-        shares("ref_chars", total("ref_chars")).alias("ref_char_share"),
-        total(F.coalesce(F.map_values("ref_words"), F.array().cast("array<bigint>"))).alias("ref_n_common"),
-        F.transform(F.sequence(F.lit(0), F.lit(len(COMMON_VOCABULARY) - 1)), lambda i: F.coalesce(F.try_element_at("ref_words", i), F.lit(0)) / F.greatest(F.lit(1), total(F.map_values("ref_words"))).cast("double")).alias("ref_word_share"),
-    )
-    joined = measured.join(ref, "lang", "left")
-    # On the text's few common words: the reference's remaining mass contributes half of itself.
-    mine = F.transform(F.col("word_n"), lambda n: n / F.greatest(F.col("n_common"), F.lit(1)).cast("double"))
-    theirs = F.transform(F.col("word_at"), lambda i: F.element_at("ref_word_share", i + 1))
-    rest = F.greatest(F.lit(0.0), 1.0 - F.aggregate(theirs, F.lit(0.0), lambda a, b: a + b))
-    word_distance = F.sqrt(F.least(F.lit(1.0), F.pow(_shares_distance(mine, theirs), F.lit(2.0)) + rest / 2))
-    judged_chars = (F.col("n_chars") >= limits.min_chars_judged) & (F.col("ref_n_chars") >= limits.min_reference_chars)
-    judged_words = (F.col("n_words") >= limits.min_words_judged) & (F.col("ref_n_common") >= limits.min_reference_common)
-    scored = joined.select(
-        "doc_id",
-        "n_words",
-        "word_chars",
-        "n_symbols",
-        "n_dup_lines",
-        "n_repeat_words",
-        "n_common",
-        ((F.col("n_words") < limits.min_words) | (100 * F.col("n_repeat_words") > limits.max_repeat_percent * F.col("n_words"))).alias("base_failed"),
-        F.when(judged_chars, _shares_distance(shares("char_hist", F.col("n_chars")), F.col("ref_char_share"))).alias("char_distance"),
-        F.when(judged_words & (F.col("n_common") >= limits.min_common_judged), word_distance).alias("word_distance"),
-        F.when(judged_words, 100 * F.col("n_common") < limits.min_common_percent * F.col("n_words")).alias("few_common"),
-        *(["text_key"] if "text_key" in measured.columns else []),
-    )
-    far = (F.coalesce(F.col("char_distance"), F.lit(0.0)) > limits.max_char_distance) | (F.coalesce(F.col("word_distance"), F.lit(0.0)) > limits.max_word_distance) | F.coalesce(F.col("few_common"), F.lit(False))
-    return scored.withColumn("kept", ~F.col("base_failed") & ~far)
 
+def _prepared(docs: DataFrame, limits: QualityLimits):
+    """The measured texts as a table, their languages' listed words and references, both broadcast."""
+    context = docs.sparkSession.sparkContext
+    common = common_words(docs, limits)
+    held = context.broadcast(common)
+    measured = materialise(_texts(docs).mapInArrow(_features(limits.window, held), FEATURES), "quality")
+    return measured, held, context.broadcast(references(measured, common, limits))
 
-def quality(docs: DataFrame, limits: QualityLimits = QualityLimits(), keyed: bool = False) -> DataFrame:
-    """Counts, distances and verdict of every text: one row per input row.
 
-    Empty and null texts have no words, fail the base rules and are not kept.
-    """
-    measured = materialise(features(docs, limits, keyed), "quality")
-    # As a table of known size the planner broadcasts the few references, so no text row moves by language.
-    return judge(measured, materialise(references(measured), "references"), limits)
+def quality(docs: DataFrame, limits: QualityLimits = QualityLimits()) -> DataFrame:
+    """Counts, distances and verdict of every text: one row per input row."""
+    with scratch(docs.sparkSession) as keep:
+        measured, _, known = _prepared(docs, limits)
+        return keep(measured.mapInArrow(_judge(known, limits), VERDICT), "verdicts")
 
 
 def keep_good(docs: DataFrame, limits: QualityLimits = QualityLimits()) -> DataFrame:
-    """The input rows without rejected texts; a verdict is that of a row's own text and language, whatever its doc_id."""
-    bad = quality(docs, limits, keyed=True).where("not kept").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct()
-    # The doc_id only deals out the copies of a text.
-    same = docs["doc_id"].cast("long").eqNullSafe(bad["__id"]) & (_text_key(docs["text"], docs["lang"]) == bad["__key"])
-    return docs.join(bad, same, "left_anti")
+    """The input rows without rejected texts: a verdict is that of a row's own text and language, whatever its doc_id.
+
+    The references are known by then, so a scan judges the rows where they are and no text moves.
+    """
+    with scratch(docs.sparkSession):
+        _, common, known = _prepared(docs, limits)
+        prepare(docs.sparkSession)
+        return docs.mapInArrow(_keep(common, known, limits), docs.schema)
