@@ -7,7 +7,10 @@ words before the first count for all.  The patterns are written so that a search
 in the text: possessive runs, and look-behinds that let a match start only
 where a left-most search could (``\G`` is the end of the match before).
 
-Spans are in code points, half open.  Null and empty texts have none.
+Spans are in code points, half open.  Null and empty texts have none;
+repeated rows are read each for itself, and columns beside ``text`` are not
+read, so their names may clash.  The work is linear in a text, whatever the
+number of its spans.
 """
 
 from __future__ import annotations
@@ -18,6 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.spans import BLOCK, before_each, let
 from .common import text_or_empty
 
 #: Code points before a span in which context words count.
@@ -144,39 +148,61 @@ _LISTED = r"^[\s,;:/|&.()-]{0,8}(?:(?:and|or|und|oder|et|ou|y|o)[\s,;:]{1,4})?$"
 _SPAN = "array<struct<start:int,rank:int,kind:string,end:int,score:double>>"
 
 
+_PLACE = "struct<size:int,tail:string>"
+_NAMED = "struct<named:boolean,listed:boolean>"
+
+
+def _tail(*parts: Column) -> Column:
+    return F.substring(F.concat(*parts), -CONTEXT_CHARS, CONTEXT_CHARS)
+
+
+def _go_on(a: Column, b: Column) -> Column:
+    """The size and the last characters of two stretches of text."""
+    return F.struct((a["size"] + b["size"]).alias("size"), F.when(F.length(b["tail"]) >= CONTEXT_CHARS, b["tail"]).otherwise(_tail(a["tail"], b["tail"])).alias("tail"))
+
+
+def _name_on(a: Column, b: Column) -> Column:
+    """Whether spans are named, and whether they are one list with what stands before them."""
+    return F.struct((b["named"] | (b["listed"] & a["named"])).alias("named"), (a["listed"] & b["listed"]).alias("listed"))
+
+
 def _placed(kind: Kind, rank: int, text: Column) -> Column:
-    """Valid spans of one kind in text order: positions come from the pieces between the matches."""
+    """Valid spans of one kind in text order: positions and contexts come from the pieces between the matches."""
     hits = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
     pieces = F.split(text, kind.pattern, -1)
-    pairs = F.zip_with(hits, F.slice(pieces, 1, F.greatest(F.lit(0), F.size(pieces) - 1)), lambda hit, before: F.struct(hit.alias("hit"), before.alias("before")))
-    nothing = F.array().cast("array<struct<start:int,end:int,hit:string,named:boolean>>")
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"), F.lit(False).alias("named"), nothing.alias("out"))
-    last_chars = lambda *parts: F.substring(F.concat(*parts), -CONTEXT_CHARS, CONTEXT_CHARS)
-
-    def step(acc: Column, pair: Column) -> Column:
-        first = acc["at"] + F.length(pair["before"])
-        last = first + F.length(pair["hit"])
-        # The text before the span, whatever matches it holds: the tail carried from the last match, and the piece since.
-        before = last_chars(acc["tail"], pair["before"])
-        named = before.rlike(f"(?i)(?:{kind.context})") | (acc["named"] & pair["before"].rlike(f"(?i){_LISTED}"))
-        span = F.struct(first.alias("start"), last.alias("end"), pair["hit"].alias("hit"), named.alias("named"))
-        return F.struct(last.alias("at"), last_chars(before, pair["hit"]).alias("tail"), named.alias("named"), F.concat(acc["out"], F.array(span)).alias("out"))
-
-    placed = F.aggregate(pairs, start, step, lambda acc: acc["out"])
-    valid = F.filter(placed, lambda s: kind.valid(s["hit"]))
-    scored = F.transform(
-        valid,
-        lambda s: F.struct(
-            s["start"].alias("start"),
-            F.lit(rank).alias("rank"),
-            F.lit(kind.name).alias("kind"),
-            s["end"].alias("end"),
-            F.least(F.lit(1.0), F.lit(kind.score) + F.when(s["named"], F.lit(0.3)).otherwise(F.lit(0.0))).alias("score"),
-        ),
-    )
-    if not kind.base:
-        scored = F.filter(scored, lambda s: s["score"] >= MIN_SCORE)
-    return F.when(text.rlike(kind.gate), scored).otherwise(F.array()).cast(_SPAN)
+    pairs = F.zip_with(hits, F.slice(pieces, 1, F.size(hits)), lambda hit, before: F.struct(hit.alias("hit"), before.alias("before")))
+
+    def with_context(all_: Column) -> Column:
+        stretches = F.transform(all_, lambda p: F.struct((F.length(p["before"]) + F.length(p["hit"])).alias("size"), _tail(p["before"], p["hit"]).alias("tail")).cast(_PLACE))
+        ahead = before_each(stretches, F.struct(F.lit(0).alias("size"), F.lit("").alias("tail")), _PLACE, _go_on)
+        return F.zip_with(
+            all_,
+            ahead,
+            lambda p, a: F.struct(
+                (a["size"] + F.length(p["before"])).alias("start"),
+                p["hit"].alias("hit"),
+                F.struct(_tail(a["tail"], p["before"]).rlike(f"(?i)(?:{kind.context})").alias("named"), p["before"].rlike(f"(?i){_LISTED}").alias("listed")).cast(_NAMED).alias("own"),
+            ),
+        )
+
+    def spans(found: Column) -> Column:
+        ahead = before_each(F.transform(found, lambda f: f["own"]), F.struct(F.lit(False).alias("named"), F.lit(True).alias("listed")), _NAMED, _name_on)
+        scored = F.zip_with(
+            found,
+            ahead,
+            lambda f, a: F.struct(
+                f["start"].alias("start"),
+                F.lit(rank).alias("rank"),
+                F.lit(kind.name).alias("kind"),
+                (f["start"] + F.length(f["hit"])).alias("end"),
+                F.least(F.lit(1.0), F.lit(kind.score) + F.when(_name_on(a, f["own"])["named"], F.lit(0.3)).otherwise(F.lit(0.0))).alias("score"),
+                f["hit"].alias("hit"),
+            ),
+        )
+        good = F.filter(scored, lambda s: kind.valid(s["hit"]) if kind.base else kind.valid(s["hit"]) & (s["score"] >= MIN_SCORE))
+        return F.transform(good, lambda s: F.struct(*(s[c].alias(c) for c in ("start", "rank", "kind", "end", "score"))))
+
+    return F.when(text.rlike(kind.gate), let(let(pairs, with_context), spans)).otherwise(F.array()).cast(_SPAN)
 
 
 def with_spans(docs: DataFrame, name: str = "pii") -> DataFrame:
@@ -209,13 +235,25 @@ def digest(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame) -> DataFrame:
     """The input rows with every span replaced by a mark of its kind; of overlapping spans the first names it."""
     found = with_spans(docs, "__pii")
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    text = F.col("text")
+
+    def marked(spans: Column) -> Column:
+        reach = before_each(F.transform(spans, lambda s: s["end"]), F.lit(0), "int", lambda a, b: F.greatest(a, b))
+        placed = F.zip_with(spans, reach, lambda s, at: F.struct(at.alias("at"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
+        return let(F.filter(placed, lambda s: s["start"] >= s["at"]), pieces)
+
+    def pieces(fresh: Column) -> Column:
+        # The text is cut into stretches of many spans first, and these at their spans.
+        last = F.floor((F.size(fresh) - 1) / BLOCK).cast("int")
+
+        def stretch(k: Column) -> Column:
+            own = F.slice(fresh, k * BLOCK + 1, BLOCK)
+            first = F.element_at(own, 1)["at"]
+            part = F.substring(text, first + 1, F.element_at(own, -1)["start"] - first)
+            return let(part, lambda p: F.transform(own, lambda s: F.concat(F.substring(p, s["at"] - first + 1, s["start"] - s["at"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))))
 
-    def step(acc: Column, s: Column) -> Column:
-        between = F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"])
-        fresh = s["start"] >= acc["at"]
-        more = F.when(fresh, F.array(between, F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))).otherwise(F.array().cast("array<string>"))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], more).alias("out"))
+        return F.array_join(F.flatten(F.transform(F.sequence(F.lit(0), last), stretch)), "")
 
-    clean = F.aggregate("__pii", start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
-    return found.withColumn("text", F.when(F.size("__pii") > 0, clean).otherwise(F.col("text"))).select(*docs.columns)
+    end = F.array_max(F.transform("__pii", lambda s: s["end"]))
+    clean = F.concat(marked(F.col("__pii")), F.substring(text, end + 1, F.length(text)))
+    return found.withColumn("text", F.when(F.size("__pii") > 0, clean).otherwise(text)).select(*docs.columns)
