@@ -11,7 +11,10 @@ its priority is higher.
 The base phrases are counted apart, as places where their words stand
 consecutively, whatever separates the words.
 
-Null and empty texts have no words, no detections and score 0.
+Null and empty texts have no words, no detections and score 0; repeated rows
+are read each for itself, and columns beside ``doc_id`` and ``text`` are not
+read, so their names may clash.  The work is linear in a text, whatever the
+number of its detections.
 """
 
 from __future__ import annotations
@@ -23,6 +26,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.spans import before_each, let, total_before_each
 from .common import text_or_empty
 
 _WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]"
@@ -209,31 +213,26 @@ def _detections(text: Column) -> Column:
 
     def places(rule: Column) -> Column:
         pairs = F.zip_with(F.regexp_extract_all(text, rule["pattern"], F.lit(0)), F.split(text, rule["pattern"], -1), lambda hit, before: F.struct(hit.alias("hit"), before.alias("before")))
-        pairs = F.filter(pairs, lambda p: p["hit"].isNotNull())
-        start = F.struct(F.lit(0).alias("at"), F.array().cast(_HIT).alias("out"))
-
-        def step(acc: Column, pair: Column) -> Column:
-            first = acc["at"] + F.length(pair["before"])
-            last = first + F.length(pair["hit"])
-            hit = F.struct(first.alias("start"), (-last).alias("neg_end"), (-rule["priority"]).alias("neg_priority"), last.alias("end"), rule["priority"].alias("priority"), rule["label"].alias("label"), rule["strength"].alias("strength"))
-            return F.struct(last.alias("at"), F.concat(acc["out"], F.array(hit)).alias("out"))
-
-        return F.aggregate(pairs, start, step, lambda acc: acc["out"])
-
-    # An array of its own evaluates the places once, before the fold.
-    hits = F.array_sort(F.flatten(F.transform(tried, places)))
-    start = F.struct(F.lit(-1).alias("reach"), F.lit(0).alias("priority"), F.array().cast(_HIT).alias("out"))
-
-    def keep(acc: Column, hit: Column) -> Column:
-        inside = (hit["end"] <= acc["reach"]) & (hit["priority"] <= acc["priority"])
-        further = hit["end"] > acc["reach"]
-        return F.struct(
-            F.when(further, hit["end"]).otherwise(acc["reach"]).alias("reach"),
-            F.when(further, hit["priority"]).otherwise(acc["priority"]).alias("priority"),
-            F.concat(acc["out"], F.when(inside, F.array().cast(_HIT)).otherwise(F.array(hit))).alias("out"),
+
+        def placed(all_: Column) -> Column:
+            size = lambda p: F.length(p["before"]) + F.length(p["hit"])
+            return F.zip_with(
+                all_,
+                total_before_each(F.transform(all_, size)),
+                lambda p, at: F.struct((at + F.length(p["before"])).alias("start"), (-at - size(p)).alias("neg_end"), (-rule["priority"]).alias("neg_priority"), (at + size(p)).alias("end"), rule["priority"].alias("priority"), rule["label"].alias("label"), rule["strength"].alias("strength")),
+            )
+
+        return let(F.filter(pairs, lambda p: p["hit"].isNotNull()), placed)
+
+    def kept(hits: Column) -> Column:
+        reach = "struct<end:int,priority:int>"
+        furthest = before_each(
+            F.transform(hits, lambda h: F.struct(h["end"].alias("end"), h["priority"].alias("priority")).cast(reach)), F.struct(F.lit(-1).alias("end"), F.lit(0).alias("priority")), reach, lambda a, b: F.when(b["end"] > a["end"], b).otherwise(a)
         )
+        pairs = F.zip_with(hits, furthest, lambda h, f: F.struct(h.alias("hit"), ((h["end"] <= f["end"]) & (h["priority"] <= f["priority"])).alias("inside")))
+        return F.transform(F.filter(pairs, lambda p: ~p["inside"]), lambda p: p["hit"])
 
-    return F.aggregate(hits, start, keep, lambda acc: acc["out"])
+    return let(F.array_sort(F.flatten(F.transform(tried, places))), kept)
 
 
 def scan(docs: DataFrame) -> DataFrame:
