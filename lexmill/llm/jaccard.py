@@ -14,17 +14,22 @@ with equal sets are one node.  For the rest:
 3. In a block, a count-vector R-tree bounds overlaps by summed coordinate
    minima.  Only documents with a surviving pair go on; connected, they form
    disjoint blocks, so every pair has one place.  There the surviving pairs
-   of a second R-tree are verified on the whole sets and counted.  Blocks
-   over a size limit are split into parts, and every two parts meet in one
-   task.
-4. Components of the verified links spread by smallest neighbours with
-   pointer jumping on tables in the shared folder.
+   of a second R-tree are verified on the whole sets and counted.
+4. Blocks over a size limit first measure their documents against the block's
+   smallest one, in parts of bounded size.  Documents that the bound leaves
+   beside it need no comparison with each other to be one block; and in a
+   verified block, documents within half the allowed distance of it are all
+   linked with each other (the Jaccard distance is a metric), so their links
+   are a count.  Only the rest meets everything, part by part.
+5. Components of the verified links come from pointers to ever smaller
+   documents on tables in the shared folder, until nothing changes.
 
 A document's links are its copies (documents with an equal set) and the
 documents of every linked set; no pairs are put out.
 
 Documents without words, or with a null text, have an empty set, link with
 nothing and are their own component; a null doc_id has a null component.
+Repeated rows are copies of each other; clashing columns are not read.
 """
 
 from __future__ import annotations
@@ -33,12 +38,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import bytekit as bk
-from .common import materialise, prepare, text_or_empty
+from .common import materialise, maybe_in, prepare, scratch, text_or_empty, without_ids
 from .rtree import candidate_pairs, components, count_vector, linked_pairs, read_vector
 
 WIDTH = 5
@@ -50,6 +55,8 @@ FREQUENT_IN_TASK = 12
 PART_BYTES = 4 << 20
 #: Documents of a part at most.
 PART_DOCS = 1024
+#: Copies of a set from which its documents are joined apart from the others.
+HOT_COPIES = 1000
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -190,19 +197,45 @@ def memberships(prefixes: DataFrame) -> DataFrame:
     return met.unionByName(hot).distinct()
 
 
-def _parted(members: DataFrame, weights: DataFrame, limit: int) -> DataFrame:
-    """(hub, doc, parts): members of hubs with two documents or more, and the parts that the hub's block is split into."""
-    sized = members.join(weights, "doc")
-    blocks = sized.groupBy("hub").agg(F.ceil(F.sum("weight") / limit).cast("int").alias("parts"), F.count(F.lit(1)).alias("n")).where("n > 1").select("hub", "parts")
-    return members.join(blocks, "hub")
+def _big(sized: DataFrame, limit: int) -> DataFrame:
+    """hub and parts of the blocks over a limit of weight: at most one for each ``limit`` of it."""
+    blocks = sized.groupBy("hub").agg(F.sum("weight").alias("weight")).where(F.col("weight") > limit)
+    return materialise(blocks.select("hub", F.ceil(F.col("weight") / limit).cast("int").alias("parts")), "big")
 
 
-def _tasks(placed: DataFrame) -> DataFrame:
-    """A row for each pair of parts (low, high) that a document takes part in."""
-    own = F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
-    spread = placed.withColumn("own", own).select("*", other)
-    return spread.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other")).drop("other", "parts")
+def _part(parts: str) -> F.Column:
+    return F.pmod(F.xxhash64("doc"), F.col(parts)).cast("int")
+
+
+def _whole_tasks(rows: DataFrame) -> DataFrame:
+    """A block is one task."""
+    return rows.withColumns({"kind": F.lit(0), "low": F.lit(0), "high": F.lit(0), "side": F.lit(0)})
+
+
+def _lead_tasks(rows: DataFrame) -> DataFrame:
+    """A block's parts, each with the block's smallest document, its hub."""
+    own = F.when(F.col("doc") == F.col("hub"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(_part("parts")))
+    return rows.withColumn("low", F.explode(own)).withColumns({"kind": F.lit(1), "high": F.col("low"), "side": F.lit(0)}).drop("parts")
+
+
+def _rest_tasks(rows: DataFrame, limit: int) -> DataFrame:
+    """The pairs of parts in which a block's ``rest`` meets itself (kind 2) and the others (kind 3).
+
+    rows: hub, doc, weight, rest.  A block without a rest has no tasks.
+    """
+    part = lambda flag: F.ceil(F.sum(F.when(F.col("rest") == flag, F.col("weight")).otherwise(0)) / limit).cast("int")
+    counts = rows.groupBy("hub").agg(part(True).alias("rest_parts"), part(False).alias("other_parts")).where("rest_parts > 0")
+    placed = rows.join(materialise(counts, "counts"), "hub")
+    rest, other = placed.where("rest"), placed.where("not rest")
+    mine = rest.withColumn("own", _part("rest_parts"))
+    among = mine.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("rest_parts") - 1)))
+    among = among.withColumns({"kind": F.lit(2), "low": F.least("own", "j"), "high": F.greatest("own", "j"), "side": F.col("own")})
+    across = mine.where("other_parts > 0").withColumn("high", F.explode(F.sequence(F.lit(0), F.col("other_parts") - 1)))
+    across = across.withColumns({"kind": F.lit(3), "low": F.col("own"), "side": F.lit(0)})
+    against = other.withColumn("low", F.explode(F.sequence(F.lit(0), F.col("rest_parts") - 1)))
+    against = against.withColumns({"kind": F.lit(3), "high": _part("other_parts"), "side": F.lit(1)})
+    columns = [*(c for c in rows.columns if c != "rest"), "kind", "low", "high", "side"]
+    return among.select(columns).unionByName(across.select(columns)).unionByName(against.select(columns))
 
 
 def _close_components(docs: list[int], a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -228,10 +261,10 @@ def _by_block(pairs_of, columns: list[str]):
 
         def close() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             none = np.empty(0, np.int64)
-            if len(rows) < 2:
-                return none, none, none
             # A row that stands twice in the input is one document here.
             rows[:] = {(r["doc"], r[columns[-1]]): r for r in rows}.values()
+            if len(rows) < 2:
+                return none, none, none
             a, b = pairs_of(rows)
             if not len(a):
                 return none, none, none
@@ -250,8 +283,8 @@ def _by_block(pairs_of, columns: list[str]):
 
         for batch in batches:
             out = []
-            for row in batch.select(["hub", "low", "high", *columns]).to_pylist():
-                block = row["hub"], row["low"], row["high"]
+            for row in batch.select([*TASK, *columns]).to_pylist():
+                block = tuple(row[c] for c in TASK)
                 if block != open_block:
                     out.append(close())
                     open_block, rows = block, []
@@ -262,98 +295,192 @@ def _by_block(pairs_of, columns: list[str]):
     return run
 
 
+def _beside_lead(beside):
+    """Of blocks of sorted rows, each with its lead (the hub) among them: every document, and whether ``beside(lead, row)``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_block, lead, waiting = None, None, []
+        for batch in batches:
+            out: list[tuple[int, int, bool]] = []
+            for row in batch.to_pylist():
+                if (row["hub"], row["low"]) != open_block:
+                    open_block, lead, waiting = (row["hub"], row["low"]), None, []
+                if lead is None and row["doc"] == row["hub"]:
+                    lead = row
+                    if row["low"] == 0:
+                        out.append((row["hub"], row["doc"], True))
+                elif row["doc"] != row["hub"]:
+                    # Rows are sorted by document, and the hub is the smallest.
+                    out.append((row["hub"], row["doc"], bool(beside(lead, row))))
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out], pa.bool_())], names=["hub", "doc", "beside"])
+
+    return run
+
+
+TASK = ["hub", "kind", "low", "high"]
+
+
+def _bounded(lead: dict, row: dict) -> bool:
+    """Whether the count vectors allow a link."""
+    a, _ = candidate_pairs(np.array([lead["n_shingles"], row["n_shingles"]], np.int64), [read_vector(r["vector"], r["n_shingles"]) for r in (lead, row)])
+    return len(a) > 0
+
+
+def _tight(lead: dict, row: dict) -> bool:
+    """Whether two sets are within half the allowed distance."""
+    a, b = (np.frombuffer(r["elements"], np.uint64) for r in (lead, row))
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return 10 * common >= 9 * (len(a) + len(b) - common)
+
+
+def _sides(rows: list[dict]) -> np.ndarray | None:
+    """The sides of a task across parts; none if all pairs of the task count."""
+    return np.array([r["side"] for r in rows]) if rows[0]["kind"] == 3 or rows[0]["low"] != rows[0]["high"] else None
+
+
 def _surviving(rows: list[dict]) -> tuple[np.ndarray, np.ndarray]:
-    return candidate_pairs(np.array([r["n_shingles"] for r in rows], np.int64), [read_vector(r["vector"], r["n_shingles"]) for r in rows])
+    a, b = candidate_pairs(np.array([r["n_shingles"] for r in rows], np.int64), [read_vector(r["vector"], r["n_shingles"]) for r in rows])
+    side = _sides(rows)
+    if side is not None:
+        across = side[a] != side[b]
+        a, b = a[across], b[across]
+    return a, b
 
 
 def _verified(rows: list[dict]) -> tuple[np.ndarray, np.ndarray]:
-    side = None if rows[0]["low"] == rows[0]["high"] else np.array([r["own"] for r in rows])
-    return linked_pairs([np.frombuffer(r["elements"], np.uint64) for r in rows], side)
+    return linked_pairs([np.frombuffer(r["elements"], np.uint64) for r in rows], _sides(rows))
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each document's whole set as bytes, with its block."""
+    """Each document's whole set as bytes."""
     for batch in batches:
         for texts in bk.slices(batch.column("text")):
             value, n = shingle_sets(texts)
             start = np.concatenate([[0], np.cumsum(n)])
-            part = batch.slice(texts.lo, texts.rows)
             raw = [value[start[i] : start[i + 1]].tobytes() for i in range(texts.rows)]
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc", "hub", "parts", "copies")), pa.array(n.astype(np.int64)), pa.array(raw, pa.binary())], names=["doc", "hub", "parts", "copies", "n_shingles", "elements"])
+            part = batch.slice(texts.lo, texts.rows)
+            yield pa.RecordBatch.from_arrays([part.column("doc"), part.column("hub"), part.column("copies"), pa.array(n.astype(np.int64)), pa.array(raw, pa.binary())], names=["doc", "hub", "copies", "n_shingles", "elements"])
 
 
 def _dealt(rows: DataFrame) -> DataFrame:
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(n, "hub", "low", "high").sortWithinPartitions("hub", "low", "high")
+    return rows.repartition(n, *TASK).sortWithinPartitions(*TASK, "doc")
+
+
+_FOUND = "doc long, root long, n long"
+
+
+def _blocks(rows: DataFrame, big: DataFrame, limit: int, beside, pairs_of, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """What the blocks find (doc, root, n), and the documents beside the leads of big blocks (hub, doc, copies, beside).
+
+    rows: hub, doc, weight, copies and the columns that the comparisons read.
+    """
+    wide = [c for c in rows.columns if c not in ("hub", "doc", "weight", "copies")]
+    found = _dealt(_whole_tasks(rows.join(big, "hub", "left_anti").drop("weight"))).mapInArrow(_by_block(pairs_of, [*columns, "doc", "copies", columns[0]]), _FOUND)
+    if big.isEmpty():
+        return found, rows.sparkSession.createDataFrame([], "hub long, doc long, copies long, beside boolean")
+    members = rows.join(big, "hub")
+    leads = _dealt(_lead_tasks(members.drop("weight", "copies"))).mapInArrow(_beside_lead(beside), "hub long, doc long, beside boolean").distinct()
+    placed = members.select("hub", "doc", "weight", "copies").join(leads, ["hub", "doc"])
+    placed = materialise(placed, "placed")
+    tasks = _rest_tasks(placed.withColumn("rest", ~F.col("beside")).drop("beside"), limit).drop("weight", "copies")
+    facts = members.select("hub", "doc", "copies", *wide)
+    met = _dealt(tasks.join(facts, ["hub", "doc"])).mapInArrow(_by_block(pairs_of, [*columns, "doc", "copies", columns[0]]), _FOUND)
+    return found.unionByName(met), placed
 
 
 def survivors(members: DataFrame, nodes: DataFrame) -> DataFrame:
     """(hub, doc): disjoint blocks of the documents that the count-vector bound leaves; nodes: doc, n_shingles, vector, copies."""
-    weights = nodes.select("doc", F.lit(1).alias("weight"))
-    rows = _tasks(_parted(members, weights, PART_DOCS)).join(nodes, "doc").select("hub", "low", "high", "doc", "n_shingles", "vector", "copies")
-    found = _dealt(rows).mapInArrow(_by_block(_surviving, ["doc", "n_shingles", "copies", "vector"]), "doc long, root long, n long")
-    return connect(found.where("doc != root").select(F.col("doc").alias("a"), F.col("root").alias("b"))).select(F.col("component").alias("hub"), "doc")
+    sized = members.withColumn("weight", F.lit(1))
+    big = _big(sized, PART_DOCS)
+    found, placed = _blocks(sized.join(nodes, "doc"), big, PART_DOCS, _bounded, _surviving, ["vector", "n_shingles", "side"])
+    links = found.where("doc != root").select(F.col("doc").alias("a"), F.col("root").alias("b"))
+    links = links.unionByName(placed.where("beside and doc != hub").select(F.col("doc").alias("a"), F.col("hub").alias("b")))
+    return connect(links).select(F.col("component").alias("hub"), "doc")
 
 
 def verified_links(docs: DataFrame, alive: DataFrame, nodes: DataFrame) -> DataFrame:
     """(doc, root, n): from whole sets, the smallest linked document of each in a task, and the documents linked with it there."""
-    weights = nodes.select("doc", (F.col("n_shingles") * 8 + PART_BYTES // PART_DOCS).alias("weight"))
-    placed = _parted(alive, weights, PART_BYTES).join(nodes.select("doc", "copies"), "doc")
-    schema = T.StructType([*(T.StructField(c, T.LongType()) for c in ("doc", "hub")), T.StructField("parts", T.IntegerType()), *(T.StructField(c, T.LongType()) for c in ("copies", "n_shingles")), T.StructField("elements", T.BinaryType())])
-    sets = docs.select(F.col("doc_id").alias("doc"), "text").join(placed, "doc").select("doc", "text", "hub", "parts", "copies").mapInArrow(_sets, schema)
-    return _dealt(_tasks(sets)).mapInArrow(_by_block(_verified, ["own", "doc", "copies", "elements"]), "doc long, root long, n long")
-
-
-def connect(links: DataFrame, rounds: int = 40) -> DataFrame:
-    """(doc, component) of every linked document: smallest-neighbour hooking and pointer jumping until nothing changes."""
-    both = links.select(F.col("a").alias("doc"), F.col("b").alias("to")).unionByName(links.select(F.col("b").alias("doc"), F.col("a").alias("to"))).distinct()
-    edges = materialise(both, "edges")
-    label = materialise(edges.groupBy("doc").agg(F.least(F.col("doc"), F.min("to")).alias("component")), "label")
-    for _ in range(rounds):
-        seen = edges.join(label.select(F.col("doc").alias("to"), F.col("component").alias("near")), "to").groupBy("doc").agg(F.min("near").alias("near"))
-        jump = label.select(F.col("doc").alias("component"), F.col("component").alias("up"))
-        # The smallest of: own label, the neighbours' labels, the label of the own label; and roots hook onto what their members saw.
-        moved = label.join(seen, "doc").join(jump, "component", "left")
-        step = moved.select("doc", F.col("component").alias("old"), F.least("component", "near", "up").alias("new"))
-        told = step.select(F.col("old").alias("doc"), F.col("new").alias("hooked")).groupBy("doc").agg(F.min("hooked").alias("hooked"))
-        new = materialise(step.join(told, "doc", "left").select("doc", "old", F.least("new", "hooked").alias("component")), "label")
-        changed = new.where(F.col("old") != F.col("component")).limit(1).count()
-        label = new.select("doc", "component")
-        if not changed:
-            return label
-    raise RuntimeError("components did not settle")
+    facts = materialise(alive.join(nodes.select("doc", "n_shingles", "copies"), "doc"), "facts")
+    weight = F.col("n_shingles") * 8 + PART_BYTES // PART_DOCS
+    big = _big(facts.withColumn("weight", weight), PART_BYTES)
+    schema = T.StructType([*(T.StructField(c, T.LongType()) for c in ("doc", "hub", "copies", "n_shingles")), T.StructField("elements", T.BinaryType())])
+    # Most texts have no partner: they are left out where they are read.
+    near = docs.select(F.col("doc_id").alias("doc"), "text").where(maybe_in(facts, "doc", F.col("doc_id")))
+    sets = near.join(facts.select("doc", "hub", "copies"), "doc").select("doc", "text", "hub", "copies").mapInArrow(_sets, schema)
+    if not big.isEmpty():
+        sets = materialise(sets, "sets")
+    found, placed = _blocks(sets.withColumn("weight", weight).drop("n_shingles"), big, PART_BYTES, _tight, _verified, ["elements", "side"])
+    # Documents that are all within half the distance of one are all linked.
+    close = placed.where("beside").distinct()
+    total = close.groupBy("hub").agg(F.sum("copies").alias("total"))
+    close = close.join(total, "hub").select("doc", F.col("hub").alias("root"), (F.col("total") - F.col("copies")).alias("n"))
+    return found.unionByName(close.where("n > 0"))
+
+
+def connect(links: DataFrame) -> DataFrame:
+    """(doc, component) of every linked document; links: a, b.
+
+    Every document points to smaller ones.  It keeps the smallest, and the others it pointed to point
+    there too; then pointers skip documents that have one themselves.  That goes on until every
+    document has one pointer, to a document without any.  Documents meet by themselves, never by what
+    they point to, which may be the same for very many.
+    """
+    rows = materialise(links.where("a != b").select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y")).distinct(), "links")
+    while True:
+        low = rows.groupBy("x").agg(F.min("y").alias("low"), F.count(F.lit(1)).alias("n"))
+        several = rows.join(low.where("n > 1").select("x", "low"), "x").where("y != low").select(F.col("y").alias("x"), F.col("low").alias("y"))
+        merged = materialise(low.select("x", F.col("low").alias("y")).unionByName(several).distinct(), "links")
+        ends = merged.select(F.col("y").alias("x")).distinct()
+        up = materialise(merged.groupBy("x").agg(F.min("y").alias("up")).join(ends, "x", "left_semi").select(F.col("x").alias("y"), "up"), "up")
+        if up.isEmpty():
+            return merged.select(F.col("x").alias("doc"), F.col("y").alias("component")).unionByName(ends.select(F.col("x").alias("doc"), F.col("x").alias("component")))
+        rows = materialise(merged.join(up, "y", "left").select("x", F.coalesce("up", "y").alias("y")).distinct(), "links")
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and n_links of every input row."""
     spark = docs.sparkSession
     prepare(spark)
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    frequent = spark.sparkContext.broadcast(frequent_shingles(narrow))
-    schema = T.StructType([*(T.StructField(c, T.LongType()) for c in ("doc_id", "n_shingles", "fp1", "fp2")), *(T.StructField(c, T.ArrayType(T.LongType(), False)) for c in ("rare", "often")), T.StructField("vector", T.BinaryType())])
-    prefixes = materialise(narrow.mapInArrow(_prefixes(frequent), schema), "prefixes")
-    same_set = ["fp1", "fp2", "n_shingles"]
-    known = prefixes.where("n_shingles > 0 and doc_id is not null")
-    nodes = materialise(known.groupBy(*same_set).agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("copies")), "nodes")
-    # A set's smallest document stands for its copies.
-    first = prefixes.join(nodes.withColumnRenamed("node", "doc_id"), [*same_set, "doc_id"])
-    first = materialise(first, "first")
-    members = materialise(memberships(first), "members")
-    vectors = first.select(F.col("doc_id").alias("doc"), "n_shingles", "vector", "copies")
-    alive = materialise(survivors(members, vectors), "alive")
-    links = materialise(verified_links(narrow, alive, vectors), "links")
-    placed = materialise(prefixes.select("doc_id", *same_set).join(nodes, same_set, "left").select("doc_id", "n_shingles", "node", "copies"), "placed")
-    copy = placed.where("doc_id is not null and doc_id != node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-    component = connect(links.where("doc != root").select(F.col("doc").alias("a"), F.col("root").alias("b")).unionByName(copy))
-    degree = links.groupBy(F.col("doc").alias("node")).agg(F.sum("n").alias("n"))
-    out = placed.join(component.withColumnRenamed("doc", "doc_id"), "doc_id", "left").join(degree, "node", "left")
-    n_links = F.when(F.col("doc_id").isNotNull(), F.coalesce(F.col("copies") - 1, F.lit(0)) + F.coalesce("n", F.lit(0)))
-    return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), n_links.alias("n_links"))
+    with scratch(spark) as keep:
+        narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+        frequent = spark.sparkContext.broadcast(frequent_shingles(narrow))
+        schema = T.StructType([*(T.StructField(c, T.LongType()) for c in ("doc_id", "n_shingles", "fp1", "fp2")), *(T.StructField(c, T.ArrayType(T.LongType(), False)) for c in ("rare", "often")), T.StructField("vector", T.BinaryType())])
+        prefixes = materialise(narrow.mapInArrow(_prefixes(frequent), schema), "prefixes")
+        same_set = ["fp1", "fp2", "n_shingles"]
+        known = prefixes.where("n_shingles > 0 and doc_id is not null")
+        nodes = materialise(known.groupBy(*same_set).agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("copies")), "nodes")
+        # A set's smallest document stands for its copies.
+        first = prefixes.join(nodes.withColumnRenamed("node", "doc_id"), [*same_set, "doc_id"]).dropDuplicates([*same_set, "doc_id"])
+        first = materialise(first, "first")
+        members = materialise(memberships(first), "members")
+        vectors = first.select(F.col("doc_id").alias("doc"), "n_shingles", "vector", "copies")
+        alive = materialise(survivors(members, vectors), "alive")
+        links = materialise(verified_links(narrow, alive, vectors), "verified")
+        component = connect(links.select(F.col("doc").alias("a"), F.col("root").alias("b"))).withColumnRenamed("doc", "node")
+        degree = links.groupBy(F.col("doc").alias("node")).agg(F.sum("n").alias("n"))
+        # What a set's documents have in common is found once for each set.
+        facts = nodes.join(component, "node", "left").join(degree, "node", "left")
+        facts = materialise(facts.select(*same_set, "copies", F.coalesce("component", "node").alias("component"), (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n")), "facts")
+        rows = prefixes.select("doc_id", *same_set)
+        # Sets with very many copies are few: a small table, which the planner need not deal by set.
+        hot = materialise(facts.where(F.col("copies") > HOT_COPIES), "hot")
+        out = rows.join(hot, same_set).unionByName(rows.join(hot, same_set, "left_anti").join(facts.where(F.col("copies") <= HOT_COPIES), same_set, "left"), allowMissingColumns=True)
+        has_id = F.col("doc_id").isNotNull()
+        return keep(out.select("doc_id", "n_shingles", F.when(has_id, F.coalesce("component", "doc_id")).alias("component_id"), F.when(has_id, F.coalesce("n", F.lit(0))).alias("n_links")), "components")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The input rows without those whose component has a smaller doc_id, and without repeats of a doc_id and text."""
-    found = jaccard_components(docs).where("doc_id != component_id").select("doc_id").distinct()
-    kept = docs.join(found, "doc_id", "left_anti").select(F.struct(*docs.columns).alias("row"))
-    same = Window.partitionBy(F.col("row.doc_id"), F.sha2(F.coalesce(F.col("row.text"), F.lit("")), 256)).orderBy(F.lit(0))
-    return kept.withColumn("n", F.row_number().over(same)).where("n = 1 or row.doc_id is null").select("row.*")
+    """The input rows without those whose component has a smaller doc_id, and without repeats of a doc_id and text.
+
+    Rows without a doc_id stay.  Texts stay where they are read, but for rows that share their doc_id with another row.
+    """
+    with scratch(docs.sparkSession) as keep:
+        gone = keep(jaccard_components(docs).where("doc_id != component_id").select("doc_id").distinct(), "gone")
+        twice = keep(docs.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.count(F.lit(1)).alias("n")).where("n > 1 and doc_id is not null").select("doc_id"), "twice")
+    kept = without_ids(docs, gone, "doc_id")
+    if twice.isEmpty():
+        return kept
+    rows = kept.join(twice.withColumnRenamed("doc_id", "__id"), F.col("doc_id").cast("long") == F.col("__id"), "left_semi").select(F.struct(*docs.columns).alias("row"))
+    rows = rows.withColumns({"id": F.col("row.doc_id"), "key": F.sha2(F.coalesce(F.col("row.text"), F.lit("")), 256)}).dropDuplicates(["id", "key"])
+    return without_ids(kept, twice, "doc_id").unionByName(rows.select("row.*"))
