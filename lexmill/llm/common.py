@@ -8,6 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from weakref import WeakKeyDictionary
 
 import numpy as np
 import pandas as pd
@@ -18,6 +19,8 @@ _OWN_DIR: str | None = None
 #: Scratch paths with their sessions, and the open scopes' paths.
 _PATHS: dict[str, SparkSession] = {}
 _SCOPES: list[list[str]] = []
+#: Scratch tables that are still held, with their paths.
+_TABLES: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 #: Arrow batches of long texts stay small, so a worker holds a few MB at a time.
 ARROW_ROWS = 512
@@ -102,7 +105,15 @@ def materialise(df: DataFrame, name: str, **options: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _TABLES[out] = path
+    return out
+
+
+def free(df: DataFrame) -> None:
+    """Remove a table that ``materialise`` wrote; other tables are left alone."""
+    if path := _TABLES.pop(df, None):
+        release(path)
 
 
 class _Bits:
