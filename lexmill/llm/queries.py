@@ -30,7 +30,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return training_order.materialised_order(table(spark, sf_dir, "documents"), training_order.Layout.of(_vocabulary("byte_bpe_50k.json")))
+    import public_tokenizers
+
+    layout = training_order.Layout.of(_vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, (("<|endoftext|>", 50256),))
+    return training_order.materialised_order(table(spark, sf_dir, "documents"), layout)
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

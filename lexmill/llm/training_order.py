@@ -3,30 +3,35 @@
 The texts of a file split form one stream of token ids, every text closed by
 ``layout.end``, cut into sequences of a fixed length; only a split's last
 sequence is padded.  ``Layout.of`` a vocabulary gives its ids, of two bytes
-each or of four for large vocabularies; texts are encoded once, into a table
-whose splits are then counted and cut.  The two ids after the vocabulary's,
-which no text has, close and pad.  A layout without a vocabulary takes the
-bytes of the texts as tokens.  Sequences are numbered
+each or of four for large vocabularies; ranks of a public vocabulary are read
+by its own library.  Texts are encoded twice, to count the tokens of each
+split and to cut them, which costs less than keeping them.  The two ids after
+the vocabulary's, which no text has, close and pad.  A layout without a
+vocabulary takes the bytes of the texts as tokens.  Sequences are numbered
 along the splits; a keyed Feistel permutation with cycle-walking maps the
 numbers one to one onto global slots.  A range of slots is a shard, written
 as one file whose records all have the same length, so slot ``s`` stands at
 byte ``(s mod shard_rows) * stride`` of shard ``s div shard_rows``, and a
-reader can stop and resume anywhere.
+reader can stop and resume anywhere.  A writing task takes a range of shards.
 
 A record is the sequence's number (8 bytes), the doc_id at its first token
 (8), that token's place in the document's tokens (8), the number of tokens
 (4), the tokens (all little-endian), and a line feed.  Null and empty texts
 are a lone end; a null doc_id is stored as ``NO_ID`` and read as null;
-repeated rows are texts of their own.
+repeated rows are texts of their own; other columns are not read, whatever
+their names.  An empty table has no shards.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import base64
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -56,12 +61,15 @@ class Layout:
     item: str = "u1"
     end: int = END
     pad: int = PAD
+    #: For ranks: the pattern of pre-tokens, and the special strings with their ids.
+    pattern: str = ""
+    special: tuple[tuple[str, int], ...] = ()
 
     @classmethod
-    def of(cls, vocabulary: str, **others) -> Layout:
-        """A layout of a tokenizer's ids."""
-        size = max(tokenizer_of(vocabulary).text_of) + 1
-        return cls(vocabulary=vocabulary, item="<u2" if size + 2 <= 1 << 16 else "<u4", end=size, pad=size + 1, **others)
+    def of(cls, vocabulary: str, pattern: str = "", special: tuple[tuple[str, int], ...] = (), **others) -> Layout:
+        """A layout of the ids of a tokenizer, or of ranks with a pattern and special strings."""
+        size = 1 + (max([*_ranks(vocabulary).values(), *(i for _, i in special)]) if pattern else max(tokenizer_of(vocabulary).text_of))
+        return cls(vocabulary=vocabulary, item="<u2" if size + 2 <= 1 << 16 else "<u4", end=size, pad=size + 1, pattern=pattern, special=special, **others)
 
     @property
     def width(self) -> int:
@@ -76,6 +84,26 @@ class Layout:
         return self.record.itemsize + 1
 
 
+def _ranks(path: str) -> dict[bytes, int]:
+    with open(path, "rb") as f:
+        return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+
+
+@lru_cache(maxsize=1)
+def _library(path: str, pattern: str, special: tuple[tuple[str, int], ...]):
+    import tiktoken
+
+    return tiktoken.Encoding("shards", pat_str=pattern, mergeable_ranks=_ranks(path), special_tokens=dict(special))
+
+
+def packer_of(layout: Layout) -> Callable[[str], bytes]:
+    """Ids of a text as numbers of the layout's type, joined."""
+    if not layout.pattern:
+        return id_packer(layout.vocabulary, layout.item)
+    encode = _library(layout.vocabulary, layout.pattern, layout.special).encode_to_numpy
+    return lambda text: encode(text, allowed_special="all").astype(layout.item).tobytes()
+
+
 class Feistel:
     """A keyed permutation of 0 .. n-1."""
 
@@ -159,11 +187,39 @@ class _Packer:
         return out
 
 
+def _places(batch: pa.RecordBatch, *columns: str) -> list[tuple[tuple, int, int]]:
+    """Runs of rows of one place: the place, first row, row behind the last."""
+    places = list(zip(*(batch.column(c).to_pylist() for c in columns), strict=True))
+    cuts = [i for i in range(len(places)) if i == 0 or places[i] != places[i - 1]] + [len(places)]
+    return [(places[lo], lo, hi) for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
+def _encoded(layout: Layout) -> Callable[[pa.Array], pa.Array]:
+    if not layout.vocabulary:
+        return lambda texts: texts
+    pack = packer_of(layout)
+    return lambda texts: pa.array(map(pack, texts.to_pylist()), pa.binary())
+
+
+def _counts(layout: Layout):
+    """Per run of rows of a split: its tokens, ends included."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = _encoded(layout)
+        for batch in batches:
+            runs = _places(batch, "file", "block")
+            sizes = pc.binary_length(encode(batch.column("tokens"))).to_numpy()
+            n = [int(sizes[lo:hi].sum()) // layout.width + hi - lo for _, lo, hi in runs]
+            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p, _, _ in runs], pa.string()), pa.array([p[1] for p, _, _ in runs], pa.int64()), pa.array(n, pa.int64())], names=["file", "block", "n"])
+
+    return run
+
+
 def _records(layout: Layout, total: int):
     width = layout.record.itemsize
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order = Feistel(total, layout.key)
+        order, encode = Feistel(total, layout.key), _encoded(layout)
         where, packer = None, _Packer(layout, 0)
 
         def put(rows: np.ndarray) -> pa.RecordBatch:
@@ -173,64 +229,53 @@ def _records(layout: Layout, total: int):
 
         for batch in batches:
             ids = batch.column("doc_id").fill_null(NO_ID).to_numpy(zero_copy_only=False)
-            places = list(zip(batch.column("file").to_pylist(), batch.column("block").to_pylist(), batch.column("base").to_pylist(), strict=True))
-            cuts = [i for i in range(len(places)) if i == 0 or places[i] != places[i - 1]] + [len(places)]
-            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-                if places[lo] != where:
+            for place, lo, hi in _places(batch, "file", "block", "base"):
+                if place != where:
                     yield put(packer.finish())
-                    where, packer = places[lo], _Packer(layout, places[lo][2])
-                for texts in bk.slices(batch.column("tokens").slice(lo, hi - lo)):
+                    where, packer = place, _Packer(layout, place[2])
+                for texts in bk.slices(encode(batch.column("tokens").slice(lo, hi - lo))):
                     yield put(packer.add(texts, ids[lo + texts.lo : lo + texts.hi]))
         yield put(packer.finish())
 
     return run
 
 
-def _encode(layout: Layout):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = id_packer(layout.vocabulary, layout.item)
-        for batch in batches:
-            tokens = pa.array(map(pack, batch.column("tokens").to_pylist()), pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), tokens], names=["doc_id", "tokens"])
-
-    return run
-
-
 def write_shards(docs: DataFrame, path: str, layout: Layout = Layout()) -> int:
     """Write all sequences of the texts to shards in ``path``; returns their number."""
     spark = docs.sparkSession
     prepare(spark)
     columns = [F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("tokens")]
-    if layout.vocabulary:
-        docs = materialise(docs.select(*columns).mapInArrow(_encode(layout), "doc_id long, tokens binary"), "encoded")
-        columns = ["doc_id", "tokens"]
-    else:
-        try:
-            docs.select("_metadata.row_index")
-        except AnalysisException:
-            docs = materialise(docs.select("doc_id", "text"), "ordered")
+    try:
+        docs.select("_metadata.row_index")
+    except AnalysisException:
+        docs = materialise(docs.select("doc_id", "text"), "ordered")
     conf = "spark.sql.files.minPartitionNum"
     before = spark.conf.get(conf, None)
     # Both passes must cut the files alike, however many cores there are by then.
     spark.conf.set(conf, before or str(spark.sparkContext.defaultParallelism))
     try:
         place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")]
-        tokens = docs.select(*columns, *place).select("file", "block", F.octet_length("tokens").alias("size")).select("file", "block", F.expr(f"size div {layout.width} + 1").alias("n")).groupBy("file", "block").agg(F.sum("n").alias("n"))
-        splits = materialise(tokens.select("file", "block", F.ceil(F.col("n") / layout.tokens).cast("long").alias("n")), "splits")
+        counted = docs.select(*columns, *place).select("file", "block", "tokens").mapInArrow(_counts(layout), "file string, block long, n long")
+        splits = counted.groupBy("file", "block").agg(F.sum("n").alias("n")).select("file", "block", F.ceil(F.col("n") / layout.tokens).cast("long").alias("n"))
+        splits = materialise(splits, "splits")
         running = Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)  # one row for each split
         bases = splits.select("file", "block", F.coalesce(F.sum("n").over(running), F.lit(0)).alias("base"))
         facts = splits.agg(F.count(F.lit(1)).alias("splits"), F.coalesce(F.sum("n"), F.lit(0)).alias("total")).first()
+        if not facts.total:
+            return 0
         rows = docs.select(*columns, *place, F.col("_metadata.row_index").alias("row"))
         if facts.splits <= layout.broadcast_splits:
             rows = rows.join(F.broadcast(bases), ["file", "block"])
         else:
             rows = rows.join(bases, ["file", "block"]).sortWithinPartitions("file", "block", "row")
         records = rows.select("doc_id", "tokens", "file", "block", "base").mapInArrow(_records(layout, facts.total), "slot long, record binary")
-        shard = F.floor(F.col("slot") / layout.shard_rows).cast("long")
         tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-facts.total * layout.stride // TASK_BYTES))
-        dealt = records.withColumn("shard", shard).repartition(tasks, "shard")
+        shards = -(-facts.total // layout.shard_rows)
+        dealt = records.withColumn("shard", F.expr(f"slot div {layout.shard_rows}"))
+        # A task writes a range of shards, each whole.
+        dealt = dealt.repartitionById(tasks, F.expr(f"cast(shard * {tasks} div {shards} AS int)"))
         ordered = dealt.sortWithinPartitions("shard", "slot").select(F.col("record").cast("string").alias("value"), "shard")
-        ordered.write.partitionBy("shard").option("lineSep", "\n").text(path)
+        ordered.write.partitionBy("shard").option("lineSep", "\n").option("maxRecordsPerFile", 0).option("compression", "none").text(path)
         return facts.total
     finally:
         spark.conf.unset(conf) if before is None else spark.conf.set(conf, before)

@@ -6,6 +6,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from lexmill.llm import decontaminate, html_text, jaccard, rtree, training_order, warc
@@ -55,7 +56,8 @@ def test_training_order_round_trip(spark, docs, tmp_path):
     assert training_order.materialised_order(docs([])).count() == 0
 
 
-def test_training_order_holds_vocabulary_ids(spark, docs, tmp_path):
+@pytest.mark.parametrize("ranks", [False, True])
+def test_training_order_holds_vocabulary_ids(spark, docs, tmp_path, ranks):
     import public_tokenizers
     from tokenizers import Tokenizer as Library
 
@@ -65,8 +67,15 @@ def test_training_order_holds_vocabulary_ids(spark, docs, tmp_path):
     texts = odd + [_prose(rng, rng.randint(1, 200)) for _ in range(40)]
     texts += ["".join(rng.choice("ab  \n\t'.,0é👍\x1c\u3000") for _ in range(rng.randint(0, 60))) for _ in range(300)]
     layout = training_order.Layout.of(vocabulary, tokens=100, shard_rows=16)
+    if ranks:
+        layout = training_order.Layout.of(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, (("<|endoftext|>", 50256),), tokens=100, shard_rows=16)
     path = str(tmp_path / "shards")
-    training_order.write_shards(docs(texts), path, layout)
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", "3")  # must not cut shards
+    try:
+        total = training_order.write_shards(docs(texts), path, layout)
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+    assert spark.read.format("binaryFile").load(path).count() == -(-total // 16)
     rows = sorted(training_order.read_shards(spark, path, layout).collect(), key=lambda r: r.number)
     assert all(len(r.tokens) == 2 * r.n_tokens for r in rows)
     stream = np.concatenate([np.frombuffer(bytes(r.tokens), "<u2") for r in rows])
