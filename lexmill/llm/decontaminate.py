@@ -7,19 +7,24 @@ window (``window`` consecutive item words, or a whole shorter item).  A
 vectorised filter on adjacent word pairs first finds the stretches where a
 match can reach a window at all, so the automaton reads only those.
 
-Benchmarks of any size: items are split into shards whose automata have a
-bounded size, and the texts pass every shard in one chained, shuffle-free
-plan.
+Benchmarks of any size: items are dealt to shards, whose automata have a
+bounded size and are built on executors.  The texts pass a few automata in
+one chained, shuffle-free plan.  If there are more, each few make a pass of
+their own over the texts that keeps only the hits, under the texts' hashes; a
+bitmap tells the texts that have any, and only those meet their hits.  The
+driver holds one automaton at a time, in pickled form.
 
 Null and empty texts have no words and no hits; items without words never
 occur; items with a null id give hits but are not listed; repeated items
-and rows count as themselves.
+and rows count as themselves.  Input columns of any name pass through.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import bytekit as bk
-from .common import prepare
+from .common import materialise, maybe_in, prepare, scratch
 
 
 @dataclass(frozen=True)
@@ -38,7 +43,9 @@ class ContaminationLimits:
     window: int = 13
     coverage_inverse: int = 20
     max_span: int = 12
+    #: Text of a shard's items on average, and shards that the texts pass at once.
     shard_bytes: int = 1 << 20
+    pass_shards: int = 4
 
 
 class SuffixAutomaton:
@@ -192,23 +199,44 @@ class SuffixAutomaton:
         return spans, found
 
 
-def shards(benchmark: DataFrame, limits: ContaminationLimits) -> list[SuffixAutomaton]:
-    """Automata of at most ``shard_bytes`` of item text each (one item at least), built from streamed rows."""
-    rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null").orderBy("item_id", "text")
-    out, held, size = [], [], 0
-    for row in rows.toLocalIterator():
-        raw = row.text.encode()
-        if held and size + len(raw) > limits.shard_bytes:
-            out.append(SuffixAutomaton(held, limits.window))
-            held, size = [], 0
-        texts = bk.Texts(0, 1, np.frombuffer(raw, np.uint8), np.array([0, len(raw)], np.int64))
-        w = bk.words(texts, bk.ALNUM)
-        if len(w.start):
-            held.append((row.item_id, bk.span_hashes(texts.data, w.start, w.end, bk.LOWERED)))
-            size += len(raw)
-    if held or not out:
-        out.append(SuffixAutomaton(held, limits.window))
-    return out
+class Packed:
+    """An automaton in pickled form, opened on first use and then held by the worker."""
+
+    def __init__(self, blob: bytes):
+        self.blob = blob
+
+    @property
+    def automaton(self) -> SuffixAutomaton:
+        opened = self.__dict__.get("opened")
+        if opened is None:
+            opened = self.__dict__["opened"] = pickle.loads(self.blob)
+            self.blob = b""
+        return opened
+
+
+def _built(window: int):
+    def run(items: pa.Table) -> pa.Table:
+        held = []
+        for name, raw in zip(items.column("item_id").to_pylist(), items.column("text").to_pylist(), strict=True):
+            data = raw.encode()
+            texts = bk.Texts(0, 1, np.frombuffer(data, np.uint8), np.array([0, len(data)], np.int64))
+            w = bk.words(texts, bk.ALNUM)
+            if len(w.start):
+                held.append((name, bk.span_hashes(texts.data, w.start, w.end, bk.LOWERED)))
+        return pa.table({"automaton": pa.array([pickle.dumps(SuffixAutomaton(held, window), pickle.HIGHEST_PROTOCOL)] if held else [], pa.binary())})
+
+    return run
+
+
+def shards(benchmark: DataFrame, limits: ContaminationLimits) -> Iterator[Packed]:
+    """Automata of about ``shard_bytes`` of item text each, one after the other."""
+    rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    n = max(1, -(-size // limits.shard_bytes))
+    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("item_id", "text"), F.lit(n)))
+    built = materialise(dealt.groupBy("shard").applyInArrow(_built(limits.window), "automaton binary"), "automata")
+    for row in built.toLocalIterator():
+        yield Packed(bytes(row.automaton))
 
 
 SCANNED = T.StructType(
@@ -235,7 +263,7 @@ def _scan(automaton_of, names: list[str]):
     """A pass over the texts; hits and items of earlier passes are kept and merged."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = automaton_of.value
+        automaton = automaton_of.value.automaton
         for batch in batches:
             for texts in bk.slices(batch.column("text")):
                 w = bk.words(texts, bk.ALNUM)
@@ -268,20 +296,74 @@ def _scan(automaton_of, names: list[str]):
     return run
 
 
+def _passed(texts: DataFrame, names: list[str], automata: list) -> DataFrame:
+    """The texts with what a few automata find in them."""
+    carried, out = list(texts.schema.fields), texts
+    for held in automata:
+        out = out.mapInArrow(_scan(held, names), T.StructType([*carried, *SCANNED.fields]))
+    return out
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What several passes found in one text."""
+    for batch in batches:
+        first, last, items = [], [], []
+        for found in batch.column("found").to_pylist():
+            spans = _merge([s for f in found for s in zip(f["hit_first"], f["hit_last"], strict=True)])
+            first.append([a for a, _ in spans])
+            last.append([b for _, b in spans])
+            items.append(sorted({i for f in found for i in f["items"]}))
+        yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(first, pa.list_(pa.int64())), pa.array(last, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))], names=["key", *SCANNED.names[1:]])
+
+
+def _in_passes(texts: DataFrame, found: list[DataFrame]) -> DataFrame:
+    """The texts with what was found under their hashes."""
+    rows = reduce(DataFrame.unionByName, found).groupBy("key").agg(F.collect_list(F.struct(*SCANNED.names[1:])).alias("found"))
+    schema = T.StructType([T.StructField("key", T.StringType()), *SCANNED.fields[1:]])
+    hits = materialise(rows.mapInArrow(_merged, schema).withColumn("id", F.xxhash64("key")), "hits")
+    key = F.sha2(F.coalesce("text", F.lit("")), 256)
+    n_words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit("[0-9A-Za-z\\x{80}-\\x{10FFFF}]++")).cast("long").alias("n_words")
+    marked = texts.select("*", n_words, key.alias("key")).withColumn("may", maybe_in(hits, "id", F.xxhash64("key")))
+    nothing = {c.name: F.array().cast(c.dataType) for c in SCANNED.fields[1:]}
+    columns = [*texts.columns, *SCANNED.names]
+    clear = marked.where("not may").withColumns(nothing).select(columns)
+    met = marked.where("may").join(hits.drop("id"), "key", "left")
+    return clear.unionByName(met.select(*texts.columns, "n_words", *(F.coalesce(F.col(c), empty).alias(c) for c, empty in nothing.items())))
+
+
 def scan(docs: DataFrame, benchmark: DataFrame, limits: ContaminationLimits = ContaminationLimits()) -> DataFrame:
     """The input row but its text as one struct, the text, word count, hit word ranges (half open) and item ids."""
     spark = docs.sparkSession
     prepare(spark)
     out = docs.select(F.struct(F.lit(0).alias("__row"), *(F.col(c) for c in docs.columns if c != "text")).alias("row"), F.col("text").cast("string").alias("text"))
-    carried = list(out.schema.fields)
-    for automaton in shards(benchmark, limits):
-        held = spark.sparkContext.broadcast(automaton)
-        out = out.mapInArrow(_scan(held, ["row", "text"]), T.StructType([*carried, *SCANNED.fields]))
+    with scratch(spark) as keep:
+        found: list[DataFrame] = []
+        held: list = []
+        for packed in shards(benchmark, limits):
+            if len(held) == limits.pass_shards:
+                found.append(_hits_of(out, held, keep))
+                held = []
+            held.append(spark.sparkContext.broadcast(packed))
+        if found:
+            found.append(_hits_of(out, held, keep))
+    if found:
+        out = _in_passes(out, found)
+    else:
+        out = _passed(out, ["row", "text"], held or [spark.sparkContext.broadcast(Packed(pickle.dumps(SuffixAutomaton([], limits.window))))])
     n_hit = F.aggregate(F.zip_with("hit_last", "hit_first", lambda b, a: b - a), F.lit(0).cast("long"), lambda x, y: x + y)
     out = out.withColumn("n_hit", n_hit).withColumn("n_items", F.size("items").cast("long"))
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (limits.coverage_inverse * F.col("n_hit") >= F.col("n_words")))
 
 
+def _hits_of(texts: DataFrame, automata: list, keep) -> DataFrame:
+    """One pass: what its automata find, one row for each text with a hit."""
+    rows = _passed(texts.select("text"), ["text"], automata).where("size(hit_first) > 0")
+    out = keep(rows.select(F.sha2("text", 256).alias("key"), *SCANNED.names[1:]).dropDuplicates(["key"]), "pass")
+    for held in automata:
+        held.destroy()
+    return out
+
+
 def _columns(names: list[str], without: tuple[str, ...] | list[str] = ()) -> list[F.Column]:
     return [F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in names if c not in without]
 
