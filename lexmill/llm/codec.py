@@ -1,6 +1,7 @@
 """BPE encoding and decoding of whole texts by prefix dynamic programming.
 
-Null texts encode as empty.  Decoding joins the tokens' texts by one space,
+Null texts encode as empty; repeated rows are encoded each; columns beside
+``doc_id`` and ``text`` are not read, whatever their names.  Decoding joins the tokens' texts by one space,
 as a vocabulary without a decoder does; special strings in a text become
 their special ids.
 """

@@ -13,7 +13,8 @@ pointer jumping from the file's start keeps the records on the chain;
 pieces off the chain are parts of the payload before them.
 
 A null html is an empty payload, a null url gives no target header, and a
-null page_id reads back as null.
+null page_id reads back as null.  Repeated rows are records of their own;
+columns beside page_id, url and html are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,11 +29,14 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, prepare, scratch_path
+from .common import materialise, maybe_in, prepare, scratch_path
 
 VERSION = "WARC/1.1\r\n"
 REVISIT_BYTES = 100
 RECORDS_PER_FILE = 20_000
+#: Repeated payloads that are broadcast (100 bytes each), at most; more are joined with a salt.
+BROADCAST_DIGESTS = 50_000
+SALTS = 32
 _HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -48,14 +52,20 @@ def records(pages: DataFrame) -> DataFrame:
         F.sha2(payload, 256).alias("payload_digest"),
     )
     groups = base.where(F.col("payload_bytes") >= REVISIT_BYTES).groupBy("payload_digest").agg(F.min("page_id").alias("response_id"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    # Few groups repeat: as a table of known size the planner can choose how to join them.
-    repeated = materialise(groups.select("payload_digest", "response_id"), "repeated")
+    repeated = materialise(groups.select("payload_digest", "response_id", F.xxhash64("payload_digest").alias("id")), "repeated")
     revisit = F.coalesce((F.col("payload_bytes") >= REVISIT_BYTES) & (F.col("page_id") != F.col("response_id")), F.lit(False))
-    return (
-        base.join(repeated, "payload_digest", "left")
-        .withColumn("record_type", F.when(revisit, "revisit").otherwise("response"))
-        .withColumn("refers_to", F.when(revisit, F.col("response_id")))
-    )
+    joined = _with_response(base, repeated)
+    return joined.withColumn("record_type", F.when(revisit, "revisit").otherwise("response")).withColumn("refers_to", F.when(revisit, F.col("response_id")))
+
+
+def _with_response(rows: DataFrame, repeated: DataFrame) -> DataFrame:
+    """Rows with the response of their payload, if it repeats: payloads that a bitmap clears stay where they are, the others are dealt by digest and a salt."""
+    if repeated.count() <= BROADCAST_DIGESTS:
+        return rows.join(F.broadcast(repeated.drop("id")), "payload_digest", "left")
+    marked = rows.withColumn("may", maybe_in(repeated, "id", F.xxhash64("payload_digest")))
+    salted = repeated.drop("id").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    met = marked.where("may").withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")).join(salted, ["payload_digest", "salt"], "left").drop("salt")
+    return marked.where("not may").withColumn("response_id", F.lit(None).cast("long")).unionByName(met).drop("may")
 
 
 def _header(name: str, value) -> F.Column:
