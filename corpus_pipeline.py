@@ -8,6 +8,12 @@
 
 Stage functions take (spark, docs, sf_dir).  ``run`` writes each stage's
 result as Parquet in the shared folder and reads it again.
+
+Null and empty texts fail the first stage.  Rows without a doc_id are judged
+like others, but are no near duplicates of any.  Of repeated rows of a doc_id
+and text one stays; rows of one doc_id with different texts are judged apart,
+except that the near-duplicate stage drops a doc_id as a whole.  Extra columns
+pass through, whatever their names.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -16,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill.llm import codec, decontaminate, jaccard, pii, quality
-from lexmill.llm.common import materialise, table
+from lexmill.llm.common import free, scratch, table
 
 #: The tokenizer of the last stage.
 VOCABULARY = "word_bpe_49k.json"
@@ -62,5 +68,8 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+        # A stage's own tables go when its result is written, and so does the result that it read.
+        with scratch(spark) as keep:
+            before, docs = docs, keep(stage(spark, docs, sf_dir), f"stage-{name}")
+        free(before)
     return docs
