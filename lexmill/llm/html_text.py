@@ -297,8 +297,10 @@ def templates(pages: DataFrame) -> DataFrame:
         carried = (F.col("high") + F.shiftrightunsigned("low", 32)).bitwiseAND((1 << 32) - 1)
         token = token.select("host", "token", "pages", F.shiftleft(carried, 32).bitwiseOR(F.col("low").bitwiseAND((1 << 32) - 1)).alias("vector"))
         token = materialise(token, "tokens")
-        total = token.where("token = 0").select("host", F.col("pages").alias("host_pages"))
-        wide = token.where("token != 0").join(total, "host").where((F.col("host_pages") >= MIN_PAGES) & (F.col("pages") >= MIN_SUPPORT * F.col("host_pages")))
+        total = materialise(token.where(f"token = 0 and pages >= {MIN_PAGES}").select("host", F.col("pages").alias("host_pages")), "hosts")
+        # Few tokens are on as many pages as the smallest template needs; only these meet their host.
+        frequent = token.where((F.col("token") != 0) & (F.col("pages") >= MIN_SUPPORT * MIN_PAGES))
+        wide = frequent.join(total, "host").where(F.col("pages") >= MIN_SUPPORT * F.col("host_pages"))
         classes = wide.groupBy("host", F.col("vector").alias("class"), "pages").agg(F.collect_set("token").alias("members")).where(F.size("members") >= MIN_TOKENS)
         classes = materialise(classes, "classes")
         per_host = materialise(classes.groupBy("host").agg(F.collect_list(F.struct("class", "members")).alias("classes")), "host-classes")
