@@ -55,6 +55,8 @@ FREQUENT_IN_TASK = 12
 PART_BYTES = 4 << 20
 #: Documents of a part at most.
 PART_DOCS = 1024
+#: Parts that a block's documents form for each such part while they meet the lead alone.
+LEAD_PARTS = 4
 #: Copies of a set from which its documents are joined apart from the others.
 HOT_COPIES = 1000
 
@@ -198,9 +200,9 @@ def memberships(prefixes: DataFrame) -> DataFrame:
 
 
 def _big(sized: DataFrame, limit: int) -> DataFrame:
-    """hub and parts of the blocks over a limit of weight: at most one for each ``limit`` of it."""
+    """hub and parts of the blocks over a limit of weight: at most one for each ``limit`` of it; a part meets only the lead, so parts are small."""
     blocks = sized.groupBy("hub").agg(F.sum("weight").alias("weight")).where(F.col("weight") > limit)
-    return materialise(blocks.select("hub", F.ceil(F.col("weight") / limit).cast("int").alias("parts")), "big")
+    return materialise(blocks.select("hub", F.ceil(LEAD_PARTS * F.col("weight") / limit).cast("int").alias("parts")), "big")
 
 
 def _part(parts: str) -> F.Column:
