@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import bytekit as bk
 from .bpe import Tokenizer, code_cache, tokenizer_of
 from .common import prepare, text_or_empty
 
@@ -59,4 +60,4 @@ def encode(docs: DataFrame, path: str, full: bool = False) -> DataFrame:
     if full:
         fields += [T.StructField("ids", T.ArrayType(T.IntegerType(), False)), T.StructField("decoded", T.StringType())]
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("__text"))
-    return narrow.mapInArrow(_encode(path, ["doc_id"], full), T.StructType(fields))
+    return narrow.mapInArrow(bk.tidy(_encode(path, ["doc_id"], full)), T.StructType(fields))

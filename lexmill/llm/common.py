@@ -11,7 +11,7 @@ from contextlib import contextmanager
 from weakref import WeakKeyDictionary
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -143,9 +143,10 @@ def maybe_in(ids: DataFrame, column: str, value: Column) -> Column:
     words[table_.column("word").to_numpy()] = table_.column("bits").to_numpy().view(np.uint64)
     held = spark.sparkContext.broadcast(_Bits(words, size))
 
-    @F.pandas_udf("boolean")
-    def may(hashed: pd.Series) -> pd.Series:
-        return pd.Series(held.value.holds(hashed.to_numpy(np.int64)))
+    # Arrow arrays, not pandas: its import would cost every worker 40 MB.
+    @F.arrow_udf("boolean")
+    def may(hashed: pa.Array) -> pa.Array:
+        return pa.array(held.value.holds(hashed.to_numpy(zero_copy_only=False)))
 
     return may(F.xxhash64(value.cast("long")))
 

@@ -300,7 +300,7 @@ def _passed(texts: DataFrame, names: list[str], automata: list) -> DataFrame:
     """The texts with what a few automata find in them."""
     carried, out = list(texts.schema.fields), texts
     for held in automata:
-        out = out.mapInArrow(_scan(held, names), T.StructType([*carried, *SCANNED.fields]))
+        out = out.mapInArrow(bk.tidy(_scan(held, names)), T.StructType([*carried, *SCANNED.fields]))
     return out
 
 
@@ -320,7 +320,7 @@ def _in_passes(texts: DataFrame, found: list[DataFrame]) -> DataFrame:
     """The texts with what was found under their hashes."""
     rows = reduce(DataFrame.unionByName, found).groupBy("key").agg(F.collect_list(F.struct(*SCANNED.names[1:])).alias("found"))
     schema = T.StructType([T.StructField("key", T.StringType()), *SCANNED.fields[1:]])
-    hits = materialise(rows.mapInArrow(_merged, schema).withColumn("id", F.xxhash64("key")), "hits")
+    hits = materialise(rows.mapInArrow(bk.tidy(_merged), schema).withColumn("id", F.xxhash64("key")), "hits")
     key = F.sha2(F.coalesce("text", F.lit("")), 256)
     n_words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit("[0-9A-Za-z\\x{80}-\\x{10FFFF}]++")).cast("long").alias("n_words")
     marked = texts.select("*", n_words, key.alias("key")).withColumn("may", maybe_in(hits, "id", F.xxhash64("key")))
@@ -408,5 +408,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, limits: ContaminationLi
         return found.where(~F.col("contaminated")).select(*_columns(docs.columns))
     nothing = F.array().cast("array<bigint>")
     spans = [F.when(F.col("contaminated"), F.col(c)).otherwise(nothing).alias(c) for c in ("hit_first", "hit_last")]
-    cut = found.select("row", "text", *spans).mapInArrow(_cut(limits.max_span), T.StructType(list(found.schema.fields)[:2]))
+    cut = found.select("row", "text", *spans).mapInArrow(bk.tidy(_cut(limits.max_span)), T.StructType(list(found.schema.fields)[:2]))
     return cut.select(*_columns(docs.columns))

@@ -37,6 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import bytekit as bk
 from .common import materialise, prepare, scratch
 
 #: Template classes need this share of a host's pages, and this many pages.
@@ -288,9 +289,9 @@ def _orders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def templates(pages: DataFrame) -> DataFrame:
     """host and template: the tokens of its valid equivalence classes; of pages with html and host."""
     with scratch(pages.sparkSession) as keep:
-        streams = pages.select("host", "html").mapInArrow(_streams, "host string, signature long, tokens array<long>")
+        streams = pages.select("host", "html").mapInArrow(bk.tidy(_streams), "host string, signature long, tokens array<long>")
         streams = materialise(streams.dropDuplicates(["host", "signature"]), "streams")
-        rows = streams.mapInArrow(_vectors, "host string, token long, pages long, vector long")
+        rows = streams.mapInArrow(bk.tidy(_vectors), "host string, token long, pages long, vector long")
         # Hash sums wrap around: a bitwise split keeps ANSI sums from overflowing.
         low, high = F.col("vector").bitwiseAND((1 << 32) - 1), F.shiftrightunsigned("vector", 32)
         token = rows.groupBy("host", "token").agg(F.sum("pages").alias("pages"), F.sum(low).alias("low"), F.sum(high).alias("high"))
@@ -304,7 +305,7 @@ def templates(pages: DataFrame) -> DataFrame:
         classes = wide.groupBy("host", F.col("vector").alias("class"), "pages").agg(F.collect_set("token").alias("members")).where(F.size("members") >= MIN_TOKENS)
         classes = materialise(classes, "classes")
         per_host = materialise(classes.groupBy("host").agg(F.collect_list(F.struct("class", "members")).alias("classes")), "host-classes")
-        met = _by_host(streams, per_host, F.xxhash64("signature"), "classes").select("host", "tokens", "classes").mapInArrow(_orders, "host string, class long, order long, n long")
+        met = _by_host(streams, per_host, F.xxhash64("signature"), "classes").select("host", "tokens", "classes").mapInArrow(bk.tidy(_orders), "host string, class long, order long, n long")
         orders = met.where("order != 0").groupBy("host", "class", "order").agg(F.sum("n").alias("n"))
         ordered = orders.groupBy("host", "class").agg(F.max("n").alias("n"))
         valid = classes.join(ordered, ["host", "class"]).where(F.col("n") >= MIN_SUPPORT * F.col("pages"))
@@ -344,4 +345,4 @@ def extract(pages: DataFrame) -> DataFrame:
     prepare(pages.sparkSession)
     narrow = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"), host_of(F.col("url").cast("string")).alias("host"))
     joined = _by_host(narrow, templates(narrow), F.xxhash64("page_id", "url"), "template", "left").select("page_id", "url", "html", "host", "template")
-    return joined.mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
+    return joined.mapInArrow(bk.tidy(_extract), "page_id long, url string, text string, n_chars long")

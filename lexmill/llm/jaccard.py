@@ -123,7 +123,7 @@ def _frequent_local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 def frequent_shingles(docs: DataFrame) -> np.ndarray:
     """At most ``FREQUENT_LIMIT`` frequent shingles, least frequent first: the end of the order."""
-    found = docs.select("text").mapInArrow(_frequent_local, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    found = docs.select("text").mapInArrow(bk.tidy(_frequent_local), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
     top = found.orderBy(F.desc("n"), "shingle").limit(FREQUENT_LIMIT).toArrow()
     return np.array(top.column("shingle").to_numpy()[::-1]).view(np.uint64)
 
@@ -191,7 +191,7 @@ def memberships(prefixes: DataFrame) -> DataFrame:
     """Distinct (hub, doc): the documents that share a prefix key with the key's smallest document."""
     rare = prefixes.select(F.explode("rare").alias("key"), F.col("doc_id").alias("doc"))
     n = int(prefixes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    met = rare.repartition(n, "key").sortWithinPartitions("key", "doc").mapInArrow(_hubs, "hub long, doc long")
+    met = rare.repartition(n, "key").sortWithinPartitions("key", "doc").mapInArrow(bk.tidy(_hubs), "hub long, doc long")
     often = prefixes.where(F.size("often") > 0).select(F.explode("often").alias("key"), F.col("doc_id").alias("doc"))
     # At most FREQUENT_LIMIT rows of 24 bytes.
     hub_of = often.groupBy("key").agg(F.min("doc").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "hub")
@@ -378,16 +378,16 @@ def _blocks(rows: DataFrame, big: DataFrame, limit: int, beside, pairs_of, colum
     rows: hub, doc, weight, copies and the columns that the comparisons read.
     """
     wide = [c for c in rows.columns if c not in ("hub", "doc", "weight", "copies")]
-    found = _dealt(_whole_tasks(rows.join(big, "hub", "left_anti").drop("weight"))).mapInArrow(_by_block(pairs_of, [*columns, "doc", "copies", columns[0]]), _FOUND)
+    found = _dealt(_whole_tasks(rows.join(big, "hub", "left_anti").drop("weight"))).mapInArrow(bk.tidy(_by_block(pairs_of, [*columns, "doc", "copies", columns[0]])), _FOUND)
     if big.isEmpty():
         return found, rows.sparkSession.createDataFrame([], "hub long, doc long, copies long, beside boolean")
     members = rows.join(big, "hub")
-    leads = _dealt(_lead_tasks(members.drop("weight", "copies"))).mapInArrow(_beside_lead(beside), "hub long, doc long, beside boolean").distinct()
+    leads = _dealt(_lead_tasks(members.drop("weight", "copies"))).mapInArrow(bk.tidy(_beside_lead(beside)), "hub long, doc long, beside boolean").distinct()
     placed = members.select("hub", "doc", "weight", "copies").join(leads, ["hub", "doc"])
     placed = materialise(placed, "placed")
     tasks = _rest_tasks(placed.withColumn("rest", ~F.col("beside")).drop("beside"), limit).drop("weight", "copies")
     facts = members.select("hub", "doc", "copies", *wide)
-    met = _dealt(tasks.join(facts, ["hub", "doc"])).mapInArrow(_by_block(pairs_of, [*columns, "doc", "copies", columns[0]]), _FOUND)
+    met = _dealt(tasks.join(facts, ["hub", "doc"])).mapInArrow(bk.tidy(_by_block(pairs_of, [*columns, "doc", "copies", columns[0]])), _FOUND)
     return found.unionByName(met), placed
 
 
@@ -409,7 +409,7 @@ def verified_links(docs: DataFrame, alive: DataFrame, nodes: DataFrame) -> DataF
     schema = T.StructType([*(T.StructField(c, T.LongType()) for c in ("doc", "hub", "copies", "n_shingles")), T.StructField("elements", T.BinaryType())])
     # Most texts have no partner: they are left out where they are read.
     near = docs.select(F.col("doc_id").alias("doc"), "text").where(maybe_in(facts, "doc", F.col("doc_id")))
-    sets = near.join(facts.select("doc", "hub", "copies"), "doc").select("doc", "text", "hub", "copies").mapInArrow(_sets, schema)
+    sets = near.join(facts.select("doc", "hub", "copies"), "doc").select("doc", "text", "hub", "copies").mapInArrow(bk.tidy(_sets), schema)
     if not big.isEmpty():
         sets = materialise(sets, "sets")
     found, placed = _blocks(sets.withColumn("weight", weight).drop("n_shingles"), big, PART_BYTES, _tight, _verified, ["elements", "side"])
@@ -448,7 +448,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
         frequent = spark.sparkContext.broadcast(frequent_shingles(narrow))
         schema = T.StructType([*(T.StructField(c, T.LongType()) for c in ("doc_id", "n_shingles", "fp1", "fp2")), *(T.StructField(c, T.ArrayType(T.LongType(), False)) for c in ("rare", "often")), T.StructField("vector", T.BinaryType())])
-        prefixes = materialise(narrow.mapInArrow(_prefixes(frequent), schema), "prefixes")
+        prefixes = materialise(narrow.mapInArrow(bk.tidy(_prefixes(frequent)), schema), "prefixes")
         same_set = ["fp1", "fp2", "n_shingles"]
         known = prefixes.where("n_shingles > 0 and doc_id is not null")
         nodes = materialise(known.groupBy(*same_set).agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("copies")), "nodes")

@@ -252,7 +252,7 @@ def _proposals(limits: QualityLimits):
 
 def common_words(docs: DataFrame, limits: QualityLimits = QualityLimits()) -> CommonWords:
     """Every language's words that may be common: at most twice ``common_one_in`` for each of at most ``language_one_in`` languages."""
-    rows = _texts(docs).select("text", "lang").mapInArrow(_proposals(limits), "lang string, word string, n long")
+    rows = _texts(docs).select("text", "lang").mapInArrow(bk.tidy(_proposals(limits)), "lang string, word string, n long")
     found = materialise(rows.groupBy("lang", "word").agg(F.sum("n").alias("n")), "proposals")
     totals = found.where("word is null").select("lang", F.col("n").alias("total"))
     everything = totals.agg(F.coalesce(F.sum("total"), F.lit(0))).first()[0]
@@ -408,7 +408,7 @@ def _prepared(docs: DataFrame, limits: QualityLimits):
     context = docs.sparkSession.sparkContext
     common = common_words(docs, limits)
     held = context.broadcast(common)
-    measured = materialise(_texts(docs).mapInArrow(_features(limits.window, held), FEATURES), "quality")
+    measured = materialise(_texts(docs).mapInArrow(bk.tidy(_features(limits.window, held)), FEATURES), "quality")
     return measured, held, context.broadcast(references(measured, common, limits))
 
 
@@ -416,7 +416,7 @@ def quality(docs: DataFrame, limits: QualityLimits = QualityLimits()) -> DataFra
     """Counts, distances and verdict of every text: one row per input row."""
     with scratch(docs.sparkSession) as keep:
         measured, _, known = _prepared(docs, limits)
-        return keep(measured.mapInArrow(_judge(known, limits), VERDICT), "verdicts")
+        return keep(measured.mapInArrow(bk.tidy(_judge(known, limits)), VERDICT), "verdicts")
 
 
 def keep_good(docs: DataFrame, limits: QualityLimits = QualityLimits()) -> DataFrame:
@@ -427,4 +427,4 @@ def keep_good(docs: DataFrame, limits: QualityLimits = QualityLimits()) -> DataF
     with scratch(docs.sparkSession):
         _, common, known = _prepared(docs, limits)
         prepare(docs.sparkSession)
-        return docs.mapInArrow(_keep(common, known, limits), docs.schema)
+        return docs.mapInArrow(bk.tidy(_keep(common, known, limits)), docs.schema)

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import bytekit as bk
 from .bpe import PieceCache, Tokenizer, mapped, tokenizer_of
 from .common import prepare, text_or_empty
 
@@ -199,12 +200,12 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 def _counted(rows: DataFrame, path: str | None, limit: int) -> DataFrame:
     schema = T.StructType([T.StructField(c, T.LongType()) for c in _COUNTED])
-    return rows.mapInArrow(_count(path, limit), schema).select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"), "fit_chars")
+    return rows.mapInArrow(bk.tidy(_count(path, limit)), schema).select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"), "fit_chars")
 
 
 def prefix_table(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_bytes, and steps: how the token count grows from each prefix to the next (two bytes a code point)."""
-    return _texts(docs).mapInArrow(_steps(path), "doc_id long, n_bytes long, steps binary")
+    return _texts(docs).mapInArrow(bk.tidy(_steps(path)), "doc_id long, n_bytes long, steps binary")
 
 
 def budget(table: DataFrame, limit: int) -> DataFrame:

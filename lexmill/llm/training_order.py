@@ -255,7 +255,7 @@ def write_shards(docs: DataFrame, path: str, layout: Layout = Layout()) -> int:
     spark.conf.set(conf, before or str(spark.sparkContext.defaultParallelism))
     try:
         place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")]
-        counted = docs.select(*columns, *place).select("file", "block", "tokens").mapInArrow(_counts(layout), "file string, block long, n long")
+        counted = docs.select(*columns, *place).select("file", "block", "tokens").mapInArrow(bk.tidy(_counts(layout)), "file string, block long, n long")
         splits = counted.groupBy("file", "block").agg(F.sum("n").alias("n")).select("file", "block", F.ceil(F.col("n") / layout.tokens).cast("long").alias("n"))
         splits = materialise(splits, "splits")
         running = Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)  # one row for each split
@@ -268,7 +268,7 @@ def write_shards(docs: DataFrame, path: str, layout: Layout = Layout()) -> int:
             rows = rows.join(F.broadcast(bases), ["file", "block"])
         else:
             rows = rows.join(bases, ["file", "block"]).sortWithinPartitions("file", "block", "row")
-        records = rows.select("doc_id", "tokens", "file", "block", "base").mapInArrow(_records(layout, facts.total), "slot long, record binary")
+        records = rows.select("doc_id", "tokens", "file", "block", "base").mapInArrow(bk.tidy(_records(layout, facts.total)), "slot long, record binary")
         tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-facts.total * layout.stride // TASK_BYTES))
         shards = -(-facts.total // layout.shard_rows)
         dealt = records.withColumn("shard", F.expr(f"slot div {layout.shard_rows}"))
@@ -307,7 +307,7 @@ def read_shards(spark: SparkSession, path: str, layout: Layout = Layout(), first
     files = files.select(shard.alias("shard"), "content").where(F.col("shard") >= first // layout.shard_rows)
     if last is not None:
         files = files.where(F.col("shard") * layout.shard_rows < last)
-    return files.mapInArrow(_read(layout, first, last), "slot long, number long, doc_id long, place long, n_tokens long, tokens binary")
+    return files.mapInArrow(bk.tidy(_read(layout, first, last)), "slot long, number long, doc_id long, place long, n_tokens long, tokens binary")
 
 
 def materialised_order(docs: DataFrame, layout: Layout = Layout()) -> DataFrame:

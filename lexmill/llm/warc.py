@@ -29,6 +29,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import bytekit as bk
 from .common import materialise, maybe_in, prepare, scratch_path
 
 VERSION = "WARC/1.1\r\n"
@@ -208,7 +209,7 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = False) -> Dat
     prepare(spark)
     raw = spark.read.option("lineSep", VERSION).text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").cast("binary").alias("piece"))
     columns = [c.split()[0] for c in _RECORD.split(", ")]
-    pieces = raw.mapInArrow(_pieces(payloads), _PIECES)
+    pieces = raw.mapInArrow(bk.tidy(_pieces(payloads)), _PIECES)
     if not payloads:
         pieces = materialise(pieces.drop("payload").withColumn("payload", F.lit(None).cast("binary")), "pieces")
     # Offsets alone meet per archive: 40 bytes for each piece of a file of bounded size.
@@ -220,9 +221,9 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = False) -> Dat
     if several.isEmpty():
         return single
     # Payloads that hold the version line: their pieces are read again and joined.
-    again = raw.mapInArrow(_bodies, "file string, block long, at long, piece binary").join(several, place)
+    again = raw.mapInArrow(bk.tidy(_bodies), "file string, block long, at long, piece binary").join(several, place)
     joined = again.groupBy("file", "record").agg(F.array_sort(F.collect_list(F.struct("order", "piece"))).alias("pieces"))
-    return single.unionByName(joined.select("pieces").mapInArrow(_join(payloads), _RECORD))
+    return single.unionByName(joined.select("pieces").mapInArrow(bk.tidy(_join(payloads)), _RECORD))
 
 
 def _bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
