@@ -12,6 +12,8 @@ from __future__ import annotations
 import numpy as np
 
 FANOUT = 32
+#: Bytes of the vectors that are compared at once, on each side: vectors of long texts are wide.
+COMPARED_BYTES = 8 << 20
 
 
 class CountTree:
@@ -40,8 +42,9 @@ class CountTree:
         small, large, upper = self.small[level], self.large[level], self.upper[level]
         ok = (5 * large[a] >= 4 * small[b]) & (5 * large[b] >= 4 * small[a])
         at = np.flatnonzero(ok)
-        for lo in range(0, len(at), 8192):
-            part = at[lo : lo + 8192]
+        step = max(1, COMPARED_BYTES // (4 * upper.shape[1]))
+        for lo in range(0, len(at), step):
+            part = at[lo : lo + step]
             shared = np.minimum(upper[a[part]], upper[b[part]]).sum(axis=1, dtype=np.int64)
             ok[part] = 9 * shared >= 4 * (small[a[part]] + small[b[part]])
         return ok
