@@ -26,7 +26,9 @@ import numpy as np
 import regex
 
 CACHE_ENTRIES = 200_000
-COMPATIBLE_ENTRIES = 300_000
+#: Codes are two strings each.
+CODE_ENTRIES = 100_000
+COMPATIBLE_ENTRIES = 150_000
 
 
 def byte_characters() -> list[str]:
@@ -249,7 +251,7 @@ def code_cache(path: str) -> PieceCache:
         ids = encode(mapped(piece))
         return " ".join(map(str, ids)), " ".join([text_of[i] for i in ids])
 
-    return PieceCache(compute)
+    return PieceCache(compute, CODE_ENTRIES)
 
 
 class _Unclean(Exception):

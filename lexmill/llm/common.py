@@ -24,7 +24,7 @@ _TABLES: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 #: Arrow batches of long texts stay small, so a worker holds a few MB at a time.
 ARROW_ROWS = 512
-ARROW_BYTES = "16m"
+ARROW_BYTES = "8m"
 #: Ids broadcast as a table, at most; and bits of a broadcast bitmap.
 BROADCAST_IDS = 200_000
 BITMAP_BITS = 1 << 28

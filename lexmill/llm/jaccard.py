@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import bytekit as bk
-from .common import materialise, maybe_in, prepare, scratch, text_or_empty, without_ids
+from .common import BROADCAST_IDS, materialise, maybe_in, prepare, scratch, text_or_empty, without_ids
 from .rtree import candidate_pairs, components, count_vector, linked_pairs, read_vector
 
 WIDTH = 5
@@ -407,8 +407,10 @@ def verified_links(docs: DataFrame, alive: DataFrame, nodes: DataFrame) -> DataF
     weight = F.col("n_shingles") * 8 + PART_BYTES // PART_DOCS
     big = _big(facts.withColumn("weight", weight), PART_BYTES)
     schema = T.StructType([*(T.StructField(c, T.LongType()) for c in ("doc", "hub", "copies", "n_shingles")), T.StructField("elements", T.BinaryType())])
-    # Most texts have no partner: they are left out where they are read.
-    near = docs.select(F.col("doc_id").alias("doc"), "text").where(maybe_in(facts, "doc", F.col("doc_id")))
+    near = docs.select(F.col("doc_id").alias("doc"), "text")
+    if facts.count() > BROADCAST_IDS:
+        # Most texts have no partner: they are left out where they are read.
+        near = near.where(maybe_in(facts, "doc", F.col("doc")))
     sets = near.join(facts.select("doc", "hub", "copies"), "doc").select("doc", "text", "hub", "copies").mapInArrow(bk.tidy(_sets), schema)
     if not big.isEmpty():
         sets = materialise(sets, "sets")

@@ -40,7 +40,7 @@ from .common import materialise, prepare, scratch
 #: Names of the character classes, in histogram order.
 CHAR_CLASSES = ("lower", "upper", "digit", "space", "newline", "stop", "quote", "bracket", "symbol", "non_ascii", "control")
 #: Bytes of text in which one proposal of common words is made.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 
 
 @dataclass(frozen=True)
