@@ -417,7 +417,8 @@ def verified_links(docs: DataFrame, alive: DataFrame, nodes: DataFrame) -> DataF
     found, placed = _blocks(sets.withColumn("weight", weight).drop("n_shingles"), big, PART_BYTES, _tight, _verified, ["elements", "side"])
     # Documents that are all within half the distance of one are all linked.
     close = placed.where("beside").distinct()
-    total = close.groupBy("hub").agg(F.sum("copies").alias("total"))
+    # One row for each big block: a small table, which the planner need not deal by hub.
+    total = materialise(close.groupBy("hub").agg(F.sum("copies").alias("total")), "totals")
     close = close.join(total, "hub").select("doc", F.col("hub").alias("root"), (F.col("total") - F.col("copies")).alias("n"))
     return found.unionByName(close.where("n > 0"))
 
