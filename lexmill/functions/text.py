@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..rules.english import AI_STEMS
+
 PLACEHOLDER = r"\[[^\[\]\n]{1,120}\](?!\()"
 #: Words of both scripts before and after normalising.
 _ARABIC, _PERSIAN = "يىك٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹", "ییک01234567890123456789"
@@ -36,8 +38,9 @@ def like_case(word: Column, pattern: Column) -> Column:
 
 
 def lemma(word: Column) -> Column:
-    """A crude stem: without common endings, seven letters at most."""
-    return F.substring(F.regexp_replace(F.lower(word), "(?:ing|ed|es|s|ly|ment)$", ""), 1, 7)
+    """A crude stem: the listed stem that a word begins with, else the word without common endings, seven letters at most."""
+    listed = F.regexp_extract(F.lower(word), f"^({'|'.join(AI_STEMS)})", 1)
+    return F.when(listed != "", listed).otherwise(F.substring(F.regexp_replace(F.lower(word), "(?:ing|ed|es|s|ly|ment)$", ""), 1, 7))
 
 
 def percent_encoded(text: Column) -> Column:
@@ -54,8 +57,25 @@ def excerpt(text: Column, start: Column, end: Column, around: int = 15) -> Colum
 
 
 def number_normal(value: Column) -> Column:
-    return F.replace(F.translate(value, _ARABIC + "٬٫", _PERSIAN + ",."), F.lit(","), F.lit(""))
+    """A number without thousands marks, zeros in front, and zeros behind the point."""
+    plain = F.replace(F.translate(value, _ARABIC + "٬٫", _PERSIAN + ",."), F.lit(","), F.lit(""))
+    tail = F.when(plain.contains("."), F.regexp_replace(F.regexp_replace(plain, "0+$", ""), "[.]$", "")).otherwise(plain)
+    bare = F.regexp_replace(tail, "^0+", "")
+    return F.when(bare == "", "0").otherwise(bare)
 
 
 def quote_normal(value: Column) -> Column:
-    return F.lower(F.trim(F.regexp_replace(F.translate(value, "“”‘’", "\"\"''"), r"(?U)\s+", " ")))
+    """A quotation in lower case with plain marks and single spaces, without marks around it."""
+    plain = F.regexp_replace(F.translate(value, "“”‘’", "\"\"''"), r"(?U)\s+", " ")
+    return F.lower(F.regexp_replace(plain, r"^[ \"'.,;:!?]+|[ \"'.,;:!?]+$", ""))
+
+
+def half_up(value: Column, places: int = 2) -> Column:
+    """A decimal rounded half up."""
+    unit = 10**places
+    return F.floor(value.cast("decimal(38,12)") * unit + F.lit("0.5").cast("decimal(2,1)")) / unit
+
+
+def pointer(keys: Column) -> Column:
+    """A path of keys as a JSON pointer."""
+    return F.concat(F.lit("/"), F.array_join(F.transform(keys, lambda k: F.replace(F.replace(k, F.lit("~"), F.lit("~0")), F.lit("/"), F.lit("~1"))), "/"))

@@ -1,22 +1,32 @@
-"""The findings relation: pattern rules, suppression, duplicates and order."""
+"""The findings relation: pattern rules, facts, suppression, duplicates and order.
+
+Pattern rules need every match's place, which Spark's functions do not give:
+one Arrow pass masks a text and runs all rules on it, so a text is read once
+however many rules there are.  Prefilters (word beginnings and substrings)
+keep most rules away from most texts.  What comes out are narrow rows.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from bisect import bisect_right
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
-from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.spans import SPAN, column_of, line_of, match_spans
 from ..rules import english, persian
-from ..rules.model import ERROR, PatternRule
-from .mask import mask_prose
+from ..rules.model import ERROR, WARNING, PatternRule, python_pattern
+from . import mask
+from .keep import TESTS
 from .segment import clean
 
-FINDING = "array<struct<line:int,col:int,code:string,severity:string,start:int,end:int,text:string,seq:int>>"
+FINDING = "line int, col int, code string, severity string, start int, end int, text string, excerpt string, seq int"
+_NAMES = [c.split()[0] for c in FINDING.split(", ")]
+#: Code points of context on each side of an excerpt.
+AROUND = 15
 
 
 @dataclass(frozen=True)
@@ -32,6 +42,9 @@ class Settings:
     reading_grade_max: float = 10.0
     spelling: str = ""
     contractions: str = ""
+    oxford_comma: bool | None = None
+    register: str = "any"
+    address: str = ""
     jargon: bool = False
     brand: str = ""
     allow: tuple[str, ...] = ()
@@ -39,32 +52,54 @@ class Settings:
     avoid: tuple[str, ...] = ()
     prefer: dict[str, str] = field(default_factory=dict)
     misspellings: dict[str, str] = field(default_factory=dict)
+    #: (code, message) of what was wrong in the profile.
+    problems: tuple[tuple[str, str], ...] = ()
 
 
-def _escaped(word: str) -> str:
-    return rf"(?<![\w\-])\Q{word}\E(?![\w\-])"
+def _word(word: str) -> str:
+    return rf"(?<![\w\-]){regex.escape(word, literal_spaces=True)}(?![\w\-])"
 
 
 def profile_rules(settings: Settings) -> list[PatternRule]:
-    """Rules that a profile adds."""
+    """English rules that a profile adds."""
     out = []
     if settings.brand:
-        out.append(PatternRule("en-brand-spelling", ERROR, rf"(?!(?-i:\Q{settings.brand}\E)(?![\w\-])){_escaped(settings.brand)}"))
-    out += [PatternRule("en-brand-spelling", ERROR, _escaped(bad)) for bad in settings.misspellings]
-    out += [PatternRule("en-profile-banned", ERROR, _escaped(w)) for w in dict.fromkeys(settings.banned)]
-    out += [PatternRule("en-profile-avoid", "warning", _escaped(w)) for w in dict.fromkeys(settings.avoid)]
+        out.append(PatternRule("en-brand-spelling", ERROR, rf"(?!(?-i:{regex.escape(settings.brand, literal_spaces=True)})(?![\w\-])){_word(settings.brand)}", hint=settings.brand))
+    out += [PatternRule("en-brand-spelling", ERROR, rf"(?!(?-i:{regex.escape(good, literal_spaces=True)})(?![\w\-])){_word(bad)}", hint=good) for bad, good in settings.misspellings.items()]
+    out += [PatternRule("en-profile-banned", ERROR, _word(w)) for w in dict.fromkeys(settings.banned)]
+    out += [PatternRule("en-profile-avoid", WARNING, _word(w), hint=settings.prefer.get(w, "")) for w in dict.fromkeys(settings.avoid)]
     if settings.jargon:
-        out.append(PatternRule("en-jargon", "warning", english.JARGON, allow=True))
-    q = "['’]"
+        out.append(PatternRule("en-jargon", WARNING, english.JARGON, allow=True))
     if settings.contractions == "avoid":
-        out.append(PatternRule("en-contraction", "warning", rf"\b(?:[A-Za-z]+n{q}t|(?:I|you|we|they|he|she|it|that|there|here|what|who|where|let){q}(?:m|re|ve|ll|d|s))\b"))
+        out.append(PatternRule("en-contraction", WARNING, english.CONTRACTION))
     elif settings.contractions == "positive-only" or settings.house_style == "govuk":
-        out.append(PatternRule("en-contraction", "warning", rf"\b[A-Za-z]+n{q}t\b"))
+        out.append(PatternRule("en-contraction", WARNING, english.NEGATIVE_CONTRACTION))
     if settings.contractions == "use" and settings.format in english.NO_CONTRACTION_FORMATS:
-        out.append(PatternRule("en-no-contraction", "warning", r"\b(?:do not|does not|did not|is not|are not|was not|were not|cannot|could not|would not|should not|will not|have not|has not|had not|we will|we are|you are|you will|they are|I am|I will|let us)\b"))
+        out.append(PatternRule("en-no-contraction", WARNING, english.EXPANDED))
+    if settings.spelling:
+        forms = {f: spelled_as(f, settings.spelling) for f in english.SPELLING_FORMS}
+        off = sorted((f for f, target in forms.items() if target), key=len, reverse=True)
+        out.append(PatternRule("en-spelling-variant", WARNING, rf"(?<![A-Za-z'’\-])(?:{'|'.join(off)})(?![A-Za-z'’\-])", keep="own_spelling"))
     return out
 
 
+def persian_profile_rules(settings: Settings) -> list[PatternRule]:
+    """Persian rules that a profile adds; words are taken with their suffixes, and with Arabic letters too."""
+    out = [persian.word_rule("brand-spelling", ERROR, bad, tolerant=False, hint=good) for bad, good in settings.misspellings.items() if bad.strip()]
+    out += [persian.word_rule("profile-banned", ERROR, w) for w in dict.fromkeys(settings.banned)]
+    out += [persian.word_rule("profile-avoid", WARNING, w, hint=settings.prefer.get(w, "")) for w in dict.fromkeys(settings.avoid)]
+    return out + ([persian.jargon_rule(settings.allow)] if settings.jargon else [])
+
+
+def spelled_as(form: str, variant: str) -> str | None:
+    """The form that a variant (us, uk, uk-ize) writes instead; None if it writes this one."""
+    family, side, other = english.SPELLING_FORMS[form.lower()]
+    if variant == "uk-ize" and family == "yze-yse":
+        return None
+    wanted = "us" if variant == "us" or (variant == "uk-ize" and family == "ize-ise") else "uk"
+    return None if side == wanted else other
+
+
 def applicable(rules: Sequence[PatternRule], settings: Settings) -> list[PatternRule]:
     s = settings
     return [
@@ -74,79 +109,149 @@ def applicable(rules: Sequence[PatternRule], settings: Settings) -> list[Pattern
     ]
 
 
-def _line_text(text: Column, span: Column) -> Column:
-    before = F.substring_index(F.substring(text, F.lit(1), span["end"]), "\n", -1)
-    return F.concat(before, F.substring_index(F.substring(text, span["end"] + 1, F.length(text)), "\n", 1))
-
-
-def _let_through(rule: PatternRule, text: Column, span: Column) -> Column:
-    tests = []
-    for side, pattern in rule.unless:
-        if side == "match":
-            tests.append(span["text"].rlike(pattern))
-        elif side == "before":
-            first = F.greatest(F.lit(1), span["start"] - 59)
-            tests.append(F.substring(text, first, span["start"] - first + 1).rlike(pattern))
-        elif side == "line":
-            tests.append(_line_text(text, span).rlike(pattern))
-        elif side == "around":
-            first = F.greatest(F.lit(1), span["start"] - 11)
-            tests.append(F.concat(F.substring(text, first, span["start"] - first + 1), F.lit("\x01"), span["text"], F.lit("\x01"), F.substring(text, span["end"] + 1, F.lit(12))).rlike(pattern))
-        elif side == "after":
-            tests.append(F.substring(text, span["end"] + 1, F.lit(60)).rlike(pattern))
-        else:
-            near = F.concat(F.rtrim(F.substring(text, F.greatest(F.lit(1), span["start"] - 3), F.least(span["start"], F.lit(4)))), F.lit("\n"), F.ltrim(F.substring(text, span["end"] + 1, F.lit(4))))
-            tests.append(near.rlike(rf"{pattern}\n{pattern}"))
-    return reduce(lambda a, b: a | b, tests, F.lit(False))
-
-
-def _rule_findings(rule: PatternRule, seq: int, raw: Column, masked: Column, settings: Settings) -> Column:
-    text = raw if rule.raw else masked
-    spans = match_spans(text, rule.regex)
-    # Most texts fail a rule's prefilter, which costs far less than its pattern.
-    if rule.starts:
-        spans = F.when(F.arrays_overlap(F.col("stems"), F.array(*map(F.lit, rule.starts.split()))), spans).otherwise(F.array()).cast(SPAN)
-    if rule.holds:
-        spans = F.when(reduce(lambda a, b: a | b, (F.contains(text, F.lit(h)) for h in rule.holds)), spans).otherwise(F.array()).cast(SPAN)
-    if rule.allow and settings.allow:
-        spans = F.filter(spans, lambda s: ~F.lower(s["text"]).isin([w.lower() for w in settings.allow]))
-    if rule.cited:
-        spans = F.filter(spans, lambda s: ~_line_text(raw, s).rlike(english.CITED_LINE))
-    if rule.unless:
-        spans = F.filter(spans, lambda s: ~_let_through(rule, text, s))
-    if rule.once_a_line:
-        # The first match, and those with a line feed between them and the match before.
-        spans = F.filter(spans, lambda s, i: (i == 0) | (line_of(text, s["start"]) != line_of(text, F.element_at(spans, F.greatest(i, F.lit(1)))["start"])))
-    return F.transform(
-        spans,
-        lambda s: F.struct(
-            line_of(text, s["start"]).alias("line"),
-            column_of(text, s["start"]).alias("col"),
-            F.lit(rule.code).alias("code"),
-            F.lit(rule.severity).alias("severity"),
-            s["start"].alias("start"),
-            s["end"].alias("end"),
-            s["text"].alias("text"),
-            F.lit(seq).alias("seq"),
-        ),
-    ).cast(FINDING)
+_CITED = regex.compile(english.CITED_LINE)
+_STEM = regex.compile("[a-z]++")
+
+
+class _Text:
+    """A text with what rules ask about it, each found on first use."""
+
+    def __init__(self, raw: str, kind: str):
+        self.raw = raw
+        self.masked = mask.prose(raw, kind)
+        self.starts = [0, *(i + 1 for i, c in enumerate(raw) if c == "\n")] if "\n" in raw else [0]
+        self._kind = kind
+        self._found: dict[str, object] = {}
+
+    def _once(self, name: str, make: Callable):
+        if name not in self._found:
+            self._found[name] = make()
+        return self._found[name]
+
+    @property
+    def stems(self) -> set[str]:
+        return self._once("stems", lambda: {w[:4] for w in _STEM.findall(self.raw.lower())})
+
+    @property
+    def low(self) -> str:
+        return self._once("low", self.raw.lower)
+
+    @property
+    def cited(self) -> set[int]:
+        at = lambda: {self.line(m.start()) for m in _CITED.finditer(self.raw)} | {self.line(a) for a, _ in mask.urls(self.raw)}
+        return self._once("cited", at)
+
+    @property
+    def hard(self) -> list[tuple[int, int]]:
+        return self._once("hard", lambda: mask.protected(self.raw, self._kind)[1])
+
+    def line(self, at: int) -> int:
+        return bisect_right(self.starts, at)
+
+    def bounds(self, line: int) -> tuple[int, int]:
+        end = self.starts[line] - 1 if line < len(self.starts) else len(self.raw)
+        return self.starts[line - 1], end
+
+    def placed(self, a: int, b: int, code: str, severity: str, seq: int) -> tuple:
+        line = self.line(a)
+        first, end = self.bounds(line)
+        excerpt = self.raw[max(first, a - AROUND) : min(end, b + AROUND)]
+        return line, a - first + 1, code, severity, a, b, self.raw[a:b], excerpt, seq
+
+
+class _Rule:
+    """A rule made ready for texts."""
+
+    def __init__(self, rule: PatternRule, seq: int, settings: Settings):
+        self.rule, self.seq = rule, seq
+        self.pattern = regex.compile(python_pattern(rule.pattern), regex.I if rule.ignore_case else 0)
+        self.starts = frozenset(rule.starts.split())
+        self.allow = frozenset(w.lower() for w in settings.allow) if rule.allow else frozenset()
+        self.test = (own_spelling if rule.keep == "own_spelling" else TESTS[rule.keep]) if rule.keep else None
+        self.at = "at" in self.pattern.groupindex
+
+    def may(self, text: _Text) -> bool:
+        return not (self.starts and self.starts.isdisjoint(text.stems)) and not (self.rule.holds and not any(h in text.low for h in self.rule.holds))
+
+    def _matches(self, text: _Text) -> Iterator[tuple[int, int, regex.Match, int, str]]:
+        """Start and end in the text, the match, its line's start, and the line."""
+        body = text.raw if self.rule.raw else text.masked
+        if self.rule.by_line:
+            if not self.pattern.search(body):
+                return
+            for i, line in enumerate(body.split("\n"), 1):
+                first = text.starts[i - 1]
+                for m in self.pattern.finditer(line):
+                    yield first + m.start(), first + m.end(), m, first, line
+            return
+        for m in self.pattern.finditer(body):
+            first, end = text.bounds(text.line(m.start()))
+            yield m.start(), m.end(), m, first, body[first:end] if self.test else ""
+
+    def found(self, text: _Text) -> Iterator[tuple]:
+        rule, seen = self.rule, set()
+        for a, b, m, first, line in self._matches(text):
+            if self.allow and m[0].lower() in self.allow:
+                continue
+            if self.at and m["at"] is not None:
+                base = a - m.start()
+                a, b = m.start("at") + base, m.end("at") + base
+            if rule.raw and any(x <= a < y for x, y in text.hard):
+                continue
+            if rule.cited and text.line(a) in text.cited:
+                continue
+            if self.test and not self.test(line, a - first, b - first if rule.by_line or not self.at else b - first, m):
+                continue
+            if rule.once_a_line:
+                if text.line(a) in seen:
+                    continue
+                seen.add(text.line(a))
+            yield text.placed(a, b, rule.code, rule.severity, self.seq)
+
+
+_LEAD = regex.compile(r"[ \t]*(?:>[ \t]?)*(?:#{1,6}|[-*+•]|\d{1,3}[.)])?[ \t]*")
+
+
+def sentence_initial(line: str, at: int) -> bool:
+    """Whether a word of a line begins a sentence; behind a bracket a capital is most often a name."""
+    before = line[:at].rstrip()
+    lead = _LEAD.match(line, 0, len(before))
+    return not before or lead.end() >= len(before) or before[-1] in '.!?:"“‘\'' + mask.BLOCK
+
+
+def own_spelling(line: str, a: int, b: int, m) -> bool:
+    """Not a name: a capital only where a sentence begins; and no quotation."""
+    return not regex.match(english.QUOTE_LINE, line) and not (m[0][:1].isupper() and not sentence_initial(line, a))
+
+
+def _pass(id_name: str, rules: Sequence[PatternRule], settings: Settings):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ready = [_Rule(r, i, settings) for i, r in enumerate(rules)]
+        for batch in batches:
+            rows: list[tuple] = []
+            owner: list[int] = []
+            for i, raw in enumerate(batch.column("text").to_pylist()):
+                if not raw:
+                    continue
+                text = _Text(raw, settings.kind)
+                before = len(rows)
+                for rule in ready:
+                    if rule.may(text):
+                        rows += rule.found(text)
+                owner += [i] * (len(rows) - before)
+            columns = list(zip(*rows, strict=True)) or [()] * len(_NAMES)
+            types = [pa.int32() if c in ("line", "col", "start", "end", "seq") else pa.string() for c in _NAMES]
+            ids = batch.column(id_name).take(pa.array(owner, pa.int32()))
+            yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=[id_name, *_NAMES])
+
+    return run
 
 
 def pattern_findings(docs: DataFrame, rules: Sequence[PatternRule], settings: Settings = Settings()) -> DataFrame:
-    """doc_id, line, col, code, severity, start, end, text, seq of every match of the rules that apply.
-
-    Only the small finding structs are exploded; texts are read in place.
-    """
-    base = docs.select("doc_id", clean(F.col("text")).alias("raw")).withColumn("masked", mask_prose(F.col("raw")))
-    if any(r.starts for r in rules):
-        stems = F.transform(F.regexp_extract_all(F.lower("raw"), F.lit("[a-z]++"), F.lit(0)), lambda w: F.substring(w, 1, 4))
-        base = base.withColumn("stems", F.array_distinct(stems))
-    raw, masked = F.col("raw"), F.col("masked")
-    chosen = applicable(rules, settings)
-    if not chosen:
-        return base.select("doc_id", F.explode(F.array().cast(FINDING)).alias("f")).select("doc_id", "f.*")
-    found = F.flatten(F.array(*(_rule_findings(r, i, raw, masked, settings) for i, r in enumerate(chosen))))
-    return base.select("doc_id", F.explode(found).alias("f")).select("doc_id", "f.*")
+    """doc_id, line, col, code, severity, start, end, text, excerpt, seq of every match of the rules that apply."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    base = docs.select("doc_id", clean(F.col("text")).alias("text"))
+    return base.mapInArrow(_pass("doc_id", applicable(rules, settings), settings), f"doc_id {kind}, {FINDING}")
 
 
 def without_duplicates(findings: DataFrame) -> DataFrame:
@@ -156,49 +261,91 @@ def without_duplicates(findings: DataFrame) -> DataFrame:
 
 
 def suppressed(findings: DataFrame, by: dict[str, tuple[str, ...]] = english.SUPPRESSED_BY) -> DataFrame:
-    """Without findings that a more specific code overlaps on their line: an interval anti-join binned by line."""
+    """Without findings that a more specific code overlaps on their line: an interval anti-join binned by line.
+
+    Findings of the more specific code count whether or not they are suppressed themselves.
+    """
     pairs = F.create_map(*(x for code, codes in by.items() for x in (F.lit(code), F.array(*map(F.lit, codes)))))
     weak = findings.where(F.col("code").isin(list(by))).withColumn("stronger", F.explode(F.element_at(pairs, F.col("code"))))
-    strong = findings.select(F.col("doc_id").alias("d"), F.col("line").alias("l"), F.col("code").alias("c"), F.col("start").alias("a"), F.col("end").alias("b"))
+    stronger = sorted({c for codes in by.values() for c in codes})
+    strong = findings.where(F.col("code").isin(stronger)).select(F.col("doc_id").alias("d"), F.col("line").alias("l"), F.col("code").alias("c"), F.col("start").alias("a"), F.col("end").alias("b"))
     met = (F.col("doc_id") == F.col("d")) & (F.col("line") == F.col("l")) & (F.col("stronger") == F.col("c")) & (F.col("start") < F.col("b")) & (F.col("a") < F.col("end"))
     gone = weak.join(strong, met, "left_semi").select("doc_id", "line", "code", "start", "end").distinct()
     return findings.join(gone, ["doc_id", "line", "code", "start", "end"], "left_anti")
 
 
 def word_ranked(findings: DataFrame, rank: dict[str, int] = persian.WORD_RANK) -> DataFrame:
-    """Of overlapping word findings on one line those of the lowest rank stay, in rank order."""
+    """Of overlapping word findings on one line those of the lowest rank stay, in rank order: a fold over each line's few findings."""
+    order = F.create_map(*(x for code, r in rank.items() for x in (F.lit(code), F.lit(r))))
+    names = [c for c in findings.columns if c not in ("doc_id", "line")]
+    word = F.col("code").isin(list(rank))
+    key = F.struct(F.element_at(order, F.col("code")).alias("rank"), F.when(F.col("severity") == ERROR, 0).otherwise(1).alias("e"), F.col("seq").alias("s"), F.col("start").alias("at"), F.struct(*names).alias("f"))
+    lines = findings.where(word).groupBy("doc_id", "line").agg(F.array_sort(F.collect_list(key)).alias("all"))
 
-    def keep(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.assign(r=group["code"].map(rank), e=(group["severity"] != ERROR).astype(int)).sort_values(["r", "e", "seq", "start"], kind="stable")
-        held: list[tuple[int, int]] = []
-        chosen = []
-        for i, (a, b) in zip(group.index, zip(group["start"], group["end"], strict=True), strict=True):
-            if not any(a < y and x < b for x, y in held):
-                held.append((a, b))
-                chosen.append(i)
-        return group.loc[chosen].drop(columns=["r", "e"])
+    def keep(kept: Column, x: Column) -> Column:
+        meets = F.exists(kept, lambda k: (x["f"]["start"] < k["f"]["end"]) & (k["f"]["start"] < x["f"]["end"]))
+        return F.when(meets, kept).otherwise(F.concat(kept, F.array(x)))
 
-    words = findings.where(F.col("code").isin(list(rank)))
-    other = findings.where(~F.col("code").isin(list(rank)))
-    return other.unionByName(words.groupBy("doc_id", "line").applyInPandas(keep, findings.schema))
+    chosen = lines.select("doc_id", "line", F.explode(F.aggregate("all", F.slice("all", 1, 0), keep)).alias("k")).select("doc_id", "line", "k.f.*")
+    return findings.where(~word).unionByName(chosen.select(findings.columns))
 
 
 def ordered(findings: DataFrame) -> DataFrame:
     """With ``place``: errors first, then line, column and emission order within a document."""
     rank = F.when(F.col("severity") == ERROR, 0).otherwise(1)
-    at = Window.partitionBy("doc_id").orderBy(rank, F.coalesce("line", F.lit(0)), F.coalesce("col", F.lit(0)), "seq")
+    at = Window.partitionBy("doc_id").orderBy(rank, F.coalesce("line", F.lit(0)), F.coalesce("col", F.lit(0)), "seq", "code")
+    return findings.withColumn("place", F.row_number().over(at))
+
+
+def merged_order(findings: DataFrame) -> DataFrame:
+    """With ``place`` for findings of both languages: line, column, Persian first, emission order."""
+    at = Window.partitionBy("doc_id").orderBy(F.coalesce("line", F.lit(0)), F.coalesce("col", F.lit(0)), F.when(F.col("language") == "fa", 0).otherwise(1), "seq", "code")
     return findings.withColumn("place", F.row_number().over(at))
 
 
+def of_severity(findings: DataFrame, level: str) -> DataFrame:
+    """Errors alone, or all."""
+    return findings.where(F.col("severity") == ERROR) if level == "errors" else findings
+
+
+def in_intervals(points: DataFrame, intervals: DataFrame) -> DataFrame:
+    """Points (doc_id, start, ...) with the interval (ord, first, last) of their document that holds them, binned by line."""
+    held = intervals.select(F.col("doc_id").alias("d"), F.col("line").alias("l"), F.col("first").alias("a"), F.col("last").alias("b"), "ord")
+    met = (F.col("doc_id") == F.col("d")) & (F.col("line") == F.col("l")) & (F.col("start") >= F.col("a")) & (F.col("start") < F.col("b"))
+    return points.join(held, met, "left").drop("d", "l", "a", "b")
+
+
+def hit_map(findings: DataFrame, *keys: str, most: int = 2_000, cap: int = 100_000) -> DataFrame:
+    """keys, hits: the most frequent codes of each key with their counts, capped."""
+    counts = findings.groupBy(*keys, "code").agg(F.least(F.lit(cap).cast("long"), F.count(F.lit(1))).alias("n"))
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("n"), "code"))
+    top = counts.withColumn("k", place).where(F.col("k") <= most)
+    return top.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("code", "n")))).alias("hits"))
+
+
+def page(findings: DataFrame, cursor: str | None, size: int) -> tuple[DataFrame, Column]:
+    """The rows of a page of placed findings, and the cursor of the next: an opaque offset."""
+    import base64
+
+    offset = int(base64.b64decode(cursor).decode()) if cursor else 0
+    rows = findings.where((F.col("place") > offset) & (F.col("place") <= offset + size))
+    return rows, F.base64(F.lit(str(offset + size)).cast("binary"))
+
+
+def profile_findings(docs: DataFrame, settings: Settings) -> DataFrame:
+    """One warning a document for each problem of the profile."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = F.array(*(F.struct(F.lit(code).alias("code"), F.lit(message).alias("text")) for code, message in settings.problems)) if settings.problems else F.array().cast("array<struct<code:string,text:string>>")
+    return docs.select(F.col("doc_id").cast(kind).alias("doc_id"), F.explode(rows).alias("p")).select("doc_id", F.lit(0).alias("line"), F.lit(0).alias("col"), "p.code", F.lit(WARNING).alias("severity"), "p.text")
+
+
 def english_findings(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     rules = [*english.PATTERN_RULES, *profile_rules(settings)]
     return suppressed(without_duplicates(pattern_findings(docs, rules, settings)))
 
 
 def persian_findings(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    rules = [*persian.PATTERN_RULES, *persian.LEXICON_RULES]
-    if settings.jargon:
-        rules.append(PatternRule("jargon", "warning", persian.JARGON_PATTERN, ignore_case=False, allow=True))
+    rules = [*persian.PATTERN_RULES, *persian.lexicon_rules(settings.allow), *persian_profile_rules(settings)]
     has_letters = F.col("text").rlike(f"[{persian.LETTERS}]")
     return word_ranked(without_duplicates(pattern_findings(docs.where(has_letters), rules, settings)))
 

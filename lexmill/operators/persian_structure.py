@@ -2,111 +2,137 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..rules.persian import LETTERS
+from ..rules.persian import ADDRESS_SHOMA, ADDRESS_TO, LETTERS, SUMMARY_HEADING, ZWNJ
 from . import segment
-from .structure import _finding, count_in, flat_rhythm_spread, same_opening_triples, sentence_stats
-
-_LZ = f"[{LETTERS}‌]"
+from .findings import Settings
+from .structure import (
+    EMOJI,
+    FOUND,
+    NONE,
+    caption_headers,
+    count_in,
+    document_findings,
+    each,
+    emoji_bullets,
+    flat_rhythm_spread,
+    found,
+    long_sentences,
+    marks_over,
+    of_tag,
+    own_lines,
+    same_opening_triples,
+    whole,
+)
+
+_LZ = f"[{LETTERS}{ZWNJ}]"
 _NOT_AFTER, _NOT_BEFORE = f"(?<!{_LZ})", f"(?!{_LZ})"
 
-# ---- Fixed values: marks of the colloquial and the formal register, forms of address. ----
+# ---- Fixed values: marks of the colloquial and the formal register. ----
 COLLOQUIAL = rf"{_NOT_AFTER}ن?می‌?(?:شه|کنه|خوام|ره|گه|دونم|تونی){_NOT_BEFORE}|{_NOT_AFTER}(?:ب?کنین|اون|اگه|رو){_NOT_BEFORE}|خونه|زمستون|خوشمزه‌?ست"
 FORMAL = rf"{_NOT_AFTER}ن?می‌?(?:شود|کند|خواهم|رود|گوید|دانم|توانی){_NOT_BEFORE}|{_NOT_AFTER}(?:کنید|است|اگر){_NOT_BEFORE}|خانه{_NOT_BEFORE}|زمستان"
-ADDRESS_TO = """باهات واست برایت خودت خودتو خودتم بهت برات ازت کنی بکنی نکنی داری نداری هستی نیستی باشی نباشی بخری بگیری ببینی
-بدونی بدانی بیای بزنی بخوری بپوشی بفرستی بمونی بمانی بتونی بتوانی بشی بخوای بخواهی بگی بگویی بذاری بگذاری بزاری بنویسی بپرسی
-بسازی بچشی بخونی بیاری ببری بشنوی بخر بیا بزن بگیر ببین بپرس بنویس بچش بپوش برو بمون بفرست بکن بساز بخون بخور بذار بزار بگو
-بشنو بیار نکن نخر نرو کن بده""".split()
-ADDRESS_SHOMA = """شما شماها شماست شمایید برایتان براتون بهتان بهتون ازتان ازتون باهاتون باهاتان خودتان خودتون واستون کنید بکنید
-نکنید کنین بکنین نکنین دارید دارین ندارید ندارین هستید هستین نیستید نیستین باشید باشین نباشید نباشین شوید نشوید بخرید بخرین
-بگیرید بگیرین ببینید ببینین بدانید بدونید بدونین بخوانید بخونید بخونین بروید برین بیایید بیاین بزنید بزنین بفرستید بفرستین
-بدهید بمانید بمونید بشوید بشید بخورید بخورین بپوشید بپوشین بگذارید بذارید بذارین بزارین بگید بگین بگویید بنویسید بچشید بچشین
-بپرسین بفرمایید فرمایید""".split()
-_TO_ENDINGS = r"ن?می[‌ ]?(?:کنی|خوای|خواهی|تونی|توانی|دونی|دانی|گی|گویی|شی|شوی|بینی|خری|گیری|زنی|خوری|دی|دهی|یای|آیی|پوشی|فرستی|مونی|مانی|ری|روی|رسی|پرسی|کشی|بری|آری|ذاری|گذاری|پسندی)"
-_SHOMA_ENDINGS = r"ن?می[‌ ]?(?:کنید|کنین|خواهید|خواین|خوایید|خواید|توانید|تونید|تونین|دانید|دونید|دونین|گویید|گید|گین|شید|شین|بینید|بینین|گیرید|گیرین|دهید|دین|زنید|زنین|خورید|خورین|یایید|یاین|آیید|فرستید|فرستین|مانید|مونید|مونین|رید|رین|ذارید|ذارین|گذارید|خرین)"
-ADDRESS = {
-    "to": rf"{_NOT_AFTER}(?:{'|'.join(ADDRESS_TO)}|{_TO_ENDINGS}){_NOT_BEFORE}|{_NOT_AFTER}تو(?=\s*(?:$|[،؛.!؟?:»)]|(?:را|رو|هم|که|خودت){_NOT_BEFORE}))",
-    "shoma": rf"{_NOT_AFTER}(?:{'|'.join(ADDRESS_SHOMA)}|{_SHOMA_ENDINGS}){_NOT_BEFORE}",
-}
+# ---- Fixed values: words around the pronoun of address. ----
+PRONOUN_NEXT = "را رو هم که خودت عزیز جان جون تنها باید".split()
+PRONOUN_AFTER = "به با برای واسه مثل مال پیش کنار عاشق همراه جای بدون بی منتظر مخصوص".split()
+PRONOUN_LINKS = "هم که خودت".split()
 _QUOTED = "«[^«»\n]*»"
-SENTENCE_BORDER = r"(?<=[.؟!؛?][*_»)]{0,3})\s+"
-WORD = rf"[{LETTERS}\x{{200C}}\x{{066B}}\x{{066C}}\w]+"
 
 
-def _text() -> Column:
-    return segment.clean(F.col("text"))
+def _any(words: list[str]) -> str:
+    return "(?:" + "|".join(words) + ")"
+
+
+def address_pattern(form: str) -> str:
+    """The forms of one address: its words, its suffix behind a half space, and for the familiar one its pronoun where it is no place."""
+    if form == "shoma":
+        return rf"{_NOT_AFTER}{_any(ADDRESS_SHOMA)}{_NOT_BEFORE}|(?<=[{LETTERS}]){ZWNJ}(?:تان|تون){_NOT_BEFORE}"
+    gap = f"[^{LETTERS}{ZWNJ}]{{1,30}}"
+    verb = _any([w for w in ADDRESS_TO if w != "بده"])
+    before = rf"(?<={_NOT_AFTER}{_any(PRONOUN_AFTER)}{gap})"
+    behind = rf"(?=[\s{ZWNJ}]{{0,60}}(?:$|[،؛.!؟?:»)\]]))|(?={gap}(?:{_any(PRONOUN_NEXT)}|{verb}){_NOT_BEFORE})|(?={gap}{_any(PRONOUN_LINKS)}{_NOT_BEFORE}{gap}{verb}{_NOT_BEFORE})"
+    pronoun = rf"{_NOT_AFTER}تو{_NOT_BEFORE}"
+    return rf"{_NOT_AFTER}{_any(ADDRESS_TO)}{_NOT_BEFORE}|(?<=[{LETTERS}]){ZWNJ}ت{_NOT_BEFORE}|{before}{pronoun}|{pronoun}(?:{behind})"
+
+
+ADDRESS = {form: address_pattern(form) for form in ("to", "shoma")}
 
 
 def sentences(docs: DataFrame) -> DataFrame:
-    """doc_id, line, ord, text, n_words: terminators with white space behind them close a sentence."""
-    rows = segment.lines(docs).select("doc_id", "line", F.posexplode(F.filter(F.split("text", SENTENCE_BORDER), lambda s: F.trim(s) != "")).alias("pos", "text"))
-    rows = rows.withColumn("n_words", F.regexp_count("text", F.lit(f"(?U){WORD}")).cast("long")).where("n_words > 0")
-    return rows.withColumn("ord", F.row_number().over(Window.partitionBy("doc_id").orderBy("line", "pos"))).drop("pos")
+    """doc_id, line, ord, tag, text, n_words."""
+    return segment.sentences(docs, "fa")
+
+
+def _unquoted(text: Column) -> Column:
+    return F.regexp_replace(text, _QUOTED, "")
+
+
+def marks(text: Column, pattern: str) -> Column:
+    """The distinct marks of a register outside quotations, in order."""
+    return F.array_sort(F.array_distinct(F.regexp_extract_all(_unquoted(text), F.lit(pattern), F.lit(0))))
 
 
 def registers(docs: DataFrame) -> DataFrame:
     """doc_id, colloquial, formal: distinct marks of both registers outside quotations."""
-    body = docs.select("doc_id", F.regexp_replace(_text(), _QUOTED, "").alias("body"))
-    marks = lambda p: F.array_sort(F.array_distinct(F.regexp_extract_all("body", F.lit(p), F.lit(0))))
-    return body.select("doc_id", marks(COLLOQUIAL).alias("colloquial"), marks(FORMAL).alias("formal"))
+    text = segment.clean(F.col("text"))
+    return docs.select("doc_id", marks(text, COLLOQUIAL).alias("colloquial"), marks(text, FORMAL).alias("formal"))
 
 
-def register_findings(docs: DataFrame, register: str = "any") -> DataFrame:
-    rows = registers(docs)
-    both = rows.where("size(colloquial) > 0 and size(formal) > 0")
+def register_rule(own: Column, register: str = "any") -> Column:
+    """Marks of the other register, or of both where any will do."""
+    body = F.array_join(F.transform(own, lambda ln: ln["text"]), "\n")
+    colloquial, formal = _unquoted(body).rlike(COLLOQUIAL), _unquoted(body).rlike(FORMAL)
     if register == "formal":
-        return _finding(rows.where("size(colloquial) > 0"), "register", line=None)
+        return whole(colloquial, "register")
     if register == "colloquial":
-        return _finding(rows.where("size(formal) > 0"), "register", line=None)
-    return _finding(both, "mixed-register", line=None)
+        return F.concat(whole(formal, "register"))
+    return whole(colloquial & formal, "mixed-register")
 
 
-def address_findings(docs: DataFrame, want: str) -> DataFrame:
+def address_rule(lines: Column, want: str) -> Column:
     """One finding a line that addresses the reader in the other form, outside quotations."""
+    if want not in ADDRESS:
+        return NONE().cast(FOUND)
     other = ADDRESS["to" if want == "shoma" else "shoma"]
-    rows = segment.lines(docs).where(F.regexp_replace("text", _QUOTED, "").rlike(f"(?m){other}"))
-    return _finding(rows, "address")
-
-
-def chains(rows: DataFrame) -> DataFrame:
-    """Sentences with three or more ``ke`` or two or more ``ra``."""
-    ke = _finding(rows.where(count_in(F.col("text"), rf"{_NOT_AFTER}که{_NOT_BEFORE}") >= 3), "ke-chain")
-    ra = _finding(rows.where(count_in(F.col("text"), rf"{_NOT_AFTER}را{_NOT_BEFORE}") >= 2), "ra-chain")
-    return ke.unionByName(ra)
+    return each(F.filter(lines, lambda ln: _unquoted(ln["text"]).rlike(other)), "address")
 
 
-def emoji_bullets(docs: DataFrame) -> DataFrame:
-    """Lines led by an emoji before letters, where a document has two of them or more."""
-    lead = segment.lines(docs).where(F.col("text").rlike(rf"^[ \t]*(?:[-*•][ \t]*)?(?:[\x{{1F300}}-\x{{1FAFF}}]|[\x{{2600}}-\x{{27BF}}]\x{{FE0F}}?).*[A-Za-z{LETTERS}]"))
-    n = F.count(F.lit(1)).over(Window.partitionBy("doc_id"))
-    return _finding(lead.withColumn("n", n).where("n >= 2"), "emoji-bullet")
+def address_forms(text: Column, form: str, most: int = 4) -> Column:
+    """The distinct forms of an address in a text, in order of first use."""
+    return F.slice(F.array_distinct(F.regexp_extract_all(_unquoted(text), F.lit(ADDRESS[form]), F.lit(0))), 1, most)
 
 
-def caption_headers(docs: DataFrame, code: str = "caption-header") -> DataFrame:
-    return _finding(segment.lines(docs).where(F.col("text").rlike(r"^[ \t]{0,3}#{1,6}[ \t]+\S|^[ \t]*\*\*[^*\n]+\*\*[ \t]*:?[ \t]*$")), code)
+def chains(sents: Column) -> Column:
+    """Sentences with three or more ``ke``, and with two or more ``ra``."""
+    ke = F.filter(sents, lambda s: count_in(s["text"], rf"{_NOT_AFTER}که{_NOT_BEFORE}") >= 3)
+    ra = F.filter(sents, lambda s: count_in(s["text"], rf"{_NOT_AFTER}را{_NOT_BEFORE}") >= 2)
+    return F.concat(each(ke, "ke-chain"), each(ra, "ra-chain"))
 
 
-def summary_headings(docs: DataFrame) -> DataFrame:
-    return _finding(segment.lines(docs).where(F.col("text").rlike(r"^[ \t]{0,3}(?:#{1,6}[ \t]+|\*\*)?(?:جمع‌?[ ]?بندی|نتیجه‌?[ ]?گیری)(?:\*\*)?[ \t]*[:：]?[ \t]*$")), "final-word")
+def rhetorical_opening(sents: Column) -> Column:
+    first = F.get(of_tag(sents, "prose"), F.lit(0))
+    return F.when(F.coalesce(F.rtrim(first["text"]).endswith("؟"), F.lit(False)), F.array(found(first["line"], "rhetorical-open"))).otherwise(NONE()).cast(FOUND)
 
 
-def rhetorical_opening(rows: DataFrame) -> DataFrame:
-    first = rows.withColumn("k", F.row_number().over(Window.partitionBy("doc_id").orderBy("ord"))).where("k = 1")
-    return _finding(first.where(F.rtrim("text").endswith("؟")), "rhetorical-open")
+def persian_rules(settings: Settings) -> list[Column]:
+    """All document rules of a structured row."""
+    lines, sents, own = F.col("lines"), F.col("sents"), F.col("own")
+    parts = [
+        long_sentences(sents, settings.max_words, "long-sentence"), chains(sents), same_opening_triples(sents), flat_rhythm_spread(sents), rhetorical_opening(sents),
+        register_rule(own, settings.register), address_rule(lines, settings.address), emoji_bullets(lines, LETTERS), each(F.filter(lines, lambda ln: ln["text"].rlike(SUMMARY_HEADING)), "final-word"),
+        marks_over(own, "[!！]", settings.exclaim_max, "bangs"), marks_over(own, EMOJI, settings.emoji_max, "emoji"),
+    ]
+    return parts + ([caption_headers(lines, "caption-header")] if settings.format == "caption" else [])
 
 
-def persian_document_findings(docs: DataFrame, max_words: int = 24, register: str = "any", address: str = "", exclaim_max: int = 1) -> DataFrame:
-    docs = docs.where(F.col("text").rlike(f"[{LETTERS}]"))
-    rows = sentences(docs)
-    stats = sentence_stats(rows)
-    bangs = docs.select("doc_id", count_in(_text(), "[!！]").alias("n")).where(F.col("n") > exclaim_max)
-    parts = [_finding(rows.where(F.col("n_words") > max_words), "long-sentence"), chains(rows), same_opening_triples(rows), flat_rhythm_spread(stats), rhetorical_opening(rows), register_findings(docs, register), emoji_bullets(docs), summary_headings(docs), _finding(bangs, "bangs", line=None)]
-    if address:
-        parts.append(address_findings(docs, address))
-    return reduce(DataFrame.unionByName, parts)
+def persian_document_findings(docs: DataFrame, settings: Settings = Settings(max_words=24)) -> DataFrame:
+    """doc_id, line, code, severity of all document rules of texts with Persian letters: one scan of the texts."""
+    rows = segment.structured(docs.where(F.col("text").rlike(f"[{LETTERS}]")), "fa", settings.kind)
+    return document_findings(rows.withColumn("own", own_lines(F.col("lines"), settings.kind)), persian_rules(settings))
 
 
+def file_findings(units: DataFrame, settings: Settings) -> DataFrame:
+    """Register and address over all values of a file together: units have doc_id, line, value; address findings keep their lines."""
+    whole_file = units.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(F.col("line").cast("int").alias("line"), F.col("value").alias("text")))).alias("lines"))
+    return document_findings(whole_file.withColumn("own", F.col("lines")), [register_rule(F.col("own"), settings.register), address_rule(F.col("lines"), settings.address)])

@@ -1,16 +1,25 @@
-"""From documents to lines, sentences, words, n-grams, paragraphs, cells and quote blocks."""
+"""From documents to lines, sentences, words, n-grams, paragraphs, cells and quote blocks.
+
+``structured`` keeps a document's lines and sentences as arrays of small
+structs in its own row, so rules about order, runs and neighbours need no
+shuffle: an array's order is the text's.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..rules import english, persian
 from ..rules.english import SENTENCE_ABBREVIATIONS, WORD
+from .mask import BLOCK, SOFT, read_prose
+
+_MARKED = f"[ \t{SOFT}{BLOCK}]"
 
 
 def clean(text: Column) -> Column:
-    """Without a byte-order mark, with line feeds only."""
-    return F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), "^\ufeff", ""), "\r\n?", "\n")
+    """Without byte-order marks, with line feeds only."""
+    return F.regexp_replace(F.replace(F.coalesce(text, F.lit("")), F.lit("﻿"), F.lit("")), "\r\n?", "\n")
 
 
 def lines(docs: DataFrame) -> DataFrame:
@@ -18,30 +27,67 @@ def lines(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.posexplode(F.split(clean(F.col("text")), "\n")).alias("pos", "text")).select("doc_id", (F.col("pos") + 1).alias("line"), "text")
 
 
-_ENDING = r"[.!?]+[\"'’”)\]*_]*(?=[ \t]|$)"
+def _english_border() -> str:
+    """White space behind a sentence's end: not behind a listed abbreviation or a single capital."""
+    closing = r"[\"'’”)\]*_]{0,4}"
+    guarded = "|".join(a.replace(".", r"\.") for a in SENTENCE_ABBREVIATIONS)
+    return rf"(?<=[.!?]{closing})(?<!(?<![A-Za-z.])(?i:{guarded})\.{closing})(?<!(?<![A-Za-z.])[A-Z]\.{closing})[ \t]+|{BLOCK}+"
 
 
-def sentence_array(line: Column) -> Column:
-    """Sentences of one line: terminators close one unless an abbreviation or initial stands before."""
-    guarded = "|".join(a.replace(".", r"\.") for a in SENTENCE_ABBREVIATIONS)
-    # An ending behind a listed abbreviation or a single capital is kept open.
-    border = rf"(?<=[.!?][\"'’”)\]*_]{{0,4}})(?<!(?i:(?<![A-Za-z.])(?:{guarded}))\.)(?<!(?<![A-Za-z.])[A-Z]\.)[ \t]+"
-    return F.filter(F.split(line, border), lambda s: F.trim(s) != "")
+ENGLISH_BORDER = _english_border()
+PERSIAN_BORDER = rf"(?<=[.؟!؛?](?:\*\*|__|[*_»)]|»\*\*|\*\*»)?)\s+|{BLOCK}+"
+PERSIAN_WORD = f"(?U){persian.WORD}"
+
+
+def sentence_array(line: Column, border: str = ENGLISH_BORDER) -> Column:
+    """Sentences of one line."""
+    return F.filter(F.split(line, border), lambda s: F.regexp_replace(s, _MARKED, "") != "")
+
+
+def cells_of(line: Column) -> Column:
+    """A table row's cells that are not empty; an escaped pipe parts nothing."""
+    return F.filter(F.transform(F.split(line, r"(?<!\\)\|"), lambda c: F.regexp_replace(c, r"^[ \t]+|[ \t\r]+$", "")), lambda c: c != "")
+
+
+def _tag(text: Column, language: str, kind: str) -> Column:
+    """What a line is: blank, skipped, heading, cell, item or prose."""
+    bare = F.regexp_replace(text, _MARKED, "")
+    skipped = F.ltrim(text).startswith("#") if language == "fa" else F.ltrim(text).startswith("#") & text.rlike(english.TAG_LINE)
+    tag = F.when((bare == "") | (F.contains(text, F.lit("|")) & text.rlike(english.TABLE_SEPARATOR)), "blank")
+    if kind == "md" and language == "en":
+        tag = tag.when(text.rlike(english.HEADING), "heading")
+    marked = F.regexp_extract(text, english.LIST_LEAD, 1) != ""
+    return tag.when(skipped, "skipped").when(F.ltrim(text).startswith("|"), "cell").when(marked, "item").otherwise("prose")
+
+
+def structured(docs: DataFrame, language: str = "en", kind: str = "text") -> DataFrame:
+    """doc_id, raw, body, lines (line, text, tag, n), sents (line, tag, text, n, first) of every document.
+
+    ``body`` is the text with what is not prose masked; ``n`` counts words; sentences have one or more.
+    """
+    word, border = (WORD, ENGLISH_BORDER) if language == "en" else (PERSIAN_WORD, PERSIAN_BORDER)
+    rows = docs.select("doc_id", clean(F.col("text")).alias("raw"))
+    rows = rows.select("doc_id", "raw", read_prose(F.col("raw"), kind).alias("body"))
+    tagged = F.transform(F.split("body", "\n"), lambda t, i: F.struct((i + 1).alias("line"), t.alias("text"), _tag(t, language, kind).alias("tag")))
+    rows = rows.select("doc_id", "raw", "body", tagged.alias("lines"))
+
+    def pieces(ln: Column) -> Column:
+        lead = F.regexp_replace(ln["text"], english.LIST_LEAD, "")
+        whole = F.array(F.when(ln["tag"] == "heading", F.regexp_replace(ln["text"], english.HEADING, "")).otherwise(lead))
+        return F.when(ln["tag"].isin("blank", "skipped"), F.array().cast("array<string>")).when(ln["tag"] == "cell", cells_of(ln["text"])).otherwise(whole)
 
+    def sentences_of(ln: Column) -> Column:
+        parts = F.flatten(F.transform(pieces(ln), lambda p: sentence_array(p, border)))
+        made = F.transform(parts, lambda s: F.struct(ln["line"].alias("line"), ln["tag"].alias("tag"), s.alias("text"), F.regexp_count(s, F.lit(word)).alias("n"), F.regexp_extract(s, word, 0).alias("first")))
+        return F.filter(made, lambda s: s["n"] > 0)
 
-def sentences(docs: DataFrame) -> DataFrame:
-    """doc_id, line, ord (within the document), text, n_words."""
-    rows = lines(docs).select("doc_id", "line", F.posexplode(sentence_array(F.col("text"))).alias("pos", "text"))
-    words = F.regexp_count("text", F.lit(WORD)).cast("long")
-    rows = rows.withColumn("n_words", words).where("n_words > 0")
-    order = Window.partitionBy("doc_id").orderBy("line", "pos")
-    return rows.withColumn("ord", F.row_number().over(order)).select("doc_id", "line", "ord", "text", "n_words")
+    return rows.withColumn("sents", F.flatten(F.transform("lines", sentences_of)))
 
 
-def simple_sentences(docs: DataFrame) -> DataFrame:
-    """doc_id, ord, text: runs without terminators or line feeds that hold a word (no abbreviations)."""
-    found = F.filter(F.regexp_extract_all(clean(F.col("text")), F.lit(r"[^.!?\n]+"), F.lit(0)), lambda s: s.rlike("[A-Za-z0-9]"))
-    return docs.select("doc_id", F.posexplode(found).alias("ord", "text"))
+def sentences(docs: DataFrame, language: str = "en", kind: str = "text") -> DataFrame:
+    """doc_id, line, ord (within the document), tag, text, n_words."""
+    rows = structured(docs, language, kind).select("doc_id", F.posexplode("sents").alias("pos", "s"))
+    return rows.select("doc_id", F.col("s.line").alias("line"), (F.col("pos") + 1).alias("ord"), F.col("s.tag").alias("tag"), F.col("s.text").alias("text"), F.col("s.n").cast("long").alias("n_words"))
 
 
 def words(docs: DataFrame) -> DataFrame:
@@ -60,12 +106,48 @@ def ngrams(tokens: Column, n: int) -> Column:
     return F.filter(out, lambda g: g.isNotNull())
 
 
+_PARAGRAPH = "struct<first:int,n:bigint>"
+
+
+def paragraph_array(lines_: Column) -> Column:
+    """first (line), n (words) of the paragraphs of tagged lines: runs of prose, ended by blank lines and all that is no prose.
+
+    Lines come with their own word counts, and a fold carries the paragraph that is open.
+    """
+    start = F.struct(F.lit(None).cast("int").alias("first"), F.lit(0).cast("bigint").alias("n"), F.array().cast(f"array<{_PARAGRAPH}>").alias("out"))
+    closed = lambda s: F.when(s["n"] > 0, F.concat(s["out"], F.array(F.struct(s["first"].alias("first"), s["n"].alias("n")).cast(_PARAGRAPH)))).otherwise(s["out"])
+
+    def step(s: Column, ln: Column) -> Column:
+        prose = ln["tag"] == "prose"
+        first = F.when(prose, F.coalesce(s["first"], F.when(ln["n"] > 0, ln["line"])))
+        return F.struct(first.alias("first"), F.when(prose, s["n"] + ln["n"]).otherwise(0).cast("bigint").alias("n"), F.when(prose, s["out"]).otherwise(closed(s)).alias("out"))
+
+    return F.aggregate(lines_, start, step, closed)
+
+
+def counted_lines(lines_: Column, word: str = WORD) -> Column:
+    """Tagged lines with their words, list marks left out."""
+    return F.transform(lines_, lambda ln: F.struct(ln["line"].alias("line"), ln["tag"].alias("tag"), F.regexp_count(F.regexp_replace(ln["text"], english.LIST_LEAD, ""), F.lit(word)).cast("bigint").alias("n")))
+
+
 def paragraphs(docs: DataFrame) -> DataFrame:
-    """doc_id, paragraph, first_line, n_words: maximal runs of lines that are not blank."""
-    rows = lines(docs).withColumn("blank", (F.trim("text") == "").cast("int"))
-    order = Window.partitionBy("doc_id").orderBy("line")
-    rows = rows.withColumn("paragraph", F.sum("blank").over(order)).where("blank = 0")
-    return rows.groupBy("doc_id", "paragraph").agg(F.min("line").alias("first_line"), F.sum(F.regexp_count("text", F.lit(WORD))).cast("long").alias("n_words"))
+    """doc_id, paragraph (from 0), first_line, n_words: runs of prose lines."""
+    rows = structured(docs).select("doc_id", F.posexplode(paragraph_array(counted_lines(F.col("lines")))).alias("paragraph", "p"))
+    return rows.select("doc_id", "paragraph", F.col("p.first").alias("first_line"), F.col("p.n").alias("n_words"))
+
+
+def run_starts(keys: Column, least: int) -> Column:
+    """Indices (from 0) at which runs of ``least`` or more equal keys start; a null belongs to no run."""
+
+    def starts(i: Column) -> Column:
+        own = F.get(keys, i)
+        goes_on = own.isNotNull()
+        for k in range(1, least):
+            goes_on = goes_on & (F.get(keys, i + k) == own)
+        return F.coalesce(goes_on & ((i == 0) | ~F.coalesce(F.get(keys, i - 1) == own, F.lit(False))), F.lit(False))
+
+    places = F.when(F.size(keys) >= least, F.sequence(F.lit(0), F.size(keys) - 1)).otherwise(F.array().cast("array<int>"))
+    return F.filter(places, starts)
 
 
 def runs(rows: DataFrame, key: list[str], order: str, least: int) -> DataFrame:
@@ -77,11 +159,10 @@ def runs(rows: DataFrame, key: list[str], order: str, least: int) -> DataFrame:
 
 def quote_blocks(docs: DataFrame) -> DataFrame:
     """doc_id, first, last, n of maximal runs of ``>`` lines."""
-    return runs(lines(docs).where(F.col("text").rlike(r"^[ \t]*>")), ["doc_id"], "line", 1)
+    return runs(lines(docs).where(F.col("text").rlike(english.QUOTE_LINE)), ["doc_id"], "line", 1)
 
 
 def table_cells(docs: DataFrame) -> DataFrame:
     """doc_id, line, pos, cell of pipe-led table rows; separator rows are skipped."""
-    rows = lines(docs).where(F.col("text").rlike(r"^[ \t]*\|") & ~F.col("text").rlike(r"^[ \t|:-]+$"))
-    cells = F.filter(F.transform(F.split("text", r"(?<!\\)\|"), lambda c: F.trim(c)), lambda c: c != "")
-    return rows.select("doc_id", "line", F.posexplode(cells).alias("pos", "cell"))
+    rows = lines(docs).where(F.col("text").rlike(r"^[ \t]*\|") & ~F.col("text").rlike(english.TABLE_SEPARATOR))
+    return rows.select("doc_id", "line", F.posexplode(cells_of(F.col("text"))).alias("pos", "cell"))

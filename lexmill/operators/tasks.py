@@ -75,14 +75,30 @@ def playbook_search(queries: DataFrame, sections: DataFrame, most: int = 5) -> D
 
 
 def channel_lookup(requests: DataFrame, channels: DataFrame) -> DataFrame:
-    """query, channel, how: an exact name, else names that contain the request, else none."""
+    """query, channel, how: an exact name, else names that contain the request, else none.
+
+    Containment meets by the request's first three characters, which a name has in one of its places.
+    """
     exact = requests.join(channels, F.lower("query") == F.lower("channel")).select("query", "channel", F.lit("exact").alias("how"))
-    rest = requests.join(exact.select("query"), "query", "left_anti")
-    part = rest.join(channels, F.contains(F.lower("channel"), F.lower("query"))).select("query", "channel", F.lit("part").alias("how"))
+    rest = requests.join(exact.select("query"), "query", "left_anti").withColumn("gram", F.substring(F.lower("query"), 1, 3))
+    places = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("channel")))
+    grams = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.lit(3)), lambda n: F.transform(places, lambda i: F.substring(F.lower("channel"), i, n)))))
+    part = rest.join(channels.select("channel", F.explode(grams).alias("gram")), "gram").where(F.contains(F.lower("channel"), F.lower("query"))).select("query", "channel", F.lit("part").alias("how"))
     none = rest.join(part.select("query").distinct(), "query", "left_anti").select("query", F.lit(None).cast("string").alias("channel"), F.lit("none").alias("how"))
     return exact.unionByName(part).unionByName(none)
 
 
+def channel_page(limits: DataFrame, region: str | None = None, field: str | None = None, most: int = 20) -> DataFrame:
+    """Channel limits of a region and field, with their total before the limit."""
+    rows = limits
+    if region is not None:
+        rows = rows.where(F.col("region") == region)
+    if field is not None:
+        rows = rows.where(F.col("field") == field)
+    # A catalogue of channels is small and one page of it is shown.
+    return rows.withColumn("total", F.count(F.lit(1)).over(Window.partitionBy(F.lit(0)))).orderBy("channel", "field").limit(most)
+
+
 def text_differences(pairs: DataFrame) -> DataFrame:
     """case_id, kind, added, removed: numbers, names and quotations that only one of two texts has."""
     kinds = {"number": NUMBER, "name": r"(?<=[a-z,] )[A-Z][a-z]+", "quote": "[\"“][^\"“”\n]{2,300}[\"”]"}

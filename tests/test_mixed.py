@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from lexmill.operators import mixed, segment
+from lexmill.operators import findings, mask, mixed, segment
 
 
 def test_languages_and_halves(spark):
@@ -28,5 +28,23 @@ def test_masked_tokens_break_ngrams(spark):
 
 
 def test_ignored_blocks_and_names(spark):
-    row = spark.createDataFrame([("a<!-- lint-ignore-start -->b<!-- lint-ignore-end -->c Acme",)], "t string").select(mixed.without_ignored(F.col("t")), mixed.without_names(F.col("t"), ["acme"])).first()
-    assert row[0] == "ac Acme" and "Acme" not in row[1]
+    text = "a\n<!-- lint-ignore -->\nWe delve.\n```\n<!-- /lint-ignore -->\n```\n<!-- /lint-ignore -->\nWe delve, Acme"
+    row = spark.createDataFrame([(text,)], "t string").select(mixed.without_ignored(F.col("t")), mixed.without_names(F.col("t"), ["acme"])).first()
+    assert row[0] == "a\n\n\n\n\n\n\nWe delve, Acme" and "Acme" not in row[1]
+    found = findings.english_findings(spark.createDataFrame([(1, text), (2, "<!-- lint-ignore -->\nWe delve")], "doc_id long, text string"))
+    assert [(r.doc_id, r.line, r.code) for r in found.collect()] == [(1, 8, "en-ai-vocab")]
+
+
+def test_messages_keep_their_branches():
+    value = "{n, plural, one {# robust file} other {# files}} for {name} and %1$s"
+    masked = mixed.masked_message(value)
+    assert len(masked) == len(value) and "robust file" in masked and "files" in masked
+    assert not any(x in masked for x in ("plural", "one ", "other", "name", "#", "%1$s")) and masked.count(mask.BLOCK) == 4
+    assert mixed.masked_message("plain") == "plain" and mixed.masked_message(None) is None
+
+
+def test_table_cells_have_their_own_language(spark):
+    df = spark.createDataFrame([(1, "| سلام دنیا | robust plan |\nThis is a long English line")], "doc_id long, text string")
+    persian, english = mixed.split_documents(df)
+    assert "robust" not in persian.first().text and "robust" in english.first().text and "سلام" in persian.first().text
+    assert persian.first().text.split("\n")[0].count("|") == 3

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from lexmill.functions import lengths
 from lexmill.functions.spans import match_spans
-from lexmill.operators import joins, mask, outcome, policy, segment, structure, weekly
+from lexmill.operators import findings, joins, mask, outcome, policy, segment, structure, weekly
+from lexmill.operators.findings import Settings
+from lexmill.rules import english
 from lexmill.sources import documents, locale, sinks, tables
 from lexmill.streaming import weekly as stream
 
@@ -18,21 +20,24 @@ def _one(spark, text, *columns):
 
 def test_length_units(spark):
     t = F.col("text")
-    row = _one(spark, "👍🏽a é", lengths.chars(t), lengths.utf8_bytes(t), lengths.utf16_units(t), lengths.words(t), lengths.grapheme_count(t), lengths.weighted_length(t))
+    row = _one(spark, "👍🏽a é", lengths.chars(t), lengths.utf8_bytes(t), lengths.utf16_units(t), lengths.words(t), lengths.graphemes(t), lengths.weighted(t))
     assert tuple(row) == (5, 12, 7, 2, 4, 5)
     assert _one(spark, "x" * 161, lengths.sms_segments(t))[0] == 2
     assert _one(spark, "é€" * 40, lengths.sms_units(t))[0] == 120
     assert _one(spark, "سلام" * 18, lengths.sms_segments(t))[0] == 2
     assert _one(spark, "a, b\n، c", F.size(lengths.items(t)))[0] == 3
     assert list(_one(spark, "x #one, #two", lengths.hashtags(t))[0]) == ["#one", "#two"]
-    assert lengths.weight_of("see https://example.com/a now") == 4 + 23 + 4
+    assert _one(spark, "see https://example.com/a now", lengths.weighted(t))[0] == 4 + 23 + 4
+    assert [_one(spark, x, lengths.weighted(t))[0] for x in ("👨‍👩‍👧 ©", "1️⃣ ok", "🇮🇷🇮🇷", "中文", "❤️", "e\u0301")] == [4, 5, 4, 4, 2, 1]
 
 
 def test_syllables(spark):
-    known = {"table": 2, "radio": 3, "every": 2, "people": 2, "lately": 2, "jumped": 1, "wanted": 2, "watches": 2, "easier": 3, "b2b": 1, "realism": 4}
-    rows = spark.createDataFrame([(w,) for w in known], "w string").select("w", lengths.syllables_native(F.col("w")).alias("n")).collect()
-    got = {r.w: r.n for r in rows}
-    assert {w: got[w] for w in ("table", "every", "people", "lately", "jumped", "wanted", "watches", "easier", "b2b")} == {w: known[w] for w in ("table", "every", "people", "lately", "jumped", "wanted", "watches", "easier", "b2b")}
+    known = {
+        "table": 2, "radio": 3, "every": 2, "people": 2, "lately": 2, "jumped": 1, "wanted": 2, "watches": 2, "easier": 3, "b2b": 1, "realism": 3, "didn't": 2, "isn’t": 2, "café": 2, "naïve": 2, "résumé": 2,
+        "well-being": 3, "makes": 1, "tables": 2, "premium": 3, "actual": 3, "don't": 1, "played": 1, "centre": 2, "awareness": 3, "management": 3, "couldn't": 2, "media": 3, "video": 3, "e-mail": 2, "-": 1, "aren't": 1, "prism": 2,
+    }
+    rows = spark.createDataFrame([(w,) for w in known], "w string").select("w", lengths.syllables(F.col("w")).alias("n")).collect()
+    assert {r.w: r.n for r in rows} == known
 
 
 def test_spans_and_masks(spark):
@@ -59,20 +64,51 @@ def test_segments(spark):
 def test_document_rules(spark):
     same = "The cat ran. The dog sat. The cow ate. A bird."
     df = spark.createDataFrame([(1, same), (2, "Gray colour! Grey color!"), (3, "- **A:** x\n- **B:** y\n- **C:** z"), (4, None)], "doc_id long, text string")
-    got = {(r.doc_id, r.code) for r in structure.english_document_findings(df).collect()}
+    got = {(r.doc_id, r.code) for r in structure.english_document_findings(df, Settings(kind="md")).collect()}
     assert {(1, "en-same-opening"), (2, "en-spelling-mix"), (2, "en-bangs"), (3, "en-inline-header-bullets")} <= got
     assert not any(d == 4 for d, _ in got)
     n = spark.createDataFrame([("ISBN 0-306-40615-2",), ("9780306406157",), ("0306406153",)], "n string").select(structure.isbn_valid(F.regexp_replace("n", "ISBN", ""))).collect()
     assert [r[0] for r in n] == [True, True, False]
 
 
-def test_spelling_variants_and_isbn(spark):
-    df = spark.createDataFrame([(1, "Colour and organize, Analyze"), (2, "ISBN 0306406152 and ISBN 0306406153")], "doc_id long, text string")
+def _rules(spark, text, make, kind="text"):
+    rows = segment.structured(spark.createDataFrame([(1, text)], "doc_id long, text string"), "en", kind)
+    rows = rows.withColumns({"own": structure.own_lines(F.col("lines"), kind), "n_words": structure.total_words(F.col("sents"))})
+    return [(r.line, r.code, r.severity) for r in structure.document_findings(rows, [make()]).orderBy("line").collect()]
+
+
+def test_document_rules_by_place(spark):
+    c = F.col
+    assert _rules(spark, "a. b.\nOne two. One three. One four. One five. Two.", lambda: structure.same_opening(c("sents"))) == [(2, "en-same-opening", "warning")]
+    assert _rules(spark, "x — y\n\na — b — c\n— d", lambda: structure.dash_density(c("lines"), c("n_words"))) == [(3, "en-dash-density", "warning")]
+    assert _rules(spark, "word " * 120 + "\n" + "word " * 40 + "\n\n" + "word " * 10, lambda: structure.long_paragraphs(c("lines"))) == [(1, "en-long-paragraph", "warning")]
+    passive = "It was made. It was done. We ran. We sat. We ate. We slept. It is sold. It is kept."
+    assert len(_rules(spark, passive, lambda: structure.passive_density(c("sents")))) == 3
+    assert _rules(spark, "Six cats sat. 7 cats sat. 1999 was fine.\n- 3 cups", lambda: structure.numeral_starts(c("sents"))) == [(1, "en-numeral-start", "warning")]
+    assert _rules(spark, "It’s fine.\nHe said \"no\" and 'yes'.", lambda: structure.quote_mix(c("own"))) == [(1, "en-quote-mix", "warning")]
+    assert _rules(spark, "The NGOX met (ABCD) and ABCD. " + "word " * 90 + "NGOX VII API", lambda: structure.undefined_abbreviations(c("lines"), c("n_words"))) == [(1, "en-undefined-abbr", "warning")]
+    assert _rules(spark, "See ISBN 0306406152\nand ISBN 0306406153", lambda: structure.isbns(c("lines"))) == [(1, "en-citation-check", "warning"), (2, "en-citation-check", "error")]
+    dense = "We delve into a tapestry of pivotal things. " + "word " * 160
+    assert _rules(spark, dense, lambda: structure.vocabulary_density(c("body"), c("n_words"))) == [(0, "en-ai-vocab-density", "error")]
+    assert _rules(spark, "word " * 200 + "delve pivotal " + "word " * 400 + "tapestry", lambda: structure.vocabulary_density(c("body"), c("n_words"))) == []
+    assert _rules(spark, "> a!\n> b!\nc!", lambda: structure.marks_over(c("own"), "!", 1, "en-bangs"), "md") == []
+
+
+def test_many_spans_in_one_text(spark):
+    row = _one(spark, "ab " * 40_000, F.size(match_spans(F.col("text"), "b")), F.element_at(match_spans(F.col("text"), "b"), -1))
+    assert row[0] == 40_000 and row[1].start == 3 * 39_999 + 1
+
+
+def test_spelling_variants_and_evidence(spark):
+    df = spark.createDataFrame([(1, "Colour and organize, Analyze"), (2, "Meet Mr Color. We like grey, and Honour too.")], "doc_id long, text string")
     words = segment.words(df)
-    assert {(r.word, r.write) for r in structure.spelling_variants(words, "uk").collect()} == {("organize", "organise"), ("Analyze", "Analyse")}
-    assert {(r.word, r.write) for r in structure.spelling_variants(words, "uk-ize").collect()} == {("Analyze", "Analyse")}
-    assert structure.spelling_evidence(words).first().variant == "uk-ize"
-    assert sorted(r.severity for r in structure.isbn_findings(df).collect()) == ["error", "warning"]
+    assert {(r.word, r.write) for r in structure.spelling_variants(words, "uk").where("doc_id = 1").collect()} == {("organize", "organise"), ("Analyze", "Analyse")}
+    assert structure.spelling_variants(words, "uk-ize").where("doc_id = 1").count() == 0
+    got = {r.doc_id: (r.us, r.uk, r.ize, r.variant) for r in structure.spelling_evidence(df).collect()}
+    assert got == {1: (1, 1, 1, "uk-ize"), 2: (0, 1, 0, "uk")}
+    assert len(english.SPELLING_FORMS) > 1000 and english.SPELLING_FORMS["theatre"] == ("er-re", "uk", "theater") and "analyses" not in english.SPELLING_FORMS
+    found = findings.english_findings(df, Settings(spelling="us")).where("code = 'en-spelling-variant'").collect()
+    assert sorted(r.text for r in found) == ["Colour", "grey"]
 
 
 def test_apportion_keeps_the_cap(spark):
@@ -99,8 +135,15 @@ def test_overlay_and_layers(spark):
 
 
 def test_outcomes_and_fixes(spark):
-    assert outcome.compare("one two three", "one two four")["td"] == 1
-    assert outcome.compare("", "x")["refused"] == "empty"
+    refusals = [outcome.refusal(*x) for x in ((None, "x"), ("x", "x"), ("x", "y", 3), ("x", "y", 0, 20), ("x" * 20_001, "y"), ("x", "y"))]
+    assert refusals == ["unlinted", "unchanged", "session_budget", "week_budget", "too_long", None]
+    case = outcome.Case("One two three. Same here.", "One two four. Same here.", salt=b"s", shown_findings=(outcome.Finding("en-x", 0, 0, 1),), final_findings=(outcome.Finding("en-y", 1),), checks=(("en-x", "shadow", False), ("en-y", "error", True)))
+    got = outcome.measure(case)
+    assert (got["ta"], got["td"], got["er"], got["fe"], got["pl_n"], got["pl_g"]) == (5, 1, 0.2, 1, 1, 1)
+    assert got["cells"] == [{"id": "en-x", "kept": 0, "ho": 1, "hg": 1}, {"id": "en-y", "kept": 1, "ho": 0, "hg": 0}]
+    assert outcome.half_up(1, 8) == 0.13 and outcome.half_up(1, 3) == 0.33 and outcome.bucket(0.3, 0.1) == 3
+    assert _one(spark, "He said \"it's `a \"b\"` so\"", outcome.fix_quotes(F.col("text")))[0] == "He said “it’s `a \"b\"` so”"
+    assert _one(spark, "Colour and GREY at http://colour.example", outcome.fix_spelling(F.col("text"), "us"))[0] == "Color and GRAY at http://colour.example"
     text = "End.  Next — now `a.  b`.\n# Title."
     once = _one(spark, text, outcome.fix_english(F.col("text")))[0]
     assert once == "End. Next—now `a.  b`.\n# Title"
@@ -122,6 +165,8 @@ def test_locale_files():
     assert locale.json_entries('{\n "a": "x",\n "@a": {"d": "no"},\n "b": ["y", {"c": "z"}]\n}') == [("a", "x", 2), ("b[0]", "y", 4), ("b[1].c", "z", 4)]
     po = 'msgctxt "m"\nmsgid "Open"\nmsgstr "Op"\n"en it"\n\nmsgid "n"\nmsgid_plural "ns"\nmsgstr[0] "one"\nmsgstr[1] "many"\n'
     assert [(k, v) for k, v, _ in locale.po_entries(po)] == [("m|Open", "Open it"), ("n[0]", "one"), ("n[1]", "many")]
+    untranslated = 'msgid "Plain"\nmsgstr ""\n\nmsgid "سلام"\nmsgstr ""\n\nmsgctxt "c"\nmsgid ""\nmsgstr "x"\n\nmsgid "' + "k" * 80 + '"\nmsgstr "v"\n'
+    assert [(k, v) for k, v, _ in locale.po_entries(untranslated)] == [("سلام", "سلام"), ("c|", "x"), ("k" * 60, "v")]
     xml = '<resources>\n<string name="a">It\\\'s &amp; b</string><string name="t" translatable="false">x</string>\n<plurals name="p"><item quantity="one">1 day</item></plurals></resources>'
     assert locale.android_entries(xml) == [("a", "It's & b", 2), ("p[one]", "1 day", 3)]
     assert locale.xliff_entries('<trans-unit id="u"><source>s</source><target>t</target></trans-unit>') == [("u", "t", 1)]
@@ -132,6 +177,10 @@ def test_locale_files():
 def test_tables_and_files(spark, tmp_path):
     (tmp_path / "c.csv").write_text('sku,title,price\n1,"A, b\nc",3\n2,,4\n', encoding="utf-8")
     assert [(r.unit_key, r.value) for r in tables.csv_cells(spark, str(tmp_path / "c.csv")).collect()] == [("row 2/1/title", "A, b\nc")]
+    (tmp_path / "two").mkdir()
+    for name in ("x.csv", "y.csv"):
+        (tmp_path / "two" / name).write_text("id;name\na;\"one\n1\"\nb;two\n", encoding="utf-8")
+    assert sorted((r.file[-5:], r.unit_key, r.line) for r in tables.csv_cells(spark, str(tmp_path / "two")).collect()) == [(f, k, n) for f in ("x.csv", "y.csv") for k, n in (("row 2/a/name", 2), ("row 3/b/name", 4))]
     (tmp_path / "e.jsonl").write_text('{"t":"lint","e":"2024-W05","w":3}\nbroken\n{"t":"lint","e":"2024-W99"}\n')
     assert [r.w for r in tables.events(spark, str(tmp_path / "e.jsonl")).collect()] == [3]
     folder = tmp_path / "d"
