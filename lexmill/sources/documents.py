@@ -12,7 +12,10 @@ KINDS = {
     "locale": ("json", "arb", "po", "pot", "xlf", "xliff", "strings", "xml"),
     "csv": ("csv", "tsv"),
 }
-SKIPPED = ("node_modules", ".git", "dist", "build", "vendor", "__pycache__", ".venv")
+SKIPPED = ("node_modules", "__pycache__", "venv", ".venv", "site-packages")
+#: Files that hold no copy, and results of a fixer.
+LOCK_FILES = ("package-lock.json", "npm-shrinkwrap.json", "composer.lock")
+FIXED = r"\.fixed\.[^./]+$"
 MAX_BYTES = 1 << 20
 
 
@@ -31,11 +34,18 @@ def decoded(content: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, "^\\ufeff", ""), "\r\n?", "\n")
 
 
+def expanded(path: Column, root: str = "") -> Column:
+    """Whether a walk reads a file: not in a hidden or skipped folder below the root, no lock file, no result of a fixer."""
+    inside = F.substring(path, F.lit(1) + F.when(F.contains(path, F.lit(root)), F.locate(root, path) + len(root) - 1).otherwise(0), F.length(path)) if root else path
+    skipped = "|".join(s.replace(".", r"\.") for s in SKIPPED)
+    name = F.substring_index(path, "/", -1)
+    return ~inside.rlike(rf"/(?:{skipped}|\.[^/]+)/") & ~F.lower(name).isin(*LOCK_FILES) & ~name.rlike(FIXED)
+
+
 def read_documents(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     """doc_id, path, kind, text of the files under a folder; large files and skipped folders are left out by the scan."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
-    skipped = "|".join(s.replace(".", r"\.") for s in SKIPPED)
-    files = files.where((F.col("length") <= MAX_BYTES) & ~F.col("path").rlike(rf"/(?:{skipped})/"))
+    files = files.where((F.col("length") <= MAX_BYTES) & expanded(F.col("path"), path))
     return files.select(F.xxhash64("path").alias("doc_id"), "path", kind_of(F.col("path")).alias("kind"), decoded(F.col("content")).alias("text"))
 
 
@@ -44,7 +54,6 @@ def from_table(df: DataFrame, id_column: str = "doc_id", text_column: str = "tex
 
 
 def eligible(path: Column, length: Column) -> Column:
-    """Whether a written file is checked: a known extension, not too large, not in a skipped folder."""
+    """Whether a written file is checked: a known extension, not too large, one that a walk reads."""
     known = [e for group in KINDS.values() for e in group] + ["txt"]
-    skipped = "|".join(s.replace(".", r"\.") for s in SKIPPED)
-    return F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1)).isin(known) & (length <= MAX_BYTES) & ~path.rlike(rf"/(?:{skipped})/")
+    return F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1)).isin(known) & (length <= MAX_BYTES) & expanded(path)

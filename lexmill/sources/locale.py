@@ -10,6 +10,8 @@ from html import unescape
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from ..rules.persian import LETTERS
+
 Entry = tuple[str, str, int]
 
 
@@ -79,20 +81,30 @@ def _json_lines(text: str) -> dict[str, int]:
 _PO_LINE = re.compile(r'^(msgctxt|msgid_plural|msgid|msgstr(?:\[\d+\])?)?\s*"(.*)"\s*$')
 
 
+#: Code points of a key that are shown.
+KEY_CHARS = 60
+_PERSIAN = re.compile(f"[{LETTERS}]")
+
+
 def po_entries(text: str) -> list[Entry]:
-    """Translations (or sources where untranslated), keyed by context and source; continued lines join."""
+    """Translations, keyed by context and source; continued lines join.
+
+    An entry without any stands for its source if that is Persian; the header
+    (an empty source without a context) is none.
+    """
     out: list[Entry] = []
-    field, parts, lines = "", {}, {}
+    parts: dict[str, str] = {}
+    lines: dict[str, int] = {}
+    field = ""
 
     def close() -> None:
-        source = parts.get("msgid", "")
-        if source:
-            context = parts.get("msgctxt")
-            key = f"{context}|{source}" if context else source
-            strings = [f for f in parts if f.startswith("msgstr")]
-            for f in strings:
-                value = parts[f] or (parts.get("msgid_plural", source) if f not in ("msgstr", "msgstr[0]") else source)
-                out.append((key + f[6:], value, lines[f]))
+        source, context = parts.get("msgid", ""), parts.get("msgctxt")
+        if parts and (source or context is not None):
+            key = (f"{context}|{source}" if context else source)[:KEY_CHARS]
+            strings = sorted(f for f in parts if f.startswith("msgstr") and parts[f])
+            out.extend((key + f[6:], parts[f], lines[f]) for f in strings)
+            if not strings and _PERSIAN.search(source):
+                out.append((key, source, lines["msgid"]))
         parts.clear()
         lines.clear()
 
@@ -107,7 +119,7 @@ def po_entries(text: str) -> list[Entry]:
                 field = ""
             continue
         if m[1]:
-            if m[1] in ("msgid", "msgctxt") and any(f.startswith("msgstr") for f in parts):
+            if (m[1] == "msgctxt" and parts) or (m[1] == "msgid" and ("msgid" in parts or any(f.startswith("msgstr") for f in parts))):
                 close()
             field = m[1]
             parts[field], lines[field] = "", number

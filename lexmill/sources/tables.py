@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import csv
+import io
 import re
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.lengths import nfc
+from ..functions.text import slug
+
 # ---- Fixed values: headers of text and of key columns. ----
 TEXT_HEADER = re.compile(r"title|name|desc|text|copy|body|note|label|message|caption|headline|عنوان|نام|شرح|توضیح|متن", re.I)
 KEY_HEADER = re.compile(r"^(?:id|sku|key|code|slug|handle|شناسه|کد)$", re.I)
@@ -30,17 +37,36 @@ def picked_columns(columns: list[str]) -> tuple[str | None, list[str]]:
 
 
 def csv_cells(spark: SparkSession, path: str) -> DataFrame:
-    """unit_key (row n/code/column), value of the text cells of a delimited file with a header; empty cells are left out."""
-    first = spark.read.text(path).limit(1).collect()
-    header = first[0].value.lstrip("﻿") if first else ""
-    table = spark.read.csv(path, header=True, sep=delimiter_of(header), multiLine=True, quote='"', escape='"')
-    key, texts = picked_columns(table.columns)
-    code = F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("")) if key else F.lit("")
-    cells = F.array(*(F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("value")) for c in texts))
-    # A multi-line file is read by one task in order; its rows are numbered there.
-    rows = table.select(F.monotonically_increasing_id().alias("n"), code.alias("code"), F.explode(cells).alias("c"))
-    rows = rows.where(F.trim("c.value") != "")
-    return rows.select(F.concat_ws("/", F.concat(F.lit("row "), (F.col("n") + 2).cast("string")), F.nullif("code", F.lit("")), "c.column").alias("unit_key"), F.col("c.value").alias("value"))
+    """file, unit_key (row n/code/column), value, line of the text cells of delimited files with a header; empty cells are left out.
+
+    Rows and lines are numbered within their own file, line feeds inside quoted
+    cells included: each file is read whole, as its rows have no other places.
+    """
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
+    return files.mapInArrow(_cells, "file string, unit_key string, value string, line long")
+
+
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = [(f, *cell) for f, text in zip(batch.column("file").to_pylist(), batch.column("value").to_pylist(), strict=True) for cell in cells_of(text or "")]
+        columns = list(zip(*rows, strict=True)) or [()] * 4
+        yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in columns[:3]), pa.array(columns[3], pa.int64())], names=["file", "unit_key", "value", "line"])
+
+
+def cells_of(text: str) -> Iterator[tuple[str, str, int]]:
+    """unit_key, value and first line of the text cells of one delimited file; the header is row 1."""
+    text = text.lstrip("\ufeff")
+    reader = csv.reader(io.StringIO(text, newline=""), delimiter=delimiter_of(text.partition("\n")[0]))
+    header = next(reader, [])
+    key, texts = picked_columns(header)
+    begun = reader.line_num
+    for n, row in enumerate(reader, 2):
+        line, begun = begun + 1, reader.line_num
+        code = row[header.index(key)].strip() if key and header.index(key) < len(row) else ""
+        for name in texts:
+            at = header.index(name)
+            if at < len(row) and row[at].strip():
+                yield "/".join(x for x in (f"row {n}", code, name) if x), row[at], line
 
 
 CHANNELS = T.StructType(
@@ -81,22 +107,55 @@ def word_list(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.trim(F.regexp_replace("value", "#.*$", "")).alias("word")).where("word != ''")
 
 
-def ngram_index(spark: SparkSession, path: str, language: str) -> DataFrame:
-    """id, phrase of lines whose id is the hash of the phrase, of four words at most."""
-    rows = spark.read.text(path).select(F.split("value", " ", 2).alias("p")).where("size(p) = 2").select(F.col("p")[0].alias("id"), F.col("p")[1].alias("phrase"))
-    digest = F.substring(F.sha2(F.concat_ws("|", F.lit(language), F.lit("ng"), "phrase"), 256), 1, 10)
-    return rows.where((F.size(F.split("phrase", " ")) <= 4) & F.endswith("id", digest))
+def ngram_index(spark: SparkSession, path: str, language: str, sensitive: DataFrame | None = None) -> DataFrame:
+    """id, phrase of lines whose id is the hash of the phrase, of four words at most, without the words of a sensitive list (word)."""
+    rows = spark.read.text(path).where(~F.ltrim("value").startswith("#")).select(F.split(F.trim("value"), r"\s+", 2).alias("p")).where("size(p) = 2").select(F.col("p")[0].alias("id"), F.col("p")[1].alias("phrase"))
+    digest = F.substring(F.sha2(F.concat_ws("|", F.lit(language), F.lit("ng"), nfc("phrase")), 256), 1, 10)
+    rows = rows.where((F.size(F.split("phrase", " ")) <= 4) & (F.col("id") == F.concat(F.lit(f"ng-{language}-"), digest)))
+    if sensitive is None:
+        return rows
+    bad = rows.select("id", F.explode(F.split(F.lower("phrase"), " ")).alias("w")).join(sensitive.select(F.lower("word").alias("w")).distinct(), "w", "left_semi").select("id")
+    return rows.join(bad.distinct(), "id", "left_anti")
 
 
 def sections(docs: DataFrame) -> DataFrame:
-    """doc_id, first, last, level, title of Markdown sections; headings inside fenced code are none."""
-    from ..operators.segment import lines
-
-    at = Window.partitionBy("doc_id").orderBy("line")
-    rows = lines(docs).withColumn("fence", F.sum(F.col("text").rlike("^[ \t]{0,3}(?:```|~~~)").cast("int")).over(at))
-    last = F.max("line").over(Window.partitionBy("doc_id"))
-    heads = rows.withColumn("end", last).where((F.col("fence") % 2 == 0) & F.col("text").rlike(r"^[ \t]{0,3}#{1,6}[ \t]+\S"))
-    heads = heads.select("doc_id", F.col("line").alias("first"), F.length(F.regexp_extract("text", "(#{1,6})", 1)).alias("level"), F.trim(F.regexp_replace("text", "^[ \t]*#{1,6}[ \t]+|[ \t]+#*[ \t]*$", "")).alias("title"), "end")
-    later = F.collect_list(F.struct("first", "level")).over(Window.partitionBy("doc_id").orderBy("first").rowsBetween(1, Window.unboundedFollowing))
-    nxt = F.filter(later, lambda h: h["level"] <= F.col("level"))
-    return heads.withColumn("nxt", nxt).select("doc_id", "first", F.coalesce(F.try_element_at("nxt", F.lit(1))["first"] - 1, F.col("end")).alias("last"), "level", "title")
+    """doc_id, first, last, level, title, anchor of Markdown sections; headings inside fenced code are none.
+
+    A fold over a document's headings, last one first, keeps where the next
+    heading of each level or a higher one begins.
+    """
+    from ..operators.segment import clean
+
+    lines = F.transform(F.split(clean(F.col("text")), "\n"), lambda t, i: F.struct((i + 1).alias("line"), t.alias("text")))
+    fence = lambda ln: ln["text"].rlike("^[ \t]{0,3}(?:```|~~~)")
+    head = "struct<line:int,text:string>"
+    start = F.struct(F.lit(False).alias("open"), F.array().cast(f"array<{head}>").alias("out"))
+
+    def step(s: Column, ln: Column) -> Column:
+        heading = ~s["open"] & ln["text"].rlike(r"^[ \t]{0,3}#{1,6}[ \t]+\S")
+        return F.struct(F.when(fence(ln), ~s["open"]).otherwise(s["open"]).alias("open"), F.when(heading, F.concat(s["out"], F.array(ln.cast(head)))).otherwise(s["out"]).alias("out"))
+
+    rows = docs.select("doc_id", lines.alias("lines")).select("doc_id", F.size("lines").alias("end"), F.aggregate("lines", start, step, lambda s: s["out"]).alias("heads"))
+    level = lambda t: F.length(F.regexp_extract(t, "(#{1,6})", 1))
+    title = lambda t: F.trim(F.regexp_replace(t, "^[ \t]*#{1,6}[ \t]+|[ \t]+#*[ \t]*$", ""))
+    section = "struct<first:int,last:int,level:int,title:string>"
+    nexts = F.array_repeat(F.col("end") + 1, 6)
+    begin = F.struct(nexts.alias("next"), F.array().cast(f"array<{section}>").alias("out"))
+
+    def close(s: Column, h: Column) -> Column:
+        own = level(h["text"])
+        made = F.struct(h["line"].alias("first"), (F.element_at(s["next"], own) - 1).alias("last"), own.alias("level"), title(h["text"]).alias("title")).cast(section)
+        # This heading ends the sections of its level and of those below it.
+        return F.struct(F.transform(s["next"], lambda n, i: F.when(i + 1 >= own, h["line"]).otherwise(n)).alias("next"), F.concat(s["out"], F.array(made)).alias("out"))
+
+    found = F.aggregate(F.reverse("heads"), begin, close, lambda s: F.reverse(s["out"]))
+    out = rows.select("doc_id", F.explode(found).alias("s")).select("doc_id", "s.*")
+    return out.withColumn("anchor", slug(F.col("title")))
+
+
+def read_overlay(spark: SparkSession, path: str) -> DataFrame:
+    """lang, code, level, issued of the overlays in a folder; of one code the overlay of the last name wins, and keeps the first date."""
+    schema = "issued string, lang map<string,struct<severity:map<string,string>>>"
+    rows = spark.read.schema(schema).option("multiLine", True).json(path).select(F.col("_metadata.file_name").alias("file"), "issued", F.explode("lang").alias("lang", "spec"))
+    rows = rows.select("file", "issued", "lang", F.explode("spec.severity").alias("code", "level"))
+    return rows.groupBy("lang", "code").agg(F.max_by("level", "file").alias("level"), F.min("issued").alias("issued"))
