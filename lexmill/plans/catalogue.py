@@ -1,17 +1,25 @@
-"""The registered queries over the reference tables, and the SQL each is checked against."""
+"""The registered queries over the reference tables, and the SQL each is checked against.
+
+Every query runs the library's operator on whole tables; where the tables
+hold nothing that a rule is about, constant rows (``cases``) join them.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import lengths
 from ..functions import text as texts
-from ..operators import findings, joins, lists, outcome, persian_structure, segment, structure, tasks, weekly
+from ..operators import findings, joins, lists, mask, mixed, outcome, persian_structure, segment, structure, tasks, weekly
+from ..operators.findings import Settings
 from ..rules import english
+from ..sources import locale, tables
 from ..streaming import weekly as stream
+from . import cases
+from .cases import DOCS_SQL, quoted, values
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -38,52 +46,117 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _spread(df: DataFrame) -> DataFrame:
-    """Tables of fewer splits than cores are dealt out once before per-text work; larger ones stay as read."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """Small tables are dealt out once before per-text work, as they have fewer splits than cores; others stay as read."""
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if int(str(size)) < SMALL_BYTES else df
+
 
+#: Bytes of a table up to which it is dealt out.
+SMALL_BYTES = 64 << 20
 
-# Sentences of this catalogue: runs without terminators or line feeds that hold a word.
-_SENTENCES = f"""
-s0 AS (SELECT doc_id, lang, source, unnest(list_filter(regexp_extract_all(coalesce(text, ''), '[^.!?\\n]+'), lambda x: regexp_matches(x, '[A-Za-z0-9]'))) AS s FROM documents),
-s AS (SELECT doc_id, lang, source, s, CAST(len(regexp_extract_all(s, '{_WORD_SQL}')) AS BIGINT) AS n_words FROM s0)
+
+def _cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _spread(cases.with_cases(spark, _docs(spark, sf_dir)))
+
+
+def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Structured rows of the documents and cases, with what document rules read."""
+    rows = segment.structured(_cases(spark, sf_dir))
+    return rows.withColumns({"own": structure.own_lines(F.col("lines"), "text"), "n_words": structure.total_words(F.col("sents"))})
+
+
+def _rule(make: Callable[[], Column]) -> Query:
+    """A query of one document rule."""
+    return lambda spark, sf_dir: structure.document_findings(_rows(spark, sf_dir), [make()])
+
+
+# ---- The same segmentation in SQL: masked lines with tags, and their sentences with words. ----
+_MAIL = "[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9.-]{1,253}[.][A-Za-z]{2,63}"
+_CLOSING = "[\"''’”)\\]*_]{0,4}"
+_ABBREVIATION = "(?i)(^|[^a-z.])((?:" + "|".join(a.replace(".", "[.]") for a in english.SENTENCE_ABBREVIATIONS) + f")[.]{_CLOSING})" + "\x02"
+_INITIAL = f"(^|[^A-Za-z.])([A-Z][.]{_CLOSING})\x02"
+
+
+def _undone(sql: str, times: int = 4) -> str:
+    for _ in range(times):
+        sql = f"regexp_replace(regexp_replace({sql}, '{_ABBREVIATION}', '\\1\\2 ', 'g'), '{_INITIAL}', '\\1\\2 ', 'g')"
+    return sql
+
+
+_SQL_LEAD = english.LIST_LEAD
+_BORDER = f"regexp_replace(p, '([.!?]{_CLOSING})[ \\t]+', '\\1\x02', 'g')"
+_SENTS = f"""
+{DOCS_SQL},
+body AS (SELECT doc_id, lang, source, regexp_replace(coalesce(text, ''), '{_MAIL}', chr(57344), 'g') AS body FROM docs),
+l0 AS (SELECT doc_id, lang, source, string_split(body, chr(10)) AS a FROM body),
+l1 AS (SELECT doc_id, lang, source, generate_subscripts(a, 1) AS line, unnest(a) AS t FROM l0),
+ln AS (SELECT *, CASE WHEN regexp_replace(t, '[ \\t\\x{{E000}}\\x{{E001}}]', '', 'g') = '' OR (contains(t, '|') AND regexp_matches(t, '{english.TABLE_SEPARATOR}')) THEN 'blank'
+  WHEN starts_with(ltrim(t), '#') AND regexp_matches(t, '{english.TAG_LINE}') THEN 'skipped' WHEN starts_with(ltrim(t), '|') THEN 'cell'
+  WHEN regexp_extract(t, '{_SQL_LEAD}', 1) <> '' THEN 'item' ELSE 'prose' END AS tag FROM l1),
+pc AS (SELECT doc_id, lang, source, line, tag, CASE WHEN tag IN ('blank', 'skipped') THEN [] WHEN tag = 'cell'
+  THEN list_filter(list_transform(string_split(t, '|'), lambda x: regexp_replace(x, '^[ \\t]+|[ \\t\\r]+$', '', 'g')), lambda x: x <> '') ELSE [regexp_replace(t, '{_SQL_LEAD}', '')] END AS ps FROM ln),
+pp AS (SELECT * EXCLUDE ps, generate_subscripts(ps, 1) AS k, unnest(ps) AS p FROM pc),
+ss AS (SELECT * EXCLUDE p, string_split({_undone(_BORDER)}, chr(2)) AS ss FROM pp),
+s1 AS (SELECT * EXCLUDE ss, generate_subscripts(ss, 1) AS j, unnest(ss) AS s FROM ss),
+s AS (SELECT doc_id, lang, source, line, tag, s, CAST(len(regexp_extract_all(s, '{_WORD_SQL}')) AS BIGINT) AS n, regexp_extract(s, '{_WORD_SQL}') AS first, row_number() OVER (PARTITION BY doc_id ORDER BY line, k, j) AS ord
+  FROM s1 WHERE len(regexp_extract_all(s, '{_WORD_SQL}')) > 0),
+w AS (SELECT doc_id, CAST(sum(n) AS BIGINT) AS n_words FROM s GROUP BY doc_id)
 """
 
 
-def _simple(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _docs(spark, sf_dir)
-    found = F.filter(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[^.!?\n]+"), F.lit(0)), lambda s: s.rlike("[A-Za-z0-9]"))
-    rows = docs.select("doc_id", "lang", "source", F.posexplode(found).alias("ord", "s"))
-    return rows.withColumn("n_words", F.regexp_count("s", F.lit(english.WORD)).cast("long"))
+def _finding_sql(code: str, severity: str = "warning", line: str = "line") -> str:
+    return f"doc_id, CAST({line} AS BIGINT) AS line, '{code}' AS code, '{severity}' AS severity"
 
 
 @_query(f"""
-WITH {_SENTENCES},
-d AS (SELECT doc_id, lang, source, count(*) AS n, sum(n_words) AS w, stddev_pop(n_words) AS sd, count(*) FILTER (n_words > 25) AS long FROM s GROUP BY ALL),
-b AS (SELECT doc_id, CAST(len(regexp_extract_all(coalesce(text, ''), '!!+')) AS BIGINT) AS bangs FROM documents)
-SELECT lang, source, count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_sentences, CAST(sum(w) AS BIGINT) AS n_words,
-  CAST(sum(long) AS BIGINT) AS long_sentences, count(*) FILTER (n >= 6 AND sd < 3) AS flat_rhythm, CAST(sum(bangs) AS BIGINT) AS errors,
-  CAST(sum(long) + count(*) FILTER (n >= 6 AND sd < 3) AS BIGINT) AS warnings
-FROM d JOIN b USING (doc_id) GROUP BY lang, source
+WITH {_SENTS},
+d AS (SELECT doc_id, any_value(lang) AS lang, any_value(source) AS source, count(*) AS n, sum(n) AS w, count(*) FILTER (n > 25) AS long,
+  count(*) FILTER (tag = 'prose') >= 6 AND count(*) FILTER (tag = 'prose') * sum(n * n) FILTER (tag = 'prose') - (sum(n) FILTER (tag = 'prose')) ** 2 < 9 * (count(*) FILTER (tag = 'prose')) ** 2 AS flat FROM s GROUP BY doc_id),
+m AS (SELECT doc_id, len(regexp_extract_all(body, '!!+')) AS errors FROM body)
+SELECT lang, source, count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_sentences, CAST(sum(w) AS BIGINT) AS n_words, CAST(sum(long) AS BIGINT) AS long_sentences, count(*) FILTER (flat) AS flat_rhythm, CAST(sum(errors) AS BIGINT) AS errors
+FROM d JOIN m USING (doc_id) GROUP BY lang, source
 """)
 def flagship_copy_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which sources have the worst copy, and why."""
-    per = _simple(spark, sf_dir).groupBy("doc_id", "lang", "source").agg(F.count(F.lit(1)).alias("n"), F.sum("n_words").alias("w"), F.stddev_pop("n_words").alias("sd"), F.count_if(F.col("n_words") > 25).alias("long"))
-    bangs = _docs(spark, sf_dir).select("doc_id", F.regexp_count(F.coalesce("text", F.lit("")), F.lit("!!+")).cast("long").alias("bangs"))
-    flat = F.count_if((F.col("n") >= 6) & (F.col("sd") < 3))
-    return per.join(bangs, "doc_id").groupBy("lang", "source").agg(
-        F.count(F.lit(1)).alias("n_docs"), F.sum("n").alias("n_sentences"), F.sum("w").alias("n_words"), F.sum("long").alias("long_sentences"), flat.alias("flat_rhythm"), F.sum("bangs").alias("errors"), (F.sum("long") + flat).alias("warnings")
+    docs = _cases(spark, sf_dir)
+    rows = segment.structured(docs.select(F.struct("doc_id", "lang", "source").alias("doc_id"), "text"))
+    sents = F.col("sents")
+    per = rows.where(F.size(sents) > 0).select(
+        "doc_id.lang", "doc_id.source", structure.sentence_stats(sents).alias("s"), F.size(structure.long_sentences(sents, 25)).alias("long"), F.size(structure.flat_rhythm(sents)).alias("flat"), structure.count_in(F.col("body"), "!!+").alias("bangs")
+    )
+    return per.groupBy("lang", "source").agg(
+        F.count(F.lit(1)).alias("n_docs"), F.sum("s.n_sentences").alias("n_sentences"), F.sum("s.n_words").alias("n_words"), F.sum("long").alias("long_sentences"), F.sum("flat").alias("flat_rhythm"), F.sum("bangs").alias("errors")
     )
 
 
-@_query("""
-SELECT doc_id, CAST(length(text) AS BIGINT) AS chars, CAST(octet_length(encode(text)) AS BIGINT) AS bytes, CAST(length(text) AS BIGINT) AS utf16,
-  CAST(len(regexp_extract_all(text, '\\S+')) AS BIGINT) AS words, CAST(len(list_filter(regexp_split_to_array(text, '[\\n,]+'), lambda x: trim(x) <> '')) AS BIGINT) AS items
-FROM documents
+@_query(f"""
+WITH {DOCS_SQL}, d AS (SELECT doc_id, coalesce(text, '') AS t FROM docs)
+SELECT doc_id, CAST(length(t) AS BIGINT) AS chars, CAST(octet_length(encode(t)) AS BIGINT) AS bytes, CAST(length(t) + len(regexp_extract_all(t, '[\\x{{10000}}-\\x{{10FFFF}}]')) AS BIGINT) AS utf16,
+  CAST(len(regexp_extract_all(t, '[^\\s]+')) AS BIGINT) AS words, CAST(len(list_filter(regexp_split_to_array(t, '[\\n,]+'), lambda x: trim(x) <> '')) AS BIGINT) AS items
+FROM d
 """)
 def length_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = F.col("text")
-    return _docs(spark, sf_dir).select("doc_id", lengths.chars(t).alias("chars"), lengths.utf8_bytes(t).alias("bytes"), lengths.utf16_units(t).alias("utf16"), lengths.words(t).alias("words"), F.size(lengths.items(t)).cast("long").alias("items"))
+    t = F.coalesce("text", F.lit(""))
+    units = {"chars": "char", "bytes": "byte", "utf16": "utf16", "words": "word", "items": "items"}
+    return _cases(spark, sf_dir).select("doc_id", *(lengths.length_in(t, F.lit(unit)).alias(name) for name, unit in units.items()))
+
+
+@_query(f"""
+WITH {DOCS_SQL}, d AS (SELECT doc_id, coalesce(text, '') AS t FROM docs)
+SELECT doc_id, CAST(length_grapheme(t) AS BIGINT) AS graphemes FROM d
+""")
+def grapheme_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cases(spark, sf_dir).select("doc_id", lengths.graphemes(F.coalesce("text", F.lit(""))).alias("graphemes"))
+
+
+#: Posts with their weights: links 23, emoji 2 however many joined, other signs 1 or 2.
+_POSTS = (("see https://example.com/a now", 31), ("👍🏽a é", 5), ("x 👨‍👩‍👧 ©", 6), ("1️⃣ ok", 5), ("🇮🇷🇮🇷", 4), ("中文", 4), ("❤️", 2), ("visit example.org, please", 37), ("", 0))
+
+
+@_query(f"SELECT text, CAST(weight AS BIGINT) AS weight FROM {values(_POSTS, 'text, weight')}")
+def weighted_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([(t,) for t, _ in _POSTS], "text string")
+    return rows.select("text", lengths.weighted(F.col("text")).alias("weight"))
 
 
 _GSM_SQL = "[^@£$¥èéùìòÇ\\nØø\\rÅåΔ_ΦΓΛΩΠΨΣΘΞÆæßÉ !\"#¤%&''()*+,./0-9:;<=>?¡A-ZÄÖÑÜ§¿a-zäöñüà^{}\\\\\\[~\\]|€\\f-]"
@@ -116,16 +189,24 @@ def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segment.lines(_docs(spark, sf_dir)).select("doc_id", F.col("line").cast("long").alias("line"), "text")
 
 
-@_query(f"WITH {_SENTENCES} SELECT doc_id, count(*) AS n_sentences, CAST(sum(n_words) AS BIGINT) AS n_words, min(n_words) AS min_words, max(n_words) AS max_words FROM s GROUP BY doc_id")
+@_query(f"WITH {_SENTS} SELECT doc_id, count(*) AS n_sentences, CAST(sum(n) AS BIGINT) AS n_words, min(n) AS min_words, max(n) AS max_words FROM s GROUP BY doc_id")
 def sentence_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _simple(spark, sf_dir).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_sentences"), F.sum("n_words").alias("n_words"), F.min("n_words").alias("min_words"), F.max("n_words").alias("max_words"))
+    rows = segment.structured(_cases(spark, sf_dir)).where(F.size("sents") > 0)
+    return rows.select("doc_id", structure.sentence_stats(F.col("sents")).alias("s")).select("doc_id", "s.n_sentences", "s.n_words", "s.min_words", "s.max_words")
+
+
+@_query(f"WITH {_SENTS} SELECT doc_id, CAST(line AS INT) AS line, CAST(ord AS INT) AS ord, tag, s AS text, n AS n_words FROM s")
+def tagged_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # A masked stretch is one mark here.
+    return segment.sentences(_cases(spark, sf_dir)).withColumn("text", F.regexp_replace("text", f"{mask.SOFT}+", mask.SOFT))
 
 
 _WORDS = f"w AS (SELECT doc_id, lang, lower(unnest(regexp_extract_all(text, '{_WORD_SQL}'))) AS word FROM documents)"
 
 
 def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _spread(_docs(spark, sf_dir)).select("doc_id", "lang", F.explode(F.regexp_extract_all("text", F.lit(english.WORD), F.lit(0))).alias("word")).withColumn("word", F.lower("word"))
+    words = segment.words(_spread(_docs(spark, sf_dir)).select(F.struct("doc_id", "lang").alias("doc_id"), "text"))
+    return words.select("doc_id.doc_id", "doc_id.lang", F.lower("word").alias("word"))
 
 
 @_query(f"WITH {_WORDS} SELECT lang, word, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM w GROUP BY lang, word")
@@ -134,11 +215,10 @@ def word_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per.groupBy("lang", "word").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_docs"))
 
 
-@_query(f"WITH {_WORDS}, c AS (SELECT lang, word, count(*) AS n FROM w GROUP BY ALL) SELECT lang, word, n, place FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) AS place FROM c) WHERE place <= 20")
+@_query(f"WITH {_WORDS}, c AS (SELECT lang, word, count(*) AS n FROM w GROUP BY ALL) SELECT lang, word, n FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) AS place FROM c) WHERE place <= 20")
 def top_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = _words(spark, sf_dir).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word")).cast("long")
-    return counts.withColumn("place", place).where("place <= 20").select("lang", "word", "n", "place")
+    return structure.first_rows(counts, ["lang"], [F.desc("n"), F.col("word")], 20)
 
 
 @_query(f"""
@@ -152,76 +232,373 @@ def bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query(f"""
-WITH l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS line, unnest(string_split(text, chr(10))) AS t FROM documents),
-b AS (SELECT *, sum(CASE WHEN trim(t) = '' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line) AS para FROM l)
-SELECT doc_id, CAST(para AS BIGINT) AS paragraph, CAST(min(line) AS BIGINT) AS first_line, CAST(sum(len(regexp_extract_all(t, '{_WORD_SQL}'))) AS BIGINT) AS n_words FROM b WHERE trim(t) <> '' GROUP BY doc_id, para
+WITH {_SENTS},
+p AS (SELECT doc_id, line, tag, CASE WHEN tag = 'prose' THEN len(regexp_extract_all(regexp_replace(t, '{_SQL_LEAD}', ''), '{_WORD_SQL}')) ELSE 0 END AS n, sum(CASE WHEN tag = 'prose' THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY line) AS block FROM ln),
+b AS (SELECT doc_id, block, min(line) FILTER (n > 0) AS first_line, CAST(sum(n) AS BIGINT) AS n_words FROM p WHERE tag = 'prose' GROUP BY doc_id, block HAVING sum(n) > 0)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY block) - 1 AS paragraph, CAST(first_line AS BIGINT) AS first_line, n_words FROM b
 """)
 def paragraph_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return segment.paragraphs(_docs(spark, sf_dir)).select("doc_id", F.col("paragraph").cast("long").alias("paragraph"), F.col("first_line").cast("long").alias("first_line"), "n_words")
+    rows = segment.paragraphs(_cases(spark, sf_dir))
+    return rows.select("doc_id", F.col("paragraph").cast("long").alias("paragraph"), F.col("first_line").cast("long").alias("first_line"), "n_words")
 
 
 @_query(f"""
-WITH {_SENTENCES},
-d AS (SELECT doc_id, count(*) AS ns, CAST(sum(n_words) AS BIGINT) AS nw, CAST(sum(len(regexp_extract_all(lower(s), '[aeiouy]+'))) AS BIGINT) AS ny FROM s GROUP BY doc_id)
-SELECT doc_id, ns AS n_sentences, nw AS n_words, ny AS n_vowel_groups, 206.835 - 1.015 * (nw / ns) - 84.6 * (ny / nw) AS reading_ease, 0.39 * (nw / ns) + 11.8 * (ny / nw) - 15.59 AS reading_grade FROM d WHERE nw > 0
+WITH {_SENTS},
+d AS (SELECT doc_id, count(*) AS ns, CAST(sum(n) AS BIGINT) AS nw, CAST(sum(len(regexp_extract_all(lower(s), '[aeiouy]+'))) AS BIGINT) AS ny FROM s GROUP BY doc_id)
+SELECT doc_id, 206.835 - 1.015 * (nw / ns) - 84.6 * (ny / nw) AS reading_ease, 0.39 * (nw / ns) + 11.8 * (ny / nw) - 15.59 AS reading_grade FROM d
 """)
 def readability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _simple(spark, sf_dir).withColumn("y", F.regexp_count(F.lower("s"), F.lit("[aeiouy]+")).cast("long"))
-    rows = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_sentences"), F.sum("n_words").alias("n_words"), F.sum("y").alias("n_vowel_groups")).where("n_words > 0")
-    c = F.col
-    return rows.withColumns({"reading_ease": lengths.reading_ease(c("n_words"), c("n_vowel_groups"), c("n_sentences")).cast("double"), "reading_grade": lengths.reading_grade(c("n_words"), c("n_vowel_groups"), c("n_sentences")).cast("double")})
+    """The formulas, on vowel groups for syllables."""
+    rows = segment.structured(_cases(spark, sf_dir)).where(F.size("sents") > 0)
+    groups = structure.summed(F.transform("sents", lambda s: structure.count_in(F.lower(s["text"]), "[aeiouy]+")))
+    rows = rows.select("doc_id", structure.sentence_stats(F.col("sents")).alias("s"), groups.alias("y"))
+    measures = F.col("s.n_words"), F.col("y"), F.col("s.n_sentences")
+    return rows.select("doc_id", lengths.reading_ease(*measures).cast("double").alias("reading_ease"), lengths.reading_grade(*measures).cast("double").alias("reading_grade"))
+
+
+_SYLLABLES = [entry.split() for entry in cases.SYLLABLES.split(",")]
+
+
+@_query(f"SELECT word, CAST(n AS BIGINT) AS syllables FROM {values([(w, int(n)) for w, n in _SYLLABLES], 'word, n')}")
+def syllable_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([(w,) for w, _ in _SYLLABLES], "word string")
+    return rows.select("word", lengths.syllables(F.col("word")).alias("syllables"))
+
+
+@_query()
+def reading_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure.reading_stats(_spread(_docs(spark, sf_dir).where("lang = 'en'")))
+
+
+@_query(f"WITH {_SENTS} SELECT {_finding_sql('en-long-sentence')} FROM s WHERE n > 25")
+def long_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rule(lambda: structure.long_sentences(F.col("sents"), 25))(spark, sf_dir)
 
 
 @_query(f"""
-WITH s0 AS (SELECT doc_id, list_filter(regexp_extract_all(coalesce(text, ''), '[^.!?\\n]+'), lambda x: regexp_matches(x, '[A-Za-z0-9]')) AS ss FROM documents),
-s AS (SELECT doc_id, unnest(range(0, len(ss))) AS ord, lower(regexp_extract(unnest(ss), '{_WORD_SQL}')) AS first FROM s0),
-r AS (SELECT *, ord - row_number() OVER (PARTITION BY doc_id, first ORDER BY ord) AS island FROM s)
-SELECT doc_id, first, CAST(min(ord) AS BIGINT) AS ord, count(*) AS n FROM r GROUP BY doc_id, first, island HAVING count(*) >= 3
+WITH {_SENTS}, e AS (SELECT doc_id, line, ord, CASE WHEN tag = 'prose' OR (tag = 'item' AND n >= 3) THEN lower(first) END AS f FROM s),
+r AS (SELECT *, ord - row_number() OVER (PARTITION BY doc_id, f ORDER BY ord) AS island FROM e WHERE f IS NOT NULL)
+SELECT {_finding_sql('en-same-opening')} FROM (SELECT doc_id, arg_min(line, ord) AS line FROM r GROUP BY doc_id, f, island HAVING count(*) >= 3)
 """)
 def same_opening(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _simple(spark, sf_dir).select("doc_id", "ord", F.lower(F.regexp_extract("s", english.WORD, 0)).alias("first"))
-    island = F.col("ord") - F.row_number().over(Window.partitionBy("doc_id", "first").orderBy("ord"))
-    out = rows.withColumn("island", island).groupBy("doc_id", "first", "island").agg(F.min("ord").cast("long").alias("ord"), F.count(F.lit(1)).alias("n"))
-    return out.where("n >= 3").select("doc_id", "first", "ord", "n")
+    return _rule(lambda: structure.same_opening(F.col("sents")))(spark, sf_dir)
 
 
-@_query(f"WITH {_SENTENCES} SELECT doc_id, count(*) AS n_sentences FROM s GROUP BY doc_id HAVING count(*) >= 6 AND stddev_pop(n_words) < 3")
+@_query(f"WITH {_SENTS} SELECT {_finding_sql('en-flat-rhythm', line='0')} FROM (SELECT doc_id FROM s WHERE tag = 'prose' GROUP BY doc_id HAVING count(*) >= 6 AND stddev_pop(n) < 3)")
 def flat_rhythm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _simple(spark, sf_dir).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_sentences"), F.stddev_pop("n_words").alias("sd"))
-    return rows.where("n_sentences >= 6 and sd < 3").select("doc_id", "n_sentences")
+    return _rule(lambda: structure.flat_rhythm(F.col("sents")))(spark, sf_dir)
 
 
-@_query(f"WITH {_SENTENCES} SELECT doc_id, s AS sentence, n_words FROM s WHERE n_words > 25")
-def long_sentence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _simple(spark, sf_dir).where("n_words > 25").select("doc_id", F.col("s").alias("sentence"), "n_words")
+@_query(f"""
+WITH {_SENTS},
+p AS (SELECT doc_id, line, tag, CASE WHEN tag = 'prose' THEN len(regexp_extract_all(regexp_replace(t, '{_SQL_LEAD}', ''), '{_WORD_SQL}')) ELSE 0 END AS n, sum(CASE WHEN tag = 'prose' THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY line) AS block FROM ln)
+SELECT {_finding_sql('en-long-paragraph')} FROM (SELECT doc_id, min(line) FILTER (n > 0) AS line FROM p WHERE tag = 'prose' GROUP BY doc_id, block HAVING sum(n) > 150)
+""")
+def long_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rule(lambda: structure.long_paragraphs(F.col("lines")))(spark, sf_dir)
+
 
+_PASSIVE_SQL = english.PASSIVE.replace("'", "''")
 
-@_query("SELECT doc_id, CAST(len(regexp_extract_all(text, '!')) AS BIGINT) AS bangs, CAST(len(regexp_extract_all(text, '!!+')) AS BIGINT) AS repeated FROM documents WHERE len(regexp_extract_all(text, '!')) > 1")
+
+@_query(f"""
+WITH {_SENTS}, p AS (SELECT *, regexp_matches(s, '(?i){_PASSIVE_SQL}') AS passive FROM s),
+c AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS all_n, count(*) FILTER (passive) OVER (PARTITION BY doc_id) AS p_n, row_number() OVER (PARTITION BY doc_id, passive ORDER BY ord) AS k FROM p)
+SELECT {_finding_sql('en-passive')} FROM c WHERE passive AND k <= 5 AND all_n >= 5 AND 5 * p_n > all_n
+""")
+def passive_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rule(lambda: structure.passive_density(F.col("sents")))(spark, sf_dir)
+
+
+@_query(f"""
+WITH {_SENTS}, m AS (SELECT *, regexp_extract(s, '^[ \\t(\\x{{E000}}]*([0-9][0-9,.]*)\\b', 1) AS v FROM s WHERE tag = 'prose')
+SELECT {_finding_sql('en-numeral-start')} FROM m WHERE v <> '' AND NOT regexp_matches(v, '{english.YEAR}')
+""")
+def numeral_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rule(lambda: structure.numeral_starts(F.col("sents")))(spark, sf_dir)
+
+
+@_query(f"""
+WITH {_SENTS}, f AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS k FROM s WHERE tag = 'prose')
+SELECT {_finding_sql('en-rhetorical-open')} FROM f WHERE k = 1 AND regexp_matches(s, '(?i){english.RHETORICAL}')
+""")
+def rhetorical_openings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rule(lambda: structure.rhetorical_opening(F.col("sents")))(spark, sf_dir)
+
+
+@_query(f"""
+WITH {_SENTS}, c AS (SELECT doc_id, line, len(regexp_extract_all(t, '(?:^[ \\t]*(?:>[ \\t]?)*(?:(?:[-*+•]|[0-9]{{1,3}}[.)])[ \\t]+)?|[.!?][ \\t])(?:Additionally|Furthermore|Moreover|Notably),')) AS n FROM ln),
+d AS (SELECT doc_id, sum(n) AS n FROM c GROUP BY doc_id), x AS (SELECT doc_id FROM d LEFT JOIN w USING (doc_id) WHERE n >= 2 AND 200 * n > coalesce(n_words, 0))
+SELECT {_finding_sql('en-additionally')} FROM (SELECT doc_id, line, unnest(range(0, n)) FROM c SEMI JOIN x USING (doc_id))
+""")
+def connectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rule(lambda: structure.connectors(F.col("lines"), F.col("n_words")))(spark, sf_dir)
+
+
+@_query(f"""
+WITH {_SENTS}, c AS (SELECT doc_id, line, len(regexp_extract_all(t, '—')) AS n, sum(CASE WHEN tag = 'blank' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line) AS block FROM ln),
+r AS (SELECT *, sum(n) OVER (PARTITION BY doc_id, block ORDER BY line) AS upto, sum(n) OVER (PARTITION BY doc_id ORDER BY line) AS upto_all FROM c),
+dense AS (SELECT doc_id, min(line) AS line FROM r WHERE upto >= 2 GROUP BY doc_id, block),
+sparse AS (SELECT doc_id, min(line) FILTER (upto_all >= 2) AS line FROM r LEFT JOIN w USING (doc_id) WHERE doc_id NOT IN (SELECT doc_id FROM dense) GROUP BY doc_id HAVING sum(n) > 1 AND 150 * sum(n) > any_value(coalesce(n_words, 0)))
+SELECT {_finding_sql('en-dash-density')} FROM (SELECT * FROM dense UNION ALL SELECT * FROM sparse)
+""")
+def dash_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rule(lambda: structure.dash_density(F.col("lines"), F.col("n_words")))(spark, sf_dir)
+
+
+@_query(f"WITH {_SENTS} SELECT {_finding_sql('en-bangs', line='0')} FROM body WHERE len(regexp_extract_all(body, '!')) > 1")
 def exclamation_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _docs(spark, sf_dir).select("doc_id", F.regexp_count("text", F.lit("!")).cast("long").alias("bangs"), F.regexp_count("text", F.lit("!!+")).cast("long").alias("repeated")).where("bangs > 1")
+    return _rule(lambda: structure.marks_over(F.col("own"), "!", 1, "en-bangs"))(spark, sf_dir)
+
+
+@_query(f"WITH {_SENTS} SELECT {_finding_sql('en-emoji', line='0')} FROM body WHERE regexp_matches(body, '[\\x{{1F300}}-\\x{{1FAFF}}]')")
+def emoji(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rule(lambda: structure.marks_over(F.col("own"), structure.EMOJI, 0, "en-emoji"))(spark, sf_dir)
+
+
+@_query(f"""
+WITH {_SENTS}, c AS (SELECT doc_id, line, len(regexp_extract_all(t, '["'']')) AS a, len(regexp_extract_all(t, '[“”‘’]')) AS b FROM ln),
+d AS (SELECT doc_id, sum(a) AS sa, sum(b) AS sb, min(line) FILTER (a > 0) AS la, min(line) FILTER (b > 0) AS lb FROM c GROUP BY doc_id)
+SELECT {_finding_sql('en-quote-mix', line='CASE WHEN sa < sb THEN la ELSE lb END')} FROM d WHERE sa > 0 AND sb > 0
+""")
+def quote_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rule(lambda: structure.quote_mix(F.col("own")))(spark, sf_dir)
+
+
+_FORMS_SQL = f"forms AS (SELECT * FROM {values([(f, *x) for f, x in english.SPELLING_FORMS.items()], 'form, family, side, other')})"
+_SPELLED = f"""
+{_SENTS}, {_FORMS_SQL},
+e AS (SELECT doc_id, unnest(list_concat(regexp_extract_all(body, '(?:^|[^A-Za-z''’\\-])([a-z]+)(?:$|[^A-Za-z''’\\-])', 1), list_transform(regexp_extract_all(body,
+  '(?:(?m:^)[ \\t]*(?:>[ \\t]?)*(?:#{{1,6}}|[-*+•]|[0-9]{{1,3}}[.)])?[ \\t]*|[.!?:"“‘'']\\s*)([A-Z][A-Za-z]*)(?:$|[^A-Za-z''’\\-])', 1), lambda x: lower(x)))) AS word
+  FROM (SELECT doc_id, regexp_replace(body, '([^A-Za-z''’\\-])', '\\1\\1', 'g') AS body FROM body)),
+h AS (SELECT doc_id, word, family, side, other FROM e JOIN forms ON word = form)
+"""
+
+
+@_query(f"""
+WITH {_SPELLED},
+g AS (SELECT doc_id, count(*) FILTER (side = 'us') AS us, count(*) FILTER (side = 'uk') AS uk, count(*) FILTER (side = 'us' AND family = 'ize-ise') AS ize, count(*) FILTER (side = 'uk' AND family = 'ize-ise') AS ise,
+  count(*) FILTER (side = 'us' AND family NOT IN ('ize-ise', 'yze-yse')) AS plain FROM h GROUP BY doc_id)
+SELECT doc_id, us, uk, ize, ise, CASE WHEN uk > 0 AND plain = 0 THEN CASE WHEN ize > 0 AND ise = 0 THEN 'uk-ize' ELSE 'uk' END WHEN us > 0 AND uk = 0 THEN 'us' END AS variant FROM g
+""")
+def spelling_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure.spelling_evidence(_cases(spark, sf_dir)).where("us + uk > 0")
+
+
+@_query(f"""
+WITH {_SPELLED},
+g AS (SELECT doc_id, count(*) FILTER (side = 'us' AND family NOT IN ('ize-ise', 'yze-yse')) AS us, count(*) FILTER (side = 'uk') AS uk, count(*) FILTER (side = 'us' AND family = 'ize-ise') AS ize, count(*) FILTER (side = 'uk' AND family = 'ize-ise') AS ise FROM h GROUP BY doc_id),
+p AS (SELECT DISTINCT a.doc_id FROM h a JOIN h b ON a.doc_id = b.doc_id AND a.other = b.word)
+SELECT doc_id, 'en-spelling-mix' AS code, 'error' AS severity FROM g WHERE (us > 0 AND uk > 0) OR (ize > 0 AND ise > 0) OR doc_id IN (SELECT doc_id FROM p)
+""")
+def spelling_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rule(lambda: structure.spelling_mix(F.col("lines"), F.col("body")))(spark, sf_dir).select("doc_id", "code", "severity")
+
+
+@_query(f"WITH {_WORDS}, {_FORMS_SQL} SELECT lang, family, side, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM w JOIN forms ON word = form GROUP BY lang, family, side")
+def spelling_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = segment.words(_spread(_docs(spark, sf_dir)).select(F.struct("doc_id", "lang").alias("doc_id"), "text"))
+    return structure.spelling_hits(words).groupBy("doc_id.lang", "family", "side").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id.doc_id").alias("n_docs"))
+
+
+@_query(f"""
+WITH {_SENTS}, t2 AS (SELECT doc_id, line, regexp_replace(t, '([^\\p{{L}}\\p{{N}}_-])', '\\1\\1', 'g') AS t FROM ln WHERE regexp_matches(t, '[A-Z]{{2}}')),
+x AS (SELECT doc_id, line, t, unnest(regexp_extract_all(t, '(?:^|[^\\p{{L}}\\p{{N}}_-])([A-Z]{{2,6}}s?)(?:$|[^\\p{{L}}\\p{{N}}_-])', 1)) AS token,
+  len(regexp_extract_all(t, '(?:^|[^\\p{{L}}\\p{{N}}_])[A-Z]{{2,}}(?:$|[^\\p{{L}}\\p{{N}}_])')) >= 3 AND NOT regexp_matches(t, '[a-z]{{3,}}') AS caps FROM t2),
+y AS (SELECT doc_id, regexp_replace(token, '([A-Z]{{2}})s$', '\\1') AS abbr, min(line) AS line, arg_min(caps, line) AS caps, bool_or(contains(t, '((' || token) OR contains(t, token || '  ((')) AS shown FROM x GROUP BY doc_id, abbr)
+SELECT {_finding_sql('en-undefined-abbr')} FROM y JOIN w USING (doc_id) WHERE n_words >= 80 AND NOT shown AND NOT caps AND abbr NOT IN ({', '.join(map(quoted, english.KNOWN_ABBREVIATIONS))}) AND NOT regexp_matches(abbr, '{english.ROMAN}')
+""")
+def undefined_abbreviations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rule(lambda: structure.undefined_abbreviations(F.col("lines"), F.col("n_words")))(spark, sf_dir)
+
+
+@_query(f"""
+WITH {_SENTS}, q AS (SELECT doc_id, line, line - row_number() OVER (PARTITION BY doc_id ORDER BY line) AS island FROM ln WHERE regexp_matches(t, '{english.QUOTE_LINE}'))
+SELECT doc_id, CAST(min(line) AS INT) AS first, CAST(max(line) AS INT) AS last, count(*) AS n FROM q GROUP BY doc_id, island
+UNION ALL SELECT -100, 2, 3, 2 UNION ALL SELECT -100, 5, 5, 1
+""")
+def quote_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    quotes = spark.createDataFrame([(-100, "a\n> b\n> c\n\n> d")], "doc_id long, text string")
+    return segment.quote_blocks(_cases(spark, sf_dir).select("doc_id", "text").unionByName(quotes))
+
+
+@_query(f"""
+WITH {_SENTS}, c AS (SELECT doc_id, line, list_filter(list_transform(string_split(t, '|'), lambda x: regexp_replace(x, '^[ \\t]+|[ \\t\\r]+$', '', 'g')), lambda x: x <> '') AS cs FROM ln WHERE regexp_matches(t, '^[ \\t]*[|]') AND NOT regexp_matches(t, '{english.TABLE_SEPARATOR}'))
+SELECT doc_id, CAST(line AS INT) AS line, CAST(generate_subscripts(cs, 1) - 1 AS INT) AS pos, unnest(cs) AS cell FROM c
+""")
+def table_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segment.table_cells(_cases(spark, sf_dir))
+
+
+@_query()
+def english_document_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure.english_document_findings(_spread(_docs(spark, sf_dir)))
+
+
+@_query()
+def english_pattern_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return findings.english_findings(_spread(_docs(spark, sf_dir))).select("doc_id", "line", "col", "code", "severity", "text")
+
+
+@_query()
+def persian_pattern_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([(-k, yes) for k, (_, yes, _) in enumerate(cases.PERSIAN, 1)], "doc_id long, text string")
+    docs = _docs(spark, sf_dir).select("doc_id", "text").unionByName(rows)
+    return findings.persian_findings(_spread(docs)).select("doc_id", "line", "col", "code", "severity", "text")
+
+
+#: Rules whose patterns both engines read: without look-around, groups by name, and tests beside the pattern.
+_PLAIN_RULES = [
+    r
+    for r in english.PATTERN_RULES
+    if not any(x in r.pattern for x in ("(?=", "(?!", "(?<", "(?P<", "(?m)", "\\x{")) and not r.keep and not r.cited and not r.raw and not r.only_in and not r.styles and not r.kinds
+]
+
+
+def _count_sql(rule) -> str:
+    pattern = quoted(("(?i)" if rule.ignore_case else "") + rule.pattern)
+    return f"SELECT doc_id, {quoted(rule.code)} AS code, len(regexp_extract_all(body, {pattern})) AS n FROM body"
+
+
+@_query(f"WITH {_SENTS}, c AS ({' UNION ALL '.join(map(_count_sql, _PLAIN_RULES))}) SELECT doc_id, code, CAST(sum(n) AS BIGINT) AS n FROM c GROUP BY doc_id, code HAVING sum(n) > 0")
+def english_rule_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matches of the rules that another engine's patterns can express, by document."""
+    return findings.pattern_findings(_cases(spark, sf_dir), _PLAIN_RULES).groupBy("doc_id", "code").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _fired(rows: DataFrame, found: DataFrame, listed: DataFrame) -> DataFrame:
+    """Whether each case's rule fires on its text."""
+    hits = found.select("doc_id", "code").distinct().withColumn("fires", F.lit(True))
+    return listed.join(hits, ["doc_id", "code"], "left").select("doc_id", "code", F.coalesce("fires", F.lit(False)).alias("fires"))
+
+
+def _rule_cases(rules) -> list[tuple]:
+    return [(2 * k + j, code, text, j == 0) for k, (code, *both) in enumerate(rules) for j, text in enumerate(both)]
+
+
+@_query(f"SELECT CAST(doc_id AS BIGINT) AS doc_id, code, fires FROM {values([(i, c, f) for i, c, _, f in _rule_cases(cases.ENGLISH)], 'doc_id, code, fires')}")
+def english_rule_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every rule on a text where it fires and on one where it must not."""
+    rows = spark.createDataFrame([x[:3] for x in _rule_cases(cases.ENGLISH)], "doc_id long, code string, text string")
+    return _fired(rows, findings.english_findings(rows.select("doc_id", "text")), rows)
+
 
+@_query(f"SELECT CAST(doc_id AS BIGINT) AS doc_id, code, fires FROM {values([(i, c, f) for i, c, _, f in _rule_cases(cases.PERSIAN)], 'doc_id, code, fires')}")
+def persian_rule_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([x[:3] for x in _rule_cases(cases.PERSIAN)], "doc_id long, code string, text string")
+    return _fired(rows, findings.persian_findings(rows.select("doc_id", "text")), rows)
 
-@_query("SELECT doc_id, CAST(len(regexp_extract_all(text, '[\"'']')) AS BIGINT) AS straight, CAST(len(regexp_extract_all(text, '[“”‘’]')) AS BIGINT) AS curly FROM documents")
-def quote_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _docs(spark, sf_dir).select("doc_id", F.regexp_count("text", F.lit("[\"']")).cast("long").alias("straight"), F.regexp_count("text", F.lit("[“”‘’]")).cast("long").alias("curly"))
+
+@_query(f"SELECT CAST(doc_id AS BIGINT) AS doc_id, codes FROM {values([(k, c) for k, (_, c) in enumerate(cases.PERSIAN_DOCUMENTS) if c], 'doc_id, codes')}")
+def persian_document_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(cases.PERSIAN_DOCUMENTS)], "doc_id long, text string")
+    found = persian_structure.persian_document_findings(rows, Settings(max_words=24, address="shoma"))
+    return found.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_set("code")), ",").alias("codes"))
+
+
+_PROFILE = Settings(banned=("utilise", "cheap"), avoid=("folks",), prefer={"folks": "people"}, misspellings={"Akme": "Acme"}, brand="Acme", spelling="us", contractions="avoid")
+_PROFILE_CASES = ("Utilise it, folks.", "Buy acme, Akme and Acme.", "It isn't cheap.", "A grey centre. Mr Grey came.", "All fine here.")
+
+
+@_query("""
+SELECT CAST(doc_id AS BIGINT) AS doc_id, code, text FROM (VALUES (0, 'en-profile-banned', 'Utilise'), (0, 'en-profile-avoid', 'folks'), (1, 'en-brand-spelling', 'acme'), (1, 'en-brand-spelling', 'Akme'), (2, 'en-contraction', 'isn''t'), (2, 'en-profile-banned', 'cheap'),
+  (3, 'en-spelling-variant', 'grey'), (3, 'en-spelling-variant', 'centre')) t(doc_id, code, text)
+""")
+def profile_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame(list(enumerate(_PROFILE_CASES)), "doc_id long, text string")
+    found = findings.suppressed(findings.without_duplicates(findings.pattern_findings(rows, findings.profile_rules(_PROFILE), _PROFILE)))
+    return found.select("doc_id", "code", "text")
+
+
+_CODES = ("en-ai-vocab", "en-significance", "en-buzzword", "en-journey", "en-sycophancy", "en-chatbot-residue", "en-shall")
+_FOUND_SQL = f"""
+f AS (SELECT user_id AS doc_id, CAST(event_id % 5 AS INT) AS line, CAST(event_id % 40 AS INT) AS col, [{', '.join(map(quoted, _CODES))}][event_id % 7 + 1] AS code, CASE WHEN event_id % 3 = 0 THEN 'error' ELSE 'warning' END AS severity,
+  CAST(event_id % 40 AS INT) AS start, CAST(event_id % 40 + 4 AS INT) AS "end", CAST(event_id AS INT) AS seq FROM events)
+"""
+
+
+def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A findings relation of the events: many on a line, with overlaps and repeats."""
+    n = F.col("event_id")
+    code = F.element_at(F.array(*map(F.lit, _CODES)), (n % 7 + 1).cast("int"))
+    return _table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("doc_id"), (n % 5).cast("int").alias("line"), (n % 40).cast("int").alias("col"), code.alias("code"), F.when(n % 3 == 0, "error").otherwise("warning").alias("severity"), (n % 40).cast("int").alias("start"), (n % 40 + 4).cast("int").alias("end"), n.cast("int").alias("seq")
+    )
+
+
+_PAIRS_SQL = "by_code AS (SELECT * FROM " + values([(code, other) for code, others in english.SUPPRESSED_BY.items() for other in others], "code, stronger") + ")"
+
+
+@_query(f"""
+WITH {_FOUND_SQL}, {_PAIRS_SQL}
+SELECT * FROM f x WHERE NOT EXISTS (SELECT 1 FROM by_code p JOIN f y ON y.code = p.stronger WHERE p.code = x.code AND y.doc_id = x.doc_id AND y.line = x.line AND y.start < x."end" AND x.start < y."end")
+""")
+def suppressed_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return findings.suppressed(_found(spark, sf_dir)).select("doc_id", "line", "col", "code", "severity", "start", "end", "seq")
+
+
+@_query(f"WITH {_FOUND_SQL} SELECT * EXCLUDE k FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, line, col, code ORDER BY seq) AS k FROM f) WHERE k = 1")
+def distinct_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return findings.without_duplicates(_found(spark, sf_dir))
+
+
+@_query(f"WITH {_FOUND_SQL} SELECT doc_id, seq, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY CASE WHEN severity = 'error' THEN 0 ELSE 1 END, line, col, seq) AS INT) AS place FROM f")
+def ordered_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return findings.ordered(_found(spark, sf_dir)).select("doc_id", "seq", "place")
+
+
+@_query(f"WITH {_FOUND_SQL} SELECT doc_id, seq, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY line, col, CASE WHEN seq % 2 = 0 THEN 0 ELSE 1 END, seq) AS INT) AS place FROM f")
+def merged_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _found(spark, sf_dir).withColumn("language", F.when(F.col("seq") % 2 == 0, "fa").otherwise("en"))
+    return findings.merged_order(rows).select("doc_id", "seq", "place")
+
+
+@_query(f"WITH {_FOUND_SQL} SELECT doc_id, count(*) FILTER (severity = 'error') AS errors, count(*) FILTER (severity <> 'error') AS warnings FROM f GROUP BY doc_id")
+def severity_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return findings.severity_counts(_found(spark, sf_dir), "doc_id")
+
+
+@_query(f"WITH {_FOUND_SQL} SELECT * FROM f WHERE severity = 'error'")
+def error_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return findings.of_severity(_found(spark, sf_dir), "errors")
+
+
+@_query(f"""
+WITH {_FOUND_SQL}, c AS (SELECT doc_id, code, least(100000, count(*)) AS n FROM f GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, code) AS k FROM c)
+SELECT doc_id, code, n FROM k WHERE k <= 3
+""")
+def hit_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return findings.hit_map(_found(spark, sf_dir), "doc_id", most=3).select("doc_id", F.explode("hits").alias("code", "n"))
+
+
+@_query(f"""
+WITH {_FOUND_SQL}, i AS (SELECT DISTINCT doc_id, line, unnest([0, 15, 25]) AS first FROM f), j AS (SELECT *, first + 10 AS last, CAST(first // 10 AS INT) AS ord FROM i)
+SELECT f.doc_id, f.seq, j.ord FROM f LEFT JOIN j ON f.doc_id = j.doc_id AND f.line = j.line AND f.start >= j.first AND f.start < j.last
+""")
+def findings_in_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _found(spark, sf_dir)
+    held = rows.select("doc_id", "line").distinct().select("doc_id", "line", F.explode(F.array(F.lit(0), F.lit(15), F.lit(25))).alias("first"))
+    held = held.select("doc_id", "line", "first", (F.col("first") + 10).alias("last"), F.expr("cast(first div 10 AS int)").alias("ord"))
+    return findings.in_intervals(rows, held).select("doc_id", "seq", "ord")
 
 
-_RULES_SQL = {
-    "please-note": "please note|kindly note|be advised|it should be noted",
-    "shall": "shall",
-    "license-line": "licensed under|released under",
-    "version-number": "version [0-9]+",
-    "all-rights": "all rights reserved",
-}
-_FLAGS = " UNION ALL ".join(f"SELECT doc_id, '{code}' AS code, CAST(len(regexp_extract_all(lower(text), '\\b(?:{p})\\b')) AS BIGINT) AS n FROM documents WHERE regexp_matches(lower(text), '\\b(?:{p})\\b')" for code, p in _RULES_SQL.items())
+@_query(f"""
+WITH {_FOUND_SQL}, o AS (SELECT * FROM (VALUES ('en-ai-vocab', 'off'), ('en-buzzword', 'shadow'), ('en-shall', 'error')) t(code, level))
+SELECT f.doc_id, f.line, f.col, f.code, CASE WHEN level IN ('error', 'warning') THEN level ELSE severity END AS severity, f.start, f."end", f.seq, coalesce(level = 'shadow', FALSE) OR f.code = 'en-journey' AS hidden FROM f LEFT JOIN o USING (code) WHERE coalesce(level, '') <> 'off'
+""")
+def overlaid_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    levels = spark.createDataFrame([("en-ai-vocab", "off"), ("en-buzzword", "shadow"), ("en-shall", "error")], "code string, level string")
+    return joins.with_overlay(_found(spark, sf_dir), levels, spark.createDataFrame([("en-journey",)], "code string"))
 
 
-@_query(_FLAGS)
-def rule_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pattern rules in their native count form: one pass, one small array a document."""
-    low = F.lower("text")
-    hits = F.array(*(F.struct(F.lit(code).alias("code"), F.regexp_count(low, F.lit(rf"\b(?:{p})\b")).cast("long").alias("n")) for code, p in _RULES_SQL.items()))
-    return _docs(spark, sf_dir).select("doc_id", F.explode(F.filter(hits, lambda h: h["n"] > 0)).alias("h")).select("doc_id", "h.code", "h.n")
+@_query("""
+WITH w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+(?:[''’-][\\p{L}\\p{N}]+)*') AS t FROM documents), g AS (SELECT doc_id, unnest(range(1, len(t) + 1)) AS pos, t FROM w),
+p AS (SELECT * FROM (VALUES ('of the', 'warning'), ('the', 'error'), ('de la', 'warning')) x(phrase, severity))
+SELECT g.doc_id, CAST(pos AS INT) AS pos, phrase, 'hub-tell' AS code, severity FROM g JOIN p ON phrase = CASE WHEN phrase = 'the' THEN t[pos] ELSE t[pos] || ' ' || t[pos + 1] END
+""")
+def listed_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    listed = spark.createDataFrame([("of the", "a", "warning"), ("the", "b", "error"), ("De la", "c", "shadow")], "phrase string, id string, state string")
+    return joins.phrase_findings(_spread(_docs(spark, sf_dir)), listed, 2)
 
 
 @_query(f"""
@@ -247,14 +624,6 @@ def facts_not_in_brief(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.not_in_facts(joins.numbers(_docs(spark, sf_dir)), facts)
 
 
-@_query("""
-SELECT d.doc_id, d.source FROM documents d SEMI JOIN (SELECT doc_id FROM labels WHERE quality = 1) l ON d.doc_id = l.doc_id
-""")
-def cited_semi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    good = _table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
-    return _docs(spark, sf_dir).select("doc_id", "source").join(good, "doc_id", "left_semi")
-
-
 @_query("SELECT DISTINCT lang, source, 'lx-en-' || substr(sha256(lang || '|' || 'buzzword' || '|' || source), 1, 10) AS pid FROM documents")
 def phrase_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("lang", "source").distinct().withColumn("pid", weekly.phrase_id("lx-en-", F.col("lang"), F.lit("buzzword"), F.col("source")))
@@ -295,25 +664,125 @@ def weekly_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("week", "event_type", weekly.floor_fifty(F.col("v")).alias("volume"))
 
 
+_PHRASES_SQL = "r AS (SELECT 'en' AS lang, event_type AS ng, CAST(ts AS DATE) AS day, ['short', 'long', 'ui', 'none'][user_id % 4 + 1] AS fg, CAST(event_id % 2 AS INT) AS deleted, CAST(event_id % 3 = 0 AS INT) AS kept FROM events)"
+
+
+@_query(f"""
+WITH {_PHRASES_SQL}, p AS (SELECT ng, count(*) FILTER (deleted = 1) AS del, count(DISTINCT day) FILTER (deleted = 1) AS days, count(*) FILTER (kept = 1) AS kept FROM r GROUP BY ng),
+m AS (SELECT ng, fg FROM (SELECT ng, fg, row_number() OVER (PARTITION BY ng ORDER BY count(*) DESC, list_position(['short', 'long', 'ui', 'none'], fg)) AS k FROM r WHERE deleted = 1 GROUP BY ng, fg) WHERE k = 1)
+SELECT 'en' AS lang, ng, fg, least(del, 5) AS del, least(kept, 5) AS kept, CAST(row_number() OVER (ORDER BY p.del DESC, ng) AS INT) AS place FROM p JOIN m USING (ng) WHERE p.del >= 2 AND days >= 2
+""")
+def phrase_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    group = F.element_at(F.array(*map(F.lit, weekly.GROUPS)), (F.col("user_id") % 4 + 1).cast("int"))
+    rows = _table(spark, sf_dir, "events").select(F.lit("en").alias("lang"), F.col("event_type").alias("ng"), F.to_date("ts").alias("day"), group.alias("fg"), (F.col("event_id") % 2).cast("int").alias("deleted"), (F.col("event_id") % 3 == 0).cast("int").alias("kept"))
+    return weekly.selected_phrases(rows)
+
+
+# An event log made of the events: checks, outcomes and health in turn.
+_LOG_SQL = """
+g AS (SELECT strftime(ts, '%G-W%V') AS week, event_id AS n, event_type AS e, ['lint', 'out', 'health'][event_id % 3 + 1] AS t, ['fa', 'en'][user_id % 2 + 1] AS lang, ['short', 'long', 'ui', 'none'][user_id % 4 + 1] AS fg, user_id FROM events),
+lg AS (SELECT *, CASE WHEN lang = 'en' THEN 'en-' || e ELSE e END AS id FROM g)
+"""
+
+
+def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, user = F.col("event_id"), F.col("user_id")
+    pick = lambda xs, k: F.element_at(F.array(*map(F.lit, xs)), (k % len(xs) + 1).cast("int"))
+    long = lambda c: c.cast("long")
+    lang = pick(weekly.LANGUAGES, user)
+    ident = F.when(lang == "en", F.concat(F.lit("en-"), "event_type")).otherwise(F.col("event_type"))
+    cell = F.struct(long(n % 4).alias("kept"), long(n % 7).alias("ho"), long(n % 5).alias("hg"))
+    pair = F.struct(long(n % 6).alias("n"), long(n % 3).alias("g"))
+    return _table(spark, sf_dir, "events").select(
+        weekly.iso_week(F.col("ts")).alias("week"), n.alias("seq"), pick(("lint", "out", "health"), n).alias("t"), lang.alias("lang"), pick(weekly.GROUPS, user).alias("fg"), long(n % 300).alias("w"),
+        F.create_map(ident, long(n % 5)).alias("hits"), F.create_map(ident, cell).alias("cells"), pair.alias("pl"), F.create_map(F.concat(lang, F.lit(":"), ident, F.lit(".max_words")), F.create_map(long(n % 3).cast("string"), pair)).alias("params"),
+        F.struct(long(100 + n % 50).alias("ta"), long(n % 40).alias("td")).alias("base"), (n % 100 / 100).alias("er"), F.col("event_type").alias("pb"), long(n % 8).alias("rev"), long(n % 13).alias("fe"), F.when(n % 2 == 0, "sync_ok").otherwise("verify_fail").alias("k"), F.when(n % 4 == 1, "fork").otherwise("local").alias("r"),
+    )
+
+
+def _alloc_sql(value: str, cap: int, keys: str, part: str) -> str:
+    return f"CASE WHEN sum({value}) OVER ({keys}) <= {cap} THEN {value} ELSE {value} * {cap} // sum({value}) OVER ({keys}) END AS {value}_f, CASE WHEN sum({value}) OVER ({keys}) <= {cap} THEN 0 ELSE {value} * {cap} - ({value} * {cap} // sum({value}) OVER ({keys})) * sum({value}) OVER ({keys}) END AS {value}_r"
+
+
+def _rest_sql(value: str, cap: int, keys: str, part: str) -> str:
+    return f"CAST({value}_f + CASE WHEN sum({value}) OVER ({keys}) > {cap} AND row_number() OVER ({keys} ORDER BY {value}_r DESC, {part}) <= {cap} - sum({value}_f) OVER ({keys}) THEN 1 ELSE 0 END AS BIGINT)"
+
+
+_CELL_KEYS = "PARTITION BY week, lang, id"
+_PART = "concat('(', chr(39), fg, chr(39), ', ', b, ')')"
+
+
+@_query(f"""
+WITH {_LOG_SQL},
+c AS (SELECT week, lang, id, fg, CAST(sum(CASE WHEN t = 'lint' THEN n % 5 ELSE 0 END) AS BIGINT) AS hits, CAST(sum(CASE WHEN t = 'out' THEN n % 4 ELSE 0 END) AS BIGINT) AS kept, CAST(sum(CASE WHEN t = 'out' THEN n % 7 ELSE 0 END) AS BIGINT) AS ho, CAST(sum(CASE WHEN t = 'out' THEN least(n % 7, n % 5) ELSE 0 END) AS BIGINT) AS hg
+  FROM lg WHERE t <> 'health' GROUP BY ALL HAVING hits > 0 OR kept > 0 OR ho > 0),
+a AS (SELECT *, {_alloc_sql('hits', 200, _CELL_KEYS, 'fg')}, {_alloc_sql('kept', 10, _CELL_KEYS, 'fg')}, {_alloc_sql('ho', 10, _CELL_KEYS, 'fg')} FROM c),
+s AS (SELECT week, lang, id, fg, {_rest_sql('hits', 200, _CELL_KEYS, 'fg')} AS h, {_rest_sql('kept', 10, _CELL_KEYS, 'fg')} AS k, {_rest_sql('ho', 10, _CELL_KEYS, 'fg')} AS o, ho, hg FROM a)
+SELECT week, lang, id, fg, h AS hits, k AS kept, o AS ho, CAST(CASE WHEN ho > 0 THEN least(o, (2 * hg * o + ho) // (2 * ho)) ELSE 0 END AS BIGINT) AS hg, CAST(row_number() OVER (PARTITION BY week ORDER BY list_position(['fa', 'en'], lang), id, list_position(['short', 'long', 'ui', 'none'], fg)) AS INT) AS place
+FROM s WHERE h > 0 OR k > 0 OR o > 0
+""")
+def report_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weekly.in_cell_order(weekly.report(_log(spark, sf_dir))["cells"])
+
+
+@_query(f"""
+WITH {_LOG_SQL},
+x AS (SELECT week, lang, fg, CASE WHEN t = 'lint' THEN n % 300 ELSE 0 END AS shown, CASE WHEN t <> 'out' THEN 0 WHEN n % 100 = 0 AND FALSE THEN 0 ELSE CAST(greatest(0, least(4000, round_even(2.0 * (100 + n % 50 - n % 40) / (1.0 - (n % 100) / 100.0) - (100 + n % 50), 0))) AS BIGINT) END AS final FROM lg WHERE t <> 'health'),
+v AS (SELECT week, lang, fg, CAST(sum(shown) AS BIGINT) AS a, CAST(sum(final) AS BIGINT) AS b FROM x GROUP BY ALL)
+SELECT week, lang, fg, least(200000, a - a % 50) AS words_shown, least(200000, b - b % 50) AS words_final FROM v WHERE a >= 50 OR b >= 50
+""")
+def report_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weekly.report(_log(spark, sf_dir))["volume"]
+
+
+@_query(f"""
+WITH {_LOG_SQL}, p AS (SELECT week, lang, fg, CAST(sum(n % 6) AS BIGINT) AS n, CAST(sum(least(n % 3, n % 6)) AS BIGINT) AS g FROM lg WHERE t = 'out' AND n % 6 > 0 GROUP BY ALL)
+SELECT week, lang, fg, least(200, n) AS n, CASE WHEN n > 200 THEN g * 200 // n ELSE g END AS g FROM p
+""")
+def report_placebo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weekly.report(_log(spark, sf_dir))["placebo"]
+
+
+@_query(f"""
+WITH {_LOG_SQL}, p AS (SELECT week, lang || ':' || id || '.max_words' AS id, fg, CAST(n % 3 AS BIGINT) AS b, CAST(sum(n % 6) AS BIGINT) AS v, CAST(sum(least(n % 3, n % 6)) AS BIGINT) AS g FROM lg WHERE t = 'out' AND n % 6 > 0 GROUP BY ALL),
+a AS (SELECT *, {_alloc_sql('v', 10, 'PARTITION BY week, id', 'x')} FROM p),
+s AS (SELECT week, id, fg, b, v, g, {_rest_sql('v', 10, 'PARTITION BY week, id', _PART)} AS share FROM a)
+SELECT week, id, fg, b, share AS n, CAST(least(share, (2 * g * share + v) // (2 * v)) AS BIGINT) AS g FROM s WHERE share > 0
+""")
+def report_params(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weekly.report(_log(spark, sf_dir))["params"]
+
+
+@_query(f"""
+WITH {_LOG_SQL}, k AS (SELECT *, row_number() OVER (PARTITION BY week, e, lang ORDER BY n) AS k FROM lg WHERE t = 'out')
+SELECT week, e AS id, lang, count(*) AS n, count(*) FILTER (n % 8 = 0) AS first_pass, CAST(sum(n % 100) AS BIGINT) AS edit_hundredths, CAST(sum(least(5, n % 8)) AS BIGINT) AS revisions, CAST(sum(least(10, n % 13)) AS BIGINT) AS errors FROM k WHERE k <= 50 GROUP BY week, e, lang
+""")
+def report_playbooks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weekly.report(_log(spark, sf_dir))["playbooks"]
+
+
+@_query(f"""
+WITH {_LOG_SQL}, k AS (SELECT * FROM {values([(k, '') for k in weekly.HEALTH_KINDS] + [(k, r) for k, rs in weekly.HEALTH_REASONS.items() for r in rs], 'kind, reason')}),
+c AS (SELECT week, CASE WHEN n % 2 = 0 THEN 'sync_ok' ELSE 'verify_fail' END AS kind, CASE WHEN n % 2 = 0 THEN '' WHEN n % 4 = 1 THEN 'fork' ELSE 'local' END AS reason, least(1000, count(*)) AS n FROM lg WHERE t = 'health' GROUP BY ALL)
+SELECT w.week, k.kind, k.reason, coalesce(c.n, 0) AS n FROM (SELECT DISTINCT week FROM lg) w CROSS JOIN k LEFT JOIN c ON c.week = w.week AND c.kind = k.kind AND c.reason = k.reason
+""")
+def report_health(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weekly.report(_log(spark, sf_dir))["health"]
+
+
 @_query("""
 WITH c AS (SELECT event_type, user_id, count(*) AS n FROM events GROUP BY ALL)
-SELECT event_type, user_id, n, place FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY n DESC, user_id) AS place FROM c) WHERE place <= 5
+SELECT event_type, user_id, n FROM (SELECT event_type, user_id, n, row_number() OVER (PARTITION BY event_type ORDER BY n DESC, user_id) AS place FROM c) WHERE place <= 5
 """)
-def top_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+def ranked_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = _table(spark, sf_dir, "events").groupBy("event_type", "user_id").agg(F.count(F.lit(1)).alias("n"))
-    place = F.row_number().over(Window.partitionBy("event_type").orderBy(F.desc("n"), "user_id")).cast("long")
-    return counts.withColumn("place", place).where("place <= 5").select("event_type", "user_id", "n", "place")
+    return weekly.ranked_cells(counts, ["event_type"], [F.desc("n"), F.col("user_id")], 5)
 
 
-@_query("""
-WITH r AS (SELECT event_type AS ng, user_id AS session, CAST(ts AS DATE) AS day, CAST(user_id % 3 AS BIGINT) AS fg FROM events WHERE value > 50),
-p AS (SELECT ng, count(DISTINCT session) AS sessions, count(DISTINCT day) AS days FROM r GROUP BY ng HAVING count(DISTINCT session) >= 2 AND count(DISTINCT day) >= 2),
-m AS (SELECT ng, fg FROM (SELECT ng, fg, row_number() OVER (PARTITION BY ng ORDER BY count(*) DESC, fg) AS k FROM r GROUP BY ng, fg) WHERE k = 1)
-SELECT ng, sessions, days, fg FROM p JOIN m USING (ng)
-""")
-def phrase_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _table(spark, sf_dir, "events").where("value > 50").select(F.lit("en").alias("lang"), F.col("event_type").alias("ng"), F.col("user_id").alias("session"), F.to_date("ts").alias("day"), (F.col("user_id") % 3).cast("long").alias("fg"), F.lit(1).alias("deleted"))
-    return weekly.selected_phrases(rows).select("ng", "sessions", "days", "fg")
+@_query("SELECT event_id, strftime(ts, '%G-W%V') AS week, strftime(date_trunc('week', ts) + INTERVAL 7 DAY, '%Y-%m-%d') AS week_end, CAST(CAST('0x' || substr(sha256(event_type), 9, 8) AS BIGINT) + (CAST('0x' || substr(sha256(event_type), 1, 8) AS HUGEINT) * 4294967296) AS HUGEINT) % 10000 AS bucket FROM events")
+def weeks_and_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "events").withColumn("week", weekly.iso_week(F.col("ts")))
+    return rows.select("event_id", "week", F.date_format(weekly.week_end(F.col("week")), "yyyy-MM-dd").alias("week_end"), weekly.canary_bucket(F.col("event_type")).alias("bucket"))
 
 
 @_query("""
@@ -338,100 +807,170 @@ def overlay_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.layered(base, over, ["code"], "level")
 
 
-@_query("""
-WITH f AS (SELECT doc_id, 1 AS line, CAST(n_chars % 7 AS BIGINT) AS a, CAST(n_chars % 7 + 5 AS BIGINT) AS b, CASE WHEN doc_id % 2 = 0 THEN 'weak' ELSE 'strong' END AS code, source FROM documents)
-SELECT x.doc_id, x.code, x.a, x.b FROM f x WHERE x.code = 'strong' OR NOT EXISTS (SELECT 1 FROM f y WHERE y.source = x.source AND y.code = 'strong' AND y.doc_id BETWEEN x.doc_id - 1 AND x.doc_id + 1 AND y.a < x.b AND x.a < y.b)
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of conversations as drafts, the next turn as the final text; and drafts that are not measured."""
+    reply = F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn"))
+    rows = _table(spark, sf_dir, "conversations").withColumn("final", reply).where("role = 'user' and final is not null")
+    rows = rows.select((F.col("conv_id") * 1000 + F.col("turn")).alias("case_id"), F.col("text").alias("shown"), "final")
+    odd = spark.createDataFrame([(-1, None, "x"), (-2, "same", "same"), (-3, "a" * 20_001, "b"), (-4, "a " * 4_001, "b")], "case_id long, shown string, final string")
+    return rows.unionByName(odd)
+
+
+_PAIRS_OF = """
+p AS (SELECT conv_id * 1000 + turn AS case_id, text AS shown, final FROM (SELECT *, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS final FROM conversations) WHERE role = 'user' AND final IS NOT NULL
+  UNION ALL SELECT -1, NULL, 'x' UNION ALL SELECT -2, 'same', 'same' UNION ALL SELECT -3, repeat('a', 20001), 'b' UNION ALL SELECT -4, repeat('a ', 4001), 'b')
+"""
+_TOKEN_SQL = "[\\p{L}\\p{N}]+(?:[''’-][\\p{L}\\p{N}]+)*"
+
+
+@_query(f"""
+WITH {_PAIRS_OF}, r AS (SELECT case_id, len(regexp_extract_all(coalesce(shown, ''), '{_TOKEN_SQL}')) AS ta, CASE WHEN shown IS NULL THEN 'unlinted' WHEN shown = final THEN 'unchanged'
+  WHEN greatest(length(shown), length(final)) > 20000 OR greatest(len(regexp_extract_all(shown, '{_TOKEN_SQL}')), len(regexp_extract_all(final, '{_TOKEN_SQL}'))) > 4000 THEN 'too_long' END AS reason FROM p)
+SELECT case_id, reason, CASE WHEN reason IS NULL THEN CAST(ta AS BIGINT) ELSE 0 END AS ta FROM r
 """)
-def overlap_suppression(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The interval anti-join of findings, on synthetic spans of neighbouring documents of a source."""
-    code = F.when(F.col("doc_id") % 2 == 0, "weak").otherwise("strong")
-    f = _docs(spark, sf_dir).select("doc_id", "source", (F.col("n_chars") % 7).alias("a"), (F.col("n_chars") % 7 + 5).alias("b"), code.alias("code"))
-    y = f.where("code = 'strong'").select(F.col("source").alias("s2"), F.col("doc_id").alias("d2"), F.col("a").alias("a2"), F.col("b").alias("b2"))
-    met = (F.col("source") == F.col("s2")) & (F.col("code") == "weak") & F.col("d2").between(F.col("doc_id") - 1, F.col("doc_id") + 1) & (F.col("a2") < F.col("b")) & (F.col("a") < F.col("b2"))
-    return f.join(y, met, "left_anti").select("doc_id", "code", "a", "b")
+def outcome_refusals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return outcome.outcome_cases(_pairs(spark, sf_dir)).select("case_id", "reason", "ta")
 
 
-@_query("SELECT source, lang, count(*) AS n FROM documents GROUP BY source, lang HAVING count(*) > 1")
-def duplicate_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _docs(spark, sf_dir).groupBy("source", "lang").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+@_query()
+def outcome_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return outcome.outcome_cases(_pairs(spark, sf_dir)).select("case_id", "reason", "er", "ta", "td", "fe", "pl_n", "pl_g", F.to_json("cells").alias("cells"))
 
 
-@_query("SELECT text, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY text")
-def deduplicated_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _docs(spark, sf_dir).groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
+def _tokens_sql(column: str) -> str:
+    body = f"regexp_replace(translate(coalesce({column}, ''), 'يىك', 'ییک'), '(?i)(?:https?://|www[.])[^\\s]+|[^\\s]+@[^\\s]+[.][^\\s]+|[@#][^\\s]+|[^\\s]*[0-9][^\\s]*', ' ' || chr(1) || ' ', 'g')"
+    return f"regexp_extract_all({body}, '\x01|[\\p{{L}}]+(?:[''’-][\\p{{L}}]+)*')"
 
 
-@_query("SELECT DISTINCT lower(unnest(string_split(text, ' '))) AS value FROM documents WHERE lang = 'en' INTERSECT SELECT DISTINCT lower(unnest(string_split(text, ' '))) FROM benchmark")
-def shared_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = lambda df: df.select(F.explode(F.split("text", " ")).alias("value")).select(F.lower("value").alias("value"))
-    return words(_docs(spark, sf_dir).where("lang = 'en'")).intersect(words(_table(spark, sf_dir, "benchmark")))
+def _grams_sql(name: str, column: str, n: str) -> str:
+    return f"""
+{name}0 AS (SELECT case_id, {_tokens_sql(column)} AS raw FROM p),
+{name}1 AS (SELECT case_id, list_transform(raw, lambda t: CASE WHEN t = chr(1) OR (length(t) > 1 AND upper(t) = t) OR (regexp_matches(t, '^[A-Z]') AND NOT list_contains(list_filter(raw, lambda x: NOT regexp_matches(x, '^[A-Z]')), lower(t))) THEN NULL ELSE lower(t) END) AS t FROM {name}0),
+{name}2 AS (SELECT case_id, t, unnest(range(1, len(t) + 1)) AS i FROM {name}1), {name}3 AS (SELECT case_id, t[i : i + k - 1] AS g, k FROM {name}2, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE i + k - 1 <= len(t)),
+{name} AS (SELECT case_id, array_to_string(g, ' ') AS ng, count(*) AS {n} FROM {name}3 WHERE len(list_filter(g, lambda x: x IS NOT NULL)) = k GROUP BY ALL)"""
 
 
-@_query("""
-WITH t AS (SELECT conv_id, turn, role, text, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS reply FROM conversations)
-SELECT conv_id, turn, CAST(length(text) AS BIGINT) AS asked, CAST(length(reply) AS BIGINT) AS answered FROM t WHERE role = 'user' AND reply IS NOT NULL
+@_query(f"""
+WITH {_PAIRS_OF}, {_grams_sql('a', 'shown', 'n')}, {_grams_sql('b', 'final', 'm')}
+SELECT case_id, ng, n - least(n, coalesce(m, 0)) AS deleted, least(n, coalesce(m, 0)) AS kept FROM a LEFT JOIN b USING (case_id, ng)
 """)
-def turn_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    reply = F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn"))
-    rows = _table(spark, sf_dir, "conversations").withColumn("reply", reply).where("role = 'user' and reply is not null")
-    return rows.select("conv_id", "turn", F.length("text").cast("long").alias("asked"), F.length("reply").cast("long").alias("answered"))
+def mined_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return outcome.mined_ngrams(_pairs(spark, sf_dir))
 
 
-def _cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    reply = F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn"))
-    rows = _table(spark, sf_dir, "conversations").withColumn("final", reply).where("role = 'user' and final is not null")
-    return rows.select((F.col("conv_id") * 1000 + F.col("turn")).alias("case_id"), F.col("text").alias("shown"), "final")
+@_query(f"""
+WITH {DOCS_SQL}, d AS (SELECT doc_id, coalesce(text, '') AS t FROM docs)
+SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(t, '([.?!:])  +([^\\s|])', '\\1 \\2', 'g'), '([^\\s])[ \\t]+—[ \\t]+([^\\s])', '\\1—\\2', 'g'), '(?m)^([ \\t]{{0,3}}#{{1,6}}[ \\t]+[^\\s].*?)[.:][ \\t]*$', '\\1', 'g') AS text FROM d
+""")
+def mechanical_fixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cases(spark, sf_dir).select("doc_id", outcome.fix_english(F.coalesce("text", F.lit(""))).alias("text"))
 
 
-@_query()
-def outcome_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return outcome.outcome_cases(_cases(spark, sf_dir))
+@_query(f"""
+WITH {DOCS_SQL}, m AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_MAIL}') AS hits, length(coalesce(text, '')) AS n FROM docs)
+SELECT doc_id, CAST(n AS BIGINT) AS chars, CAST(coalesce(list_sum(list_transform(hits, lambda x: length(x))), 0) AS BIGINT) AS masked FROM m
+""")
+def masked_characters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Masking keeps a text's length."""
+    body = mask.mask_prose(F.coalesce("text", F.lit("")))
+    return _cases(spark, sf_dir).select("doc_id", F.length(body).cast("long").alias("chars"), structure.count_in(body, f"[{mask.SOFT}{mask.BLOCK}]").alias("masked"))
 
 
-@_query()
-def mined_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return outcome.mined_ngrams(_cases(spark, sf_dir))
+_MIXED = (("این کتاب خوب است\nThis is a robust plan\n12\nكتاب", "fa,en,fa,fa"), ("A plan\nسلام دنیا و همه دوستان خوب من", "en,fa"), ("Only English here", "en"))
 
 
-@_query()
-def english_pattern_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return findings.english_findings(_spread(_docs(spark, sf_dir))).select("doc_id", "line", "col", "code", "severity", "text")
+@_query(f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), c AS (SELECT doc_id, string_split(t, chr(10)) AS a FROM d),
+l AS (SELECT doc_id, unnest(a) AS t FROM c)
+SELECT doc_id, CAST(count(*) AS BIGINT) AS lines, count(*) FILTER (regexp_matches(t, '[A-Za-z]')) AS english FROM l GROUP BY doc_id
+UNION ALL SELECT -k, lines, english FROM (VALUES (1, 4, 1), (2, 2, 1), (3, 1, 1)) x(k, lines, english)
+""")
+def line_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([(-k, t) for k, (t, _) in enumerate(_MIXED, 1)], "doc_id long, text string")
+    found = mixed.line_languages(_docs(spark, sf_dir).select("doc_id", "text").unionByName(rows))
+    return found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("lines"), F.count_if((F.col("language") == "en") & F.col("text").rlike("[A-Za-z]")).alias("english"))
 
 
-@_query()
-def persian_pattern_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return findings.persian_findings(_spread(_docs(spark, sf_dir))).select("doc_id", "line", "col", "code", "severity", "text")
+@_query(f"SELECT CAST(k AS BIGINT) AS doc_id, languages FROM {values([(k, x) for k, (_, x) in enumerate(_MIXED)], 'k, languages')}")
+def mixed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(_MIXED)], "doc_id long, text string")
+    return mixed.with_languages(rows).select("doc_id", F.array_join(F.transform("lines", lambda ln: ln["language"]), ",").alias("languages"))
 
 
-@_query()
-def english_document_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return structure.english_document_findings(_spread(_docs(spark, sf_dir)))
+@_query(f"SELECT path, unit_key, value FROM {values([(p, k, v) for p, _, units in cases.FILES for k, v in units], 'path, unit_key, value')}")
+def resource_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([(p, p, t) for p, t, _ in cases.FILES], "doc_id string, path string, text string")
+    return locale.units(rows).select(F.col("doc_id").alias("path"), "unit_key", "value")
 
 
-@_query()
-def syllable_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    distinct = _words(spark, sf_dir).where("lang = 'en'").select("word").distinct()
-    return distinct.select("word", lengths.syllables_native(F.col("word")).alias("syllables"))
+@_query("""
+SELECT * FROM (VALUES (CAST(2 AS INT), CAST(8 AS INT), CAST(1 AS INT), 'A', 'a'), (3, 4, 2, 'B', 'b'), (4, 4, 3, 'C', 'c'), (5, 8, 2, 'D!', 'd'), (9, 9, 1, 'E', 'e')) t(first, last, level, title, anchor)
+""")
+def markdown_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([(1, "intro\n# A\n## B\n### C\n## D!\n~~~\n# no\n~~~\n# E")], "doc_id long, text string")
+    return tables.sections(rows).drop("doc_id")
 
 
-@_query()
-def grapheme_and_weighted_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _docs(spark, sf_dir).select("doc_id", lengths.grapheme_count("text").alias("graphemes"), lengths.weighted_length("text").alias("weighted"))
+@_query(f"SELECT text, CAST(serial AS BOOLEAN) AS serial, CAST(items AS BIGINT) AS items FROM {values([x for x in cases.LISTS if x[1] is not None], 'text, serial, items')}")
+def comma_list_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([(t, t) for t, _, _ in cases.LISTS], "doc_id string, text string")
+    return lists.series(segment.sentences(rows)).select(F.col("doc_id").alias("text"), "serial", "items")
 
 
 @_query()
-def mechanical_fixes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _docs(spark, sf_dir).select("doc_id", outcome.fix_english(F.col("text")).alias("text"))
+def list_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = segment.sentences(_cases(spark, sf_dir))
+    found = lists.series(rows)
+    return lists.triads(rows, found).unionByName(lists.serial_commas(found))
+
+
+_ASKED = ((1, "Write a product page for an email"), (2, "a mailing list"), (3, "email, but no newsletter"), (4, "ops.report please"))
 
 
 @_query("""
-SELECT p_brand, p_type, count(*) AS n, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS quantity FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_brand, p_type
+SELECT CAST(request_id AS BIGINT) AS request_id, task, CAST(score AS DOUBLE) AS score, CAST(place AS INT) AS place FROM (VALUES (1, 't.mail', 26.05, 1), (1, 't.page', 18.12, 2), (2, 'other', 0.0, 1), (3, 't.news', 15.1, 1), (3, 't.mail', -5.95, 2), (4, 'ops.report', 114.06, 1)) x(request_id, task, score, place)
 """)
-def dimension_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A fact table with its dimension: the shape of findings with rules."""
-    part = _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand", "p_type")
-    rows = _table(spark, sf_dir, "lineitem").join(part, "l_partkey")
-    return rows.groupBy("p_brand", "p_type").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("l_quantity").cast("long")).alias("quantity"))
+def task_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    signals = spark.createDataFrame([("t.mail", "email", 0), ("t.page", "product page", 0), ("t.news", "newsletter", 1), ("ops.report", "report", 0)], "task string, signal string, priority int")
+    out = spark.createDataFrame([("t.mail", "newsletter")], "task string, signal string")
+    return joins.task_ranking(spark.createDataFrame(list(_ASKED), "request_id long, text string"), signals, out).select("request_id", "task", "score", "place")
+
+
+_DRAFT = "We sold 1,200 cups to Ann at https://a.b/c. “It was a great day”, she told Bob 3.50 times."
+
+
+@_query("SELECT * FROM (VALUES ('name', 'bob'), ('url', 'https://a.b/c'), ('quote', 'it was a great day')) t(kind, value)")
+def facts_beyond_brief(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.createDataFrame([(1, _DRAFT)], "doc_id long, text string")
+    briefs = spark.createDataFrame([(1, "Sold 1200 cups; 3.5 times. Ann came.")], "doc_id long, facts string")
+    return joins.fact_findings(docs, briefs).select("kind", "value")
+
+
+@_query("""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '(?:^|[^A-Za-z0-9_.])([0-9][0-9,]*(?:[.][0-9]+)?%?)', 1) AS n FROM documents)
+SELECT DISTINCT doc_id AS pack_id, unnest(n) AS value, 'number' AS kind FROM d
+""")
+def fact_locks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tasks.fact_locks(_docs(spark, sf_dir).select(F.col("doc_id").alias("pack_id"), "text"))
+
+
+@_query("SELECT * FROM (VALUES (CAST(1 AS BIGINT), 'forbidden addition', 'WIN'), (1, 'lost number', '1,000'), (1, 'missing section', 'body')) t(pack_id, problem, value)")
+def output_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = spark.createDataFrame([(1, {"title": "5% win", "body": ""})], "pack_id long, content map<string,string>")
+    locks = tasks.fact_locks(spark.createDataFrame([(1, "5% of 1,000")], "pack_id long, text string"))
+    return tasks.output_problems(out, locks, spark.createDataFrame([(1, "title"), (1, "body")], "pack_id long, section string"), spark.createDataFrame([(1, "WIN")], "pack_id long, phrase string"))
+
+
+_DIFF_SQL = "list_distinct(regexp_extract_all(coalesce({c}, ''), '(?:^|[^A-Za-z0-9_.])([0-9][0-9,]*(?:[.][0-9]+)?%?)', 1))"
+
+
+@_query(f"""
+WITH {_PAIRS_OF}, n AS (SELECT case_id, {_DIFF_SQL.format(c='shown')} AS a, {_DIFF_SQL.format(c='final')} AS b FROM p)
+SELECT case_id, array_to_string(list_sort(list_filter(b, lambda x: NOT list_contains(a, x))), ' ') AS added, array_to_string(list_sort(list_filter(a, lambda x: NOT list_contains(b, x))), ' ') AS removed FROM n
+""")
+def number_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = tasks.text_differences(_pairs(spark, sf_dir)).where("kind = 'number'")
+    return rows.select("case_id", *(F.array_join(F.array_sort(c), " ").alias(c) for c in ("added", "removed")))
 
 
 @_query("""
@@ -501,24 +1040,6 @@ def base_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weekly.base_rates(rows)
 
 
-@_query("""
-SELECT event_type AS kind, CAST(least(1000, count(*)) AS BIGINT) AS n, CAST(least(1000, count(*) FILTER (value > 50)) AS BIGINT) AS high FROM events GROUP BY event_type
-""")
-def health_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cap = F.lit(weekly.HEALTH_CAP).cast("long")
-    return _table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("kind")).agg(F.least(cap, F.count(F.lit(1))).alias("n"), F.least(cap, F.count_if(F.col("value") > 50)).alias("high"))
-
-
-@_query("""
-SELECT event_type AS id, least(n, 200) AS n, CASE WHEN n > 200 THEN g * 200 // n ELSE g END AS g FROM (SELECT event_type, count(*) AS n, count(*) FILTER (value > 50) AS g FROM events GROUP BY event_type)
-""")
-def placebo_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Placebo counts under their cap, the hits scaled by floor."""
-    rows = _table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("id")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("value") > 50).alias("g"))
-    cap = F.lit(weekly.PLACEBO_CAP).cast("long")
-    return rows.select("id", F.least(cap, "n").alias("n"), F.when(F.col("n") > cap, F.floor(F.col("g") * cap / F.col("n")).cast("long")).otherwise(F.col("g")).alias("g"))
-
-
 @_query("""
 SELECT lang, text, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts FROM (SELECT event_type AS lang, CAST(event_id AS VARCHAR) AS text, ts, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS k
 FROM events WHERE ts <= TIMESTAMP '2024-01-15 12:00:00' AND ts > TIMESTAMP '2024-01-15 06:00:00') WHERE k = 1
@@ -530,33 +1051,6 @@ def latest_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("lang", "text", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"))
 
 
-@_query()
-def comma_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lists.series(segment.sentences(_spread(_docs(spark, sf_dir))))
-
-
-@_query()
-def list_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = segment.sentences(_spread(_docs(spark, sf_dir)))
-    found = lists.series(rows)
-    return lists.triads(rows, found).unionByName(lists.serial_commas(found))
-
-
-@_query()
-def persian_document_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return persian_structure.persian_document_findings(_docs(spark, sf_dir), address="shoma")
-
-
-@_query()
-def fact_locks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tasks.fact_locks(_table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("pack_id"), "text"))
-
-
-@_query()
-def text_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tasks.text_differences(_cases(spark, sf_dir))
-
-
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
