@@ -10,6 +10,7 @@ from . import segment
 from .findings import Settings
 from .structure import (
     EMOJI,
+    EMOJI_GATE,
     FOUND,
     NONE,
     caption_headers,
@@ -121,7 +122,7 @@ def persian_rules(settings: Settings) -> list[Column]:
     parts = [
         long_sentences(sents, settings.max_words, "long-sentence"), chains(sents), same_opening_triples(sents), flat_rhythm_spread(sents), rhetorical_opening(sents),
         register_rule(own, settings.register), address_rule(lines, settings.address), emoji_bullets(lines, LETTERS), each(F.filter(lines, lambda ln: ln["text"].rlike(SUMMARY_HEADING)), "final-word"),
-        marks_over(own, "[!！]", settings.exclaim_max, "bangs"), marks_over(own, EMOJI, settings.emoji_max, "emoji"),
+        marks_over(own, "[!！]", settings.exclaim_max, "bangs"), marks_over(own, EMOJI, settings.emoji_max, "emoji", EMOJI_GATE),
     ]
     return parts + ([caption_headers(lines, "caption-header")] if settings.format == "caption" else [])
 

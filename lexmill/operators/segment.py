@@ -10,13 +10,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.spans import let
 from ..rules import english, persian
 from ..rules.english import SENTENCE_ABBREVIATIONS, WORD
 from .mask import BLOCK, SOFT, read_prose
 
-_MARKED = f"[ \t{SOFT}{BLOCK}]"
-
-
 def clean(text: Column) -> Column:
     """Without byte-order marks, with line feeds only."""
     return F.regexp_replace(F.replace(F.coalesce(text, F.lit("")), F.lit("﻿"), F.lit("")), "\r\n?", "\n")
@@ -31,17 +29,32 @@ def _english_border() -> str:
     """White space behind a sentence's end: not behind a listed abbreviation or a single capital."""
     closing = r"[\"'’”)\]*_]{0,4}"
     guarded = "|".join(a.replace(".", r"\.") for a in SENTENCE_ABBREVIATIONS)
-    return rf"(?<=[.!?]{closing})(?<!(?<![A-Za-z.])(?i:{guarded})\.{closing})(?<!(?<![A-Za-z.])[A-Z]\.{closing})[ \t]+|{BLOCK}+"
+    # Cheap tests come first: most places are no white space, most white space follows a letter.
+    return rf"(?=[ \t])(?<=[.!?\"'’”)\]*_])(?<=[.!?]{closing})(?<!(?<![A-Za-z.])(?i:{guarded})\.{closing})(?<!(?<![A-Za-z.])[A-Z]\.{closing})[ \t]+|{BLOCK}+"
 
 
 ENGLISH_BORDER = _english_border()
-PERSIAN_BORDER = rf"(?<=[.؟!؛?](?:\*\*|__|[*_»)]|»\*\*|\*\*»)?)\s+|{BLOCK}+"
+PERSIAN_BORDER = rf"(?=\s)(?<=[.؟!؛?](?:\*\*|__|[*_»)]|»\*\*|\*\*»)?)[^\S\n]+|{BLOCK}+"
 PERSIAN_WORD = f"(?U){persian.WORD}"
 
 
+#: Stands for a sentence's end.  Spark compiles the pattern of a split for every value, but that of a replacement once:
+#: so ends are replaced in a whole text, and only this character is split at.
+_END = "\x02"
+_SOMETHING = f"[^ \t{SOFT}{BLOCK}]"
+
+
+def with_ends(text: Column, border: str = ENGLISH_BORDER) -> Column:
+    return F.regexp_replace(text, border, _END)
+
+
+def _parted(text: Column) -> Column:
+    return F.filter(F.split(text, _END), lambda s: s.rlike(_SOMETHING))
+
+
 def sentence_array(line: Column, border: str = ENGLISH_BORDER) -> Column:
     """Sentences of one line."""
-    return F.filter(F.split(line, border), lambda s: F.regexp_replace(s, _MARKED, "") != "")
+    return _parted(with_ends(line, border))
 
 
 def cells_of(line: Column) -> Column:
@@ -51,9 +64,8 @@ def cells_of(line: Column) -> Column:
 
 def _tag(text: Column, language: str, kind: str) -> Column:
     """What a line is: blank, skipped, heading, cell, item or prose."""
-    bare = F.regexp_replace(text, _MARKED, "")
     skipped = F.ltrim(text).startswith("#") if language == "fa" else F.ltrim(text).startswith("#") & text.rlike(english.TAG_LINE)
-    tag = F.when((bare == "") | (F.contains(text, F.lit("|")) & text.rlike(english.TABLE_SEPARATOR)), "blank")
+    tag = F.when(~text.rlike(_SOMETHING) | (F.contains(text, F.lit("|")) & text.rlike(english.TABLE_SEPARATOR)), "blank")
     if kind == "md" and language == "en":
         tag = tag.when(text.rlike(english.HEADING), "heading")
     marked = F.regexp_extract(text, english.LIST_LEAD, 1) != ""
@@ -68,20 +80,23 @@ def structured(docs: DataFrame, language: str = "en", kind: str = "text") -> Dat
     word, border = (WORD, ENGLISH_BORDER) if language == "en" else (PERSIAN_WORD, PERSIAN_BORDER)
     rows = docs.select("doc_id", clean(F.col("text")).alias("raw"))
     rows = rows.select("doc_id", "raw", read_prose(F.col("raw"), kind).alias("body"))
-    tagged = F.transform(F.split("body", "\n"), lambda t, i: F.struct((i + 1).alias("line"), t.alias("text"), _tag(t, language, kind).alias("tag")))
-    rows = rows.select("doc_id", "raw", "body", tagged.alias("lines"))
+    both = F.zip_with(F.split("body", "\n"), F.split(with_ends(F.col("body"), border), "\n"), lambda t, m: F.struct(t.alias("text"), m.alias("ended")))
+    tagged = F.transform(both, lambda x, i: F.struct((i + 1).alias("line"), x["text"].alias("text"), _tag(x["text"], language, kind).alias("tag"), x["ended"].alias("ended")))
+    rows = rows.select("doc_id", "raw", "body", tagged.alias("tagged"))
+    # A list mark may end like a sentence.
+    lead, heading = (p.replace(r"[ \t]", rf"[ \t{_END}]") for p in (english.LIST_LEAD, english.HEADING))
 
     def pieces(ln: Column) -> Column:
-        lead = F.regexp_replace(ln["text"], english.LIST_LEAD, "")
-        whole = F.array(F.when(ln["tag"] == "heading", F.regexp_replace(ln["text"], english.HEADING, "")).otherwise(lead))
-        return F.when(ln["tag"].isin("blank", "skipped"), F.array().cast("array<string>")).when(ln["tag"] == "cell", cells_of(ln["text"])).otherwise(whole)
+        whole = F.array(F.when(ln["tag"] == "heading", F.regexp_replace(ln["ended"], heading, "")).otherwise(F.regexp_replace(ln["ended"], lead, "")))
+        return F.when(ln["tag"].isin("blank", "skipped"), F.array().cast("array<string>")).when(ln["tag"] == "cell", cells_of(ln["ended"])).otherwise(whole)
 
     def sentences_of(ln: Column) -> Column:
-        parts = F.flatten(F.transform(pieces(ln), lambda p: sentence_array(p, border)))
+        parts = F.flatten(F.transform(pieces(ln), _parted))
         made = F.transform(parts, lambda s: F.struct(ln["line"].alias("line"), ln["tag"].alias("tag"), s.alias("text"), F.regexp_count(s, F.lit(word)).alias("n"), F.regexp_extract(s, word, 0).alias("first")))
         return F.filter(made, lambda s: s["n"] > 0)
 
-    return rows.withColumn("sents", F.flatten(F.transform("lines", sentences_of)))
+    lines_ = F.transform("tagged", lambda ln: F.struct(ln["line"].alias("line"), ln["text"].alias("text"), ln["tag"].alias("tag")))
+    return rows.select("doc_id", "raw", "body", lines_.alias("lines"), F.flatten(F.transform("tagged", sentences_of)).alias("sents"))
 
 
 def sentences(docs: DataFrame, language: str = "en", kind: str = "text") -> DataFrame:
@@ -138,7 +153,10 @@ def paragraphs(docs: DataFrame) -> DataFrame:
 
 def run_starts(keys: Column, least: int) -> Column:
     """Indices (from 0) at which runs of ``least`` or more equal keys start; a null belongs to no run."""
+    return let(keys, lambda all_: _starts(all_, least))
+
 
+def _starts(keys: Column, least: int) -> Column:
     def starts(i: Column) -> Column:
         own = F.get(keys, i)
         goes_on = own.isNotNull()

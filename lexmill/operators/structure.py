@@ -129,7 +129,8 @@ def passive_density(sents: Column, most: int = 5) -> Column:
 
 def connectors(lines: Column, words: Column) -> Column:
     """Sentence-initial connectors, twice or more and over one in 200 words."""
-    hits = F.flatten(F.transform(lines, lambda ln: F.array_repeat(ln["line"], F.regexp_count(ln["text"], F.lit(f"(?U){english.ADDITIONALLY}")))))
+    likely = F.filter(lines, lambda ln: F.contains(ln["text"], F.lit("ly,")) | F.contains(ln["text"], F.lit("ore,")) | F.contains(ln["text"], F.lit("over,")))
+    hits = F.flatten(F.transform(likely, lambda ln: F.array_repeat(ln["line"], F.regexp_count(ln["text"], F.lit(f"(?U){english.ADDITIONALLY}")))))
     return let(hits, lambda h: F.when((F.size(h) >= 2) & (200 * F.size(h) > words), F.transform(h, lambda n: found(n, "en-additionally"))).otherwise(NONE()).cast(FOUND))
 
 
@@ -160,12 +161,14 @@ def inline_headers(lines: Column) -> Column:
     return F.transform(starts, lambda i: found(i + 1, "en-inline-header-bullets")).cast(FOUND)
 
 
-def marks_over(own: Column, pattern: str, most: int, code: str) -> Column:
-    """Marks of a kind over a limit."""
-    return whole(marks_of(own, pattern) > most, code)
+def marks_over(own: Column, pattern: str, most: int, code: str, gate: str | None = None) -> Column:
+    """Marks of a kind over a limit; a gate is a cheaper pattern of one character that every mark has."""
+    lines = F.filter(own, lambda ln: ln["text"].rlike(gate)) if gate else own
+    return whole(marks_of(lines, pattern) > most, code)
 
 
 #: One emoji, with what joins it: flags, keycaps, skin tones and joined sequences count once. Java 17 has no emoji property, so blocks stand for it.
+EMOJI_GATE = r"[\x{20E3}-\x{10FFFF}]"
 EMOJI = (
     r"[\x{1F1E6}-\x{1F1FF}]{2}|[0-9#*]\x{FE0F}?\x{20E3}|(?:[\x{231A}\x{231B}\x{23E9}-\x{23EC}\x{2614}\x{2615}\x{26A1}\x{2705}\x{2728}\x{274C}\x{2753}-\x{2757}\x{2764}\x{2795}-\x{2797}\x{2B50}\x{2B55}"
     r"\x{1F300}-\x{1F64F}\x{1F680}-\x{1F6FF}\x{1F7E0}-\x{1F7EB}\x{1F90C}-\x{1F9FF}\x{1FA70}-\x{1FAFF}])(?:\x{FE0F}|[\x{1F3FB}-\x{1F3FF}])?(?:\x{200D}.\x{FE0F}?)*"
@@ -223,8 +226,10 @@ def spelling_evidence(docs: DataFrame) -> DataFrame:
     """doc_id, us, uk, ize, ise and the variant that the counts point to; documents without evidence have none."""
     rows = docs.select("doc_id", segment.read_prose(segment.clean(F.col("text"))).alias("body"))
     listed = F.array(*map(F.lit, english.SPELLING_FORMS))
-    rows = rows.select("doc_id", F.filter(spelled_words(F.col("body")), lambda w: F.array_contains(listed, w)).alias("w"))
-    n = lambda forms: F.size(F.filter("w", lambda w: F.array_contains(forms, w))).cast("bigint")
+    # One hashed intersection leaves the few forms that a text has; only these are looked for among its words.
+    rows = rows.select("doc_id", spelled_words(F.col("body")).alias("all")).select("doc_id", "all", F.array_intersect("all", listed).alias("own"))
+    rows = rows.select("doc_id", F.when(F.size("own") > 0, F.filter("all", lambda w: F.array_contains("own", w))).otherwise(F.array().cast("array<string>")).alias("w"))
+    n = lambda forms: F.when(F.size("w") > 0, F.size(F.filter("w", lambda w: F.array_contains(forms, w)))).otherwise(0).cast("bigint")
     ize = ("ize-ise", "yze-yse")
     rows = rows.select("doc_id", n(_forms("us")).alias("us"), n(_forms("uk")).alias("uk"), n(_forms("us", "ize-ise")).alias("ize"), n(_forms("uk", "ize-ise")).alias("ise"), n(_forms("us", *ize, but=True)).alias("plain"))
     guess = F.when((F.col("uk") > 0) & (F.col("plain") == 0), F.when((F.col("ize") > 0) & (F.col("ise") == 0), "uk-ize").otherwise("uk")).when((F.col("us") > 0) & (F.col("uk") == 0), "us")
@@ -285,8 +290,7 @@ def undefined_abbreviations(lines: Column, words: Column, known: list[str] = eng
     listed = F.array(*map(F.lit, known))
 
     def first_uses(all_: Column) -> Column:
-        names = F.transform(all_, lambda a: a["abbr"])
-        first = F.filter(all_, lambda a, i: F.array_position(names, a["abbr"]) == i + 1)
+        first = let(F.transform(all_, lambda a: a["abbr"]), lambda names: F.filter(all_, lambda a, i: F.array_position(names, a["abbr"]) == i + 1))
         return each(F.filter(first, lambda a: a["open"] & ~F.array_contains(listed, a["abbr"]) & ~a["abbr"].rlike(english.ROMAN)), "en-undefined-abbr")
 
     return F.when(words >= 80, let(F.flatten(F.transform(body, of_line)), first_uses)).otherwise(NONE()).cast(FOUND)
@@ -368,7 +372,7 @@ def english_rules(settings: Settings) -> list[Column]:
     own, words = F.col("own"), F.col("n_words")
     parts = [
         long_sentences(sents, settings.max_words), same_opening(sents), flat_rhythm(sents), rhetorical_opening(sents), passive_density(sents),
-        connectors(lines, words), dash_density(lines, words), marks_over(own, "!", settings.exclaim_max, "en-bangs"), marks_over(own, EMOJI, settings.emoji_max, "en-emoji"),
+        connectors(lines, words), dash_density(lines, words), marks_over(own, "!", settings.exclaim_max, "en-bangs"), marks_over(own, EMOJI, settings.emoji_max, "en-emoji", EMOJI_GATE),
         quote_mix(own), spelling_mix(lines, body), undefined_abbreviations(lines, words), vocabulary_density(body, words), isbns(lines),
     ]
     if settings.kind in ("md", "text", "html"):

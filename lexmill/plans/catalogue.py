@@ -56,7 +56,7 @@ SMALL_BYTES = 64 << 20
 
 
 def _cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _spread(cases.with_cases(spark, _docs(spark, sf_dir)))
+    return cases.with_cases(spark, _spread(_docs(spark, sf_dir)))
 
 
 def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -443,8 +443,8 @@ def english_pattern_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query()
 def persian_pattern_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.createDataFrame([(-k, yes) for k, (_, yes, _) in enumerate(cases.PERSIAN, 1)], "doc_id long, text string")
-    docs = _docs(spark, sf_dir).select("doc_id", "text").unionByName(rows)
-    return findings.persian_findings(_spread(docs)).select("doc_id", "line", "col", "code", "severity", "text")
+    docs = _spread(_docs(spark, sf_dir)).select("doc_id", "text").unionByName(rows)
+    return findings.persian_findings(docs).select("doc_id", "line", "col", "code", "severity", "text")
 
 
 #: Rules whose patterns both engines read: without look-around, groups by name, and tests beside the pattern.
@@ -887,7 +887,7 @@ UNION ALL SELECT -k, lines, english FROM (VALUES (1, 4, 1), (2, 2, 1), (3, 1, 1)
 """)
 def line_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.createDataFrame([(-k, t) for k, (t, _) in enumerate(_MIXED, 1)], "doc_id long, text string")
-    found = mixed.line_languages(_docs(spark, sf_dir).select("doc_id", "text").unionByName(rows))
+    found = mixed.line_languages(_spread(_docs(spark, sf_dir)).select("doc_id", "text").unionByName(rows))
     return found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("lines"), F.count_if((F.col("language") == "en") & F.col("text").rlike("[A-Za-z]")).alias("english"))
 
 
