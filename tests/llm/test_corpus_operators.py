@@ -315,3 +315,40 @@ def test_pipeline_stages(spark, tmp_path):
     assert seen[0] == ("quality", kept | {40, 41, 43}) and seen[1] == ("near_duplicates", kept | {43}) and all(ids == kept for _, ids in seen[2:])
     final = {r.doc_id: r.ids_sha256 for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert final == {r.doc_id: r.ids_sha256 for r in docs.collect()}
+
+
+def test_html_names_inline_elements_and_depth(spark):
+    text = lambda page: html_text.main_text(page, frozenset())
+    assert text('<p>Keep this text <a class="related">link</a> and this tail</p>') == "Keep this text and this tail"
+    page = '<article><div class="article-header"><h1>Title</h1></div><div id="related-work">W</div><section id="nav-theory">N</section><div class="comments-policy">P</div><div class="comments">no</div></article>'
+    assert text(page) == "Title\n\nW\n\nN\n\nP"
+    assert text("<article>x <svg viewBox='0'/> y <button>Go</button> z</article>") == "x y z"
+    assert text("<p>a<script>var x = 1") == "a" and text("a < b and c<d") == "a < b and c"
+    assert text("<div>" * 60_000 + "deep" + "</section>" * 60_000) == "deep"
+    hosts = spark.createDataFrame([("a.com/x//y",), ("http://u@B.org:8/z",), (None,)], "url string").select(html_text.host_of(F.col("url")).alias("h"))
+    assert [r.h for r in hosts.collect()] == ["a.com", "b.org:8", ""]
+
+
+def test_html_template_by_brute_force(spark):
+    rng = random.Random(4)
+    rows = []
+    for i in range(40):
+        host = f"h{i % 3}.example"
+        extra = "".join(f"<p>{rng.choice(WORDS)} {rng.choice(WORDS)}</p>" for _ in range(rng.randint(0, 4)))
+        rows.append((i, f"http://{host}/{i}", f"<body><div><p>Top of {host}</p></div><article><p>Story {i}</p>{extra}</article><p>End of {host}</p></body>"))
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", html_text.host_of(F.col("url")))
+    got = {r.host: set(r.template) for r in html_text.templates(frame).collect()}
+    for host in {f"h{k}.example" for k in range(3)}:
+        pages = [html_text.Page(h) for _, u, h in rows if host in u]
+        streams = [[html_text._signed(t) for t in p.stream] for p in pages]
+        vectors: dict = {}
+        for token in {t for s in streams for t in s}:
+            vector = tuple(s.count(token) for s in streams)
+            if sum(n > 0 for n in vector) >= 0.9 * len(streams):
+                vectors.setdefault(vector, []).append(token)
+        want = set()
+        for members in vectors.values():
+            orders = [[t for t in s if t in members] for s in streams]
+            if len(members) >= 2 and sum(html_text.order_of(o) == html_text.order_of(orders[0]) != 0 for o in orders) >= 0.9 * len(streams):
+                want |= set(members)
+        assert got[host] == want

@@ -210,3 +210,41 @@ def test_empty_tables(spark, docs):
     path = public_tokenizers.path("byte_bpe_50k.json")
     for out in (pii.digest(none), pii.redact(none), quality.quality(none), quality.keep_good(none), token_counts.token_counts(none, path), codec.encode(none, path), licenses.digest(none)):
         assert out.count() == 0
+
+
+def test_quality_knows_languages_from_their_own_texts(spark):
+    rng = random.Random(8)
+    common, letters = "از به در که را با این آن برای است".split(), "ابپتجدرسشکلمنوهی"
+    persian = [" ".join(rng.choice(common) if rng.random() < 0.4 else "".join(rng.choice(letters) for _ in range(5)) for _ in range(80)) for _ in range(400)]
+    stray = " ".join(rng.choice("the of and to in a is that house garden letter".split()) for _ in range(1100))
+    rows = [(i, t, "fa") for i, t in enumerate(persian)] + [(1000, stray, "fa")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumns({"kept": F.lit("x"), "n_words": F.lit(0)})
+    got = {r.doc_id: r.kept for r in quality.quality(frame).collect()}
+    assert all(got[i] for i in range(400)) and got[1000] is False
+    left = quality.keep_good(frame)
+    assert left.columns == frame.columns and left.count() == 400
+
+
+def test_prefix_table_answers_every_budget(docs):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = [*ODD, "word " * 700, "a <|endoftext|> b", "x\n\n\ny  z"]
+    frame = docs(texts).withColumns({"steps": F.lit(1), "n_tokens": F.lit("x")})
+    table = token_counts.prefix_table(frame, path).cache()
+    for limit in (0, 3, 512):
+        assert sorted(map(tuple, token_counts.budget(table, limit).collect())) == sorted(map(tuple, token_counts.token_counts(frame, path, limit).collect()))
+
+
+def test_many_matches_in_one_text(spark):
+    rows = [(1, "write a@b.cd now " * 40_000), (2, "MIT License, Apache License 2.0 " * 20_000)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: r for r in pii.digest(frame).collect()}
+    assert found[1].n_email == 40_000 and pii.redact(frame).where("doc_id = 1").first().text == "write [EMAIL] now " * 40_000
+    assert {r.doc_id: r.n_base for r in licenses.digest(frame).collect()} == {1: 0, 2: 40_000}
+
+
+def test_clashing_columns_are_not_read(docs):
+    path, words = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
+    plain = docs(["some words here", None])
+    wide = plain.withColumns({c.split()[0]: F.lit(None).cast(c.split()[1]) for c in CLASH.split(", ")})
+    for run in (pii.digest, quality.quality, licenses.digest, lambda d: token_counts.token_counts(d, path), lambda d: codec.encode(d, words)):
+        assert sorted(map(str, run(wide).collect())) == sorted(map(str, run(plain).collect()))
