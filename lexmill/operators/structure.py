@@ -106,10 +106,28 @@ def _rhythm(sents: Column) -> Column:
     return F.transform(of_tag(sents, "prose"), lambda s: s["n"].cast("bigint"))
 
 
-def flat_rhythm(sents: Column) -> Column:
-    """Six sentences or more whose lengths deviate by less than three words (population): in whole numbers, n * sum of squares - square of sum < 9 n * n."""
-    flat = lambda n: (F.size(n) >= 6) & (F.size(n) * summed(F.transform(n, lambda x: x * x)) - summed(n) * summed(n) < 9 * F.size(n) * F.size(n))
-    return whole(let(_rhythm(sents), flat), "en-flat-rhythm")
+def running_deviation(values: Column) -> Column:
+    """The population standard deviation as SQL's ``stddev_pop`` finds it: in doubles, from running means in the order of the values."""
+    start = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("squares"))
+
+    def step(s: Column, x: Column) -> Column:
+        n = s["n"] + 1.0
+        mean = s["mean"] + (x - s["mean"]) / n
+        return F.struct(n.alias("n"), mean.alias("mean"), (s["squares"] + (x - s["mean"]) * (x - mean)).alias("squares"))
+
+    return F.aggregate(F.transform(values, lambda x: x.cast("double")), start, step, lambda s: F.sqrt(F.when(s["n"] > 0, s["squares"] / s["n"])))
+
+
+def flat_rhythm(sents: Column, deviation: Callable[[Column], Column] | None = None) -> Column:
+    """Six sentences or more whose lengths deviate by less than three words (population).
+
+    In whole numbers, n * sum of squares - square of sum < 9 n * n; a ``deviation`` in doubles may round
+    exactly three to less.
+    """
+    size = lambda n: F.size(n).cast("bigint")
+    exact = lambda n: size(n) * summed(F.transform(n, lambda x: x * x)) - summed(n) * summed(n) < 9 * size(n) * size(n)
+    less = (lambda n: deviation(n) < 3) if deviation else exact
+    return whole(let(_rhythm(sents), lambda n: (F.size(n) >= 6) & less(n)), "en-flat-rhythm")
 
 
 def flat_rhythm_spread(sents: Column) -> Column:
