@@ -407,11 +407,13 @@ def verified_links(docs: DataFrame, alive: DataFrame, nodes: DataFrame) -> DataF
     weight = F.col("n_shingles") * 8 + PART_BYTES // PART_DOCS
     big = _big(facts.withColumn("weight", weight), PART_BYTES)
     schema = T.StructType([*(T.StructField(c, T.LongType()) for c in ("doc", "hub", "copies", "n_shingles")), T.StructField("elements", T.BinaryType())])
-    near = docs.select(F.col("doc_id").alias("doc"), "text")
+    near, chosen = docs.select(F.col("doc_id").alias("doc"), "text"), facts.select("doc", "hub", "copies")
+    # Most texts have no partner: they are left out where they are read, and never shuffled.
     if facts.count() > BROADCAST_IDS:
-        # Most texts have no partner: they are left out where they are read.
         near = near.where(maybe_in(facts, "doc", F.col("doc")))
-    sets = near.join(facts.select("doc", "hub", "copies"), "doc").select("doc", "text", "hub", "copies").mapInArrow(bk.tidy(_sets), schema)
+    else:
+        chosen = F.broadcast(chosen)
+    sets = near.join(chosen, "doc").select("doc", "text", "hub", "copies").mapInArrow(bk.tidy(_sets), schema)
     if not big.isEmpty():
         sets = materialise(sets, "sets")
     found, placed = _blocks(sets.withColumn("weight", weight).drop("n_shingles"), big, PART_BYTES, _tight, _verified, ["elements", "side"])
